@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -53,20 +54,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _fields(df: DataFrame, schema: str | StructType) -> StructType:
+    return df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+
+
 def per_row(
-    df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]], inputs: list[str]
+    df: DataFrame, schema: str | StructType, make: Callable[[], Callable[..., tuple]], inputs: list[str]
 ) -> DataFrame:
     """Apply a per-row helper over Arrow batches.
 
     ``make()`` runs once per task and returns ``f(*inputs) -> tuple`` matching
     ``schema``. Only ``inputs`` are sent to Python.
     """
-    from pyspark.sql.types import StructType
-
-    fields = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
-    assert isinstance(fields, StructType)
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    fields = _fields(df, schema)
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +84,12 @@ def per_row(
 
 
 def per_batch(
-    df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]], inputs: list[str], rows: int = 1024
+    df: DataFrame, schema: str | StructType, make: Callable[[], Callable[..., tuple]], inputs: list[str], rows: int = 1024
 ) -> DataFrame:
     """As :func:`per_row`, but the helper takes and returns lists, one for each column."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    fields = df.sparkSession.createDataFrame([], schema).schema
+    fields = _fields(df, schema)
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +102,11 @@ def per_batch(
     return df.select(*inputs).mapInArrow(run, fields)
 
 
-def per_row_many(df: DataFrame, schema: str, make: Callable[[], Callable[..., list[tuple]]], inputs: list[str]) -> DataFrame:
+def per_row_many(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[..., list[tuple]]], inputs: list[str]) -> DataFrame:
     """As :func:`per_row`, but the helper returns a list of rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    fields = df.sparkSession.createDataFrame([], schema).schema
+    fields = _fields(df, schema)
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
