@@ -184,7 +184,9 @@ class Encoder(dict):
         for text in texts:
             pieces.update(text.split(" "))
         need: set[str] = set()
-        for piece in pieces - self.keys():
+        for piece in pieces:
+            if piece in self:
+                continue
             if piece.isalpha():
                 need.add(" " + piece)
             elif piece:

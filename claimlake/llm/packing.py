@@ -32,6 +32,7 @@ CACHE_CHARS = 48
 PARTNERS = 12
 
 _PLACE = 1 << 40
+_MARKS = ".,;:!?"
 
 
 class WordIds:
@@ -53,19 +54,25 @@ class WordIds:
         young, old = self.young, self.old
         for text in texts:
             parts = text.split(" ")
-            new = set(parts) - young.keys()
-            todo = []
+            new = set(parts).difference(young)
+            todo, marked = set(), []
             for part in new:
                 ids = old.get(part)
-                if ids is None:
-                    todo.append(part)
-                else:
+                if ids is not None:
                     young[part] = ids
-            long = {}
+                elif part[-1] in _MARKS and part[:-1].isalpha():
+                    marked.append(part)  # letters and a mark are apart for the pre-tokenizer
+                    todo.update(x for x in (part[:-1], part[-1]) if x not in young)
+                else:
+                    todo.add(part)
+            todo, long = list(todo), {}
             for k in range(0, len(todo), 4096):
                 some = todo[k : k + 4096]
                 for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
                     (young if len(part) <= CACHE_CHARS else long)[part] = np.array(found.ids, "<u4").tobytes()
+            for part in marked:
+                word, mark = part[:-1], part[-1]
+                (young if len(part) <= CACHE_CHARS else long)[part] = (young[word] if word in young else long[word]) + young[mark]
             yield b"".join([young[x] if x in young else long[x] for x in parts] if long else map(young.__getitem__, parts))
             if len(young) > CACHE_WORDS:
                 self.young, self.old = young, old = {"": b""}, young
