@@ -208,18 +208,25 @@ def plan(counts: dict[int, int], seq_len: int) -> list[tuple[tuple[int, ...], in
         out.append(((seq_len,), left.pop(seq_len)))
     lengths = sorted(left)
     # only patterns that fill a sequence are fitted; the rest is the residual's
-    columns = [p for p in patterns(lengths, left, seq_len) if sum(p) >= seq_len - max(1, seq_len // 512)]
-    fitted = nnls(columns, left) if columns else []
-    for j in sorted(range(len(columns)), key=lambda j: (-sum(columns[j]), -fitted[j], columns[j])):
-        p, n = columns[j], int(np.floor(fitted[j] + 0.5))
-        if n:
-            n = min(n, *(left[length] // p.count(length) for length in p))
-        if n > 0:
-            out.append((p, n))
-            for length in p:
-                left[length] -= n
-    out += best_fit({k: v for k, v in left.items() if v}, seq_len)
-    return out
+    columns = [p for p in patterns(lengths, left, seq_len) if sum(p) >= seq_len - seq_len // 512]
+    fitted = nnls(columns, left) if columns else np.zeros(0)
+    order = sorted(range(len(columns)), key=lambda j: (-sum(columns[j]), -fitted[j], columns[j]))
+    best = None
+    # rounding the fit in full can use up the short lengths that the residual needs, so shares of it are tried
+    for share in (1.0, 0.9, 0.75, 0.5, 0.25, 0.0):
+        rest, groups = dict(left), []
+        for j in order:
+            p, n = columns[j], int(share * fitted[j] + 0.5)
+            if n:
+                n = min(n, *(rest[length] // p.count(length) for length in p))
+            if n > 0:
+                groups.append((p, n))
+                for length in p:
+                    rest[length] -= n
+        groups += best_fit({k: v for k, v in rest.items() if v}, seq_len)
+        if best is None or sum(n for _, n in groups) < sum(n for _, n in best):
+            best = groups
+    return out + best
 
 
 def places(groups: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
