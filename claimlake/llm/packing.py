@@ -15,6 +15,7 @@ one by one; an empty table has no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable
@@ -53,31 +54,43 @@ class WordIds:
     def __call__(self, texts: list[str]) -> Iterable[bytes]:
         young, old = self.young, self.old
         for text in texts:
-            parts = text.split(" ")
-            new = set(parts).difference(young)
-            todo, marked = set(), []
-            for part in new:
+            # the vocabulary takes \x1c to \x1f as symbols, where split() takes them as white space
+            parts = text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+            todo, made = set(), []
+            for part in set(parts).difference(young):
                 ids = old.get(part)
                 if ids is not None:
                     young[part] = ids
-                elif part[-1] in _MARKS and part[:-1].isalpha():
-                    marked.append(part)  # letters and a mark are apart for the pre-tokenizer
-                    todo.update(x for x in (part[:-1], part[-1]) if x not in young)
+                elif (simple := _simpler(part)) is not None:
+                    made.append((part, simple))
+                    todo.update(simple)
                 else:
                     todo.add(part)
-            todo, long = list(todo), {}
+            todo, long = [x for x in todo if x not in young], {}
             for k in range(0, len(todo), 4096):
                 some = todo[k : k + 4096]
                 for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    (young if len(part) <= CACHE_CHARS else long)[part] = np.array(found.ids, "<u4").tobytes()
-            for part in marked:
-                word, mark = part[:-1], part[-1]
-                (young if len(part) <= CACHE_CHARS else long)[part] = (young[word] if word in young else long[word]) + young[mark]
+                    ids = found.ids
+                    (young if len(part) <= CACHE_CHARS else long)[part] = struct.pack(f"<{len(ids)}I", *ids)
+            for part, simple in made:
+                ids = b"".join([young[x] if x in young else long[x] for x in simple])
+                (young if len(part) <= CACHE_CHARS else long)[part] = ids
             yield b"".join([young[x] if x in young else long[x] for x in parts] if long else map(young.__getitem__, parts))
             if len(young) > CACHE_WORDS:
                 self.young, self.old = young, old = {"": b""}, young
 
 
+def _simpler(part: str) -> tuple[str, ...] | None:
+    """Parts with the same ids: letters in lower case and a mark after them, which the pre-tokenizer takes apart."""
+    word = part[:-1] if part[-1:] in _MARKS else part
+    if not word.isalpha() or max(word) >= "\u0130":  # beyond, lower case and normal form are left to the library
+        return None
+    low = word.lower()
+    if word is not part and len(word) < len(part):
+        return low, part[-1]
+    return (low,) if low != part else None
+
+
 _KEPT: dict[str, WordIds] = {}
 
 
