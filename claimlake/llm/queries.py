@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, packing, quality, simhash, substring, toxicity, urls
+from . import ann, bpe, langid, packing, pii, quality, simhash, substring, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,14 @@ def op4_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+#: Key of the registered query; a deployment passes its own secret.
+PII_KEY = "not a secret"
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_compression": op1_toxicity_compression,
     "op4_rp_forest": op4_rp_forest,
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_pivots": op8_simhash_pivots,
+    "op10_pii_surrogates": op10_pii_surrogates,
     "op9_byte_bpe": op9_byte_bpe,
 }
 

@@ -1,15 +1,58 @@
-"""A pipeline over ``documents``."""
+"""A pipeline over ``documents``: identify, thin out, cut, pseudonymize, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again before the next. All but the last return the columns that
+``documents`` has. Nulls, empty and repeated rows have the results that the stages'
+operators define.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from claimlake.llm import langid, packing, pii, queries, simhash, substring
+from claimlake.llm.common import written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null, or without a letter) go; the automata learn from this stage's own input."""
+    return langid.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the least doc_id stays."""
+    return simhash.keep_first(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that also start earlier go; the documents stay."""
+    return substring.keep_novel(docs)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Detected entities become surrogates."""
+    return pii.pseudonymize(docs, queries.PII_KEY)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2,048 tokens and their places in sequences."""
+    return packing.pack_documents(docs, queries.vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("pii_surrogates", replace_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL has no suffix automata, tokenizers or keyed permutations; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
