@@ -18,7 +18,6 @@ import os
 import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -50,45 +49,75 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> Iterable[bytes]:
-        young, old = self.young, self.old
-        for text in texts:
-            # the vocabulary takes \x1c to \x1f as symbols, where split() takes them as white space
-            parts = text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-            todo, made = set(), []
-            for part in set(parts).difference(young):
-                ids = old.get(part)
-                if ids is not None:
-                    young[part] = ids
-                elif (simple := _simpler(part)) is not None:
-                    made.append((part, simple))
-                    todo.update(simple)
-                else:
-                    todo.add(part)
-            todo, long = [x for x in todo if x not in young], {}
-            for k in range(0, len(todo), 4096):
-                some = todo[k : k + 4096]
-                for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    ids = found.ids
-                    (young if len(part) <= CACHE_CHARS else long)[part] = struct.pack(f"<{len(ids)}I", *ids)
-            for part, simple in made:
-                ids = b"".join([young[x] if x in young else long[x] for x in simple])
-                (young if len(part) <= CACHE_CHARS else long)[part] = ids
-            yield b"".join([young[x] if x in young else long[x] for x in parts] if long else map(young.__getitem__, parts))
-            if len(young) > CACHE_WORDS:
-                self.young, self.old = young, old = {"": b""}, young
-
-
-def _simpler(part: str) -> tuple[str, ...] | None:
-    """Parts with the same ids: letters in lower case and a mark after them, which the pre-tokenizer takes apart."""
-    word = part[:-1] if part[-1:] in _MARKS else part
+        self.marks: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        # the vocabulary takes \x1c to \x1f as symbols, where split() takes them as white space
+        split = [t.split(" ") if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        get = self.young.get
+        found = [list(map(get, parts)) for parts in split]
+        new = {part for parts, ids in zip(split, found, strict=True) if None in ids for part, i in zip(parts, ids, strict=True) if i is None}
+        learned = self.learn(new) if new else {}
+        out = []
+        for parts, ids in zip(split, found, strict=True):
+            if None in ids:
+                ids = [learned[part] if i is None else i for part, i in zip(parts, ids, strict=True)]
+            out.append(b"".join(ids))
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {"": b""}, self.young
+        return out
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of parts that are not in the young memory, where they are kept."""
+        out, made, words, others = {}, [], set(), []
+        for part in new:
+            ids = self.old.get(part)
+            if ids is not None:
+                out[part] = ids
+            elif (simple := _simpler(part)) is not None:
+                made.append((part, simple))
+                words.add(simple[0])
+            else:
+                others.append(part)
+        known: dict[str, bytes] = {}
+        todo = []
+        for word in words:
+            ids = self.young.get(word) or self.old.get(word)
+            if ids is None:
+                todo.append(word)
+            else:
+                known[word] = ids
+        lines = [todo[k : k + 512] for k in range(0, len(todo), 512)]
+        for line, got in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            edge = np.searchsorted(np.array(got.word_ids), np.arange(len(line) + 1)).tolist()
+            raw = ids.tobytes()
+            for word, a, z in zip(line, edge, edge[1:], strict=False):
+                known[word] = raw[4 * a : 4 * z]
+        for k in range(0, len(others), 4096):
+            some = others[k : k + 4096]
+            for part, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                ids = got.ids
+                out[part] = struct.pack(f"<{len(ids)}I", *ids)
+        for part, (word, mark) in made:
+            out[part] = known[word] + self.mark(mark) if mark else known[word]
+        self.young.update((part, ids) for part, ids in out.items() if len(part) <= CACHE_CHARS)
+        self.young.update((word, ids) for word, ids in known.items() if len(word) <= CACHE_CHARS)
+        return out
+
+    def mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
+            self.marks[mark] = struct.pack(f"<{len(ids)}I", *ids)
+        return self.marks[mark]
+
+
+def _simpler(part: str) -> tuple[str, str] | None:
+    """A word of letters in lower case, which is one pre-token, and the mark after it or nothing; they have the same ids."""
+    word, mark = (part[:-1], part[-1]) if part[-1:] in _MARKS else (part, "")
     if not word.isalpha() or max(word) >= "\u0130":  # beyond, lower case and normal form are left to the library
         return None
-    low = word.lower()
-    if word is not part and len(word) < len(part):
-        return low, part[-1]
-    return (low,) if low != part else None
+    return word.lower(), mark
 
 
 _KEPT: dict[str, WordIds] = {}

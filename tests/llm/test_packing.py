@@ -58,5 +58,5 @@ def test_plan_uses_every_count_and_packs_tightly():
 def test_parts_overflow(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     words, library = packing.WordIds(PATH), Tokenizer.from_file(PATH)
-    for text in ("The cat's  mat", "É́té 12 34", "x" * 200 + " tail", "", "the cat sat"):
-        assert np.frombuffer(next(iter(words([text]))), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    for text in ("The cat's  mat", "É́té 12 34", "x" * 200 + " tail", "", "the cat sat", "A! ÀB, dogs? Straße İx ΑΣ", "x\x1cy z"):
+        assert np.frombuffer(words([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
