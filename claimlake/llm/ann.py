@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: Sampled vectors that the trees are built on, at most; and their seed.
-SAMPLE, SEED = 20_000, 11
+SAMPLE, SEED = 100_000, 11
 TREES, LEAF, LEAVES = 16, 24, 160
 
 
@@ -127,14 +128,13 @@ def nearest(
     points = written(points)
     queries = good.filter(is_query).select("vec_id", "v").distinct()
     asked = written(queries.groupBy("v").agg(F.count("*").alias("n")).select("v", F.xxhash64("v").alias("qid")))
-    picked = points.orderBy("pid", "v").limit(sample).select("v").collect()
-    by_width: dict[int, list] = {}
-    for r in picked:
-        by_width.setdefault(len(r.v), []).append(r.v)
-    if not by_width:
+    picked = points.orderBy("pid", "v").limit(sample).select("v").toArrow().column(0).combine_chunks()
+    widths = picked.value_lengths().to_numpy(zero_copy_only=False)
+    if not len(widths):
         return good.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    main = max(by_width, key=lambda w: (len(by_width[w]), w))
-    forest = good.sparkSession.sparkContext.broadcast(Forest(_unit(np.array(by_width[main], np.float64)), trees, leaf))
+    main = int(np.bincount(widths).argmax())  # vectors of other widths have no cosine with these
+    sampled = picked.filter(pa.array(widths == main)).flatten().to_numpy(zero_copy_only=False).reshape(-1, main)
+    forest = good.sparkSession.sparkContext.broadcast(Forest(_unit(sampled), trees, leaf))
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
