@@ -1,4 +1,657 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine over the driver tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import intervals, limits, text, vectors
+from .operators import acl, anchor, audit, chunk, dedup, nominate, quota, recall, reports, retrieval, scd
+from .plans import fixtures as fx
+from .plans.sql import CAPTURES, CLAIM_ACL, CLAIMS, EVIDENCE, EVIDENCE_ACL, LEDGER, NOW, PERMITTED, SPACE, stamp, with_
+from .sources import claims as live
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Limits small enough to bind on the driver tables.
+CFG = limits.LimitConfig(contribution_quota=3, max_inference_calls=5, max_input_tokens=20_000, recall_rate=5, scope_claim_ceiling=20, max_login_attempts=3)
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def ts(column: str | Column, name: str | None = None) -> Column:
+    c = F.col(column) if isinstance(column, str) else column
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name or column)
+
+
+# -- retrieval -------------------------------------------------------------------------------------------------------------------
+
+_QUERIES = """queries AS (SELECT e.vec_id AS query_id, 'p' || ((e.vec_id // 100) % 5) AS principal_id, e.embedding AS vec,
+  [string_split(lower(regexp_replace(d.text, '[^\\pL\\pN]+', ' ', 'g')), ' ')[4], string_split(lower(regexp_replace(d.text, '[^\\pL\\pN]+', ' ', 'g')), ' ')[8]] AS ws
+  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id WHERE e.vec_id % 100 = 0)"""
+_STOP = "(" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + ")"
+_DENSE = """dense AS (SELECT * FROM (SELECT query_id, claim_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw, claim_id) AS rank FROM (
+  SELECT q.query_id, CAST(v.vec_id AS VARCHAR) AS claim_id, -list_inner_product(q.vec::DOUBLE[], v.embedding::DOUBLE[]) AS raw
+  FROM queries q, embeddings v, claims c WHERE c.id = CAST(v.vec_id AS VARCHAR) AND c.superseded_at IS NULL)) WHERE rank <= 50)"""
+_LEXICAL = f"""toks AS (SELECT claim_id, id AS evidence_id, list_filter(regexp_split_to_array(lower(extracted_text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM evidence
+  WHERE claim_id IN (SELECT id FROM claims WHERE superseded_at IS NULL)),
+each AS (SELECT claim_id, evidence_id, len(w) AS n_terms, unnest(w) AS term FROM toks),
+post AS (SELECT claim_id, evidence_id, term, count(*) AS tf, any_value(n_terms) AS n_terms FROM each WHERE term NOT IN {_STOP} GROUP BY ALL),
+size AS (SELECT count(*) AS n_docs, avg(n_terms) AS avg_terms FROM (SELECT DISTINCT evidence_id, n_terms FROM post)),
+df AS (SELECT term, count(DISTINCT evidence_id) AS df FROM post GROUP BY term),
+terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(ws) AS term FROM queries) WHERE term NOT IN {_STOP} AND term <> ''),
+scored AS (SELECT t.query_id, p.claim_id, p.evidence_id,
+  sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / avg_terms)))) AS raw
+  FROM terms t JOIN post p USING (term) JOIN df USING (term), size GROUP BY ALL),
+lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, claim_id) AS rank FROM (
+  SELECT query_id, claim_id, round(max(raw), 6) AS raw FROM scored GROUP BY ALL)) WHERE rank <= 50)"""
+_FUSED = """fused AS (SELECT query_id, claim_id, coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + l.rank), 0) AS score,
+  d.rank AS dr, l.rank AS lr FROM dense d FULL JOIN lexical l USING (query_id, claim_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS fused_rank FROM fused)"""
+_ARMS = (CLAIMS, EVIDENCE, _QUERIES, _DENSE, _LEXICAL, _FUSED)
+
+
+def _live_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.claims(spark, sf).filter("superseded_at is null").select(F.col("id").alias("claim_id"))
+
+
+def _dense(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.dense_search(fx.queries(spark, sf), fx.vectors(spark, sf).join(_live_ids(spark, sf), "claim_id", "left_semi"))
+
+
+def _postings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.evidence(spark, sf).select("claim_id", F.col("id").alias("evidence_id"), F.col("extracted_text").alias("text"))
+    return retrieval.build_postings(rows.join(_live_ids(spark, sf), "claim_id", "left_semi"))
+
+
+def _lexical(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.lexical_search(fx.queries(spark, sf), _postings(spark, sf), digits=6)
+
+
+def _fused(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.fuse_rrf(_dense(spark, sf).unionByName(_lexical(spark, sf)))
+
+
+@query(with_(CLAIMS, _QUERIES, _DENSE) + "SELECT query_id, claim_id, CAST(rank AS INTEGER) AS rank, round(raw, 9) AS raw FROM dense")
+def dense_topk(spark, sf):
+    """Nearest live claims by inner product."""
+    return _dense(spark, sf).select("query_id", "claim_id", "rank", F.round("raw", 9).alias("raw"))
+
+
+@query(ORACLE_SQL["dense_topk"])
+def dense_blocks(spark, sf):
+    """R1 by matrix products over Arrow batches."""
+    rows = fx.vectors(spark, sf).join(_live_ids(spark, sf), "claim_id", "left_semi")
+    return retrieval.dense_search_blocks(fx.queries(spark, sf), rows).select("query_id", "claim_id", "rank", F.round("raw", 9).alias("raw"))
+
+
+@query(with_(CLAIMS, EVIDENCE, _QUERIES, _LEXICAL) + "SELECT query_id, claim_id, CAST(rank AS INTEGER) AS rank, raw FROM lexical")
+def lexical_topk(spark, sf):
+    """Best live claims by BM25."""
+    return _lexical(spark, sf).select("query_id", "claim_id", "rank", "raw")
+
+
+@query(with_(*_ARMS) + "SELECT query_id, claim_id, CAST(fused_rank AS INTEGER) AS fused_rank, round(score, 9) AS score FROM ranked")
+def rrf_fuse(spark, sf):
+    """Both arms fused by reciprocal rank."""
+    return _fused(spark, sf).select("query_id", "claim_id", "fused_rank", F.round("score", 9).alias("score"))
+
+
+@query(
+    with_(*_ARMS)
+    + """, top AS (SELECT * FROM ranked WHERE fused_rank <= 10), n AS (SELECT query_id, count(*) AS n FROM top GROUP BY ALL),
+  alone AS (SELECT query_id, CASE WHEN lr IS NULL THEN 'dense' ELSE 'lexical' END AS arm, count(*) AS c FROM top WHERE dr IS NULL OR lr IS NULL GROUP BY ALL),
+  best AS (SELECT query_id, arm, c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, arm) AS k FROM alone) WHERE k = 1)
+  SELECT query_id, coalesce(arm, '') AS arm, round(coalesce(c, 0) / n, 9) AS share, coalesce(c, 0) / n > 0.95 AS alarm FROM n LEFT JOIN best USING (query_id)"""
+)
+def single_arm_share(spark, sf):
+    """How much of the first ten one arm found alone."""
+    out = retrieval.single_arm_share(_fused(spark, sf), 10)
+    return out.select("query_id", "arm", F.round("share", 9).alias("share"), retrieval.dominance_alarm(F.col("share")).alias("alarm"))
+
+
+@query(with_(*_ARMS) + "SELECT query_id, claim_id AS arm, 0 AS deepest FROM ranked WHERE dr > 50 OR lr > 50")
+def equal_depth(spark, sf):
+    """K3: arms that went deeper than asked; none."""
+    return retrieval.equal_depth_check(_dense(spark, sf).unionByName(_lexical(spark, sf)))
+
+
+@query(
+    with_(*_ARMS, CLAIM_ACL, EVIDENCE_ACL, PERMITTED)
+    + "SELECT query_id, claim_id, CAST(fused_rank AS INTEGER) AS fused_rank, round(score, 9) AS score FROM ranked JOIN queries USING (query_id) JOIN permitted USING (claim_id, principal_id)"
+)
+def hybrid_recall(spark, sf):
+    """The flagship: both arms, fused, then access control by relational division."""
+    asked = fx.queries(spark, sf)
+    hits = _fused(spark, sf).join(asked.select("query_id", "principal_id"), "query_id")
+    allowed = acl.permitted(hits.select("claim_id"), fx.links(spark, sf), fx.claim_acl(spark, sf), fx.evidence_acl(spark, sf), fx.now())
+    return acl.acl_filter(hits, allowed).select("query_id", "claim_id", "fused_rank", F.round("score", 9).alias("score"))
+
+
+def _recall(spark: SparkSession, sf: str) -> DataFrame:
+    return recall.recall(
+        fx.queries(spark, sf), fx.vectors(spark, sf), _postings(spark, sf), fx.claims(spark, sf), fx.links(spark, sf), fx.evidence(spark, sf),
+        fx.claim_acl(spark, sf), fx.evidence_acl(spark, sf), digits=6,
+    )
+
+
+_TOKENS = r"len(regexp_extract_all(coalesce({0}, ''), '[\pL\pN_]+|[^\s\pL\pN_]'))"
+_PACK = (
+    f"""readable AS (SELECT query_id, claim_id, fused_rank, {_TOKENS.format("c.statement")} + (SELECT sum({_TOKENS.format("e.extracted_text")}) FROM evidence e WHERE e.claim_id = r.claim_id) AS tokens
+  FROM ranked r JOIN queries USING (query_id) JOIN permitted USING (claim_id, principal_id) JOIN claims c ON c.id = claim_id),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS k FROM readable),"""
+    """ packed AS (SELECT query_id, k, claim_id, fused_rank, tokens, tokens <= 3000 AS kept, CASE WHEN tokens <= 3000 THEN tokens ELSE 0 END AS used,
+  CASE WHEN tokens <= 3000 THEN 1 ELSE 0 END AS n FROM ordered WHERE k = 1 UNION ALL
+  SELECT o.query_id, o.k, o.claim_id, o.fused_rank, o.tokens, p.n < 5 AND p.used + o.tokens <= 3000,
+    p.used + CASE WHEN p.n < 5 AND p.used + o.tokens <= 3000 THEN o.tokens ELSE 0 END, p.n + CASE WHEN p.n < 5 AND p.used + o.tokens <= 3000 THEN 1 ELSE 0 END
+  FROM packed p JOIN ordered o ON o.query_id = p.query_id AND o.k = p.k + 1)
+"""
+)
+
+
+@query("WITH RECURSIVE " + ",\n".join((*_ARMS, CLAIM_ACL, EVIDENCE_ACL, PERMITTED, _PACK)) + "SELECT query_id, claim_id, CAST(fused_rank AS INTEGER) AS fused_rank, CAST(tokens AS BIGINT) AS tokens, kept FROM packed")
+def budget_pack(spark, sf):
+    """Recall end to end, packed into a limit and a token budget."""
+    return _recall(spark, sf).select("query_id", "claim_id", "fused_rank", "tokens", "kept")
+
+
+@query(
+    "WITH RECURSIVE " + ",\n".join((*_ARMS, CLAIM_ACL, EVIDENCE_ACL, PERMITTED, _PACK))
+    + f"""SELECT q.query_id, (SELECT count(*) FROM ranked r WHERE r.query_id = q.query_id) AS candidates, count(p.claim_id) AS authorized, count(*) FILTER (WHERE kept) AS returned,
+  count(*) FILTER (WHERE NOT kept) AS omitted, CAST(coalesce(sum(tokens) FILTER (WHERE kept), 0) AS BIGINT) AS tokens_used,
+  coalesce(epoch({NOW} - min(c.recorded_at) FILTER (WHERE kept)), 0.0) AS staleness
+  FROM queries q LEFT JOIN packed p USING (query_id) LEFT JOIN claims c ON c.id = p.claim_id GROUP BY q.query_id"""
+)
+def recall_accounting(spark, sf):
+    """What each request found, may read, got and left out, and how stale it is."""
+    out = recall.recall_accounting(fx.queries(spark, sf), _fused(spark, sf), _recall(spark, sf))
+    return out.select("query_id", "candidates", "authorized", "returned", "omitted", "tokens_used", "staleness")
+
+
+@query()
+def assemble_context(spark, sf):
+    """One fenced text for each request."""
+    kept = _recall(spark, sf).filter("kept")
+    full = recall.hydrate(fx.claims(spark, sf).select("id", "kind", "statement", "confidence"), fx.links(spark, sf), fx.evidence(spark, sf)).withColumnRenamed("id", "claim_id")
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy("fused_rank")).alias("position")
+    rows = kept.join(full, "claim_id").select("query_id", position, "claim_id", "kind", "statement", "score", "confidence", "evidence")
+    return recall.assemble_context(recall.recall_accounting(fx.queries(spark, sf), _fused(spark, sf), _recall(spark, sf)), rows)
+
+
+# -- access ----------------------------------------------------------------------------------------------------------------------
+
+
+@query(with_(EVIDENCE, CLAIM_ACL, EVIDENCE_ACL, PERMITTED) + "SELECT claim_id, principal_id FROM permitted")
+def acl_permitted(spark, sf):
+    """Who may read each claim."""
+    ids = fx.claims(spark, sf).select(F.col("id").alias("claim_id"))
+    return acl.permitted(ids, fx.links(spark, sf), fx.claim_acl(spark, sf), fx.evidence_acl(spark, sf), fx.now())
+
+
+@query(
+    "SELECT CAST(o_custkey % 50 AS VARCHAR) AS group_id, CAST(l_suppkey AS VARCHAR) AS principal_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+    "GROUP BY ALL HAVING count(DISTINCT o_orderstatus) = (SELECT count(DISTINCT o_orderstatus) FROM orders)"
+)
+def intersect_acls(spark, sf):
+    """Members of all sets of a group: suppliers in every order status of a customer group."""
+    both = fx.table(spark, sf, "lineitem").join(fx.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    group, status = (F.col("o_custkey") % 50).cast("string"), F.col("o_orderstatus")
+    members = both.select(F.concat_ws("/", group, status).alias("set_id"), F.col("l_suppkey").cast("string").alias("principal_id"))
+    groups = both.select(group.alias("group_id")).distinct().join(fx.table(spark, sf, "orders").select(status).distinct())
+    sets = groups.select("group_id", F.concat_ws("/", "group_id", "o_orderstatus").alias("set_id"))
+    return acl.intersect_acls(sets, members)
+
+
+# -- listings --------------------------------------------------------------------------------------------------------------------
+
+_STATUS = f"CASE WHEN superseded_at IS NOT NULL OR (valid_until IS NOT NULL AND valid_until <= {NOW}) THEN 'expired' ELSE 'live' END"
+
+
+@query(with_(CLAIMS) + f"SELECT id, kind, {stamp('recorded_at')} AS recorded_at, {_STATUS} AS status FROM claims WHERE {_STATUS} = 'live'")
+def list_claims_live(spark, sf):
+    """Live claims."""
+    return reports.list_claims(fx.claims(spark, sf), fx.now(), "live").select("id", "kind", ts("recorded_at"), "status")
+
+
+@query(with_(CLAIMS) + f"SELECT id, {_STATUS} AS status FROM claims WHERE {_STATUS} = 'expired' AND scope_value = 'src3'")
+def list_claims_expired(spark, sf):
+    """Expired claims of a scope."""
+    return reports.list_claims(fx.claims(spark, sf), fx.now(), "expired", "repository", "src3").select("id", "status")
+
+
+@query(
+    with_(CLAIMS, EVIDENCE, CLAIM_ACL, EVIDENCE_ACL, PERMITTED)
+    + "SELECT principal_id, id, CAST(k AS INTEGER) AS position FROM (SELECT principal_id, id, row_number() OVER (PARTITION BY principal_id ORDER BY recorded_at DESC, id) AS k "
+    "FROM claims JOIN permitted ON claim_id = id) WHERE k BETWEEN 21 AND 40"
+)
+def page_claims(spark, sf):
+    """The second page of what each principal may read."""
+    rows = fx.claims(spark, sf).join(acl_permitted(spark, sf), F.col("id") == F.col("claim_id"))
+    return reports.page_claims(rows, "principal_id", 20, 20).select("principal_id", "id", "position")
+
+
+@query(
+    with_(CLAIMS) + f"SELECT id, {stamp('recorded_at')} AS recorded_at, CASE WHEN superseded_at IS NULL THEN 'live' ELSE coalesce(supersede_reason, 'superseded') END AS label "
+    "FROM claims WHERE extracted_by_model <> '' ORDER BY claims.recorded_at DESC, id LIMIT 20"
+)
+def recent_writes(spark, sf):
+    """The newest extracted claims."""
+    return reports.recent_writes(fx.claims(spark, sf)).select("id", ts("recorded_at"), "label")
+
+
+@query(
+    with_(CLAIMS, EVIDENCE)
+    + f"SELECT c.id, {_STATUS} AS status, coalesce((SELECT min_by(source_path || ':' || line_start, [source_path, CAST(line_start AS VARCHAR), e.id]) FROM evidence e WHERE e.claim_id = c.id), '') AS source FROM claims c"
+)
+def claim_rows(spark, sf):
+    """A row for each claim with its first evidence."""
+    return reports.claim_rows(fx.claims(spark, sf), fx.links(spark, sf), fx.evidence(spark, sf).drop("claim_id"), fx.now()).select("id", "status", "source")
+
+
+@query(with_(CLAIMS, EVIDENCE) + "SELECT id FROM claims c WHERE superseded_at IS NULL AND EXISTS (SELECT 1 FROM evidence e WHERE e.claim_id = c.id AND source_repo = 'src2')")
+def claims_of_repo(spark, sf):
+    """Live claims of a repository."""
+    return reports.claims_of_repo(fx.claims(spark, sf), fx.links(spark, sf), fx.evidence(spark, sf).drop("claim_id"), "src2").select("id")
+
+
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS token, 'c' || o_custkey AS principal_id, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END, '') AS role "
+    f"FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 60 DAY"
+)
+def session_principals(spark, sf):
+    """Unexpired sessions with the role of their principal."""
+    o, c = fx.table(spark, sf, "orders"), fx.table(spark, sf, "customer").filter("c_custkey % 3 != 0")
+    last = o.agg(F.max("o_orderdate").alias("last"))
+    sessions = o.join(F.broadcast(last)).select(
+        F.col("o_orderkey").cast("string").alias("token"), F.concat(F.lit("c"), "o_custkey").alias("principal_id"),
+        F.expr("timestamp'2024-01-20 00:00:00' + (cast(o_orderdate as timestamp) - (cast(last as timestamp) - interval 60 days))").alias("expires_at"),
+    )
+    return reports.session_principals(sessions, c.select(F.concat(F.lit("c"), "c_custkey").alias("principal_id"), F.col("c_mktsegment").alias("role")), fx.now())
+
+
+# -- time ------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    with_(CLAIMS) + "SELECT id FROM claims WHERE valid_from <= TIMESTAMP '2024-01-05 00:00:00' AND (valid_until IS NULL OR TIMESTAMP '2024-01-05 00:00:00' < valid_until) "
+    "AND recorded_at <= TIMESTAMP '2024-01-07 12:00:00' AND (superseded_at IS NULL OR TIMESTAMP '2024-01-07 12:00:00' < superseded_at)"
+)
+def current_at(spark, sf):
+    """What held on one day as known on another."""
+    return dedup.current_at(fx.claims(spark, sf), F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-07 12:00:00").cast("timestamp")).select("id")
+
+
+@query(
+    with_(CLAIMS) + "SELECT CAST(p AS BIGINT) AS probe_id, count(*) AS n FROM claims, unnest(range(1, 11)) u(p) WHERE valid_from <= TIMESTAMP '2024-01-01' + p * INTERVAL 1 DAY "
+    "AND (valid_until IS NULL OR TIMESTAMP '2024-01-01' + p * INTERVAL 1 DAY < valid_until) AND recorded_at <= TIMESTAMP '2024-01-02' + p * INTERVAL 1 DAY "
+    "AND (superseded_at IS NULL OR TIMESTAMP '2024-01-02' + p * INTERVAL 1 DAY < superseded_at) GROUP BY p"
+)
+def known_at(spark, sf):
+    """A table of probes."""
+    probes = spark.range(1, 11).select(
+        F.col("id").alias("probe_id"), F.expr("timestamp'2024-01-01' + make_interval(0,0,0,cast(id as int))").alias("valid_at"),
+        F.expr("timestamp'2024-01-02' + make_interval(0,0,0,cast(id as int))").alias("known_at"),
+    )
+    return dedup.known_at(fx.claims(spark, sf), probes).groupBy("probe_id").agg(F.count("*").alias("n"))
+
+
+_SLICES = """slices AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS key, l_shipdate AS valid_from, l_shipdate + INTERVAL 10 DAY AS valid_until FROM lineitem)"""
+
+
+@query(
+    with_(_SLICES) + "SELECT DISTINCT a.id, a.key FROM slices a JOIN slices b ON a.key = b.key AND a.id <> b.id AND a.valid_from < b.valid_until AND b.valid_from < a.valid_until "
+    "AND (b.valid_from < a.valid_from OR (b.valid_from = a.valid_from AND b.id < a.id))"
+)
+def valid_time_overlaps(spark, sf):
+    """Rows that begin before an earlier one has ended."""
+    rows = fx.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("key"), F.col("l_shipdate").cast("timestamp").alias("valid_from"),
+        (F.col("l_shipdate").cast("timestamp") + F.expr("interval 10 days")).alias("valid_until"),
+    )
+    return dedup.valid_time_overlaps(rows, "key").select("id", "key")
+
+
+@query(
+    with_(CLAIMS)
+    + f"""SELECT id, CASE WHEN successor = id OR superseded_at IS NOT NULL OR {NOW} <= recorded_at THEN {stamp('superseded_at')} ELSE {stamp(NOW)} END AS superseded_at,
+  CASE WHEN successor = id THEN 'its own successor' WHEN superseded_at IS NOT NULL THEN 'already closed' END AS error FROM (SELECT *, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN id ELSE 's' END AS successor FROM claims)"""
+)
+def supersede(spark, sf):
+    """Claims closed by a successor, and why some are not."""
+    successor = F.when(F.col("id").cast("bigint") % 4 == 0, F.col("id")).otherwise("s")
+    cols = {k: F.col(k) for k in ("id", "valid_from", "valid_until", "recorded_at", "superseded_at")}
+    out = fx.claims(spark, sf).withColumn("s", intervals.supersede(cols, successor, fx.now()))
+    return out.select("id", ts("s.superseded_at", "superseded_at"), F.col("s.error").alias("error"))
+
+
+# -- de-duplication and transitions ----------------------------------------------------------------------------------------------
+
+_DUPES = """live AS (SELECT * FROM claims WHERE superseded_at IS NULL AND statement_sha256 IS NOT NULL),
+  canon AS (SELECT id, first_value(id) OVER w AS survivor FROM live WINDOW w AS (PARTITION BY statement_sha256 ORDER BY recorded_at, id))"""
+
+
+@query(with_(CLAIMS, _DUPES) + f"SELECT c.id, survivor AS superseded_by, {stamp(NOW)} AS superseded_at, 'duplicate' AS reason FROM claims c JOIN canon USING (id) WHERE c.id <> survivor")
+def dedup_claims(spark, sf):
+    """Duplicates superseded by their survivor."""
+    out = dedup.dedup_claims(fx.claims(spark, sf), fx.now()).filter("supersede_reason = 'duplicate'")
+    return out.select("id", "superseded_by", ts("superseded_at"), F.col("supersede_reason").alias("reason"))
+
+
+@query(
+    with_(CLAIMS)
+    + f"""SELECT id, {stamp(NOW)} AS valid_until FROM (SELECT *, row_number() OVER (PARTITION BY scope_kind, scope_value ORDER BY confidence, recorded_at, id) AS k,
+  count(*) OVER (PARTITION BY scope_kind, scope_value) AS n FROM claims WHERE superseded_at IS NULL) WHERE n > 20 AND k <= least(n, n - 20 + ceil((n - 20) * 0.5))"""
+)
+def prune_scopes(spark, sf):
+    """The claims of least value of scopes over their ceiling."""
+    return scd.prune_scopes(fx.claims(spark, sf), CFG, fx.now()).filter("supersede_reason = 'pruned'").select("id", ts("valid_until"))
+
+
+@query(
+    with_(
+        "old AS (SELECT source AS repo, 'd' || (doc_id // 2) AS path, CAST(doc_id % 2 AS INTEGER) AS ordinal, sha256(text) AS sha FROM documents WHERE doc_id % 5 <> 0)",
+        "new AS (SELECT source AS repo, 'd' || (doc_id // 2) AS path, CAST(doc_id % 2 AS INTEGER) AS ordinal, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 7 <> 0)",
+    )
+    + """SELECT CASE WHEN o.sha IS NULL THEN 'inserted' WHEN n.sha IS NULL THEN 'vanished' WHEN o.sha <> n.sha THEN 'superseded' ELSE 'unchanged' END AS action, repo, path, ordinal FROM old o FULL JOIN new n USING (repo, path, ordinal)
+  UNION ALL SELECT 'inserted', repo, path, ordinal FROM old o JOIN new n USING (repo, path, ordinal) WHERE o.sha <> n.sha"""
+)
+def seed_merge(spark, sf):
+    """Chunks against the live snapshot."""
+    d = fx.table(spark, sf, "documents")
+    key = [F.col("source").alias("repo"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 2)).alias("path"), (F.col("doc_id") % 2).cast("int").alias("ordinal")]
+    old = d.filter("doc_id % 5 != 0").select(*key, F.sha2("text", 256).alias("content_sha256"), F.substring("text", 1, 50).alias("statement"), F.col("doc_id").cast("string").alias("id"))
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = d.filter("doc_id % 7 != 0").select(*key, F.sha2(changed, 256).alias("content_sha256"), F.substring("text", 1, 50).alias("statement"))
+    return scd.seed_merge(old, new, fx.now()).select("action", "repo", "path", "ordinal")
+
+
+@query(with_(CLAIMS) + f"SELECT id, {stamp(NOW)} AS valid_until, 'forgotten' AS reason FROM claims WHERE superseded_at IS NULL AND CAST(id AS BIGINT) % 6 = 0")
+def expire_claims(spark, sf):
+    """Claims closed without a successor."""
+    c = fx.claims(spark, sf)
+    out = scd.expire_claims(c, c.filter("cast(id as bigint) % 6 = 0").select("id"), "forgotten", fx.now())
+    return out.filter(F.col("superseded_at") == fx.now()).select("id", ts("valid_until"), F.col("supersede_reason").alias("reason"))
+
+
+@query(
+    "SELECT 'p' || (conv_id % 3) AS principal_id, text AS statement, CASE WHEN turn % 4 = 1 THEN 'Reference' ELSE 'Decision' END AS kind, 0.7 AS confidence FROM conversations WHERE trim(text) <> '' AND turn % 4 <> 3 AND conv_id % 5 <> 0"
+)
+def attest_claims(spark, sf):
+    """Statements that are their own evidence; bad ones are rejected."""
+    c = fx.table(spark, sf, "conversations")
+    kind = F.when(F.col("turn") % 4 == 1, "").when(F.col("turn") % 4 == 3, "Rumour").otherwise("Decision")
+    who = F.when(F.col("conv_id") % 5 == 0, " ").otherwise(F.concat(F.lit("p"), F.col("conv_id") % 3))
+    accepted, _ = scd.attest_claims(c.select(who.alias("principal_id"), F.col("text").alias("statement"), kind.alias("kind")), fx.now())
+    return accepted.select(F.col("contributed_by").alias("principal_id"), "statement", "kind", "confidence")
+
+
+# -- usage and limits ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    with_(LEDGER) + "SELECT scope_kind, scope_value, CAST(sum(inference_calls) AS BIGINT) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens "
+    "FROM ledger WHERE kind = 'inference' AND recorded_at > TIMESTAMP '2024-01-10 00:00:00' GROUP BY ALL"
+)
+def usage_by_scope(spark, sf):
+    """Inference of each scope."""
+    return reports.usage_by_scope(fx.ledger(spark, sf), F.lit("2024-01-10").cast("timestamp"))
+
+
+@query(with_(CLAIMS) + "SELECT scope_kind, scope_value, count(*) AS live FROM claims WHERE superseded_at IS NULL GROUP BY ALL")
+def scope_sizes(spark, sf):
+    """Live claims of each scope."""
+    return reports.scope_sizes(fx.claims(spark, sf))
+
+
+@query(with_(CLAIMS, EVIDENCE) + "SELECT (SELECT count(*) FROM claims WHERE superseded_at IS NULL) AS claims, (SELECT count(*) FROM evidence) AS evidence")
+def live_counts(spark, sf):
+    """Live claims and evidence."""
+    return reports.live_counts(fx.claims(spark, sf), fx.evidence(spark, sf).withColumn("superseded_at", F.lit(None).cast("timestamp")))
+
+
+_STATE = f"""state AS (SELECT principal_id, coalesce(contributions, 0) AS contributions, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, coalesce(recalls, 0) AS recalls, coalesce(denied, 0) AS denied FROM
+  (SELECT contributed_by AS principal_id, count(*) FILTER (WHERE recorded_at > {NOW} - INTERVAL 1 HOUR AND recorded_at <= {NOW}) AS contributions FROM claims WHERE contributed_by <> '' GROUP BY ALL) FULL JOIN
+  (SELECT principal_id, sum(inference_calls) FILTER (WHERE kind = 'inference' AND recorded_at > {NOW} - INTERVAL 1 HOUR AND recorded_at <= {NOW}) AS calls,
+    sum(input_tokens) FILTER (WHERE kind = 'inference' AND recorded_at > {NOW} - INTERVAL 1 HOUR AND recorded_at <= {NOW}) AS tokens,
+    count(*) FILTER (WHERE kind = 'recall' AND recorded_at > {NOW} - INTERVAL 1 MINUTE AND recorded_at <= {NOW}) AS recalls,
+    count(*) FILTER (WHERE kind = 'denied' AND recorded_at > {NOW} - INTERVAL 1 HOUR AND recorded_at <= {NOW}) AS denied FROM ledger GROUP BY ALL) USING (principal_id))"""
+
+
+@query(with_(CLAIMS, LEDGER, _STATE) + "SELECT principal_id, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("contributions", "calls", "tokens", "recalls", "denied")) + " FROM state")
+def window_state(spark, sf):
+    """Counters of each principal over their windows."""
+    return reports.window_state(fx.claims(spark, sf), fx.ledger(spark, sf), fx.now(), CFG)
+
+
+@query(
+    with_(CLAIMS, LEDGER, _STATE)
+    + """SELECT principal_id, 'contribution' AS gate, contributions < 3 AS allowed, CAST(greatest(3 - contributions, 0) AS BIGINT) AS remaining FROM state
+  UNION ALL SELECT principal_id, 'cost', calls < 5 AND tokens < 20000, CAST(CASE WHEN calls < 5 AND tokens >= 20000 THEN 0 ELSE greatest(5 - calls, 0) END AS BIGINT) FROM state
+  UNION ALL SELECT principal_id, 'recall', recalls < 5, CAST(greatest(5 - recalls, 0) AS BIGINT) FROM state"""
+)
+def usage_report(spark, sf):
+    """M1 to M3, M6, M9: what each principal has left."""
+    return reports.usage_report(window_state(spark, sf), CFG).select("principal_id", "gate", "allowed", "remaining")
+
+
+@query(
+    with_(CLAIMS, LEDGER)
+    + """SELECT scope_kind, scope_value, CAST(coalesce(input_tokens, 0) AS BIGINT) AS input_tokens, coalesce(live, 0) AS live,
+  CAST(CASE WHEN coalesce(live, 0) <= 20 THEN 0 ELSE least(live, live - 20 + ceil((live - 20) * 0.5)) END AS BIGINT) AS next_prune FROM
+  (SELECT scope_kind, scope_value, sum(input_tokens) AS input_tokens FROM ledger WHERE kind = 'inference' AND recorded_at > TIMESTAMP '2024-01-10 00:00:00' GROUP BY ALL) FULL JOIN
+  (SELECT scope_kind, scope_value, count(*) AS live FROM claims WHERE superseded_at IS NULL GROUP BY ALL) USING (scope_kind, scope_value)"""
+)
+def org_usage_report(spark, sf):
+    """Usage, size and next pruning of each scope."""
+    out = reports.org_usage_report(fx.ledger(spark, sf), fx.claims(spark, sf), F.lit("2024-01-10").cast("timestamp"), CFG)
+    return out.select("scope_kind", "scope_value", "input_tokens", "live", "next_prune")
+
+
+@query(
+    f"SELECT 'u' || user_id AS email, count(*) FILTER (WHERE event_type = 'error' AND ts > {NOW} - INTERVAL 15 MINUTE AND ts <= {NOW}) AS failed, "
+    f"count(*) FILTER (WHERE event_type = 'error' AND ts > {NOW} - INTERVAL 15 MINUTE AND ts <= {NOW}) < 3 AS allowed FROM events GROUP BY user_id"
+)
+def failed_logins(spark, sf):
+    """Failures of each address in the window."""
+    e = fx.table(spark, sf, "events")
+    rows = e.select(F.concat(F.lit("u"), "user_id").alias("email"), (F.col("event_type") != "error").alias("succeeded"), F.col("ts").cast("timestamp").alias("recorded_at"))
+    return reports.failed_logins(rows, fx.now(), CFG).select("email", "failed", "allowed")
+
+
+@query(
+    "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS n FROM events"
+)
+def trailing_count(spark, sf):
+    """Events of the hour up to each event."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy(us).rangeBetween(-3_599_999_999, 0)
+    return fx.table(spark, sf, "events").select("event_id", F.count("*").over(w).alias("n"))
+
+
+@query()
+def replay_admission(spark, sf):
+    """M7: admission in event order; denied events do not count."""
+    e = fx.ledger(spark, sf).select(F.col("id").alias("event_id"), "principal_id", F.col("recorded_at").alias("ts"), F.col("inference_calls").alias("calls"), F.col("input_tokens").alias("tokens"))
+    return quota.replay_admission(e, CFG).select("event_id", "principal_id", "denied_reason")
+
+
+@query()
+def recall_gate(spark, sf):
+    """M8: the recall rate alone."""
+    e = fx.ledger(spark, sf).filter("kind = 'recall'").select(F.col("id").alias("event_id"), "principal_id", F.col("recorded_at").alias("ts"))
+    return quota.recall_gate(e, CFG).select("event_id", "principal_id", "denied_reason")
+
+
+# -- documents and anchors -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH l AS (SELECT doc_id, source, string_split(CASE WHEN text LIKE '%' || chr(10) THEN text[:-2] ELSE text END, chr(10)) AS ls FROM documents WHERE text <> ''),
+  e AS (SELECT doc_id, source, i AS line, ls[i] AS t FROM l, unnest(range(1, len(ls) + 1)) u(i)),
+  c AS (SELECT doc_id, source, (line - 1) // 40 AS part, min(line) AS line_start, max(line) AS line_end, regexp_replace(string_agg(t, chr(10) ORDER BY line), '^[\\s\\x0B\\x{85}\\pZ]+|[\\s\\x0B\\x{85}\\pZ]+$', '', 'g') AS text FROM e GROUP BY ALL)
+  SELECT source AS repo, 'docs/' || doc_id || '.md' AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS ordinal,
+  CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, sha256(text) AS content_sha256 FROM c WHERE text <> ''"""
+)
+def chunk_documents(spark, sf):
+    """Whole documents in chunks of at most forty lines."""
+    d = fx.table(spark, sf, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("path"), "text")
+    return chunk.chunk_documents(d).select("repo", "path", "ordinal", "line_start", "line_end", "content_sha256")
+
+
+@query()
+def chunk_markdown(spark, sf):
+    """Chunks at headings, outside fences."""
+    return chunk.chunk_documents(fx.markdown(spark, sf)).select("repo", "path", "ordinal", "heading", "line_start", "line_end", "statement")
+
+
+@query()
+def heading_sections(spark, sf):
+    """Headings with their paths and extents."""
+    return chunk.heading_sections(fx.markdown(spark, sf))
+
+
+@query()
+def code_sections(spark, sf):
+    """Definitions with their paths, in code made from the documents' words."""
+    d = fx.table(spark, sf, "documents").filter(F.col("text").isNotNull())
+    w = F.transform(F.slice(F.split("text", r"[^a-zA-Z]+"), 2, 40), lambda x: F.concat(F.lit("w"), x))
+    lines = F.transform(w, lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("class "), x, F.lit(":"))).when(i % 4 == 1, F.concat(F.lit("    def "), x, F.lit("(self):"))).otherwise(F.concat(F.lit("        return "), x)))
+    files = d.select(F.col("source").alias("repo"), F.concat("doc_id", F.lit(".py")).alias("path"), F.array_join(lines, "\n").alias("text"))
+    return anchor.code_sections(files)
+
+
+def _anchors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Anchors of the Markdown documents' sections, and the files with every third one edited and every fifth gone."""
+    files = fx.markdown(spark, sf)
+    spans = chunk.heading_sections(files).select("repo", "path", F.col("line_start"), F.col("line_start").alias("line_end"))
+    anchors = anchor.compute_anchor(files, spans)
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("bigint")
+    later = files.filter(number % 5 != 0).withColumn("text", F.when(number % 3 == 0, F.regexp_replace("text", "e", "ee")).otherwise(F.regexp_replace("text", "\n", " \n")))
+    return anchors, later
+
+
+@query()
+def resolve_anchor(spark, sf):
+    """Whether each anchor still holds."""
+    anchors, later = _anchors(spark, sf)
+    return anchor.resolve_anchor(anchors, later).select("repo", "path", "line_start", "symbol_path", "verdict", "expires")
+
+
+@query()
+def reanchor_report(spark, sf):
+    """Verdicts by repository."""
+    anchors, later = _anchors(spark, sf)
+    number = F.regexp_extract("path", r"(\d+)", 1)
+    return anchor.reanchor(fx.claims(spark, sf), anchors.withColumn("claim_id", number), later, fx.now())[2]
+
+
+@query(
+    with_(CAPTURES)
+    + """SELECT job_id, quote, strpos(source, quote) > 0 AS located, CASE WHEN strpos(source, quote) > 0 THEN CAST(1 + length(source[:strpos(source, quote) - 1]) - length(replace(source[:strpos(source, quote) - 1], chr(10), '')) AS INTEGER) END AS line_start
+  FROM (SELECT job_id, source, CASE WHEN length(source) % 4 = 0 THEN 'this is nowhere' ELSE substring(source, 11, 40) END AS quote, substring(source, 1, 80) AS statement, length(source) AS k FROM captures)
+  WHERE k % 9 <> 0 AND k % 13 <> 0 AND trim(quote) <> '' AND trim(statement) <> ''"""
+)
+def locate_quotes(spark, sf):
+    """Candidates through the gate, and where their quotes stand."""
+    out = nominate.locate_quotes(nominate.valid_candidates(fx.candidates(spark, sf)), fx.captures(spark, sf))
+    return out.select("job_id", "quote", "located", "line_start")
+
+
+@query()
+def write_candidates(spark, sf):
+    """Located candidates with anchors, counted by job."""
+    return nominate.write_candidates(fx.candidates(spark, sf), nominate.capture_defaults(fx.captures(spark, sf)))[1]
+
+
+@query(
+    with_(CAPTURES)
+    + """SELECT job_id, substring(line, 1, 300) AS statement, count(*) AS n FROM (SELECT job_id, trim(unnest(string_split(source, chr(10)))) AS line FROM captures)
+  WHERE line <> '' AND line NOT LIKE '#%' AND line NOT LIKE '```%' GROUP BY ALL"""
+)
+def line_candidates(spark, sf):
+    """A candidate for each line."""
+    return nominate.line_candidates(nominate.capture_defaults(fx.captures(spark, sf))).groupBy("job_id", "statement").agg(F.count("*").alias("n"))
+
+
+@query(
+    with_(CAPTURES)
+    + "SELECT job_id, substring(source, 1, 60) AS statement FROM captures WHERE trim(substring(source, 1, 60)) <> '' AND trim(substring(source, 5, 20)) <> '' AND length(source) % 3 <> 2"
+)
+def parse_model_responses(spark, sf):
+    """The first usable attempt of each job; truncated and broken ones are passed over."""
+    c = fx.captures(spark, sf)
+    claim = F.struct(F.lit("Decision").alias("kind"), F.substring("source", 1, 60).alias("statement"), F.substring("source", 5, 20).alias("quote"), F.lit(0.5).alias("confidence"))
+    good = F.to_json(F.struct(F.array(claim).alias("claims")))
+    k = F.length("source") % 3
+    raw = {1: F.when(k == 0, good).otherwise(F.lit("{broken")), 2: F.when(k == 1, good).otherwise(good)}
+    both = [
+        c.select("job_id", F.lit(n).alias("attempt"), r.alias("raw"), F.when(k == 2, "max_tokens").otherwise("stop").alias("stop_reason"), F.lit(None).cast("string").alias("error"))
+        for n, r in raw.items()
+    ]
+    return nominate.parse_model_responses(both[0].unionByName(both[1]))[0].select("job_id", "statement")
+
+
+@query(
+    with_(CAPTURES)
+    + f"SELECT job_id, length('{nominate.INSTRUCTION}') + 2 + length('Source path: ' || conv_id || '/' || turn || '.txt') + 1 + length(source) + {len(nominate.SOURCE_BEGIN) + len(nominate.SOURCE_END) + 4} AS n_chars FROM captures"
+)
+def build_prompts(spark, sf):
+    """A prompt for each capture."""
+    return nominate.build_prompts(fx.captures(spark, sf)).select("job_id", F.length("prompt").cast("bigint").alias("n_chars"))
+
+
+@query(f"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '{SPACE}', ' ', 'g'))) AS statement_hash, CASE WHEN trim(regexp_replace(text, '{SPACE}', ' ', 'g')) = '' THEN '' ELSE sha256(trim(regexp_replace(text, '{SPACE}', ' ', 'g'))) END AS node_hash, "
+       f"CAST({_TOKENS.format('text')} AS BIGINT) AS tokens FROM documents")
+def text_hashes(spark, sf):
+    """Normal forms, hashes and token counts."""
+    t = F.col("text")
+    return fx.table(spark, sf, "documents").select("doc_id", text.statement_hash(t).alias("statement_hash"), text.hash_normalized(t).alias("node_hash"), text.token_count(t).alias("tokens"))
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def l2_norms(spark, sf):
+    """N (vectors), Q8: vectors brought to unit length."""
+    return fx.table(spark, sf, "embeddings").select("vec_id", F.round(vectors.norm(vectors.l2_normalize(F.col("embedding"))), 6).alias("norm"))
+
+
+# -- audit -----------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    with_(CLAIMS, EVIDENCE)
+    + """SELECT 'claims' AS "table", 'confidence in [0, 1]' AS rule, id AS key FROM claims WHERE CAST(id AS BIGINT) % 50 = 1
+  UNION ALL SELECT 'claims', 'kind in set', id FROM claims WHERE CAST(id AS BIGINT) % 60 = 2
+  UNION ALL SELECT 'claims', 'valid interval', id FROM claims WHERE CAST(id AS BIGINT) % 70 = 3
+  UNION ALL SELECT 'claims', 'live claim has evidence', id FROM claims WHERE superseded_at IS NULL AND CAST(id AS BIGINT) % 90 = 5
+  UNION ALL SELECT 'claims', 'reason needs closing', id FROM claims WHERE superseded_at IS NULL AND supersede_reason IS NOT NULL
+  UNION ALL SELECT 'claims', 'statement not empty', id FROM claims WHERE statement = ''
+  UNION ALL SELECT 'claim_evidence', 'evidence_id exists', claim_id || '/' || id FROM evidence WHERE CAST(claim_id AS BIGINT) % 90 <> 5 AND CAST(claim_id AS BIGINT) % 80 = 4"""
+)
+def audit_constraints(spark, sf):
+    """Q1 to Q13 over tables with violations planted."""
+    k = F.col("id").cast("bigint")
+    c = fx.claims(spark, sf)
+    c = c.withColumn("confidence", F.when(k % 50 == 1, 1.5).otherwise(F.col("confidence"))).withColumn("kind", F.when(k % 60 == 2, "Rumour").otherwise(F.col("kind")))
+    c = c.withColumn("valid_until", F.when(k % 70 == 3, F.col("valid_from")).otherwise(F.col("valid_until")))
+    owner = F.col("claim_id").cast("bigint")
+    links = fx.links(spark, sf).filter(owner % 90 != 5)
+    e = fx.evidence(spark, sf).filter(owner % 80 != 4).drop("claim_id")
+    return audit.audit_constraints({"claims": c, "evidence": e, "claim_evidence": links})
+
+
+@query(with_(CLAIMS, EVIDENCE) + "SELECT claim_id, id AS evidence_id, source_path FROM evidence WHERE CAST(claim_id AS BIGINT) % 10 = 3")
+def load_evidence(spark, sf):
+    """Evidence of given claims."""
+    wanted = fx.claims(spark, sf).filter("cast(id as bigint) % 10 = 3").select(F.col("id").alias("claim_id"))
+    return live.load_evidence(fx.links(spark, sf), fx.evidence(spark, sf).drop("claim_id"), wanted).select("claim_id", "evidence_id", "source_path")
