@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from .common import per_batch, written
 
 #: Pieces of text whose ids a Python worker remembers, in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 CACHE_CHARS = 48
 #: Patterns enumerated, at most, for each length that opens them.
 PARTNERS = 12
 
 _PLACE = 1 << 40
-_MARKS = ".,;:!?"
+_MARKS = frozenset(".,;:!?")
 
 
 class WordIds:
@@ -54,29 +54,34 @@ class WordIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         # the vocabulary takes \x1c to \x1f as symbols, where split() takes them as white space
         split = [t.split(" ") if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        get = self.young.get
-        found = [list(map(get, parts)) for parts in split]
-        new = {part for parts, ids in zip(split, found, strict=True) if None in ids for part, i in zip(parts, ids, strict=True) if i is None}
-        learned = self.learn(new) if new else {}
-        out = []
-        for parts, ids in zip(split, found, strict=True):
-            if None in ids:
-                ids = [learned[part] if i is None else i for part, i in zip(parts, ids, strict=True)]
-            out.append(b"".join(ids))
+        new = set().union(*split).difference(self.young)
+        long = self.learn(new) if new else {}
+        if long:
+            table = {**long, "": b""}
+            out = [b"".join([x if (x := self.young.get(part)) is not None else table[part] for part in parts]) for parts in split]
+        else:
+            out = [b"".join(map(self.young.__getitem__, parts)) for parts in split]
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {"": b""}, self.young
         return out
 
     def learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of parts that are not in the young memory, where they are kept."""
+        """Puts the ids of these parts into the young memory; those of long parts are returned instead."""
         out, made, words, others = {}, [], set(), []
+        old = self.old.get
         for part in new:
-            ids = self.old.get(part)
+            ids = old(part)
             if ids is not None:
                 out[part] = ids
-            elif (simple := _simpler(part)) is not None:
-                made.append((part, simple))
-                words.add(simple[0])
+                continue
+            # a word of letters in lower case, which is one pre-token, and a mark after it have the same ids
+            mark = part[-1:]
+            word = part[:-1] if mark in _MARKS else part
+            # beyond, lower case and normal form are left to the library
+            if word.isalpha() and (word.isascii() or max(word) < "\u0130"):
+                word = word.lower()
+                words.add(word)
+                made.append((part, word, mark if mark in _MARKS else ""))
             else:
                 others.append(part)
         known: dict[str, bytes] = {}
@@ -99,11 +104,12 @@ class WordIds:
             for part, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
                 ids = got.ids
                 out[part] = struct.pack(f"<{len(ids)}I", *ids)
-        for part, (word, mark) in made:
-            out[part] = known[word] + self.mark(mark) if mark else known[word]
-        self.young.update((part, ids) for part, ids in out.items() if len(part) <= CACHE_CHARS)
-        self.young.update((word, ids) for word, ids in known.items() if len(word) <= CACHE_CHARS)
-        return out
+        marks = {m: self.mark(m) for m in (*_MARKS, "")}
+        out.update({part: known[word] + marks[mark] for part, word, mark in made})
+        out.update(known)
+        long = {part: out.pop(part) for part in [x for x in out if len(x) > CACHE_CHARS]}
+        self.young.update(out)
+        return long
 
     def mark(self, mark: str) -> bytes:
         if mark not in self.marks:
@@ -112,14 +118,6 @@ class WordIds:
         return self.marks[mark]
 
 
-def _simpler(part: str) -> tuple[str, str] | None:
-    """A word of letters in lower case, which is one pre-token, and the mark after it or nothing; they have the same ids."""
-    word, mark = (part[:-1], part[-1]) if part[-1:] in _MARKS else (part, "")
-    if not word.isalpha() or max(word) >= "\u0130":  # beyond, lower case and normal form are left to the library
-        return None
-    return word.lower(), mark
-
-
 _KEPT: dict[str, WordIds] = {}
 
 
