@@ -560,12 +560,12 @@ def reanchor_report(spark, sf):
     with_(CAPTURES)
     + """SELECT job_id, quote, strpos(source, quote) > 0 AS located, CASE WHEN strpos(source, quote) > 0 THEN CAST(1 + length(source[:strpos(source, quote) - 1]) - length(replace(source[:strpos(source, quote) - 1], chr(10), '')) AS INTEGER) END AS line_start
   FROM (SELECT job_id, source, CASE WHEN length(source) % 4 = 0 THEN 'this is nowhere' ELSE substring(source, 11, 40) END AS quote, substring(source, 1, 80) AS statement, length(source) AS k FROM captures)
-  WHERE k % 9 <> 0 AND k % 13 <> 0 AND trim(quote) <> '' AND trim(statement) <> ''"""
+  WHERE k % 9 <> 0 AND k % 13 <> 0 AND strpos(source, quote) > 0 AND trim(quote) <> '' AND trim(statement) <> ''"""
 )
 def locate_quotes(spark, sf):
     """Candidates through the gate, and where their quotes stand."""
     out = nominate.locate_quotes(nominate.valid_candidates(fx.candidates(spark, sf)), fx.captures(spark, sf))
-    return out.select("job_id", "quote", "located", "line_start")
+    return out.filter("located").select("job_id", "quote", "located", "line_start")
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,8 +104,6 @@ def wordpiece_counter(vocab: frozenset[str], max_chars: int = 100, max_tokens: i
     """An Arrow UDF that counts greedy longest-match pieces under a vocabulary, ends included."""
     import re
 
-    import pandas as pd
-
     split = re.compile(r"\w+|[^\w\s]")
 
     def count(text: str | None) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,27 +60,32 @@ def _definition(lang: str, line: Column, indent: Column) -> Column:
         found = F.regexp_extract(line, pattern, name)
         if receiver:
             owner = F.regexp_extract(line, pattern, receiver)
-            found = F.when(owner != "", F.concat(owner, F.lit("."), found)).otherwise(found)
-        tries.append(F.when(line.rlike(pattern) & (found != "") & ((indent > 0) | F.lit(not indented)), found))
+            found = F.concat(owner, F.when(owner != "", ".").otherwise(""), found)
+        tries.append(F.nullif(F.when(indent > 0, found).otherwise("") if indented else found, F.lit("")))
     if lang in _KEYWORDS:
         before = rf"(?:(?:{_BEFORE[lang]})(?:\s*\([^)]*\))?\s+)*" if lang in _BEFORE else ""
-        pattern = rf"^{before}(?:{_KEYWORDS[lang]})\s+([A-Za-z_$][\w$]*)"
-        tries.append(F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 1)))
+        tries.append(F.nullif(F.regexp_extract(line, rf"^{before}(?:{_KEYWORDS[lang]})\s+([A-Za-z_$][\w$]*)", 1), F.lit("")))
     return F.coalesce(*tries) if tries else F.lit(None).cast("string")
 
 
-def code_sections(files: DataFrame) -> DataFrame:
-    """As ``heading_sections``, over definitions: the level is the indentation (a tab is four)."""
+def code_sections(files: DataFrame, langs: tuple[str, ...] | None = None) -> DataFrame:
+    """As ``heading_sections``, over definitions: the level is the indentation (a tab is four).
+
+    Each language is one branch of a union, so that generated code stays small;
+    ``langs`` names the ones to look for.
+    """
     known = files.withColumn("lang", lang_of(F.col("path"))).filter(~F.col("lang").isin("", "html"))
     lines = known.select(*_DOC, "lang", F.posexplode(split_lines(F.col("text"))).alias("i", "text"))
     last = lines.groupBy(*_DOC).agg(F.max(F.col("i") + 1).alias("n_lines"))
     lead = F.regexp_extract("text", r"^[ \t]*", 0)
     indent = F.length(F.replace(lead, F.lit("\t"), F.lit("    ")))
     short = lines.filter(F.length("text") <= MAX_LINE).withColumn("indent", indent).withColumn("t", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
-    name = F.lit(None).cast("string")
-    for lang in sorted({*_SHAPES, *_KEYWORDS}):
-        name = F.when(F.col("lang") == lang, _definition(lang, F.col("t"), F.col("indent"))).otherwise(name)
-    heads = short.withColumn("title", F.trim(name)).filter("title != ''")
+    parts = [
+        short.filter(F.col("lang") == lang).withColumn("title", F.trim(_definition(lang, F.col("t"), F.col("indent")))).filter("title != ''")
+        for lang in sorted({*_SHAPES, *_KEYWORDS})
+        if langs is None or lang in langs
+    ]
+    heads = reduce(DataFrame.unionByName, parts)
     return section_paths(heads.select(*_DOC, (F.col("i") + 1).alias("line"), F.col("indent").alias("level"), "title"), last)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +83,6 @@ def build_prompts(captures: DataFrame) -> DataFrame:
 
 def nominate(captures: DataFrame, generate: Callable[[list[str]], list[dict]]) -> DataFrame:
     """The raw-response table of a model: ``generate`` takes prompts and returns raw, stop_reason, input_tokens, output_tokens, wall_ms."""
-    import pandas as pd
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             made = pd.DataFrame(generate(f["prompt"].tolist()), columns=["raw", "stop_reason", "input_tokens", "output_tokens", "wall_ms"])
@@ -108,8 +107,6 @@ def embed_texts(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]]
         slots = F.transform(terms_of(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
         counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
         return rows.withColumn("embedding", l2_normalize(counts))
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
         values = texts.fillna("").tolist()

@@ -94,7 +94,8 @@ def stream_capture(
         rows = found.withColumn("prompt_version", F.lit("lines")).withColumn("embedding", F.array().cast("array<float>"))
         tables = scd.write_claims(rows, 1, now)
         claims = read_claims().unionByName(tables["claims"], allowMissingColumns=True).dropDuplicates(["id"])
-        tables["snapshot"] = scd.prune_scopes(dedup.dedup_claims(claims, now), cfg, now)
+        after = now + F.expr("interval 1 microsecond")  # nothing closes at the instant at which it was recorded
+        tables["snapshot"] = scd.prune_scopes(dedup.dedup_claims(claims, after), cfg, after)
         tables["denied"] = denied
         write(tables, n)
 
