@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +73,8 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.evidence(spark, sf).select("claim_id", F.col("id").alias("evidence_id"), F.col("extracted_text").alias("text"))
-    return retrieval.build_postings(rows.join(_live_ids(spark, sf), "claim_id", "left_semi"))
+    # a table in its own right, read several times by one search: kept, on disk where memory is short, and recomputed if lost
+    return retrieval.build_postings(rows.join(_live_ids(spark, sf), "claim_id", "left_semi")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
