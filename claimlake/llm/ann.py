@@ -3,9 +3,9 @@
 The trees are built on a bounded sample: a node splits at the median of a projection
 on the difference of two sampled vectors. Every vector is indexed, one leaf a tree. A
 query walks all trees with one shared priority queue, ordered by the smallest margin
-by which its path left a split, until it holds ``leaves`` leaves. Queries join
-the vectors of their leaves, each pair once, and are ranked by exact cosine in double
-precision.
+by which its path left a split, until it holds ``leaves`` leaves. Queries meet the
+vectors of their leaves there, in parts of bounded size, and each part returns its
+best by exact cosine in double precision.
 
 Equal vectors are one point, held with its smallest ids, as many as a query can need,
 and equal queries search once; so neither a vector that many rows share nor its
@@ -32,7 +32,7 @@ from .common import written
 
 #: Sampled vectors that the trees are built on, at most; and their seed.
 SAMPLE, SEED = 100_000, 11
-TREES, LEAF, LEAVES = 16, 24, 160
+TREES, LEAF, LEAVES = 24, 512, 72
 
 
 def usable(vector: Column) -> Column:
@@ -136,40 +136,49 @@ def nearest(
     sampled = picked.filter(pa.array(widths == main)).flatten().to_numpy(zero_copy_only=False).reshape(-1, main)
     forest = good.sparkSession.sparkContext.broadcast(Forest(_unit(sampled), trees, leaf))
 
+    # vectors beyond the sample make leaves larger, so a leaf is dealt out in parts
+    parts = max(1, -(-points.count() // sample))
+
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for part in range(0, len(f), 2048):
-                p = f.iloc[part : part + 2048]
-                fits = p["v"].map(len).to_numpy() == main
-                p = p[fits]
-                if not len(p):
-                    continue
+            f = f[f["v"].map(len).to_numpy() == main]
+            for k in range(0, len(f), 2048):
+                p = f.iloc[k : k + 2048]
                 unit = _unit(np.array(p["v"].tolist(), np.float64))
-                for t, tree in enumerate(forest.value.trees):
-                    yield pd.DataFrame({"cell": t * (1 << 32) + tree.leaf(unit), "pid": p["pid"].to_numpy()})
+                leaves = np.stack([t * (1 << 32) + tree.leaf(unit) for t, tree in enumerate(forest.value.trees)], axis=1)
+                yield pd.DataFrame({"pid": p["pid"], "v": p["v"], "cells": list(leaves)})
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for qid, v in zip(f["qid"], f["v"], strict=True):
-                if len(v) == main:
-                    unit = np.asarray(v, np.float64)
-                    out += [(qid, t * (1 << 32) + x) for t, x in forest.value.search(unit / np.linalg.norm(unit), leaves)]
-            yield pd.DataFrame(out, columns=["qid", "cell"]).astype("int64")
-
-    cells = points.select("pid", "v").mapInPandas(index, "cell bigint, pid bigint")
-    wanted = asked.mapInPandas(ask, "qid bigint, cell bigint")
-    # each pair of query and candidate once, however many leaves they share
-    pairs = wanted.join(cells, "cell").select("qid", "pid").distinct()
-
-    def rerank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                score = cosines(np.array(f["qv"].tolist()), np.array(f["v"].tolist()))
-                yield pd.DataFrame({"qid": f["qid"], "pid": f["pid"], "score": score})
-
-    both = pairs.join(asked.withColumnRenamed("v", "qv"), "qid").join(points.select("pid", "v"), "pid")
-    scored = both.filter(F.size("qv") == F.size("v")).select("qid", "qv", "pid", "v").mapInPandas(rerank, "qid bigint, pid bigint, score double")
+            f = f[f["v"].map(len).to_numpy() == main]
+            unit = _unit(np.array(f["v"].tolist(), np.float64).reshape(len(f), -1)) if len(f) else ()
+            found = [np.array([t * (1 << 32) + x for t, x in forest.value.search(u, leaves)], np.int64) for u in unit]
+            yield pd.DataFrame({"qid": f["qid"], "qv": f["v"], "cells": found})
+
+    def compare(asked_here: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """The best of one part of a leaf for each query that looks there."""
+        if not len(asked_here) or not len(held):
+            return pd.DataFrame({"qid": [], "pid": [], "score": []}).astype({"qid": "int64", "pid": "int64", "score": "float64"})
+        q, v = np.array(asked_here["qv"].tolist()), np.array(held["v"].tolist())
+        pid, qid = held["pid"].to_numpy(), asked_here["qid"].to_numpy()
+        keep = min(len(v), k + 8)
+        unit, out = _unit(v), []
+        for n in range(0, len(q), 256):
+            near = np.argpartition(-(_unit(q[n : n + 256]) @ unit.T), keep - 1, axis=1)[:, :keep]
+            for i, row in enumerate(near, n):
+                score = cosines(np.repeat(q[i : i + 1], keep, axis=0), v[row])
+                best = np.lexsort((pid[row], -score))[: k + 1]
+                out.append(pd.DataFrame({"qid": qid[i], "pid": pid[row][best], "score": score[best]}))
+        return pd.concat(out)
+
+    part = F.pmod(F.col("pid"), F.lit(parts))
+    held = points.select("pid", "v").mapInPandas(index, "pid bigint, v array<double>, cells array<bigint>")
+    held = held.select("pid", "v", F.explode("cells").alias("cell"), part.alias("part"))
+    sent = asked.mapInPandas(ask, "qid bigint, qv array<double>, cells array<bigint>").select("qid", "qv", F.explode("cells").alias("cell"))
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("bigint"))
+    both = sent.groupBy("cell", "part").cogroup(held.groupBy("cell", "part"))
+    scored = both.applyInPandas(compare, "qid bigint, pid bigint, score double")
+    scored = scored.groupBy("qid", "pid").agg(F.max("score").alias("score"))  # a pair that meets in several leaves has one score
     best = top(scored, "qid", [F.desc("score"), "pid"], k + 1)
     found = best.join(points.select("pid", "ids"), "pid").select("qid", "score", F.explode("ids").alias("vec_id"))
     named = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("qid")).join(found, "qid").filter("query_id != vec_id")
