@@ -107,7 +107,7 @@ def recall_accounting(queries: DataFrame, fused: DataFrame, packed: DataFrame) -
 
 
 def assemble_context(queries: DataFrame, returned: DataFrame) -> DataFrame:
-    """One fenced text a query from ``returned`` (query_id, position, claim_id, kind, statement, score, confidence, evidence)."""
+    """One fenced text a query (the layout is fixed) from ``returned`` (query_id, position, claim_id, kind, statement, score, confidence, evidence)."""
     safe = lambda c: neutralize(c, (DATA_END, DATA_BEGIN))
     n = F.count("*").over(Window.partitionBy("query_id"))
     lines = lambda e: F.array_join(F.transform(F.split(safe(e["extracted_text"]), "\n"), lambda x: F.concat(F.lit("    | "), x)), "\n")
