@@ -627,6 +627,58 @@ def l2_norms(spark, sf):
     return fx.table(spark, sf, "embeddings").select("vec_id", F.round(vectors.norm(vectors.l2_normalize(F.col("embedding"))), 6).alias("norm"))
 
 
+_TOKEN_ROWS = """tokens AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS created_at, TIMESTAMP '2024-01-20 00:00:00' + (o_orderkey % 9 - 4) * INTERVAL 1 DAY AS expires_at,
+  o_orderkey % 5 = 0 AS used, o_orderkey % 7 = 0 AS revoked FROM orders)"""
+
+
+@query(with_(_TOKEN_ROWS) + f"SELECT id FROM tokens WHERE NOT used AND NOT revoked AND expires_at > {NOW}")
+def pending_tokens(spark, sf):
+    """Tokens that can still be used."""
+    k = F.col("o_orderkey")
+    mark = lambda n: F.when(k % n == 0, F.col("o_orderdate").cast("timestamp"))
+    rows = fx.table(spark, sf, "orders").select(
+        k.cast("string").alias("id"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.expr("timestamp'2024-01-20 00:00:00' + make_interval(0,0,0,cast(o_orderkey % 9 - 4 as int))").alias("expires_at"), mark(5).alias("used_at"), mark(7).alias("revoked_at"),
+    )
+    return reports.pending_tokens(rows, fx.now()).select("id")
+
+
+@query(with_(CLAIMS, EVIDENCE) + "SELECT c.id, count(e.id) AS n, coalesce(min(source_path), '') AS first FROM claims c LEFT JOIN evidence e ON e.claim_id = c.id GROUP BY c.id")
+def hydrate(spark, sf):
+    """Claims with their evidence nested; none keeps an empty list."""
+    out = recall.hydrate(fx.claims(spark, sf).select("id"), fx.links(spark, sf), fx.evidence(spark, sf))
+    first = F.coalesce(F.try_element_at("evidence", F.lit(1))["source_path"], F.lit(""))
+    return out.select("id", F.size("evidence").cast("bigint").alias("n"), first.alias("first"))
+
+
+@query(
+    ORACLE_SQL["seed_merge"].replace("SELECT CASE", "SELECT action, count(*) AS n FROM (SELECT CASE", 1) + ") GROUP BY action"
+)
+def seed_actions(spark, sf):
+    """Counts of what a re-seeding did."""
+    return seed_merge(spark, sf).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(with_(*_ARMS) + "SELECT query_id, claim_id, CASE WHEN dr IS NULL THEN 'lexical' WHEN lr IS NULL THEN 'dense' ELSE 'dense+lexical' END AS arms FROM ranked")
+def explain_arms(spark, sf):
+    """Which arms found each claim, in the order of their names."""
+    fused = _fused(spark, sf)
+    text_of = retrieval.explain_contributions(F.col("contributions"))
+    return fused.withColumn("explained", text_of).select("query_id", "claim_id", F.array_join("contributions.arm", "+").alias("arms"))
+
+
+@query(
+    with_(CAPTURES)
+    + "SELECT 'p' || (conv_id % 5) AS principal_id, count(*) AS calls, CAST(sum(length(source)) AS BIGINT) AS input_tokens FROM captures GROUP BY ALL"
+)
+def cost_attribution(spark, sf):
+    """Every model call charged to its job's first principal."""
+    c = fx.captures(spark, sf)
+    responses = c.select("job_id", F.length("source").alias("input_tokens"), F.lit(1).alias("output_tokens"), F.lit(2).cast("bigint").alias("wall_ms"))
+    out = nominate.cost_attribution(responses, c)
+    return out.groupBy("principal_id").agg(F.sum("inference_calls").alias("calls"), F.sum("input_tokens").alias("input_tokens"))
+
+
 # -- audit -----------------------------------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.limits import LimitConfig, package_cap
 from ..functions.text import neutralize, token_count
 from . import acl, retrieval
 
@@ -61,7 +62,7 @@ def budget_pack(hits: DataFrame, limit: str = "limit", budget: str = "budget") -
 
 def recall(
     queries: DataFrame, vectors: DataFrame, postings: DataFrame, claims: DataFrame, links: DataFrame, evidence: DataFrame,
-    claim_acl: DataFrame, evidence_acl: DataFrame, depth: int = retrieval.DEPTH, digits: int | None = None,
+    claim_acl: DataFrame, evidence_acl: DataFrame, depth: int = retrieval.DEPTH, digits: int | None = None, cfg: LimitConfig | None = None,
 ) -> DataFrame:
     """For ``queries`` (query_id, principal_id, text, vec, limit, budget, now): the fused, readable candidates with ``kept``.
 
@@ -71,7 +72,8 @@ def recall(
     dense = retrieval.dense_search(queries, vectors.join(live, "claim_id", "left_semi"), depth)
     lexical = retrieval.lexical_search(queries, postings.join(live, "claim_id", "left_semi"), depth, digits)
     fused = retrieval.fuse_rrf(dense.unionByName(lexical))
-    asked = queries.select("query_id", "principal_id", "limit", "budget", "now")
+    cap = package_cap(F.col("limit"), cfg or LimitConfig())
+    asked = queries.select("query_id", "principal_id", cap.alias("limit"), "budget", "now")
     hits = fused.join(asked, "query_id")
     # every query has its own clock, so grants are looked at query by query
     candidates = hits.select("query_id", "principal_id", "now", "claim_id").distinct()
