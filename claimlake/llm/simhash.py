@@ -6,8 +6,8 @@ four bands one is equal for any link, and of four parts of the other bits again
 so 16 cells of 28 equal bits miss nothing. In a cell, a table of Hamming distances to
 reference fingerprints discards pairs whose distances differ by more than three for
 any reference (the triangle inequality), and the survivors are verified. A cell with
-more than ``CELL`` fingerprints is dealt anew with more equal bits, at most five
-levels deep, where 15 free bits bound it. Equal fingerprints are one node from the
+more than ``CELL`` fingerprints is dealt anew with more equal bits. At the fifth
+level every cell is compared: 15 free bits bound it to 32,768. Equal fingerprints are one node from the
 start, and a cell gives links of a spanning forest, never all pairs.
 
 Defined results: null texts and texts without words have fingerprint 0, which links
@@ -28,8 +28,10 @@ from .common import mix64, per_batch, written
 from .graph import components
 
 SEED, SHINGLE, LIMIT = 42, 3, 3
-#: Distinct fingerprints that a task compares at once, at most.
+#: Distinct fingerprints that a task compares at once, at most, above the last level.
 CELL = 4096
+#: Level whose cells are all compared.
+LAST = 5
 #: Reference fingerprints: zero and fixed pseudo-random ones.
 PIVOTS = np.concatenate([np.zeros(1, np.uint64), mix64(np.arange(1, 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))])
 
@@ -138,8 +140,8 @@ def _small_links(key: np.ndarray, fp: np.ndarray, run: np.ndarray) -> tuple[np.n
 _SCHEMA = "u bigint, v bigint, mask bigint"
 
 
-def _compare(batches: Iterator[pa.RecordBatch], cell: int) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, fp, mask) sorted by cell: links, and rows of too large cells as (fp, null, mask)."""
+def _compare(batches: Iterator[pa.RecordBatch], cell: float) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, fp, mask) sorted by cell: links, and rows of cells of more than ``cell`` as (fp, null, mask)."""
 
     def batch(u, v, mask):
         u, v = np.asarray(u, np.uint64).view(np.int64), None if v is None else np.asarray(v, np.uint64).view(np.int64)
@@ -161,7 +163,7 @@ def _compare(batches: Iterator[pa.RecordBatch], cell: int) -> Iterator[pa.Record
             if size[k] > cell:
                 yield batch(fp[part], None, mask[part])
             else:
-                own = fp[part]
+                own = np.unique(fp[part])  # a cell can come from several larger ones
                 if found := cell_links(own):
                     i = np.array(found)
                     yield batch(own[i[:, 0]], own[i[:, 1]], None)
@@ -206,11 +208,11 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
         dealt = todo.join(subs, "mask").select("fp", F.explode("subs").alias("mask"))
         cells = dealt.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("cell"), "fp", "mask")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = written(cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(lambda b: _compare(b, cell), _SCHEMA))
+        found = written(cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(lambda b, most=cell if level < LAST else float("inf"): _compare(b, most), _SCHEMA))
         parts.append(found.filter("v is not null").select("u", "v"))
         todo = found.filter("v is null").select(F.col("u").alias("fp"), "mask").distinct()
         level += 1
-        if level > 5 or todo.isEmpty():
+        if level > LAST or todo.isEmpty():
             break
     out = parts[0]
     for p in parts[1:]:

@@ -80,3 +80,15 @@ def test_links_of_dense_prints(spark, cell):
     for (d, _), c in want.items():
         wanted.setdefault(c, set()).add(d)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_links_of_the_last_level(spark):
+    """More than CELL prints in the 15 free bits of one last cell; all other cells split the one link of ``a`` and ``b``."""
+    a = 0x123456789ABC
+    b = a ^ (1 << 49 | 1 << 54 | 1 << 59)
+    prints = {a | x << 49 for x in np.random.default_rng(5).choice(1 << 15, 5000, replace=False).tolist()}
+    prints = {f for f in prints if (f ^ a).bit_count() > 3} | {a, b}
+    assert len(prints) > simhash.CELL
+    rows = [(int(np.uint64(f).view(np.int64)),) for f in prints]
+    root = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame(rows, "fp bigint"))).collect()}
+    assert a in root and root[a] == root[int(np.uint64(b).view(np.int64))]
