@@ -6,9 +6,11 @@ entities never get one surrogate, one entity gets the same one everywhere (whate
 its case or punctuation), and nothing needs a table. Cards keep their first digit
 and stay valid or invalid, addresses keep their octets in range and public or
 private, mail addresses keep their domains together, names keep the gender and
-script of their title and letters. After the replacement, a count over all distinct
-entities checks that no two of a type share a surrogate and that none stayed itself;
-those that do are permuted again under another tweak until none is left.
+script of their title and letters, and their last word is replaced alike where it
+stands alone in that text. After the replacement, a count over all distinct entities
+checks that no two of a type share a surrogate and that none stayed itself; those
+that do are permuted again under another tweak until none is left. It is an error if
+further tweaks leave as many.
 
 Defined results: null texts stay null and empty ones empty; texts without entities
 are returned as they were, byte for byte; whole texts are searched; repeated rows
@@ -18,6 +20,7 @@ get the same result; empty tables give none; extra columns stay.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable
 
@@ -27,10 +30,11 @@ from pyspark.sql.types import StructType
 
 from .common import per_batch, written
 
-#: Rounds of the permutation, and of new tweaks for entities that collide.
+#: Rounds of the permutation, and of new tweaks for entities that collide; further ones only while they help.
 ROUNDS, TWEAKS = 6, 4
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+_SIGNS, _TOKEN_SIGNS = "!#$%&()*+-./:<=>?@[\\]^_`{|}~", "_-/+"
 _HEX, _BASE36 = _DIGITS + "abcdef", _DIGITS + _LOWER.upper()
 
 #: Titles by gender, and given names by gender and script. Fixed values.
@@ -48,10 +52,10 @@ GIVEN = {
     ("n", "cyrillic"): ("Саша", "Женя", "Валя", "Слава"),
 }
 #: Letters that replace one another in names: vowels and consonants of each script.
-_NAME_CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "ñçß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ")
+_NAME_CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "ñçß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ãåæðõøýþÿ", "ъь")
 
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+"
+_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+)*"
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})"
     r"|(?P<key>\bAKIA[0-9A-Z]{16}\b)"
@@ -62,12 +66,12 @@ PATTERN = re.compile(
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w)"
     r"|(?<![\w.])(?P<card>[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{4}|[3-6]\d{12,18})(?!\w)"
-    rf"|\b(?P<title>{_TITLE})\.? (?P<name>{_NAME}(?: {_NAME})?)"
+    rf"|\b(?P<title>{_TITLE})\.? (?P<name>{_NAME}(?: {_NAME})*)"
 )
 _TITLED = tuple(t + x for ts in TITLES.values() for t in ts for x in (" ", ". "))
 TYPES = ("email", "key", "token", "password", "iban", "ip", "ssn", "phone", "card", "name")
 
-_HINT = re.compile(r"[0-9@]|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd)")
+_HINT = re.compile(r"[0-9@]|AKIA|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd)")
 
 
 def permute(key: bytes, tweak: str, values: list[int], radices: list[int]) -> list[int]:
@@ -113,6 +117,16 @@ def _classes(text: str, classes: tuple[str, ...]) -> list[str | None]:
     return [next((a for a in classes if c in a), None) for c in text]
 
 
+def _any_class(c: str) -> str:
+    """Characters that may replace any one of a password: of its kind in ASCII, else of its 64 code points."""
+    for a in (_LOWER, _LOWER.upper(), _DIGITS, _SIGNS):
+        if c in a:
+            return a
+    first = ord(c) & ~63
+    every = map(chr, range(first, first + 64) if first >= 128 else (*range(32), 127))
+    return "".join(x for x in every if not x.isspace())
+
+
 def _walk(step: Callable[[str], str], text: str, same: Callable[[str], object]) -> str:
     """Permute until the result is of the kind that ``same`` tells: a permutation of each kind."""
     kind, now = same(text), step(text)
@@ -169,18 +183,23 @@ def surrogate(key: bytes, kind: str, entity: str, tweak: int = 0) -> str:
     if kind == "name":
         gender, _, name = entity.partition(":")
         parts = name.split(" ")
-        if len(parts) == 2:
+        if len(parts) > 1:
             pool = GIVEN[gender, "cyrillic" if "а" <= parts[0][-1] <= "ё" else "latin"]
             if parts[0] in pool:
                 parts[0] = pool[permute(key, t + gender, [pool.index(parts[0])], [len(pool)])[0]]
-                return f"{gender}:{parts[0]} {_name_part(key, t, parts[1])}"
+                return f"{gender}:{parts[0]} " + " ".join(_name_part(key, t, p) for p in parts[1:])
         return f"{gender}:" + " ".join(_name_part(key, t, p) for p in parts)
     if re.fullmatch(r"[0-9a-f]+", entity):
         return permute_text(key, t, entity, [_HEX] * len(entity))
-    return permute_text(key, t, entity, _classes(entity, (_LOWER, _LOWER.upper(), _DIGITS)))
+    if kind == "password":
+        return permute_text(key, t, entity, [_any_class(c) for c in entity])
+    letters = _classes(entity, (_LOWER, _LOWER.upper(), _DIGITS))
+    return permute_text(key, t, entity, letters if any(letters) else [_TOKEN_SIGNS] * len(entity))
 
 
 def _name_part(key: bytes, tweak: str, part: str) -> str:
+    if "-" in part:
+        return "-".join(_name_part(key, tweak, p) for p in part.split("-"))
     low = part.lower()
     return permute_text(key, tweak, low, _classes(low, _NAME_CLASSES)).capitalize() if len(low) == len(part) else part
 
@@ -188,7 +207,7 @@ def _name_part(key: bytes, tweak: str, part: str) -> str:
 def laid_out(kind: str, text: str, new: str) -> str:
     """A canonical surrogate in the format of a mention."""
     if kind == "name":
-        return new.partition(":")[2]
+        return " ".join(new.partition(":")[2].split(" ")[-len(text.split(" ")) :])  # a last word alone stays one
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(text, new, strict=True))
     if kind in ("phone", "card", "iban"):
@@ -201,7 +220,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical entity) of each mention."""
     if not _HINT.search(text) and not any(t in text for t in _TITLED):
         return []
-    out = []
+    out, last_words = [], {}
     for m in PATTERN.finditer(text):
         kind = "name" if m["name"] else m.lastgroup
         start, end = m.span(kind)
@@ -211,7 +230,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         entity = canonical(kind, own)
         if kind == "name":
             entity = next(g for g, ts in TITLES.items() if m["title"] in ts) + ":" + own
+            last_words.setdefault(own.split(" ")[-1], entity)
         out.append((start, end, kind, entity))
+    if last_words:
+        alone = re.compile(r"(?<![\w-])(?:" + "|".join(sorted(last_words, key=len, reverse=True)) + r")(?![\w-])")
+        taken = [(start, end) for start, end, _, _ in out]
+        at = 0
+        for m in alone.finditer(text):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at == len(taken) or m.end() <= taken[at][0]:
+                out.append((*m.span(), "name", last_words[m[0]]))
+        out.sort()
     return out
 
 
@@ -273,12 +303,16 @@ def replace(docs: DataFrame, key: str, text: str = "text", make_replacer: Callab
         return per_batch(rows, schema, make, [*columns, "_tweaks"] if tweaked else columns, rows=512)
 
     done = written(run(docs, False))
-    tweaks = None
-    for tweak in range(1, TWEAKS + 1):
+    tweaks, before = None, float("inf")
+    for tweak in itertools.count(1):
         entities = done.filter(F.size("_entities") > 0).select(F.explode("_entities").alias("e")).select("e.*")
         wrong = written(collisions(entities).withColumn("tweak", F.lit(tweak)))
-        if wrong.isEmpty():
+        n = wrong.count()
+        if n == 0:
             break
+        if tweak > TWEAKS and n >= before:
+            raise ValueError(f"{n} entities keep themselves or share a surrogate after {tweak - 1} tweaks")
+        before = n
         # entities that collide are few, but need not be: they go to their texts by a join
         tweaks = wrong if tweaks is None else written(tweaks.join(wrong, ["kind", "entity"], "left_anti").unionByName(wrong))
         found = docs.withColumn("_th", F.xxhash64(text))
