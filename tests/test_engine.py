@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from claimlake import catalog
 from claimlake.functions import intervals, limits, text, vectors
 from claimlake.operators import acl, anchor, audit, chunk, dedup, nominate, quota, recall, retrieval, scd
 from claimlake.sources import docs
@@ -265,3 +266,10 @@ def test_topk_plan_limits_before_the_shuffle(spark):
     hits = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").cast("string").alias("claim_id"), F.rand(1).alias("raw"))
     plan = retrieval.rank_hits(hits, [F.col("raw"), F.col("claim_id")], k=5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_code_sections_take_whole_texts(spark, tmp_path):
+    text = " ".join("a" * (i + 1) for i in range(200))
+    spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.code_sections(spark, str(tmp_path)).orderBy("line_start").collect()
+    assert [r.line_start for r in rows] == [i + 1 for i in range(200) if i % 4 < 2] and rows[-1].line_end == 200
