@@ -20,7 +20,7 @@ from operator import itemgetter
 
 from pyspark.sql import DataFrame
 
-from .common import per_batch, per_row
+from .common import kept_tool, per_batch, per_row
 
 #: Pieces remembered by a Python worker, at most; on overflow the memory starts anew.
 CACHE_PIECES = 200_000
@@ -245,15 +245,14 @@ class Decoder:
         return b"".join(itemgetter(*found)(self.table)) if len(found) > 1 else b"".join(self.table[i] for i in found)
 
 
-_KEPT: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
-
-
 def tools(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     """The encoder and decoder of a Python worker, made once."""
-    if (path, pattern) not in _KEPT:
+
+    def make():
         ranks = read_ranks(path)
-        _KEPT[path, pattern] = Encoder(ranks, pattern), Decoder(ranks)
-    return _KEPT[path, pattern]
+        return Encoder(ranks, pattern), Decoder(ranks)
+
+    return kept_tool(("bpe", path, pattern), make)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+T = TypeVar("T")
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -121,6 +124,22 @@ def per_row_many(df: DataFrame, schema: str | StructType, make: Callable[[], Cal
     return df.select(*inputs).mapInArrow(run, fields)
 
 
+_KEPT: dict = {}
+
+
+def kept_tool(key: Hashable, make: Callable[[], T]) -> T:
+    """A tool that a Python worker makes once and keeps until it needs another one.
+
+    Workers outlive a stage, so only the last tool is kept: an earlier stage's memory
+    doesn't add to a later one's.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def words(text: str | None) -> list[bytes]:
     """The runs of ``[^\\x20\\x09-\\x0D]`` in a text, as UTF-8; none for null."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -17,13 +17,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, per_batch
+from .common import held_out, kept_tool, per_batch
 
 #: Sampled slices of each language and their characters: the bound of what is learned from.
 SLICES, SLICE_CHARS = 160, 240
@@ -154,9 +153,8 @@ class Model:
         return names, scores
 
 
-@cache
 def model(training: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
-    return Model(training)
+    return kept_tool(("langid", training), lambda: Model(training))
 
 
 def identify(docs: DataFrame, learn: Column | None = None) -> DataFrame:

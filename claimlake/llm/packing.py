@@ -15,31 +15,57 @@ one by one; an empty table has no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch, written
+from .common import kept_tool, per_batch, written
 
-#: Pieces of text whose ids a Python worker remembers, in each of two generations.
-CACHE_WORDS = 600_000
-CACHE_CHARS = 48
+#: Words whose ids a Python worker remembers, in each of two generations, and the characters of one, at most.
+CACHE_WORDS, CACHE_CHARS = 150_000, 48
+#: Bytes of text that are tokenized together (one text at least).
+BLOCK_BYTES = 8_000_000
 #: Patterns enumerated, at most, for each length that opens them.
 PARTNERS = 12
 
 _PLACE = 1 << 40
-_MARKS = frozenset(".,;:!?")
+_TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What Arrow's and Python's white space has and the vocabulary's lacks.
+_SYMBOLS = r"[\x1c-\x1f]"
+_SIGN = np.array([max(0, _TAIL.find(chr(b))) for b in range(256)])
+_LATIN = r"^[\x00-\x{12f}]*$"
+
+
+class Ragged:
+    """Rows of different lengths, in one array."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes, self.first = flat, sizes, np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of(cls, rows: list[bytes]) -> Ragged:
+        return cls(np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4)
+
+    def take(self, index: np.ndarray) -> Ragged:
+        n = self.sizes[index]
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        return Ragged(self.flat[np.arange(total) + np.repeat(self.first[index] - (end - n), n)], n)
 
 
 class WordIds:
-    """Ids of whole texts through a memory of their space-separated parts.
+    """Ids of whole texts through a memory of words.
 
-    The vocabulary's pre-tokenizer never joins what a space separates, so a text's
-    ids are those of its parts in turn.
+    The vocabulary's pre-tokenizer never joins what white space separates, so a text's
+    ids are those of its parts in turn. Arrow splits a block of texts, numbers its
+    distinct parts and takes the signs after a word off, so that Python sees each
+    distinct lower-cased word once.
     """
 
     def __init__(self, path: str):
@@ -49,99 +75,105 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        # the vocabulary takes \x1c to \x1f as symbols, where split() takes them as white space
-        split = [t.split(" ") if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        new = set().union(*split).difference(self.young)
-        long = self.learn(new) if new else {}
-        if long:
-            table = {**long, "": b""}
-            out = [b"".join([x if (x := self.young.get(part)) is not None else table[part] for part in parts]) for parts in split]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin and the last one's end."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if pc.any(pc.match_substring_regex(texts, _SYMBOLS)).as_py():
+            parts = pc.split_pattern(texts, " ")
         else:
-            out = [b"".join(map(self.young.__getitem__, parts)) for parts in split]
+            parts = pc.utf8_split_whitespace(texts)
+        coded = parts.flatten().dictionary_encode()
+        found = self.parts(coded.dictionary).take(coded.indices.to_numpy())
+        edge = parts.offsets.to_numpy()
+        return found.flat, np.concatenate([[0], np.cumsum(found.sizes)])[edge - edge[0]]
+
+    def parts(self, parts: pa.StringArray) -> Ragged:
+        """Ids of each of these distinct parts."""
+        # letters are one pre-token, and so are the signs after them; below U+0130 a letter is in normal form
+        bare = pc.utf8_rtrim(parts, _TAIL)
+        plain = pc.and_(pc.utf8_is_alpha(bare), pc.match_substring_regex(bare, _LATIN))
+        words = pc.if_else(plain, pc.utf8_lower(bare), parts).dictionary_encode()
+        extra = (pc.binary_length(parts).to_numpy() - pc.binary_length(bare).to_numpy()) * plain.to_numpy(zero_copy_only=False)
+        # one sign is told by its byte, which most tails are
+        _, offsets, data = parts.buffers()
+        last = np.frombuffer(offsets, np.int32)[parts.offset + 1 : parts.offset + len(parts) + 1] - 1
+        signs = _SIGN[np.frombuffer(data, np.uint8)[last[extra == 1]]]
+        several = np.nonzero(extra > 1)[0]
+        tails = pa.array([x[-n:] for x, n in zip(parts.take(pa.array(several)).to_pylist(), extra[several].tolist(), strict=True)], pa.string()).dictionary_encode()
+        names = words.dictionary.to_pylist()
+        table = Ragged.of(self.words([*names, *_TAIL, *tails.dictionary.to_pylist(), ""]))
+        tail = np.full(len(parts), len(table.sizes) - 1)
+        tail[extra == 1] = len(names) + signs
+        tail[several] = len(names) + len(_TAIL) + tails.indices.to_numpy()
+        both = table.take(np.stack([words.indices.to_numpy(), tail], axis=1).ravel())
+        return Ragged(both.flat, both.sizes.reshape(-1, 2).sum(axis=1))
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of these words."""
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {"": b""}, self.young
-        return out
-
-    def learn(self, new: set[str]) -> dict[str, bytes]:
-        """Puts the ids of these parts into the young memory; those of long parts are returned instead."""
-        out, made, words, others = {}, [], set(), []
-        old = self.old.get
-        for part in new:
-            ids = old(part)
-            if ids is not None:
-                out[part] = ids
-                continue
-            # a word of letters in lower case, which is one pre-token, and a mark after it have the same ids
-            mark = part[-1:]
-            word = part[:-1] if mark in _MARKS else part
-            # beyond, lower case and normal form are left to the library
-            if word.isalpha() and (word.isascii() or max(word) < "\u0130"):
-                word = word.lower()
-                words.add(word)
-                made.append((part, word, mark if mark in _MARKS else ""))
-            else:
-                others.append(part)
-        known: dict[str, bytes] = {}
+        young, old = self.young.get, self.old.get
+        out = list(map(young, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
         todo = []
-        for word in words:
-            ids = self.young.get(word) or self.old.get(word)
+        for k in missing:
+            out[k] = ids = old(words[k])
             if ids is None:
-                todo.append(word)
-            else:
-                known[word] = ids
-        lines = [todo[k : k + 512] for k in range(0, len(todo), 512)]
-        for line, got in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            edge = np.searchsorted(np.array(got.word_ids), np.arange(len(line) + 1)).tolist()
-            raw = ids.tobytes()
-            for word, a, z in zip(line, edge, edge[1:], strict=False):
-                known[word] = raw[4 * a : 4 * z]
-        for k in range(0, len(others), 4096):
-            some = others[k : k + 4096]
-            for part, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                ids = got.ids
-                out[part] = struct.pack(f"<{len(ids)}I", *ids)
-        marks = {m: self.mark(m) for m in (*_MARKS, "")}
-        out.update({part: known[word] + marks[mark] for part, word, mark in made})
-        out.update(known)
-        long = {part: out.pop(part) for part in [x for x in out if len(x) > CACHE_CHARS]}
-        self.young.update(out)
-        return long
-
-    def mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
-            self.marks[mark] = struct.pack(f"<{len(ids)}I", *ids)
-        return self.marks[mark]
-
-
-_KEPT: dict[str, WordIds] = {}
+                todo.append(k)
+        # words of letters are one pre-token each, so a line of them is told apart again by its pre-tokens
+        single = [k for k in todo if words[k].isalpha() and max(words[k]) < "\u0130"]
+        lines = [single[n : n + 512] for n in range(0, len(single), 512)]
+        for line, got in zip(lines, self.encode([" ".join([words[k] for k in line]) for line in lines]), strict=True):
+            raw = np.array(got.ids, "<u4").tobytes()
+            edge = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(line) + 1))).tolist()
+            for k, a, z in zip(line, edge, edge[1:], strict=False):
+                out[k] = raw[a:z]
+        others = sorted(set(todo).difference(single))
+        for k, got in zip(others, self.encode([words[k] for k in others]), strict=True):
+            out[k] = np.array(got.ids, "<u4").tobytes()
+        self.young.update({words[k]: out[k] for k in missing if len(words[k]) <= CACHE_CHARS})
+        return out
 
+    def encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
-def pieces(docs: DataFrame, path: str, seq_len: int, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece of each whole text."""
 
-    def make():
-        word_ids = _KEPT.setdefault(path, None) or WordIds(path)
-        _KEPT[path] = word_ids
-        end, size = np.array([end_id], "<u4").tobytes(), 4 * seq_len
-
-        def many(doc_ids, texts):
-            rows = []
-            for doc_id, ids in zip(doc_ids, word_ids([t or "" for t in texts]), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), size)):
-                    part = ids[at : at + size]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            return zip(*rows, strict=True) if rows else ([], [], [], [], [])
+def _blocks(texts: pa.Array) -> Iterator[slice]:
+    """Runs of rows of at most BLOCK_BYTES of text, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
+_PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
-        return many
 
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return per_batch(docs, schema, make, ["doc_id", "text"])
+def pieces(docs: DataFrame, path: str, seq_len: int, end_id: int = 0) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece of each whole text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids, last = kept_tool(("packing", path), lambda: WordIds(path)), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            for rows in _blocks(batch.column(1)):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                flat, edge = word_ids(part.column(1))
+                raw, ends = memoryview(flat.tobytes()), edge.tolist()
+                out = []
+                for doc_id, a, z in zip(part.column(0).to_pylist(), ends, ends[1:], strict=False):
+                    n = z - a + 1
+                    for k, at in enumerate(range(0, n, seq_len)):
+                        stop = min(at + seq_len, n)
+                        crc = zlib.crc32(raw[4 * (a + at) : 4 * min(a + stop, z)])
+                        out.append((doc_id, k, at, stop - at, crc if stop < n else zlib.crc32(last, crc)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
 
 
 def patterns(lengths: list[int], counts: dict[int, int], seq_len: int) -> list[tuple[int, ...]]:
@@ -240,21 +272,19 @@ def best_fit(counts: dict[int, int], seq_len: int) -> list[tuple[tuple[int, ...]
     return [group for room in sorted(room_of) for group in room_of[room]]
 
 
-def plan(counts: dict[int, int], seq_len: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and how many sequences follow each; together they use every count up."""
-    left = {k: int(v) for k, v in counts.items() if v > 0}
-    out = []
-    if left.get(seq_len):
-        out.append(((seq_len,), left.pop(seq_len)))
-    lengths = sorted(left)
+#: Shares of the fit that are tried: rounded in full, it can use up the short lengths that the residual needs.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
+
+
+def fit(counts: dict[int, int], seq_len: int) -> list[tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]]:
+    """For each of SHARES: the fitted patterns with their rounded repeat counts, and the counts that are left."""
     # only patterns that fill a sequence are fitted; the rest is the residual's
-    columns = [p for p in patterns(lengths, left, seq_len) if sum(p) >= seq_len - seq_len // 512]
-    fitted = nnls(columns, left) if columns else np.zeros(0)
+    columns = [p for p in patterns(sorted(counts), counts, seq_len) if sum(p) >= seq_len - seq_len // 512]
+    fitted = nnls(columns, counts) if columns else np.zeros(0)
     order = sorted(range(len(columns)), key=lambda j: (-sum(columns[j]), -fitted[j], columns[j]))
-    best = None
-    # rounding the fit in full can use up the short lengths that the residual needs, so shares of it are tried
-    for share in (1.0, 0.9, 0.75, 0.5, 0.25, 0.0):
-        rest, groups = dict(left), []
+    out = []
+    for share in SHARES:
+        rest, groups = dict(counts), []
         for j in order:
             p, n = columns[j], int(share * fitted[j] + 0.5)
             if n:
@@ -263,10 +293,20 @@ def plan(counts: dict[int, int], seq_len: int) -> list[tuple[tuple[int, ...], in
                 groups.append((p, n))
                 for length in p:
                     rest[length] -= n
-        groups += best_fit({k: v for k, v in rest.items() if v}, seq_len)
-        if best is None or sum(n for _, n in groups) < sum(n for _, n in best):
-            best = groups
-    return out + best
+        out.append((groups, {k: v for k, v in rest.items() if v}))
+    return out
+
+
+def plan(counts: dict[int, int], seq_len: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how many sequences follow each; together they use every count up.
+
+    Fitted patterns come first, of the share that leads to the fewest sequences, then
+    the residual's.
+    """
+    left = {k: int(v) for k, v in counts.items() if v > 0}
+    whole = [((seq_len,), left.pop(seq_len))] if seq_len in left else []
+    found = [groups + best_fit(rest, seq_len) for groups, rest in fit(left, seq_len)]
+    return whole + min(found, key=lambda groups: sum(n for _, n in groups))
 
 
 def places(groups: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,19 +329,19 @@ def places(groups: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.nd
 
 
 def ranked(df: DataFrame, rows: int) -> DataFrame:
-    """Adds ``rank`` (from 0, without gaps) among the rows of each length."""
+    """Adds ``rank`` (from 0, without gaps) among the rows of each length; ``row`` tells rows apart."""
     n = max(256, rows // 50_000)
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64("row"), F.lit(n)))
     sizes = df.groupBy("length", "_bucket").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("row")) - 1
     df = df.withColumn("_own", own).join(sizes, ["length", "_bucket"])
     return df.withColumn("rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_bucket")
 
 
 def pack(cut: DataFrame, seq_len: int) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to a table of pieces, which is read three times."""
+    """Adds ``sequence_id`` and ``offset`` to a table of pieces with ``row``, which is read three times."""
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     key, sequence, offset = places(plan(counts, seq_len))
     sent = cut.sparkSession.sparkContext.broadcast((key, sequence, offset))
@@ -325,4 +365,6 @@ def pack(cut: DataFrame, seq_len: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, seq_len: int = 2048, end_id: int = 0) -> DataFrame:
     """Tokenize, cut and pack ``docs``: one row per piece."""
-    return pack(written(pieces(docs, path, seq_len, end_id)), seq_len)
+    # numbered before the write, so a row's number is the same for every reader
+    cut = written(pieces(docs, path, seq_len, end_id).withColumn("row", F.monotonically_increasing_id()))
+    return pack(cut, seq_len)

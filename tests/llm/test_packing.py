@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
@@ -55,8 +56,32 @@ def test_plan_uses_every_count_and_packs_tightly():
             assert sum(t for _, t in groups) <= sum(k * v for k, v in counts.items()) / seq_len * 1.01 + 1
 
 
-def test_parts_overflow(monkeypatch):
+def test_words_overflow(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     words, library = packing.WordIds(PATH), Tokenizer.from_file(PATH)
-    for text in ("The cat's  mat", "É́té 12 34", "x" * 200 + " tail", "", "the cat sat", "A! ÀB, dogs? Straße İx ΑΣ", "x\x1cy z"):
-        assert np.frombuffer(words([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = ["The cat's  mat", "É́té 12 34", "x" * 200 + " tail", "", "the cat sat", "A! ÀB, dogs?!... Straße İx ΑΣ e\u0301t --", None, "Ünï漢字, don't. (a)b' Å \u212b \u00a0x"]
+    for some in (texts, [*texts, "x\x1cy z"], [], [None], texts[::-1]):
+        flat, edge = words(pa.array(some, pa.string()))
+        got = [flat[a:z].tolist() for a, z in zip(edge, edge[1:], strict=False)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_fit_is_used():
+    """Sequences follow fitted patterns; the residual is packed beside them."""
+    counts = Counter({1500: 40, 548: 40, 1000: 30, 524: 60, 700: 5})
+    groups = packing.plan(counts, 2048)
+    assert sum(n for _, n in groups) == 73
+    for fitted, rest in packing.fit(dict(counts), 2048):
+        assert sum(n for _, n in fitted) >= 17 and all(sum(p) >= 2044 for p, _ in fitted)
+        used = Counter(rest)
+        for p, n in fitted:
+            used.update({length: n * p.count(length) for length in set(p)})
+        assert used == counts
+    assert any(groups[: len(f)] == f and f for f, _ in packing.fit(dict(counts), 2048))
+
+
+def test_blocks_cover_all_rows():
+    texts = pa.array(["a" * 10, None, "b" * packing.BLOCK_BYTES, "", "c", "d" * (packing.BLOCK_BYTES - 1), "ee"])
+    runs = list(packing._blocks(texts))
+    assert [i for r in runs for i in range(r.start, r.stop)] == list(range(len(texts)))
+    assert len(runs) == 4
