@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from ..functions.text import chunk_statement
 CHUNK_LINES = 40
 FENCE = "```"
 _DOC = ["repo", "path"]
+_SECTIONS = pa.schema([("repo", pa.string()), ("path", pa.string()), *[(c, pa.int32()) for c in ("line_start", "line_end", "level")], ("title", pa.string()), ("symbol_path", pa.string())])
 
 
 def split_lines(text: Column) -> Column:
@@ -74,32 +78,40 @@ def heading_sections(files: DataFrame) -> DataFrame:
 
     A section ends before the next heading of any level; its path joins its ancestors.
     """
-    lines = doc_lines(files)
-    last = lines.groupBy(*_DOC).agg(F.max("line").alias("n_lines"))
-    heads = lines.filter(F.col("text").startswith("#") & ~F.col("fenced"))
-    heads = heads.select(*_DOC, "line", F.length(F.regexp_extract("text", r"^#+", 0)).alias("level"), F.trim(F.regexp_replace("text", r"^#+", "")).alias("title"))
-    return section_paths(heads, last)
-
-
-def section_paths(heads: DataFrame, last: DataFrame) -> DataFrame:
-    """Paths and extents of (repo, path, line, level, title): a fold that keeps the open ancestors, over one document's headings."""
-    one = heads.groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("line", "level", "title"))).alias("hs")).join(last, _DOC)
-    node = "array<struct<level:int,path:string>>"
-    done = "array<struct<line:int,level:int,title:string,symbol_path:string>>"
-    start = F.struct(F.array().cast(node).alias("stack"), F.array().cast(done).alias("out"))
-
-    def step(s: Column, h: Column) -> Column:
-        above = F.filter(s["stack"], lambda x: x["level"] < h["level"])
-        parent = F.try_element_at(above, F.lit(-1))
-        path = F.when(parent.isNull(), h["title"]).otherwise(F.concat(parent["path"], F.lit(" > "), h["title"]))
-        # ancestors that are as deep or deeper are closed; those before them are not
-        entry = F.struct(h["level"].alias("level"), path.alias("path"))
-        row = F.struct(h["line"].alias("line"), h["level"].alias("level"), h["title"].alias("title"), path.alias("symbol_path"))
-        return F.struct(F.concat(above, F.array(entry)).alias("stack"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    each = one.select(*_DOC, "n_lines", F.explode(F.aggregate("hs", start, step)["out"]).alias("h"))
-    following = F.lead("h.line").over(Window.partitionBy(*_DOC).orderBy("h.line"))
-    return each.select(
-        *_DOC, F.col("h.line").alias("line_start"), F.coalesce(following - 1, F.col("n_lines")).alias("line_end"), F.col("h.level").alias("level"),
-        F.col("h.title").alias("title"), F.col("h.symbol_path").alias("symbol_path"),
-    )
+    title = lambda x: F.trim(F.regexp_replace(x, r"^#+", ""))
+    level = lambda x: F.length(F.regexp_extract(x, r"^#+", 0))
+    mark = lambda x, i: F.struct((i + 1).alias("line"), level(x).alias("level"), F.when(x.startswith("#"), title(x)).alias("title"), F.trim(x).startswith(FENCE).alias("fence"))
+    marks = F.filter(F.transform("_lines", mark), lambda m: m["title"].isNotNull() | m["fence"])
+    # a fence has no title; a line that is a heading is none
+    shown = F.transform(marks, lambda m: F.struct(m["line"].alias("line"), m["level"].alias("level"), F.when(~m["fence"], m["title"]).alias("title")))
+    lines = files.select(*_DOC, split_lines(F.col("text")).alias("_lines"))
+    return section_paths(lines.select(*_DOC, F.size("_lines").alias("n_lines"), shown.alias("marks")))
+
+
+def section_paths(rows: DataFrame) -> DataFrame:
+    """Sections of (repo, path, n_lines, marks), one row a document.
+
+    ``marks`` are (line, level, title) in the order of lines; without a title it is a
+    fence, and what stands between two of them is no section. A stack of open
+    ancestors gives the paths, in one pass over a document's marks.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for repo, path, n_lines, marks in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    found, stack, fenced = [], [], False
+                    for m in marks or ():
+                        if m["title"] is None:
+                            fenced = not fenced
+                        elif not fenced:
+                            while stack and stack[-1][0] >= m["level"]:
+                                stack.pop()
+                            stack.append((m["level"], stack[-1][1] + " > " + m["title"] if stack else m["title"]))
+                            found.append((m["line"], m["level"], m["title"], stack[-1][1]))
+                    ends = [line - 1 for line, *_ in found[1:]] + [n_lines]
+                    out += [(repo, path, line, end, level, title, symbol) for (line, level, title, symbol), end in zip(found, ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, _SECTIONS.types, strict=True)], schema=_SECTIONS)
+
+    return rows.select(*_DOC, "n_lines", "marks").mapInArrow(fold, "repo string, path string, line_start int, line_end int, level int, title string, symbol_path string")
