@@ -5,22 +5,25 @@ The trees are built on a bounded sample: a node splits at the median of a projec
 on the difference of two sampled vectors. Every vector is indexed, one leaf a tree. A
 query walks all trees with one shared priority queue, ordered by the smallest margin
 by which its path left a split, until it holds ``share`` of the forest's leaves, and
-``leaves`` of them at least. Queries meet the vectors of their leaves there, in parts
-of bounded size, and each part returns its best by exact cosine in double precision.
+``leaves`` of them at least. Vectors and queries of a leaf meet in one task, in parts
+of bounded size: a part's vectors are held, the queries stream past them, and each
+takes its best by exact cosine in double precision.
 
 Equal vectors are one point, held with its smallest ids, as many as a query can need,
 and equal queries search once; so neither a vector that many rows share nor its
-queries make a large group.
+queries make a large group. A point is known by a hash of its vector, and the hash is
+seeded anew until no two points share one.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows without an id, take no part; fewer candidates than k give what
-there is; ties go to the smaller id; rows with an equal id and vector count once;
-empty tables give none; extra columns are ignored.
+there is; ties go to the smaller id, among any number of equally near rows; rows with
+an equal id and vector count once; empty tables give none; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Sampled vectors that the trees are built on, at most (a leaf's worth for each width besides); and their seed.
-SAMPLE, SEED = 100_000, 11
-TREES, LEAF, LEAVES = 24, 512, 72
-#: Share of a forest's leaves that a query looks at: recall at 5 of 0.95 to 0.98 from 51,282 to 300,000 vectors (README).
-SHARE = 3 / 128
+#: Sampled vectors that the trees are built on, at most (a leaf's worth for each width besides), their bytes, and a seed.
+SAMPLE, SAMPLE_BYTES, SEED = 100_000, 100_000_000, 11
+TREES, LEAF, LEAVES = 10, 512, 48
+#: Share of a forest's leaves that a query looks at (README: recall).
+SHARE = 0.065
+#: Vectors of a leaf that a task holds at once, about.
+HELD = 4096
 
 
 def usable(vector: Column) -> Column:
@@ -120,6 +125,59 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
 
 
+def closest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the k best rows of ``v`` by cosine, ties by id: (query's number, row's number, score).
+
+    A matrix product picks all rows that rounding could put among the k best, equally
+    near ones included; these are compared exactly.
+    """
+    unit, keep = _unit(v), min(len(v), k)
+    who, what, how = [], [], []
+    for n in range(0, len(q), 256):
+        near = _unit(q[n : n + 256]) @ unit.T
+        least = np.partition(near, len(v) - keep, axis=1)[:, len(v) - keep]
+        i, row = np.nonzero(near >= least[:, None] - 1e-9)
+        score = cosines(q[n + i], v[row])
+        order = np.lexsort((ids[row], -score, i))
+        i, row, score = i[order], row[order], score[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        best = place < k
+        who.append(n + i[best])
+        what.append(row[best])
+        how.append(score[best])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, what, how))
+
+
+_MET = pa.schema([("qid", pa.int64()), ("pid", pa.int64()), ("score", pa.float64()), ("least", pa.int64())])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, part, pid, least, qid, v) sorted by cell and part, vectors (without qid) first: each query's best there."""
+    now, held, ids = None, [], []
+    v = np.zeros((0, 0))
+    for b in batches:
+        cell, part = (b.column(c).to_numpy() for c in (0, 1))
+        edge = np.concatenate([[0], np.nonzero((np.diff(cell) != 0) | (np.diff(part) != 0))[0] + 1, [b.num_rows]]) if b.num_rows else [0]
+        for a, z in itertools.pairwise(edge):
+            own = b.slice(a, z - a)
+            if (cell[a], part[a]) != now:
+                now, held, ids, v = (cell[a], part[a]), [], [], np.zeros((0, 0))
+            asks = own.column(4).is_valid().to_numpy(zero_copy_only=False)
+            flat = lambda rows: rows.column(5).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+            if not asks.all():
+                mine = own.filter(pa.array(~asks))
+                held.append(flat(mine))
+                ids.append(np.stack([mine.column(c).to_numpy() for c in (2, 3)], axis=1))
+                v = np.zeros((0, 0))
+            if asks.any() and held:
+                if not len(v):
+                    held, ids = [np.concatenate(held)], [np.concatenate(ids)]
+                    v = held[0]
+                here = own.filter(pa.array(asks))
+                who, what, score = closest(flat(here), v, ids[0][:, 1], k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (here.column(4).to_numpy()[who], ids[0][what, 0], score, ids[0][what, 1])], schema=_MET)
+
+
 def nearest(
     rows: DataFrame,
     is_query: Column,
@@ -131,24 +189,28 @@ def nearest(
     share: float = SHARE,
 ) -> DataFrame:
     """``rows`` (vec_id, embedding): query_id, rank, vec_id, score of the k nearest rows found for each query row."""
-    good = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    spark = rows.sparkSession
+    good = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    good = good.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     # one point for equal vectors of one width; a query needs k others at most, so k + 1 ids serve
     near = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
-    salted = good.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(near.alias("ids"))
+    salted = good.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(near.alias("ids"), F.max("asks").alias("asks"))
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
-    points = salted.groupBy("v").agg(ids.alias("ids")).withColumn("pid", F.xxhash64("v"))
-    points = written(points)
-    queries = good.filter(is_query).select("vec_id", "v").distinct()
-    asked = written(queries.groupBy("v").agg(F.count("*").alias("n")).select("v", F.xxhash64("v").alias("qid")))
+    for seed in itertools.count():
+        pid = F.xxhash64(F.lit(seed), "v").alias("pid")
+        points = written(salted.groupBy("v").agg(ids.alias("ids"), F.max("asks").alias("asks")).select("v", "ids", "asks", pid, F.xxhash64("v").alias("draw")))
+        total, known = points.agg(F.count("*"), F.countDistinct("pid")).first()
+        if total == known:
+            break
     counts = dict(points.groupBy(F.size("v").alias("w")).count().collect())
     if not counts:
-        return good.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    total = sum(counts.values())
-    # pid is a hash: its lowest values are a sample, of every width as large as its share of the points or a leaf
-    rates = {w: max(sample / total, leaf / n) for w, n in counts.items()}
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    # the lowest values of another hash are a sample, of every width as large as its share of the points or a leaf
+    most = min(sample, max(leaf, SAMPLE_BYTES * total // (8 * sum(w * n for w, n in counts.items()))))
+    rates = {w: max(most / total, leaf / n) for w, n in counts.items()}
     lowest = [(w, (1 << 63) - 1 if r >= 1 else int((r - 0.5) * (1 << 64))) for w, r in rates.items()]
-    limits = F.broadcast(good.sparkSession.createDataFrame(lowest, "w int, most bigint"))
-    picked = points.join(limits, F.size("v") == F.col("w")).filter(F.col("pid") <= F.col("most")).select("pid", "v").toArrow()
+    limits = F.broadcast(spark.createDataFrame(lowest, "w int, most bigint"))
+    picked = points.join(limits, F.size("v") == F.col("w")).filter(F.col("draw") <= F.col("most")).select("pid", "v").toArrow()
     picked = picked.sort_by("pid").column("v").combine_chunks()
     widths = picked.value_lengths().to_numpy(zero_copy_only=False)
 
@@ -156,10 +218,10 @@ def nearest(
         chosen = picked.filter(pa.array(widths == w)).flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
         return Forest(_unit(chosen), trees, leaf)
 
-    forest = good.sparkSession.sparkContext.broadcast({w: grown(w) for w in counts})
+    forest = spark.sparkContext.broadcast({w: grown(w) for w in counts})
 
     # vectors beyond the sample make leaves larger, so a leaf is dealt out in parts
-    parts = max(1, -(-total // sample))
+    parts = max(1, -(-total * leaf // (most * HELD)))
 
     def by_width(f: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
         return iter(f.groupby(f["v"].map(len).to_numpy()))
@@ -175,44 +237,33 @@ def nearest(
                     p = own.iloc[n : n + 2048]
                     unit = _unit(np.array(p["v"].tolist(), np.float64))
                     cells = np.stack([tree.leaf(unit) + names(w, [(t, 0)])[0] for t, tree in enumerate(forest.value[w].trees)], axis=1)
-                    yield pd.DataFrame({"pid": p["pid"], "v": p["v"], "cells": list(cells)})
+                    yield p.assign(cells=list(cells))
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for w, own in by_width(f):
                 woods = forest.value[w]
-                most = max(leaves, math.ceil(share * woods.leaves))
+                wanted = max(leaves, math.ceil(share * woods.leaves))
                 unit = _unit(np.array(own["v"].tolist(), np.float64))
-                found = [np.array(names(w, woods.search(u, most)), np.int64) for u in unit]
-                yield pd.DataFrame({"qid": own["qid"], "qv": own["v"], "cells": found})
-
-    def compare(asked_here: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        """The best of one part of a leaf for each query that looks there."""
-        if not len(asked_here) or not len(held):
-            return pd.DataFrame({"qid": [], "pid": [], "score": []}).astype({"qid": "int64", "pid": "int64", "score": "float64"})
-        q, v = np.array(asked_here["qv"].tolist()), np.array(held["v"].tolist())
-        pid, qid = held["pid"].to_numpy(), asked_here["qid"].to_numpy()
-        keep = min(len(v), k + 8)
-        unit, out = _unit(v), []
-        for n in range(0, len(q), 256):
-            near = np.argpartition(-(_unit(q[n : n + 256]) @ unit.T), keep - 1, axis=1)[:, :keep]
-            for i, row in enumerate(near, n):
-                score = cosines(np.repeat(q[i : i + 1], keep, axis=0), v[row])
-                best = np.lexsort((pid[row], -score))[: k + 1]
-                out.append(pd.DataFrame({"qid": qid[i], "pid": pid[row][best], "score": score[best]}))
-        return pd.concat(out)
-
-    part = F.pmod(F.col("pid"), F.lit(parts))
-    held = points.select("pid", "v").mapInPandas(index, "pid bigint, v array<double>, cells array<bigint>")
-    held = held.select("pid", "v", F.explode("cells").alias("cell"), part.alias("part"))
-    sent = asked.mapInPandas(ask, "qid bigint, qv array<double>, cells array<bigint>").select("qid", "qv", F.explode("cells").alias("cell"))
-    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("bigint"))
-    both = sent.groupBy("cell", "part").cogroup(held.groupBy("cell", "part"))
-    scored = both.applyInPandas(compare, "qid bigint, pid bigint, score double")
-    scored = scored.groupBy("qid", "pid").agg(F.max("score").alias("score"))  # a pair that meets in several leaves has one score
-    best = top(scored, "qid", [F.desc("score"), "pid"], k + 1)
+                yield own.assign(cells=[np.array(names(w, woods.search(u, wanted)), np.int64) for u in unit])
+
+    part = F.pmod(F.col("pid"), F.lit(parts)).cast("bigint").alias("part")
+    none = F.lit(None).cast("bigint")
+    held = points.select("pid", F.get("ids", F.lit(0)).alias("least"), "v").mapInPandas(index, "pid bigint, least bigint, v array<double>, cells array<bigint>")
+    held = held.select(F.explode("cells").alias("cell"), part, "pid", "least", none.alias("qid"), "v")
+    sent = points.filter("asks").select("pid", "v").mapInPandas(ask, "pid bigint, v array<double>, cells array<bigint>")
+    sent = sent.select(F.explode("cells").alias("cell"), "pid", "v").select(
+        "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), "pid", none.alias("least"), F.col("pid").alias("qid"), "v"
+    )
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = held.unionByName(sent).repartition(n, "cell", "part").sortWithinPartitions("cell", "part", F.col("qid").asc_nulls_first())
+    scored = both.mapInArrow(lambda b: _meet(b, k + 1), "qid bigint, pid bigint, score double, least bigint")
+    scored = scored.groupBy("qid", "pid").agg(F.max("score").alias("score"), F.max("least").alias("least"))  # a pair that meets in several leaves has one score
+    # k + 1 points in this order hold the k best rows, whatever further ids they have
+    best = top(scored, "qid", [F.desc("score"), "least"], k + 1)
     found = best.join(points.select("pid", "ids"), "pid").select("qid", "score", F.explode("ids").alias("vec_id"))
-    named = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("qid")).join(found, "qid").filter("query_id != vec_id")
+    asked = good.filter("asks").select(F.col("vec_id").alias("query_id"), F.xxhash64(F.lit(seed), "v").alias("qid")).distinct()
+    named = asked.join(found, "qid").filter("query_id != vec_id")
     return top(named, "query_id", [F.desc("score"), "vec_id"], k, "rank").select("query_id", "rank", "vec_id", "score")
 
 
