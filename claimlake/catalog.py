@@ -2,63 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import intervals, limits, text, vectors
-from .operators import acl, anchor, audit, chunk, dedup, nominate, quota, recall, reports, retrieval, scd
+from .operators import acl, dedup, nominate, quota, recall, reports, retrieval, scd
 from .plans import fixtures as fx
 from .plans.sql import CAPTURES, CLAIM_ACL, CLAIMS, EVIDENCE, EVIDENCE_ACL, LEDGER, NOW, PERMITTED, SPACE, stamp, with_
-from .sources import claims as live
+from .registry import ORACLE_SQL, QUERIES, query, ts
+from .sources.scratch import written
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: Limits small enough to bind on the driver tables.
-CFG = limits.LimitConfig(contribution_quota=3, max_inference_calls=5, max_input_tokens=20_000, recall_rate=5, scope_claim_ceiling=20, max_login_attempts=3)
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def ts(column: str | Column, name: str | None = None) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name or column)
+CFG = limits.LimitConfig(contribution_quota=3, max_inference_calls=5, max_input_tokens=20_000, recall_rate=5, scope_claim_ceiling=20, max_login_attempts=3, max_package_claims=8)
 
 
 # -- retrieval -------------------------------------------------------------------------------------------------------------------
 
-_QUERIES = """queries AS (SELECT e.vec_id AS query_id, 'p' || ((e.vec_id // 100) % 5) AS principal_id, e.embedding AS vec,
-  [string_split(lower(regexp_replace(d.text, '[^\\pL\\pN]+', ' ', 'g')), ' ')[4], string_split(lower(regexp_replace(d.text, '[^\\pL\\pN]+', ' ', 'g')), ' ')[8]] AS ws
-  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id WHERE e.vec_id % 100 = 0)"""
 _STOP = "(" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + ")"
+_QUERIES = f"""queries AS (SELECT *, ws[1] AS a, ws[2] AS b, w[4] AS p1, w[5] AS p2, (query_id // 20) % 4 AS turn, CASE WHEN (query_id // 20) % 3 = 0 THEN 8 ELSE 5 END AS lim,
+  CASE WHEN (query_id // 20) % 3 = 0 THEN 20000 ELSE 3000 END AS budget FROM
+  (SELECT *, list_filter(w, lambda x: x <> '' AND x NOT IN {_STOP}) AS ws FROM
+  (SELECT e.vec_id AS query_id, 'p' || ((e.vec_id // 20) % 5) AS principal_id, e.embedding AS vec, string_split(lower(regexp_replace(d.text, '[^\\pL\\pN]+', ' ', 'g')), ' ') AS w
+  FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id WHERE e.vec_id % 20 = 0)))"""
 _DENSE = """dense AS (SELECT * FROM (SELECT query_id, claim_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw, claim_id) AS rank FROM (
   SELECT q.query_id, CAST(v.vec_id AS VARCHAR) AS claim_id, -list_inner_product(q.vec::DOUBLE[], v.embedding::DOUBLE[]) AS raw
   FROM queries q, embeddings v, claims c WHERE c.id = CAST(v.vec_id AS VARCHAR) AND c.superseded_at IS NULL)) WHERE rank <= 50)"""
-_LEXICAL = f"""toks AS (SELECT claim_id, id AS evidence_id, list_filter(regexp_split_to_array(lower(extracted_text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM evidence
+_PLAIN = f"IS NOT NULL AND {{0}} <> '' AND {{0}} NOT IN {_STOP}"
+_LEXICAL = f"""toks AS (SELECT claim_id, id AS evidence_id, list_filter(regexp_split_to_array(lower(extracted_text), '[^\\pL\\pN]+'), lambda x: x <> '') AS t FROM evidence
   WHERE claim_id IN (SELECT id FROM claims WHERE superseded_at IS NULL)),
-each AS (SELECT claim_id, evidence_id, len(w) AS n_terms, unnest(w) AS term FROM toks),
+each AS (SELECT claim_id, evidence_id, len(t) AS n_terms, unnest(t) AS term FROM toks),
 post AS (SELECT claim_id, evidence_id, term, count(*) AS tf, any_value(n_terms) AS n_terms FROM each WHERE term NOT IN {_STOP} GROUP BY ALL),
 size AS (SELECT count(*) AS n_docs, avg(n_terms) AS avg_terms FROM (SELECT DISTINCT evidence_id, n_terms FROM post)),
 df AS (SELECT term, count(DISTINCT evidence_id) AS df FROM post GROUP BY term),
-terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(ws) AS term FROM queries) WHERE term NOT IN {_STOP} AND term <> ''),
+terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(CASE turn WHEN 1 THEN CASE WHEN p1 IS NULL OR p2 IS NULL THEN [] ELSE [p1, p2] END WHEN 2 THEN [a] ELSE [a, b] END) AS term FROM queries)
+  WHERE term {_PLAIN.format("term")}),
+good AS (SELECT query_id, evidence_id FROM queries q JOIN toks ON CASE turn
+  WHEN 0 THEN coalesce(list_contains(t, a), false) OR coalesce(list_contains(t, b), false)
+  WHEN 1 THEN p1 IS NOT NULL AND p2 IS NOT NULL AND CASE
+    WHEN p1 {_PLAIN.format("p1")} AND p2 {_PLAIN.format("p2")} THEN contains(' ' || array_to_string(t, ' ') || ' ', ' ' || p1 || ' ' || p2 || ' ')
+    WHEN p1 {_PLAIN.format("p1")} THEN list_contains(t, p1) WHEN p2 {_PLAIN.format("p2")} THEN list_contains(t, p2) ELSE false END
+  WHEN 2 THEN coalesce(list_contains(t, a), false) AND NOT coalesce(list_contains(t, b), false)
+  ELSE a IS NOT NULL AND list_contains(t, a) AND (b IS NULL OR list_contains(t, b)) END),
 scored AS (SELECT t.query_id, p.claim_id, p.evidence_id,
   sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / avg_terms)))) AS raw
-  FROM terms t JOIN post p USING (term) JOIN df USING (term), size GROUP BY ALL),
+  FROM terms t JOIN post p USING (term) JOIN df USING (term) JOIN good g ON g.query_id = t.query_id AND g.evidence_id = p.evidence_id, size GROUP BY ALL),
 lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, claim_id) AS rank FROM (
   SELECT query_id, claim_id, round(max(raw), 6) AS raw FROM scored GROUP BY ALL)) WHERE rank <= 50)"""
 _FUSED = """fused AS (SELECT query_id, claim_id, coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + l.rank), 0) AS score,
-  d.rank AS dr, l.rank AS lr FROM dense d FULL JOIN lexical l USING (query_id, claim_id)),
+  d.rank AS dr, l.rank AS lr, d.raw AS draw, l.raw AS lraw FROM dense d FULL JOIN lexical l USING (query_id, claim_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS fused_rank FROM fused)"""
 _ARMS = (CLAIMS, EVIDENCE, _QUERIES, _DENSE, _LEXICAL, _FUSED)
 
@@ -72,9 +65,9 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
+    """A table in its own right, read several times by one search."""
     rows = fx.evidence(spark, sf).select("claim_id", F.col("id").alias("evidence_id"), F.col("extracted_text").alias("text"))
-    # a table in its own right, read several times by one search: kept, on disk where memory is short, and recomputed if lost
-    return retrieval.build_postings(rows.join(_live_ids(spark, sf), "claim_id", "left_semi")).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(retrieval.build_postings(rows.join(_live_ids(spark, sf), "claim_id", "left_semi")))
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +75,8 @@ def _lexical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.fuse_rrf(_dense(spark, sf).unionByName(_lexical(spark, sf)))
+    """What both arms found, as a table, for requests that are a table too."""
+    return recall.search(written(fx.queries(spark, sf)), fx.vectors(spark, sf), _postings(spark, sf), fx.claims(spark, sf), digits=6)
 
 
 @query(with_(CLAIMS, _QUERIES, _DENSE) + "SELECT query_id, claim_id, CAST(rank AS INTEGER) AS rank, round(raw, 9) AS raw FROM dense")
@@ -123,10 +117,14 @@ def single_arm_share(spark, sf):
     return out.select("query_id", "arm", F.round("share", 9).alias("share"), retrieval.dominance_alarm(F.col("share")).alias("alarm"))
 
 
-@query(with_(*_ARMS) + "SELECT query_id, claim_id AS arm, 0 AS deepest FROM ranked WHERE dr > 50 OR lr > 50")
+@query(
+    with_(*_ARMS[:-1])
+    + "SELECT query_id, 'dense' AS arm, CAST(max(rank) AS INTEGER) AS deepest FROM dense GROUP BY ALL HAVING max(rank) > 40 "
+    "UNION ALL SELECT query_id, 'lexical', CAST(max(rank) AS INTEGER) FROM lexical GROUP BY ALL HAVING max(rank) > 40"
+)
 def equal_depth(spark, sf):
-    """K3: arms that went deeper than asked; none."""
-    return retrieval.equal_depth_check(_dense(spark, sf).unionByName(_lexical(spark, sf)))
+    """K3: arms that went deeper than forty."""
+    return retrieval.equal_depth_check(_dense(spark, sf).unionByName(_lexical(spark, sf)), 40)
 
 
 @query(
@@ -141,54 +139,64 @@ def hybrid_recall(spark, sf):
     return acl.acl_filter(hits, allowed).select("query_id", "claim_id", "fused_rank", F.round("score", 9).alias("score"))
 
 
-def _recall(spark: SparkSession, sf: str) -> DataFrame:
+def _recall(spark: SparkSession, sf: str, fused: DataFrame) -> DataFrame:
     return recall.recall(
-        fx.queries(spark, sf), fx.vectors(spark, sf), _postings(spark, sf), fx.claims(spark, sf), fx.links(spark, sf), fx.evidence(spark, sf),
-        fx.claim_acl(spark, sf), fx.evidence_acl(spark, sf), digits=6,
-    )
+        fx.queries(spark, sf), fused, fx.claims(spark, sf), fx.links(spark, sf), fx.evidence(spark, sf).drop("claim_id"), fx.claim_acl(spark, sf), fx.evidence_acl(spark, sf), CFG
+    )
 
 
 _TOKENS = r"len(regexp_extract_all(coalesce({0}, ''), '[\pL\pN_]+|[^\s\pL\pN_]'))"
 _PACK = (
-    f"""readable AS (SELECT query_id, claim_id, fused_rank, {_TOKENS.format("c.statement")} + (SELECT sum({_TOKENS.format("e.extracted_text")}) FROM evidence e WHERE e.claim_id = r.claim_id) AS tokens
+    f"""readable AS (SELECT query_id, lim, budget, claim_id, fused_rank, {_TOKENS.format("c.statement")} + (SELECT sum({_TOKENS.format("e.extracted_text")}) FROM evidence e WHERE e.claim_id = r.claim_id) AS tokens
   FROM ranked r JOIN queries USING (query_id) JOIN permitted USING (claim_id, principal_id) JOIN claims c ON c.id = claim_id),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS k FROM readable),"""
-    """ packed AS (SELECT query_id, k, claim_id, fused_rank, tokens, tokens <= 3000 AS kept, CASE WHEN tokens <= 3000 THEN tokens ELSE 0 END AS used,
-  CASE WHEN tokens <= 3000 THEN 1 ELSE 0 END AS n FROM ordered WHERE k = 1 UNION ALL
-  SELECT o.query_id, o.k, o.claim_id, o.fused_rank, o.tokens, p.n < 5 AND p.used + o.tokens <= 3000,
-    p.used + CASE WHEN p.n < 5 AND p.used + o.tokens <= 3000 THEN o.tokens ELSE 0 END, p.n + CASE WHEN p.n < 5 AND p.used + o.tokens <= 3000 THEN 1 ELSE 0 END
+    """ packed AS (SELECT query_id, k, claim_id, fused_rank, tokens, tokens <= budget AS kept, CASE WHEN tokens <= budget THEN tokens ELSE 0 END AS used,
+  CASE WHEN tokens <= budget THEN 1 ELSE 0 END AS n FROM ordered WHERE k = 1 UNION ALL
+  SELECT o.query_id, o.k, o.claim_id, o.fused_rank, o.tokens, p.n < o.lim AND p.used + o.tokens <= o.budget,
+    p.used + CASE WHEN p.n < o.lim AND p.used + o.tokens <= o.budget THEN o.tokens ELSE 0 END, p.n + CASE WHEN p.n < o.lim AND p.used + o.tokens <= o.budget THEN 1 ELSE 0 END
   FROM packed p JOIN ordered o ON o.query_id = p.query_id AND o.k = p.k + 1)
 """
 )
+_RECALLED = "WITH RECURSIVE " + ",\n".join((*_ARMS, CLAIM_ACL, EVIDENCE_ACL, PERMITTED, _PACK))
+_ACCOUNTS = f"""SELECT q.query_id, any_value(q.budget) AS budget, (SELECT count(*) FROM ranked r WHERE r.query_id = q.query_id) AS candidates, count(p.claim_id) AS authorized, count(*) FILTER (WHERE kept) AS returned,
+  count(*) FILTER (WHERE NOT kept) AS omitted, CAST(coalesce(sum(tokens) FILTER (WHERE kept), 0) AS BIGINT) AS tokens_used,
+  coalesce(epoch({NOW} - min(c.recorded_at) FILTER (WHERE kept)), 0.0) AS staleness
+  FROM queries q LEFT JOIN packed p USING (query_id) LEFT JOIN claims c ON c.id = p.claim_id GROUP BY q.query_id"""
 
 
-@query("WITH RECURSIVE " + ",\n".join((*_ARMS, CLAIM_ACL, EVIDENCE_ACL, PERMITTED, _PACK)) + "SELECT query_id, claim_id, CAST(fused_rank AS INTEGER) AS fused_rank, CAST(tokens AS BIGINT) AS tokens, kept FROM packed")
+@query(_RECALLED + "SELECT query_id, claim_id, CAST(fused_rank AS INTEGER) AS fused_rank, CAST(tokens AS BIGINT) AS tokens, kept FROM packed")
 def budget_pack(spark, sf):
-    """Recall end to end, packed into a limit and a token budget."""
-    return _recall(spark, sf).select("query_id", "claim_id", "fused_rank", "tokens", "kept")
+    """Recall end to end, packed into a limit, which the package cap bounds, and a token budget."""
+    return _recall(spark, sf, _fused(spark, sf)).select("query_id", "claim_id", "fused_rank", "tokens", "kept")
 
 
-@query(
-    "WITH RECURSIVE " + ",\n".join((*_ARMS, CLAIM_ACL, EVIDENCE_ACL, PERMITTED, _PACK))
-    + f"""SELECT q.query_id, (SELECT count(*) FROM ranked r WHERE r.query_id = q.query_id) AS candidates, count(p.claim_id) AS authorized, count(*) FILTER (WHERE kept) AS returned,
-  count(*) FILTER (WHERE NOT kept) AS omitted, CAST(coalesce(sum(tokens) FILTER (WHERE kept), 0) AS BIGINT) AS tokens_used,
-  coalesce(epoch({NOW} - min(c.recorded_at) FILTER (WHERE kept)), 0.0) AS staleness
-  FROM queries q LEFT JOIN packed p USING (query_id) LEFT JOIN claims c ON c.id = p.claim_id GROUP BY q.query_id"""
-)
+@query(_RECALLED + f"SELECT query_id, candidates, authorized, returned, omitted, tokens_used, staleness FROM ({_ACCOUNTS})")
 def recall_accounting(spark, sf):
     """What each request found, may read, got and left out, and how stale it is."""
-    out = recall.recall_accounting(fx.queries(spark, sf), _fused(spark, sf), _recall(spark, sf))
+    fused = _fused(spark, sf)
+    out = recall.recall_accounting(fx.queries(spark, sf), fused, _recall(spark, sf, fused))
     return out.select("query_id", "candidates", "authorized", "returned", "omitted", "tokens_used", "staleness")
 
 
-@query()
+@query(
+    _RECALLED
+    + f""", accounts AS ({_ACCOUNTS}), shown AS (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM packed p WHERE kept),
+  proofs AS (SELECT claim_id, string_agg('  evidence   ' || source_path || ':' || line_start || '-' || line_end || chr(10) || '    | ' || replace(extracted_text, chr(10), chr(10) || '    | ') || chr(10), ''
+    ORDER BY source_path, line_start, id) AS proof FROM evidence GROUP BY claim_id),
+  blocks AS (SELECT s.query_id, s.position, 'claim ' || s.position || ' of ' || s.total || chr(10) || '  id         ' || s.claim_id || chr(10) || '  kind       ' || c.kind || chr(10) || '  statement  ' || c.statement || chr(10)
+    || printf('  score      %.6f (confidence %.2f)', r.score, c.confidence) || chr(10) || proof || chr(10) AS block
+    FROM shown s JOIN claims c ON c.id = s.claim_id JOIN ranked r ON r.query_id = s.query_id AND r.claim_id = s.claim_id JOIN proofs f ON f.claim_id = s.claim_id)
+  SELECT a.query_id, '{recall.PREAMBLE}' || chr(10) || chr(10) || '{recall.DATA_BEGIN}' || chr(10) || coalesce((SELECT string_agg(block, '' ORDER BY position) FROM blocks b WHERE b.query_id = a.query_id), 'No claims matched.' || chr(10))
+    || '{recall.DATA_END}' || chr(10) || chr(10) || 'as_of ' || strftime({NOW}, '%Y-%m-%dT%H:%M:%SZ') || printf(', staleness %.0fs, %d returned, %d omitted, %d/%d tokens.', CAST(staleness AS DOUBLE), returned, omitted, tokens_used, budget) || chr(10)
+    || CASE WHEN omitted > 0 THEN 'The limits left out ' || omitted || ' readable claims.' || chr(10) ELSE '' END AS context FROM accounts a"""
+)
 def assemble_context(spark, sf):
     """One fenced text for each request."""
-    kept = _recall(spark, sf).filter("kept")
-    full = recall.hydrate(fx.claims(spark, sf).select("id", "kind", "statement", "confidence"), fx.links(spark, sf), fx.evidence(spark, sf)).withColumnRenamed("id", "claim_id")
+    fused, asked = _fused(spark, sf), fx.queries(spark, sf)
+    packed = written(_recall(spark, sf, fused))
     position = F.row_number().over(Window.partitionBy("query_id").orderBy("fused_rank")).alias("position")
-    rows = kept.join(full, "claim_id").select("query_id", position, "claim_id", "kind", "statement", "score", "confidence", "evidence")
-    return recall.assemble_context(recall.recall_accounting(fx.queries(spark, sf), _fused(spark, sf), _recall(spark, sf)), rows)
+    rows = packed.filter("kept").select("query_id", position, "claim_id", "kind", "statement", "score", "confidence", "evidence")
+    return recall.assemble_context(recall.recall_accounting(asked, fused, packed), rows)
 
 
 # -- access ----------------------------------------------------------------------------------------------------------------------
@@ -369,7 +377,7 @@ def prune_scopes(spark, sf):
   UNION ALL SELECT 'inserted', repo, path, ordinal FROM old o JOIN new n USING (repo, path, ordinal) WHERE o.sha <> n.sha"""
 )
 def seed_merge(spark, sf):
-    """Chunks against the live snapshot."""
+    """B1: chunks against the live snapshot."""
     d = fx.table(spark, sf, "documents")
     key = [F.col("source").alias("repo"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 2)).alias("path"), (F.col("doc_id") % 2).cast("int").alias("ordinal")]
     old = d.filter("doc_id % 5 != 0").select(*key, F.sha2("text", 256).alias("content_sha256"), F.substring("text", 1, 50).alias("statement"), F.col("doc_id").cast("string").alias("id"))
@@ -406,7 +414,7 @@ def attest_claims(spark, sf):
     "FROM ledger WHERE kind = 'inference' AND recorded_at > TIMESTAMP '2024-01-10 00:00:00' GROUP BY ALL"
 )
 def usage_by_scope(spark, sf):
-    """Inference of each scope."""
+    """G1: inference of each scope."""
     return reports.usage_by_scope(fx.ledger(spark, sf), F.lit("2024-01-10").cast("timestamp"))
 
 
@@ -481,81 +489,47 @@ def trailing_count(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", F.count("*").over(w).alias("n"))
 
 
-@query()
-def replay_admission(spark, sf):
-    """M7: admission in event order; denied events do not count."""
-    e = fx.ledger(spark, sf).select(F.col("id").alias("event_id"), "principal_id", F.col("recorded_at").alias("ts"), F.col("inference_calls").alias("calls"), F.col("input_tokens").alias("tokens"))
-    return quota.replay_admission(e, CFG).select("event_id", "principal_id", "denied_reason")
+def _gate_sql(rows: str, window: int, short: int, reason: str) -> str:
+    """Admission as a recursion over each principal's events; the state is the list of what was admitted."""
+    return f"""WITH RECURSIVE {LEDGER}, ev AS (SELECT *, row_number() OVER (PARTITION BY principal_id ORDER BY us, event_id) AS k FROM ({rows})),
+  run AS (SELECT principal_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS denied_reason, CAST([] AS STRUCT(us BIGINT, c BIGINT, t BIGINT)[]) AS st FROM (SELECT DISTINCT principal_id FROM ev)
+  UNION ALL SELECT principal_id, k, event_id, reason, CASE WHEN reason IS NULL THEN list_append(st, {{'us': us, 'c': calls, 't': tokens}}) ELSE st END FROM (
+    SELECT *, {reason} AS reason FROM (SELECT e.principal_id, e.k, e.event_id, e.us, e.calls, e.tokens, list_filter(r.st, lambda x: x.us > e.us - {window}) AS st,
+      coalesce(list_sum(list_transform(list_filter(r.st, lambda x: x.us > e.us - {short}), lambda x: x.c)), 0) AS sc,
+      coalesce(list_sum(list_transform(list_filter(r.st, lambda x: x.us > e.us - {short}), lambda x: x.t)), 0) AS stok
+      FROM run r JOIN ev e ON e.principal_id = r.principal_id AND e.k = r.k + 1)))
+  SELECT event_id, principal_id, denied_reason FROM run WHERE k > 0"""
 
 
-@query()
-def recall_gate(spark, sf):
-    """M8: the recall rate alone."""
-    e = fx.ledger(spark, sf).filter("kind = 'recall'").select(F.col("id").alias("event_id"), "principal_id", F.col("recorded_at").alias("ts"))
-    return quota.recall_gate(e, CFG).select("event_id", "principal_id", "denied_reason")
-
-
-# -- documents and anchors -------------------------------------------------------------------------------------------------------
+_HOUR = 3_600_000_000
 
 
 @query(
-    """WITH l AS (SELECT doc_id, source, string_split(CASE WHEN text LIKE '%' || chr(10) THEN text[:-2] ELSE text END, chr(10)) AS ls FROM documents WHERE text <> ''),
-  e AS (SELECT doc_id, source, i AS line, ls[i] AS t FROM l, unnest(range(1, len(ls) + 1)) u(i)),
-  c AS (SELECT doc_id, source, (line - 1) // 40 AS part, min(line) AS line_start, max(line) AS line_end, regexp_replace(string_agg(t, chr(10) ORDER BY line), '^[\\s\\x0B\\x{85}\\pZ]+|[\\s\\x0B\\x{85}\\pZ]+$', '', 'g') AS text FROM e GROUP BY ALL)
-  SELECT source AS repo, 'docs/' || doc_id || '.md' AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS ordinal,
-  CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, sha256(text) AS content_sha256 FROM c WHERE text <> ''"""
-)
-def chunk_documents(spark, sf):
-    """Whole documents in chunks of at most forty lines."""
-    d = fx.table(spark, sf, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("path"), "text")
-    return chunk.chunk_documents(d).select("repo", "path", "ordinal", "line_start", "line_end", "content_sha256")
-
-
-@query()
-def chunk_markdown(spark, sf):
-    """Chunks at headings, outside fences."""
-    return chunk.chunk_documents(fx.markdown(spark, sf)).select("repo", "path", "ordinal", "heading", "line_start", "line_end", "statement")
-
-
-@query()
-def heading_sections(spark, sf):
-    """Headings with their paths and extents."""
-    return chunk.heading_sections(fx.markdown(spark, sf))
-
-
-@query()
-def code_sections(spark, sf):
-    """Definitions with their paths, in code made from the documents' words."""
-    d = fx.table(spark, sf, "documents").filter(F.col("text").isNotNull())
-    w = F.transform(F.filter(F.split("text", r"[^a-zA-Z]+"), lambda x: x != ""), lambda x: F.concat(F.lit("w"), x))
-    lines = F.transform(w, lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("class "), x, F.lit(":"))).when(i % 4 == 1, F.concat(F.lit("    def "), x, F.lit("(self):"))).otherwise(F.concat(F.lit("        return "), x)))
-    files = d.select(F.col("source").alias("repo"), F.concat("doc_id", F.lit(".py")).alias("path"), F.array_join(lines, "\n").alias("text"))
-    return anchor.code_sections(files)
-
-
-def _anchors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Anchors of the Markdown documents' sections, and the files with every third one edited and every fifth gone."""
-    files = fx.markdown(spark, sf)
-    spans = chunk.heading_sections(files).select("repo", "path", F.col("line_start"), F.col("line_start").alias("line_end"))
-    anchors = anchor.compute_anchor(files, spans)
-    number = F.regexp_extract("path", r"(\d+)", 1).cast("bigint")
-    later = files.filter(number % 5 != 0).withColumn("text", F.when(number % 3 == 0, F.regexp_replace("text", "e", "ee")).otherwise(F.regexp_replace("text", "\n", " \n")))
-    return anchors, later
+    _gate_sql(
+        "SELECT id AS event_id, principal_id, epoch_us(recorded_at) AS us, CAST(inference_calls AS BIGINT) AS calls, input_tokens AS tokens FROM ledger", _HOUR, _HOUR,
+        "CASE WHEN sc >= 5 OR stok >= 20000 THEN 'cost_ceiling' WHEN len(st) >= 3 THEN 'contribution_quota' END",
+    )
+)
+def replay_admission(spark, sf):
+    """Admission in event order; denied events do not count."""
+    e = fx.ledger(spark, sf).select(F.col("id").alias("event_id"), "principal_id", F.col("recorded_at").alias("ts"), F.col("inference_calls").alias("calls"), F.col("input_tokens").alias("tokens"))
+    return quota.replay_admission(e, CFG).select("event_id", "principal_id", "denied_reason")
 
 
-@query()
-def resolve_anchor(spark, sf):
-    """Whether each anchor still holds."""
-    anchors, later = _anchors(spark, sf)
-    return anchor.resolve_anchor(anchors, later).select("repo", "path", "line_start", "symbol_path", "verdict", "expires")
+@query(
+    _gate_sql(
+        "SELECT id AS event_id, 'u' || (id % 40) AS principal_id, epoch_us(recorded_at) AS us, CAST(0 AS BIGINT) AS calls, CAST(0 AS BIGINT) AS tokens FROM ledger WHERE kind = 'recall'", _HOUR, _HOUR,
+        "CASE WHEN len(st) >= 5 THEN 'recall_rate' END",
+    )
+)
+def recall_gate(spark, sf):
+    """M8: the recall rate alone, over an hour."""
+    cfg = limits.LimitConfig(recall_rate=5, recall_window=CFG.contribution_window)
+    e = fx.ledger(spark, sf).filter("kind = 'recall'").select(F.col("id").alias("event_id"), F.concat(F.lit("u"), F.col("id") % 40).alias("principal_id"), F.col("recorded_at").alias("ts"))
+    return quota.recall_gate(e, cfg).select("event_id", "principal_id", "denied_reason")
 
 
-@query()
-def reanchor_report(spark, sf):
-    """Verdicts by repository."""
-    anchors, later = _anchors(spark, sf)
-    number = F.regexp_extract("path", r"(\d+)", 1)
-    return anchor.reanchor(fx.claims(spark, sf), anchors.withColumn("claim_id", number), later, fx.now())[2]
+# -- captures ------------------------------------------------------------------------------------------------------------------
 
 
 @query(
@@ -570,9 +544,14 @@ def locate_quotes(spark, sf):
     return out.filter("located").select("job_id", "quote", "located", "line_start")
 
 
-@query()
+@query(
+    with_(CAPTURES)
+    + """SELECT job_id, count(*) FILTER (WHERE found) AS written, count(*) FILTER (WHERE NOT found) AS dropped_no_evidence FROM (SELECT job_id, strpos(source, quote) > 0 AS found, quote, statement, k
+  FROM (SELECT job_id, source, CASE WHEN length(source) % 4 = 0 THEN 'this is nowhere' ELSE substring(source, 11, 40) END AS quote, substring(source, 1, 80) AS statement, length(source) AS k FROM captures WHERE trim(source) <> ''))
+  WHERE k % 9 <> 0 AND k % 13 <> 0 AND trim(quote) <> '' AND trim(statement) <> '' GROUP BY job_id"""
+)
 def write_candidates(spark, sf):
-    """Located candidates with anchors, counted by job."""
+    """Located candidates, counted by job."""
     return nominate.write_candidates(fx.candidates(spark, sf), nominate.capture_defaults(fx.captures(spark, sf)))[1]
 
 
@@ -606,11 +585,11 @@ def parse_model_responses(spark, sf):
 
 @query(
     with_(CAPTURES)
-    + f"SELECT job_id, length('{nominate.INSTRUCTION}') + 2 + length('Source path: ' || conv_id || '/' || turn || '.txt') + 1 + length(source) + {len(nominate.SOURCE_BEGIN) + len(nominate.SOURCE_END) + 4} AS n_chars FROM captures"
+    + f"SELECT job_id, '{nominate.INSTRUCTION}' || chr(10) || chr(10) || 'Source path: ' || conv_id || '/' || turn || '.txt' || chr(10) || chr(10) || '{nominate.SOURCE_BEGIN}' || chr(10) || source || chr(10) || '{nominate.SOURCE_END}' || chr(10) AS prompt FROM captures"
 )
 def build_prompts(spark, sf):
     """A prompt for each capture."""
-    return nominate.build_prompts(fx.captures(spark, sf)).select("job_id", F.length("prompt").cast("bigint").alias("n_chars"))
+    return nominate.build_prompts(fx.captures(spark, sf))
 
 
 @query(f"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '{SPACE}', ' ', 'g'))) AS statement_hash, CASE WHEN trim(regexp_replace(text, '{SPACE}', ' ', 'g')) = '' THEN '' ELSE sha256(trim(regexp_replace(text, '{SPACE}', ' ', 'g'))) END AS node_hash, "
@@ -652,19 +631,14 @@ def hydrate(spark, sf):
 
 
 @query(
-    ORACLE_SQL["seed_merge"].replace("SELECT CASE", "SELECT action, count(*) AS n FROM (SELECT CASE", 1) + ") GROUP BY action"
+    with_(*_ARMS)
+    + """SELECT query_id, claim_id, concat_ws(' + ', CASE WHEN dr IS NOT NULL THEN printf('dense(rank %d, raw %.4f) %.6f', dr, draw, 1.0 / (60 + dr)) END,
+  CASE WHEN lr IS NOT NULL THEN printf('lexical(rank %d, raw %.4f) %.6f', lr, lraw + 1e-9, 1.0 / (60 + lr)) END) AS explained FROM ranked"""
 )
-def seed_actions(spark, sf):
-    """Counts of what a re-seeding did."""
-    return seed_merge(spark, sf).groupBy("action").agg(F.count("*").alias("n"))
-
-
-@query(with_(*_ARMS) + "SELECT query_id, claim_id, CASE WHEN dr IS NULL THEN 'lexical' WHEN lr IS NULL THEN 'dense' ELSE 'dense+lexical' END AS arms FROM ranked")
 def explain_arms(spark, sf):
-    """Which arms found each claim, in the order of their names."""
-    fused = _fused(spark, sf)
+    """How each arm contributed to each claim."""
     text_of = retrieval.explain_contributions(F.col("contributions"))
-    return fused.withColumn("explained", text_of).select("query_id", "claim_id", F.array_join("contributions.arm", "+").alias("arms"))
+    return _fused(spark, sf).select("query_id", "claim_id", text_of.alias("explained"))
 
 
 @query(
@@ -679,33 +653,4 @@ def cost_attribution(spark, sf):
     return out.groupBy("principal_id").agg(F.sum("inference_calls").alias("calls"), F.sum("input_tokens").alias("input_tokens"))
 
 
-# -- audit -----------------------------------------------------------------------------------------------------------------------
-
-
-@query(
-    with_(CLAIMS, EVIDENCE)
-    + """SELECT 'claims' AS "table", 'confidence in [0, 1]' AS rule, id AS key FROM claims WHERE CAST(id AS BIGINT) % 50 = 1
-  UNION ALL SELECT 'claims', 'kind in set', id FROM claims WHERE CAST(id AS BIGINT) % 60 = 2
-  UNION ALL SELECT 'claims', 'valid interval', id FROM claims WHERE CAST(id AS BIGINT) % 70 = 3
-  UNION ALL SELECT 'claims', 'live claim has evidence', id FROM claims WHERE superseded_at IS NULL AND CAST(id AS BIGINT) % 90 = 5
-  UNION ALL SELECT 'claims', 'reason needs closing', id FROM claims WHERE superseded_at IS NULL AND supersede_reason IS NOT NULL
-  UNION ALL SELECT 'claims', 'statement not empty', id FROM claims WHERE statement = ''
-  UNION ALL SELECT 'claim_evidence', 'evidence_id exists', claim_id || '/' || id FROM evidence WHERE CAST(claim_id AS BIGINT) % 90 <> 5 AND CAST(claim_id AS BIGINT) % 80 = 4"""
-)
-def audit_constraints(spark, sf):
-    """Q1 to Q13 over tables with violations planted."""
-    k = F.col("id").cast("bigint")
-    c = fx.claims(spark, sf)
-    c = c.withColumn("confidence", F.when(k % 50 == 1, 1.5).otherwise(F.col("confidence"))).withColumn("kind", F.when(k % 60 == 2, "Rumour").otherwise(F.col("kind")))
-    c = c.withColumn("valid_until", F.when(k % 70 == 3, F.col("valid_from")).otherwise(F.col("valid_until")))
-    owner = F.col("claim_id").cast("bigint")
-    links = fx.links(spark, sf).filter(owner % 90 != 5)
-    e = fx.evidence(spark, sf).filter(owner % 80 != 4).drop("claim_id")
-    return audit.audit_constraints({"claims": c, "evidence": e, "claim_evidence": links})
-
-
-@query(with_(CLAIMS, EVIDENCE) + "SELECT claim_id, id AS evidence_id, source_path FROM evidence WHERE CAST(claim_id AS BIGINT) % 10 = 3")
-def load_evidence(spark, sf):
-    """Evidence of given claims."""
-    wanted = fx.claims(spark, sf).filter("cast(id as bigint) % 10 = 3").select(F.col("id").alias("claim_id"))
-    return live.load_evidence(fx.links(spark, sf), fx.evidence(spark, sf).drop("claim_id"), wanted).select("claim_id", "evidence_id", "source_path")
+from . import catalog_docs, catalog_tables  # noqa: E402, F401  they register their queries

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_normalized, lang_of
-from .chunk import _DOC, heading_sections, section_paths, split_lines
+from .chunk import _DOC, heading_marks, outline, split_lines
 from .scd import expire_claims
 
 CONTEXT_LINES = 3
@@ -50,19 +50,23 @@ _WORD = r"[\p{L}_$~][\p{L}\p{N}_$]*"
 _TOKEN = rf"{_WORD}(?:(?:\.|::|\\){_WORD})*[?]?|\S"
 
 
+def _among(token: Column, words: tuple[str, ...]) -> Column:
+    return F.array_contains(F.split(F.lit(" ".join(words)), " "), token)
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _flat(line: Column) -> Column:
-    """The line with string literals and type arguments left out and each parenthesis as one sign."""
+    """The line without string literals, type arguments and annotations, and with each parenthesis as one sign."""
     line = F.regexp_replace(line, r'"[^"]*"', "")
     for _ in range(4):
         line = F.regexp_replace(line, r"\([^()]*\)", _GROUP)
     for _ in range(3):
         line = F.regexp_replace(line, r"<[^<>]*>", " ")
-    return F.regexp_replace(line, f"^pub{_GROUP}", "pub ")
+    return F.regexp_replace(F.regexp_replace(line, f"^pub{_GROUP}", "pub "), rf"^(?:@[\w.]+{_GROUP}?\s+)+", "")
 
 
 def _words(flat: Column) -> Column:
@@ -75,7 +79,7 @@ def _is_word(token: Column) -> Column:
 
 def _by_keyword(lang: Column, definers: Column, line: Column, words: Column) -> Column:
     """modifiers* keyword+ name, where a name can be a word of the languages itself."""
-    known = F.transform(words, lambda t: t.isin(*MODIFIERS) | F.array_contains(definers, t))
+    known = F.transform(words, lambda t: _among(t, MODIFIERS) | F.array_contains(definers, t))
     stop = F.array_position(known, False)
     return _let(F.when(stop > 0, stop - 1).otherwise(F.size(words)).cast("int"), lambda n: _named(lang, definers, line, words, n))
 
@@ -107,9 +111,9 @@ def _by_brace(lang: Column, flat: Column, indent: Column) -> Column:
 def _braced(lang: Column, flat: Column, indent: Column, words: Column) -> Column:
     name, script = F.try_element_at(words, F.lit(-1)), lang == "jsts"
     lead = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    usable = _is_word(name) & ~name.contains(".") & ~name.isin("synchronized", *STATEMENTS) & ~F.exists(lead, lambda t: t.isin(*STATEMENTS))
+    usable = _is_word(name) & ~name.contains(".") & ~_among(name, ("synchronized", *STATEMENTS)) & ~F.exists(lead, lambda t: _among(t, STATEMENTS))
     typed = _is_word(F.get(words, F.lit(0))) & ((F.size(lead) > 0) | name.contains("::"))
-    method = (indent > 0) & F.forall(lead, lambda t: t.isin("*", *MODIFIERS))
+    method = (indent > 0) & F.forall(lead, lambda t: _among(t, ("*", *MODIFIERS)))
     accessor = F.regexp_extract(flat, r"^[^;={}()]*\s(\w+)\s*\{\s*(?:get|set|init)\b", 1)
     return F.when(usable & F.when(script, method).otherwise(typed), name).when(lang == "csharp", F.nullif(accessor, F.lit("")))
 
@@ -119,14 +123,14 @@ def _by_binding(flat: Column) -> Column:
     left = F.substring_index(flat, "=", 1)
     right = F.trim(F.substring(flat, F.length(left) + 2, F.length(flat)))
     bound = right.rlike(rf"^(async\b\s*)?(func(tion)?\b|{_GROUP}[^=]*=>|{_WORD}\s*=>)")
-    binder = F.filter(_words(left), lambda t: ~t.isin(*MODIFIERS))
+    binder = F.filter(_words(left), lambda t: ~_among(t, MODIFIERS))
     return F.when(bound & F.get(binder, F.lit(0)).isin("const", "let", "var"), F.get(binder, F.lit(1)))
 
 
 def definition(lang: Column, line: Column, indent: Column) -> Column:
     """Name of the definition that a trimmed line opens, or null; an expression over all languages."""
-    table = F.create_map(*[x for k, v in DEFINERS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
-    definers = F.coalesce(F.try_element_at(table, lang), F.array().cast("array<string>"))
+    table = F.str_to_map(F.lit(",".join(f"{k}:{' '.join(v)}" for k, v in DEFINERS.items())))
+    definers = F.split(F.coalesce(F.try_element_at(table, lang), F.lit("")), " ")
     # most lines have neither a keyword nor a brace nor a function's sign
     likely = line.rlike(r"\b(?:" + "|".join(sorted({k for v in DEFINERS.values() for k in v})) + r")\b|\{|=>")
     body = F.rtrim(F.substring(line, F.lit(1), F.length(line) - 1))
@@ -143,54 +147,65 @@ def definition(lang: Column, line: Column, indent: Column) -> Column:
     return F.when(lang == "css", selector).when(likely, _let(_flat(text), found))
 
 
-def code_sections(files: DataFrame) -> DataFrame:
-    """As ``heading_sections``, over definitions: the level is the indentation (a tab is four).
-
-    One pass over the files; a line of any length is looked at whole.
-    """
-    known = files.withColumn("lang", lang_of(F.col("path"))).filter(F.col("lang").isin(*DEFINERS))
-    lead = lambda x: F.regexp_extract(x, r"^[ \t]*", 0)
-    indent = lambda x: F.length(F.replace(lead(x), F.lit("\t"), F.lit("    ")))
+def code_marks(lang: Column, lines: Column) -> Column:
+    """Marks (line, level, title) of the definitions among a file's lines; the level is the indentation (a tab is four)."""
+    indent = lambda x: F.length(F.replace(F.regexp_extract(x, r"^[ \t]*", 0), F.lit("\t"), F.lit("    ")))
     bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    mark = lambda x, i: F.struct((i + 1).alias("line"), indent(x).alias("level"), F.nullif(F.trim(definition(F.col("lang"), bare(x), indent(x))), F.lit("")).alias("title"))
-    marks = F.filter(F.transform("_lines", mark), lambda m: m["title"].isNotNull())
-    lines = known.select(*_DOC, "lang", split_lines(F.col("text")).alias("_lines"))
-    return section_paths(lines.select(*_DOC, F.size("_lines").alias("n_lines"), marks.alias("marks")))
+    mark = lambda x, i: F.struct((i + 1).alias("line"), indent(x).alias("level"), F.nullif(F.trim(definition(lang, bare(x), indent(x))), F.lit("")).alias("title"))
+    return F.filter(F.transform(lines, mark), lambda m: m["title"].isNotNull())
+
+
+def _marked(files: DataFrame, text: Column) -> DataFrame:
+    """(repo, path, text, n_lines, marks) of each file: headings of documents, definitions of code; one scan."""
+    lines = files.select(*_DOC, text.alias("text"), lang_of(F.col("path")).alias("_lang"), split_lines(F.col("text")).alias("_lines"))
+    none = F.array().cast("array<struct<line:int,level:int,title:string>>")
+    marks = F.when(F.col("_lang") == "", heading_marks(F.col("_lines"))).when(F.col("_lang").isin(*DEFINERS), code_marks(F.col("_lang"), F.col("_lines"))).otherwise(none)
+    return lines.select(*_DOC, "text", F.size("_lines").alias("n_lines"), marks.alias("marks"))
 
 
 def sections(files: DataFrame) -> DataFrame:
     """Sections by kind: headings of documents, definitions of code."""
-    code = lang_of(F.col("path")) != ""
-    return heading_sections(files.filter(~code)).unionByName(code_sections(files.filter(code)))
+    return outline(_marked(files, F.lit(None).cast("string"))).select(*_DOC, F.inline("sections"))
+
+
+def code_sections(files: DataFrame) -> DataFrame:
+    """As ``heading_sections``, over definitions; a line of any length is looked at whole."""
+    return sections(files.filter(lang_of(F.col("path")) != ""))
 
 
 def _span(lines: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, F.greatest(first, F.lit(1)), F.greatest(F.least(last, F.size(lines)) - F.greatest(first, F.lit(1)) + 1, F.lit(0))), "\n")
 
 
-def section_hashes(files: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` sections with ``node_hash``."""
-    texts = files.select(*_DOC, split_lines(F.col("text")).alias("_lines"))
-    return found.join(texts, _DOC).withColumn("node_hash", hash_normalized(_span(F.col("_lines"), F.col("line_start"), F.col("line_end")))).drop("_lines")
+def section_hashes(files: DataFrame) -> DataFrame:
+    """Sections of all files with ``node_hash``, each text cut up once."""
+    outlined = outline(_marked(files, F.col("text"))).select(*_DOC, split_lines(F.col("text")).alias("_lines"), "sections")
+    hashed = lambda s: s.withField("node_hash", hash_normalized(_span(F.col("_lines"), s["line_start"], s["line_end"])))
+    return outlined.select(*_DOC, F.inline(F.transform("sections", hashed)))
 
 
 def compute_anchor(files: DataFrame, spans: DataFrame) -> DataFrame:
     """``spans`` (repo, path, line_start, line_end, ...) with symbol_path, node_hash, window_hash, byte_hash.
 
-    The deepest section that covers the first line, its text, the span with three
-    lines around it, and the span itself.
+    The section that holds the first line, its text, the span with three lines around
+    it, and the span itself. Spans of files that are not there are left out.
     """
+    # sections don't overlap: the last one that begins at or before a line holds it
+    row, section = F.struct(*spans.columns), F.struct("symbol_path", "node_hash")
+    begins = section_hashes(files).select(*_DOC, F.col("line_start").alias("_at"), F.lit(0).alias("_kind"), section.alias("_section"))
+    asked = spans.select(*_DOC, F.col("line_start").alias("_at"), F.lit(1).alias("_kind"), row.alias("_row"))
+    upto = Window.partitionBy(*_DOC).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = begins.unionByName(asked, allowMissingColumns=True).withColumn("_section", F.last("_section", ignorenulls=True).over(upto)).filter("_kind = 1")
+    # a file's text meets its spans once
+    grouped = held.groupBy(*_DOC).agg(F.collect_list(F.struct("_row", "_section")).alias("_spans"))
     texts = files.select(*_DOC, split_lines(F.col("text")).alias("_lines"))
-    secs = section_hashes(files, sections(files)).select(*_DOC, F.col("line_start").alias("_a"), F.col("line_end").alias("_z"), "level", "symbol_path", "node_hash")
-    rows = spans.withColumn("_row", F.struct(*spans.columns))
-    inside = rows.join(secs, _DOC).filter((F.col("_a") <= F.col("line_start")) & (F.col("line_start") <= F.col("_z")))
-    best = inside.groupBy("_row").agg(F.max_by(F.struct("symbol_path", "node_hash"), F.struct("level", -F.col("_a"))).alias("_s"))
-    out = rows.join(best, "_row", "left").join(texts, _DOC)
-    window = hash_normalized(_span(F.col("_lines"), F.col("line_start") - CONTEXT_LINES, F.col("line_end") + CONTEXT_LINES))
-    return out.select(
-        *spans.columns, F.coalesce("_s.symbol_path", F.lit("")).alias("symbol_path"), F.coalesce("_s.node_hash", F.lit("")).alias("node_hash"),
-        window.alias("window_hash"), F.sha2(_span(F.col("_lines"), F.col("line_start"), F.col("line_end")), 256).alias("byte_hash"),
-    )
+    first, last = (lambda x: x["_row"]["line_start"]), (lambda x: x["_row"]["line_end"])
+    done = F.transform("_spans", lambda x: F.struct(
+        x["_row"].alias("r"), F.coalesce(x["_section"]["symbol_path"], F.lit("")).alias("symbol_path"), F.coalesce(x["_section"]["node_hash"], F.lit("")).alias("node_hash"),
+        hash_normalized(_span(F.col("_lines"), first(x) - CONTEXT_LINES, last(x) + CONTEXT_LINES)).alias("window_hash"),
+        F.sha2(_span(F.col("_lines"), first(x), last(x)), 256).alias("byte_hash"),
+    ))
+    return grouped.join(texts, _DOC).select(F.inline(done)).select("r.*", "symbol_path", "node_hash", "window_hash", "byte_hash")
 
 
 def resolve_anchor(anchors: DataFrame, files: DataFrame) -> DataFrame:
@@ -199,7 +214,7 @@ def resolve_anchor(anchors: DataFrame, files: DataFrame) -> DataFrame:
     Without path or hash: unanchored. No section of that path, or one with another
     text: semantic-change. Two or more: ambiguous. A file that is not there: missing-file.
     """
-    found = section_hashes(files, sections(files)).groupBy(*_DOC, "symbol_path").agg(F.count("*").alias("_n"), F.max("node_hash").alias("_hash"))
+    found = section_hashes(files).groupBy(*_DOC, "symbol_path").agg(F.count("*").alias("_n"), F.max("node_hash").alias("_hash"))
     there = files.select(*_DOC).distinct().withColumn("_there", F.lit(True))
     joined = anchors.join(there, _DOC, "left").join(found, [*_DOC, "symbol_path"], "left")
     n = F.coalesce("_n", F.lit(0))

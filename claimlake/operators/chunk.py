@@ -13,7 +13,7 @@ from ..functions.text import chunk_statement
 CHUNK_LINES = 40
 FENCE = "```"
 _DOC = ["repo", "path"]
-_SECTIONS = pa.schema([("repo", pa.string()), ("path", pa.string()), *[(c, pa.int32()) for c in ("line_start", "line_end", "level")], ("title", pa.string()), ("symbol_path", pa.string())])
+_SECTIONS = pa.list_(pa.struct([(c, pa.int32()) for c in ("line_start", "line_end", "level")] + [(c, pa.string()) for c in ("title", "symbol_path")]))
 
 
 def split_lines(text: Column) -> Column:
@@ -73,45 +73,53 @@ def chunk_documents(files: DataFrame, lines_per_chunk: int = CHUNK_LINES) -> Dat
     )
 
 
+def heading_marks(lines: Column) -> Column:
+    """Marks (line, level, title) of headings and, without a title, of fences."""
+    title = lambda x: F.trim(F.regexp_replace(x, r"^#+", ""))
+    level = lambda x: F.length(F.regexp_extract(x, r"^#+", 0))
+    fence = lambda x: F.trim(x).startswith(FENCE)
+    mark = lambda x, i: F.struct((i + 1).alias("line"), level(x).alias("level"), F.when(~fence(x), title(x)).alias("title"), (fence(x) | x.startswith("#")).alias("is_mark"))
+    return F.transform(F.filter(F.transform(lines, mark), lambda m: m["is_mark"]), lambda m: F.struct(m["line"].alias("line"), m["level"].alias("level"), m["title"].alias("title")))
+
+
 def heading_sections(files: DataFrame) -> DataFrame:
     """``files`` to repo, path, line_start, line_end, level, title, symbol_path of every heading outside fences.
 
     A section ends before the next heading of any level; its path joins its ancestors.
     """
-    title = lambda x: F.trim(F.regexp_replace(x, r"^#+", ""))
-    level = lambda x: F.length(F.regexp_extract(x, r"^#+", 0))
-    mark = lambda x, i: F.struct((i + 1).alias("line"), level(x).alias("level"), F.when(x.startswith("#"), title(x)).alias("title"), F.trim(x).startswith(FENCE).alias("fence"))
-    marks = F.filter(F.transform("_lines", mark), lambda m: m["title"].isNotNull() | m["fence"])
-    # a fence has no title; a line that is a heading is none
-    shown = F.transform(marks, lambda m: F.struct(m["line"].alias("line"), m["level"].alias("level"), F.when(~m["fence"], m["title"]).alias("title")))
-    lines = files.select(*_DOC, split_lines(F.col("text")).alias("_lines"))
-    return section_paths(lines.select(*_DOC, F.size("_lines").alias("n_lines"), shown.alias("marks")))
+    lines = files.select(*_DOC, F.lit(None).cast("string").alias("text"), split_lines(F.col("text")).alias("_lines"))
+    return outline(lines.select(*_DOC, "text", F.size("_lines").alias("n_lines"), heading_marks(F.col("_lines")).alias("marks"))).select(*_DOC, F.inline("sections"))
 
 
-def section_paths(rows: DataFrame) -> DataFrame:
-    """Sections of (repo, path, n_lines, marks), one row a document.
+def outline(rows: DataFrame) -> DataFrame:
+    """(repo, path, text, n_lines, marks), one row a document, to repo, path, text and its ``sections`` in the order of lines.
 
     ``marks`` are (line, level, title) in the order of lines; without a title it is a
     fence, and what stands between two of them is no section. A stack of open
     ancestors gives the paths, in one pass over a document's marks.
     """
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(n_lines: int, marks: list[dict] | None) -> list[dict]:
+        found, stack, fenced = [], [], False
+        for m in marks or ():
+            if m["title"] is None:
+                fenced = not fenced
+            elif not fenced:
+                while stack and stack[-1][0] >= m["level"]:
+                    stack.pop()
+                path = stack[-1][1] + " > " + m["title"] if stack else m["title"]
+                stack.append((m["level"], path))
+                if found:
+                    found[-1]["line_end"] = m["line"] - 1
+                found.append({"line_start": m["line"], "line_end": n_lines, "level": m["level"], "title": m["title"], "symbol_path": path})
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                out = []
-                for repo, path, n_lines, marks in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                    found, stack, fenced = [], [], False
-                    for m in marks or ():
-                        if m["title"] is None:
-                            fenced = not fenced
-                        elif not fenced:
-                            while stack and stack[-1][0] >= m["level"]:
-                                stack.pop()
-                            stack.append((m["level"], stack[-1][1] + " > " + m["title"] if stack else m["title"]))
-                            found.append((m["line"], m["level"], m["title"], stack[-1][1]))
-                    ends = [line - 1 for line, *_ in found[1:]] + [n_lines]
-                    out += [(repo, path, line, end, level, title, symbol) for (line, level, title, symbol), end in zip(found, ends, strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, _SECTIONS.types, strict=True)], schema=_SECTIONS)
-
-    return rows.select(*_DOC, "n_lines", "marks").mapInArrow(fold, "repo string, path string, line_start int, line_end int, level int, title string, symbol_path string")
+                part = batch.slice(at, 64)
+                found = [fold(n, m) for n, m in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, _SECTIONS)], names=["repo", "path", "text", "sections"])
+
+    kind = "array<struct<line_start:int,line_end:int,level:int,title:string,symbol_path:string>>"
+    return rows.select(*_DOC, "text", "n_lines", "marks").mapInArrow(run, f"repo string, path string, text string, sections {kind}")

@@ -5,26 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .scd import apply_supersession
 
+#: Groups whose survivors are sent to every task at most, and probes.
+SMALL, PROBES = 100_000, 4096
 
-def duplicate_groups(claims: DataFrame) -> DataFrame:
-    """Live claims whose statement hash another live claim has; null hashes (seeded claims) never do."""
+
+def canonical(claims: DataFrame) -> DataFrame:
+    """(statement_sha256, survivor) of live statements that stand twice: the earliest recorded, then the least id.
+
+    Seeded claims, whose hash is null, never do.
+    """
     live = claims.filter("superseded_at is null and statement_sha256 is not null")
-    # counted before any row moves; only rows of duplicated hashes go on
-    twice = live.groupBy("statement_sha256").agg(F.count("*").alias("n")).filter("n > 1").select("statement_sha256")
-    return live.join(twice, "statement_sha256", "left_semi")
+    least = F.min_by("id", F.struct("recorded_at", "id")).alias("survivor")
+    return live.groupBy("statement_sha256").agg(least, F.count("*").alias("n")).filter("n > 1").select("statement_sha256", "survivor")
 
 
-def canonical(members: DataFrame) -> DataFrame:
-    """(statement_sha256, survivor): the earliest recorded, then the least id."""
-    return members.groupBy("statement_sha256").agg(F.min_by("id", F.struct("recorded_at", "id")).alias("survivor"))
+def duplicate_groups(claims: DataFrame) -> DataFrame:
+    """Live claims whose statement hash another live claim has, with the ``survivor`` of the group.
+
+    Survivors of a checked number go to every task, so a statement that many claims
+    repeat is no single task's.
+    """
+    live = claims.filter("superseded_at is null and statement_sha256 is not null")
+    twice = written(canonical(claims))
+    return live.join(F.broadcast(twice) if twice.limit(SMALL + 1).count() <= SMALL else twice, "statement_sha256")
 
 
 def dedup_claims(claims: DataFrame, now: Column) -> DataFrame:
     """Supersede all but the survivor of each group, whatever their scope or access; a second run changes nothing."""
-    members = duplicate_groups(claims)
-    pairs = members.select("id", "statement_sha256").join(canonical(members), "statement_sha256").filter("id != survivor")
+    pairs = duplicate_groups(claims).filter("id != survivor")
     closures = pairs.select("id", F.col("survivor").alias("successor"), now.alias("at"), F.lit("duplicate").alias("reason"))
     return apply_supersession(claims, closures)
 
@@ -40,13 +51,21 @@ def current_at(rows: DataFrame, valid_at: Column, recorded_at: Column) -> DataFr
 def known_at(rows: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe (probe_id, valid_at, known_at): the rows that ``current_at`` gives.
 
-    A range join: Spark sends the probes to every task if they are small.
+    A range join. Probes of a checked number are sent to every task; more are dealt
+    into blocks and rows into parts, and each block meets each part in one task.
     """
     on = (
         (F.col("valid_from") <= F.col("valid_at")) & (F.col("valid_until").isNull() | (F.col("valid_at") < F.col("valid_until")))
         & (F.col("recorded_at") <= F.col("known_at")) & (F.col("superseded_at").isNull() | (F.col("known_at") < F.col("superseded_at")))
     )
-    return rows.join(probes, on)
+    n = probes.count()
+    if n <= PROBES:
+        return rows.join(F.broadcast(probes), on)
+    blocks, parts = -(-n // PROBES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
+    asked = probes.withColumn("_block", F.pmod(F.xxhash64(*probes.columns), F.lit(blocks)).cast("bigint")).withColumn("_part", every(parts))
+    held = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("bigint")).withColumn("_block", every(blocks))
+    return held.join(asked, ["_block", "_part"]).filter(on).drop("_block", "_part")
 
 
 def valid_time_overlaps(rows: DataFrame, key: str) -> DataFrame:

@@ -113,4 +113,4 @@ def embed_texts(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]]
         out = [v for k in range(0, len(values), batch_size) for v in embed(values[k : k + batch_size])]
         return pd.Series(out, index=texts.index)
 
-    return rows.withColumn("embedding", l2_normalize(vectors(F.col(text))))
+    return rows.withColumn("embedding", vectors(F.col(text))).withColumn("embedding", l2_normalize(F.col("embedding")))

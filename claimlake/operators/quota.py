@@ -3,60 +3,80 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable, Iterator
 from datetime import timedelta
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.limits import CONTRIBUTION, COST, RECALL, LimitConfig
 
 
-def admit(ts: list[int], costs: list[tuple[int, int]], kept: deque, spent: deque, cfg: LimitConfig) -> list[str | None]:
-    """Reason of denial, or None, of each event of one principal, in order; ``kept`` and ``spent`` carry over.
+class Window:
+    """What one principal was admitted to within the windows, with running sums."""
 
-    The cost gate looks at what ran in its window, then the quota at what was admitted.
-    """
-    window, cost_window = (int(w / timedelta(microseconds=1)) for w in (cfg.contribution_window, cfg.cost_window))
-    out: list[str | None] = []
-    for now, (calls, tokens) in zip(ts, costs, strict=True):
-        while kept and kept[0] <= now - window:
-            kept.popleft()
-        while spent and spent[0][0] <= now - cost_window:
-            spent.popleft()
-        reason = None
-        if cfg.max_inference_calls > 0 and sum(c for _, c, _ in spent) >= cfg.max_inference_calls:
-            reason = COST
-        elif cfg.max_input_tokens > 0 and sum(t for _, _, t in spent) >= cfg.max_input_tokens:
-            reason = COST
-        elif cfg.contribution_quota > 0 and len(kept) >= cfg.contribution_quota:
-            reason = CONTRIBUTION
-        else:
-            kept.append(now)
-            spent.append((now, calls, tokens))
-        out.append(reason)
-    return out
-
-
-def replay_admission(events: DataFrame, cfg: LimitConfig) -> DataFrame:
+    def __init__(self, cfg: LimitConfig, spent: Iterable[tuple[int, int, int]] = ()):
+        self.cfg = cfg
+        self.long, self.short = (int(w / timedelta(microseconds=1)) for w in (cfg.contribution_window, cfg.cost_window))
+        self.kept: deque[int] = deque()
+        self.spent: deque[tuple[int, int, int]] = deque()
+        self.calls = self.tokens = 0
+        for us, calls, tokens in spent:
+            self.add(us, calls, tokens)
+
+    def add(self, us: int, calls: int, tokens: int) -> None:
+        self.kept.append(us)
+        self.spent.append((us, calls, tokens))
+        self.calls, self.tokens = self.calls + calls, self.tokens + tokens
+
+    def admit(self, us: int, calls: int, tokens: int) -> str | None:
+        """The reason of denial, or None; events come in order. The cost gate looks at what ran, then the quota at what was admitted."""
+        while self.kept and self.kept[0] <= us - self.long:
+            self.kept.popleft()
+        while self.spent and self.spent[0][0] <= us - self.short:
+            _, c, t = self.spent.popleft()
+            self.calls, self.tokens = self.calls - c, self.tokens - t
+        cfg = self.cfg
+        if 0 < cfg.max_inference_calls <= self.calls or 0 < cfg.max_input_tokens <= self.tokens:
+            return COST
+        if 0 < cfg.contribution_quota <= len(self.kept):
+            return CONTRIBUTION
+        self.add(us, calls, tokens)
+        return None
+
+
+def replay_admission(events: DataFrame, cfg: LimitConfig, admitted: DataFrame | None = None) -> DataFrame:
     """``events`` (event_id, principal_id, ts, calls, tokens) with ``denied_reason``; events without a principal pass.
 
-    A principal's events are one sequence by nature, so they meet in one task; its
-    state is no larger than a window.
+    ``admitted`` events of before (principal_id, ts, calls, tokens) count without being
+    judged. A principal's events are one sequence by nature: a task streams them in
+    order, with a window as its only state; those without a principal stay where they are.
     """
+    columns = [F.coalesce("principal_id", F.lit("")).alias("principal_id"), F.unix_micros("ts").alias("us"), *[F.col(c).cast("bigint").alias(c) for c in ("calls", "tokens")]]
+    rows = events.select(F.col("event_id").cast("bigint").alias("event_id"), *columns)
+    judged = rows.filter("principal_id != ''").withColumn("old", F.lit(False))
+    if admitted is not None:
+        judged = judged.unionByName(admitted.select(F.lit(None).cast("bigint").alias("event_id"), *columns, F.lit(True).alias("old")).filter("principal_id != ''"))
+
+    def gate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, window = None, Window(cfg)
+        for b in batches:
+            reasons = []
+            for who, us, calls, tokens, old in zip(*(b.column(c).to_pylist() for c in ("principal_id", "us", "calls", "tokens", "old")), strict=True):
+                if who != now:
+                    now, window = who, Window(cfg)
+                one = (us, calls or 0, tokens or 0)
+                reasons.append(window.add(*one) if old else window.admit(*one))
+            out = pa.RecordBatch.from_arrays([b.column("event_id"), b.column("principal_id"), b.column("us"), pa.array(reasons, pa.string())], names=["event_id", "principal_id", "us", "denied_reason"])
+            yield out.filter(pc.invert(b.column("old")))
 
-    def gate(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["us", "event_id"])
-        if not frame["principal_id"].iloc[0]:
-            return frame.assign(denied_reason=None)
-        costs = list(zip(frame["calls"], frame["tokens"], strict=True))
-        return frame.assign(denied_reason=admit(frame["us"].tolist(), costs, deque(), deque(), cfg))
-
-    rows = events.select("event_id", F.coalesce("principal_id", F.lit("")).alias("principal_id"), F.unix_micros("ts").alias("us"), "calls", "tokens")
-    schema = "event_id bigint, principal_id string, us bigint, calls bigint, tokens bigint, denied_reason string"
-    typed = rows.withColumns({c: F.col(c).cast("bigint") for c in ("event_id", "calls", "tokens")})
-    out = typed.groupBy("principal_id").applyInPandas(gate, schema)
-    return out.select("event_id", "principal_id", F.timestamp_micros("us").alias("ts"), "denied_reason")
+    schema = "event_id bigint, principal_id string, us bigint, denied_reason string"
+    order = ["principal_id", "us", F.desc("old"), "event_id"]
+    done = judged.repartition("principal_id").sortWithinPartitions(*order).mapInArrow(gate, schema)
+    free = rows.filter("principal_id = ''").select("event_id", "principal_id", "us", F.lit(None).cast("string").alias("denied_reason"))
+    return done.unionByName(free).select("event_id", "principal_id", F.timestamp_micros("us").alias("ts"), "denied_reason")
 
 
 def recall_gate(events: DataFrame, cfg: LimitConfig) -> DataFrame:

@@ -6,6 +6,8 @@ changes nothing; a writer puts the new snapshot beside the old and then switches
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,17 +95,32 @@ def expire_claims(claims: DataFrame, ids: DataFrame, reason: str, now: Column) -
     return joined.select(*[F.when(live, changed[x]).otherwise(F.col(x)).alias(x) if x in changed else F.col(x) for x in claims.columns])
 
 
+#: Bins that narrow the claims of least value down before any is ranked: confidence, roughly and then exactly, and the hour.
+PRUNE_BINS = ("floor(coalesce(confidence, -1.0) * 1024)", "coalesce(confidence, -1.0)", "floor(coalesce(unix_seconds(recorded_at), -1e12) / 3600)")
+
+
 def prune_scopes(claims: DataFrame, cfg: limits.LimitConfig, now: Column) -> DataFrame:
     """Expire the claims of least value in every scope that is over its ceiling: confidence, then age, then id.
 
-    Scopes within their ceiling never reach the ranking, so a large healthy scope is only counted.
+    Scopes within their ceiling are only counted. In the others, counts by bin tell
+    which bins go whole and which one holds the last claims to go; only that one is
+    ranked, so a scope that holds most claims is no single task's.
     """
     scope = ["scope_kind", "scope_value"]
-    live = claims.filter("superseded_at is null")
-    target = live.groupBy(*scope).agg(limits.prune_target(F.count("*"), cfg).alias("target")).filter("target > 0")
+    live = claims.filter("superseded_at is null").select("id", *scope, "confidence", "recorded_at")
+    target = live.groupBy(*scope).agg(limits.prune_target(F.count("*"), cfg).cast("bigint").alias("target")).filter("target > 0")
+    left, gone = live.join(target, scope), []
+    for key in PRUNE_BINS:
+        left = left.withColumn("bin", F.expr(key))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*scope).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sizes = left.groupBy(*scope, "bin").agg(F.count("*").alias("n"), F.first("target").alias("target")).withColumn("before", before)
+        edge = sizes.filter("before < target and before + n >= target").select(*scope, F.col("bin").alias("edge"), (F.col("target") - F.col("before")).alias("rest"))
+        placed = left.join(edge, scope)
+        gone.append(placed.filter("bin < edge").select("id"))
+        left = placed.filter("bin = edge").select("id", *scope, "confidence", "recorded_at", F.col("rest").alias("target"))
     order = Window.partitionBy(*scope).orderBy("confidence", "recorded_at", "id")
-    ranked = live.join(target, scope).withColumn("n", F.row_number().over(order)).filter("n <= target")
-    return expire_claims(claims, ranked.select("id"), "pruned", now)
+    gone.append(left.withColumn("n", F.row_number().over(order)).filter("n <= target").select("id"))
+    return expire_claims(claims, reduce(DataFrame.unionByName, gone), "pruned", now)
 
 
 def record_usage(ledger: DataFrame, events: DataFrame) -> DataFrame:

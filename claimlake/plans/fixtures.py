@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.retrieval import STOP_WORDS
+
 #: The clock of all registered queries.
 NOW = "2024-01-20 00:00:00"
 BASE = "2024-01-01 00:00:00"
@@ -47,6 +49,16 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """``evidence`` with places, hashes and anchors: first pieces are seeded chunks, every thirteenth is superseded, every second has an anchor."""
+    k = F.col("claim_id").cast("bigint")
+    first = F.col("id").endswith("-a")
+    return evidence(spark, sf).withColumns({
+        "chunk_ordinal": F.when(first, (k % 3).cast("int")), "content_sha256": F.sha2("extracted_text", 256), "superseded_at": F.when(k % 13 == 0, now()),
+        "anchor_symbol_path": F.when(first & (k % 2 == 0), F.concat(F.lit("Part "), k)).otherwise(""),
+    }).drop("claim_id")
+
+
 def links(spark: SparkSession, sf: str) -> DataFrame:
     return evidence(spark, sf).select("claim_id", F.col("id").alias("evidence_id"))
 
@@ -69,13 +81,20 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Every hundredth vector as a request; its text is two words of the document of that number."""
-    e, d = table(spark, sf, "embeddings").filter("vec_id % 100 = 0"), table(spark, sf, "documents")
+    """Every twentieth vector as a request; its text is made of words of the document of that number, if there is one.
+
+    By turns two words of which one must be there, a phrase, a word without another, and two words.
+    """
+    e, d = table(spark, sf, "embeddings").filter("vec_id % 20 = 0"), table(spark, sf, "documents")
     words = F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " ")
-    asked = F.concat_ws(" or ", F.get(words, F.lit(3)), F.get(words, F.lit(7)))
-    return e.join(d, e["vec_id"] == d["doc_id"]).select(
-        F.col("vec_id").alias("query_id"), F.concat(F.lit("p"), F.floor(F.col("vec_id") / 100) % 5).alias("principal_id"), asked.alias("text"),
-        F.col("embedding").alias("vec"), F.lit(5).alias("limit"), F.lit(3000).cast("bigint").alias("budget"), now().alias("now"),
+    both = e.join(d, e["vec_id"] == d["doc_id"], "left").select("vec_id", "embedding", words.alias("w"), F.filter(words, lambda x: (x != "") & ~x.isin(*STOP_WORDS)).alias("ws"))
+    a, b, turn = F.get("ws", F.lit(0)), F.get("ws", F.lit(1)), F.floor(F.col("vec_id") / 20) % 4
+    phrase = F.concat(F.lit('"'), F.get("w", F.lit(3)), F.lit(" "), F.get("w", F.lit(4)), F.lit('"'))
+    asked = F.when(turn == 0, F.concat_ws(" or ", a, b)).when(turn == 1, phrase).when(turn == 2, F.concat_ws(" -", a, b)).otherwise(F.concat_ws(" ", a, b))
+    large = F.floor(F.col("vec_id") / 20) % 3 == 0
+    return both.select(
+        F.col("vec_id").alias("query_id"), F.concat(F.lit("p"), F.floor(F.col("vec_id") / 20) % 5).alias("principal_id"), F.coalesce(asked, F.lit("")).alias("text"),
+        F.col("embedding").alias("vec"), F.when(large, 80).otherwise(5).alias("limit"), F.when(large, 20_000).otherwise(3000).cast("bigint").alias("budget"), now().alias("now"),
     )
 
 
@@ -84,7 +103,7 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     kind = F.when(F.col("event_type") == "purchase", "inference").when(F.col("event_type") == "view", "recall").when(F.col("event_type") == "error", "denied").otherwise("other")
     return e.select(
-        F.col("event_id").alias("id"), F.concat(F.lit("p"), F.col("user_id") % 15).alias("principal_id"), F.lit("repository").alias("scope_kind"),
+        F.col("event_id").alias("id"), F.concat(F.lit("p"), F.col("user_id")).alias("principal_id"), F.lit("repository").alias("scope_kind"),
         F.concat(F.lit("src"), F.col("user_id") % 4).alias("scope_value"), kind.alias("kind"), F.when(kind == "inference", 1).otherwise(0).alias("inference_calls"),
         F.floor(F.abs("value") * 10).cast("bigint").alias("input_tokens"), F.floor(F.abs("value")).cast("bigint").alias("output_tokens"), F.col("ts").cast("timestamp").alias("recorded_at"),
     )
@@ -101,6 +120,14 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("source").alias("repo"), F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".md")).alias("path"), F.array_join(lines, "\n").alias("text"))
 
 
+def fenced(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' words, one a line, with a heading before every 97th and a fence before every 61st."""
+    d = table(spark, sf, "documents").filter(F.col("text").isNotNull())
+    words = F.filter(F.split("text", r"[^a-zA-Z]+"), lambda x: x != "")
+    lines = F.transform(words, lambda x, i: F.when(i % 97 == 0, F.concat(F.lit("# Part "), i, F.lit("\n"), x)).when(i % 61 == 7, F.concat(F.lit("```\n"), x)).otherwise(x))
+    return d.select(F.col("source").alias("repo"), F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".md")).alias("path"), F.array_join(lines, "\n").alias("text"))
+
+
 def captures(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     return c.select(

@@ -38,7 +38,9 @@ def _plain(uri: str) -> str:
     return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
 
 
-def capture_source(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
+def capture_source(spark: SparkSession, folder: str, streaming: bool = False, files_a_batch: int | None = None) -> DataFrame:
     """Captured material as JSON lines in a folder, with defaults."""
     reader = (spark.readStream if streaming else spark.read).schema(SCHEMAS["captures"])
+    if streaming and files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
     return capture_defaults(reader.json(folder))

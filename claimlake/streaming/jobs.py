@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections import deque
+import time
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.limits import LimitConfig
 from ..operators import dedup, nominate, quota, scd
+from ..sources.scratch import written
+
+TICK = "interval 1 microsecond"
 
 
 class _Gate(StatefulProcessor):
@@ -25,11 +30,10 @@ class _Gate(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        before = [tuple(map(int, r)) for r in self.spent.get()] if self.spent.exists() else []
-        spent, kept = deque(before), deque(us for us, _, _ in before)
-        costs = list(zip(frame["calls"], frame["tokens"], strict=True))
-        denied = quota.admit(frame["us"].tolist(), costs, kept, spent, self.cfg) if key[0] else [None] * len(frame)
-        self.spent.put([tuple(map(int, s)) for s in spent]) if spent else self.spent.clear()
+        window = quota.Window(self.cfg, [tuple(map(int, r)) for r in self.spent.get()] if self.spent.exists() else [])
+        one = zip(frame["us"], frame["calls"], frame["tokens"], strict=True)
+        denied = [window.admit(*map(int, e)) for e in one] if key[0] else [None] * len(frame)
+        self.spent.put([tuple(map(int, s)) for s in window.spent]) if window.spent else self.spent.clear()
         yield pd.DataFrame({"event_id": frame["event_id"], "principal_id": key[0], "us": frame["us"], "denied_reason": denied})
 
     def close(self) -> None:
@@ -65,38 +69,98 @@ def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], No
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_seed(chunks: DataFrame, read_live: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Re-seed as chunks of changed files arrive: ``seed_merge`` of each batch, written as a new snapshot by batch number."""
+def with_retries(start: Callable[[], StreamingQuery], attempts: int = 5, wait: float = 1.0) -> StreamingQuery:
+    """Run a job to its end; after an error it starts again from its checkpoint, ``attempts`` times in all, waiting twice as long each time.
+
+    A denial is data and raises nothing, so it is never tried again.
+    """
+    for attempt in range(1, attempts + 1):
+        query = start()
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException:
+            if attempt == attempts:
+                raise
+            time.sleep(wait * 2 ** (attempt - 1))
+    raise ValueError("attempts must be one at least")
+
+
+def batch_clock(batch: DataFrame, live: DataFrame, ts: str = "ts") -> Column | None:
+    """The time of a batch: its latest event, or just after whatever was recorded before it; null for a batch without events.
+
+    It comes from the data, so a batch that runs again has the same clock.
+    """
+    last = batch.agg(F.max(ts).alias("t")).first().t
+    if last is None:
+        return None
+    known = live.agg(F.max("recorded_at").alias("t")).first().t if "recorded_at" in live.columns else None
+    return F.lit(max(last, known + timedelta(microseconds=1)) if known else last).cast("timestamp")
+
+
+def stream_seed(chunks: DataFrame, read_live: Callable[[int], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, ts: str = "ts") -> StreamingQuery:
+    """Re-seed as chunks of changed files arrive: ``seed_merge`` of each batch, written as a new snapshot by batch number.
+
+    ``read_live`` gets the batch's number and gives the snapshot of the batches before it.
+    Of a place that comes twice in a batch, the latest chunk counts.
+    """
 
     def step(batch: DataFrame, n: int) -> None:
-        now = F.timestamp_seconds(F.lit(n))
-        latest = batch.dropDuplicates(["repo", "path", "ordinal"])
-        write(scd.seed_merge(read_live(), latest, now), n)
+        live = read_live(n)
+        now = batch_clock(batch, live, ts)
+        if now is None:
+            return
+        place = Window.partitionBy("repo", "path", "ordinal").orderBy(F.desc(ts), "content_sha256")
+        latest = batch.withColumn("_n", F.row_number().over(place)).filter("_n = 1").drop("_n")
+        write(scd.seed_merge(live, latest, now), n)
 
     return _run(chunks, checkpoint, step)
 
 
+def stream_dedup(claims: DataFrame, read_claims: Callable[[int], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """New claims as they are recorded: a de-duplication pass over all claims after each batch, written as a snapshot."""
+
+    def step(batch: DataFrame, n: int) -> None:
+        before = read_claims(n)
+        now = batch_clock(batch, before, "recorded_at")
+        if now is None:
+            return
+        both = before.unionByName(batch, allowMissingColumns=True).dropDuplicates(["id"])
+        write(dedup.dedup_claims(both, now + F.expr(TICK)), n)
+
+    return _run(claims, checkpoint, step)
+
+
 def stream_capture(
-    captures: DataFrame, cfg: LimitConfig, read_claims: Callable[[], DataFrame], write: Callable[[dict[str, DataFrame], int], None], checkpoint: str
-) -> StreamingQuery:
+    captures: DataFrame, cfg: LimitConfig, read_claims: Callable[[int], DataFrame], read_admitted: Callable[[int], DataFrame],
+    write: Callable[[dict[str, DataFrame], int], None], checkpoint: str,
+) -> StreamingQuery:
     """Captures through the gate, candidates, quotes and anchors, then de-duplication and pruning, batch by batch.
 
-    ``write`` gets the new rows of each table, and the whole ``claims`` snapshot as ``snapshot``.
+    Both readers get the batch's number and give what the batches before it left: the
+    claims, and the admitted events (principal_id, ts, calls, tokens), so that one
+    quota serves all batches. ``write`` gets the new rows of each table, ``admitted``
+    and ``denied`` events, and the whole ``claims`` snapshot as ``snapshot``.
     """
 
     def step(batch: DataFrame, n: int) -> None:
+        before = read_claims(n)
+        now = batch_clock(batch, before)
+        if now is None:
+            return
         jobs = batch.withColumn("event_id", F.xxhash64("job_id")).withColumn("principal_id", F.coalesce(F.try_element_at("principals", F.lit(1)), F.lit("")))
-        judged = quota.replay_admission(jobs.withColumn("calls", F.lit(1)).withColumn("tokens", F.length("source")), cfg)
-        allowed = jobs.join(judged.filter("denied_reason is null").select("event_id"), "event_id", "left_semi").drop("event_id", "principal_id")
-        denied = judged.filter("denied_reason is not null")
+        events = jobs.select("event_id", "principal_id", "ts", F.lit(1).alias("calls"), F.length("source").alias("tokens"))
+        judged = written(quota.replay_admission(events, cfg, read_admitted(n)))
+        passed = judged.filter("denied_reason is null").select("event_id")
+        allowed = jobs.join(passed, "event_id", "left_semi").drop("event_id", "principal_id")
         found, _ = nominate.write_candidates(nominate.line_candidates(allowed), allowed)
-        now = F.timestamp_seconds(F.lit(n))
         rows = found.withColumn("prompt_version", F.lit("lines")).withColumn("embedding", F.array().cast("array<float>"))
         tables = scd.write_claims(rows, 1, now)
-        claims = read_claims().unionByName(tables["claims"], allowMissingColumns=True).dropDuplicates(["id"])
-        after = now + F.expr("interval 1 microsecond")  # nothing closes at the instant at which it was recorded
+        claims = written(before.unionByName(tables["claims"], allowMissingColumns=True).dropDuplicates(["id"]))
+        after = now + F.expr(TICK)  # nothing closes at the instant at which it was recorded
         tables["snapshot"] = scd.prune_scopes(dedup.dedup_claims(claims, after), cfg, after)
-        tables["denied"] = denied
+        tables["admitted"] = events.join(passed, "event_id", "left_semi").drop("event_id")
+        tables["denied"] = judged.filter("denied_reason is not null")
         write(tables, n)
 
     return _run(captures, checkpoint, step)

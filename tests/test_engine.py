@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from claimlake import catalog
+from claimlake import catalog_docs
 from claimlake.functions import intervals, limits, text, vectors
 from claimlake.operators import acl, anchor, audit, chunk, dedup, nominate, quota, recall, retrieval, scd
 from claimlake.sources import docs
@@ -191,6 +191,17 @@ def test_anchor_law(spark):
         ("java", "public class A {\n    public int f(int x) {\n", ["A", "A > f"]),
         ("kt", "fun String.ext() {}\ndata class D(val x: Int)", ["String.ext", "D"]),
         ("html", "<div>", []),
+        ("cs", "namespace A.B {\n    public sealed class C {\n        public int Size { get; set; }\n        public async Task<int> Run(int x) {\n            if (x > 0) {", ["A.B", "A.B > C", "A.B > C > Size", "A.B > C > Run"]),
+        ("cpp", "template <typename T>\nclass Box : public Base {\n  void put(T x) {\nint Box::get() const {\nusing Id = int;\nfor (int i = 0; i < 3; i++) {", ["Box", "Box > put", "Box::get", "Id"]),
+        ("js", "export default function* main(a, b) {\nconst g = async x => x\nlet n = f(x => 1)\nfoo(1) {\n  get size() {\n  while (a) {\nexport default class {", ["main", "g", "g > size"]),
+        ("rb", "module M\n  class A::B < C\n    def self.make?(x)\n    end", ["M", "M > A::B", "M > A::B > self.make?"]),
+        ("php", "namespace App\\Http;\nabstract class K {\n  public static function &make() {\n  const X = 1;", ["App\\Http", "K", "K > make", "K > X"]),
+        ("swift", "public final class V {\n  class func make() {}\n  init() {}\n}\nextension Array {", ["V", "V > make", "Array"]),
+        ("scala", "package a.b\ncase class P(x: Int)\nobject Q {\n  def f(x: Int) = 1\n  lazy val y = 2", ["a.b", "P", "Q", "Q > f", "Q > y"]),
+        ("rs", "macro_rules! say {\nunsafe impl<T: Clone> Tr<T> for fmt::Box<T> {\npub const fn f() {}\nstatic mut N: u8 = 1;\nextern \"C\" fn g() {", ["say", "fmt::Box", "f", "N", "g"]),
+        ("java", "package x.y;\n@Test public <T> Map<String, List<T>> all(int a, Foo<Bar> b) throws E {\nreturn new Foo() {\nint a = f(x);", ["x.y", "all"]),
+        ("c", "typedef struct node {\nstruct node *make(int (*f)(int), char c) {\nelse if (x) {\nstatic inline int get(void) {", ["node", "make", "get"]),
+        ("go", "var f = func(x int) {\nfunc (Stack[T]) Push(x T) {\ntype (\nfunc main() {", ["f", "Stack.Push", "main"]),
     ],
 )
 def test_code_paths(spark, ext, code, want):
@@ -271,5 +282,63 @@ def test_topk_plan_limits_before_the_shuffle(spark):
 def test_code_sections_take_whole_texts(spark, tmp_path):
     text = " ".join("a" * (i + 1) for i in range(200))
     spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = catalog.code_sections(spark, str(tmp_path)).orderBy("line_start").collect()
+    rows = catalog_docs.code_sections(spark, str(tmp_path)).orderBy("line_start").collect()
     assert [r.line_start for r in rows] == [i + 1 for i in range(200) if i % 4 < 2] and rows[-1].line_end == 200
+
+
+def test_long_lines_are_looked_at(spark):
+    code = "x = 1; " * 100_000 + "\n" + " " * 9 + "def " + "n" * 9000 + "(self):"
+    (row,) = anchor.code_sections(files(spark, code, ext="py")).collect()
+    assert row.title == "n" * 9000 and row.level == 9
+
+
+def test_spans_of_one_file(spark):
+    spans = spark.createDataFrame([("r", "d0.md", k, k) for k in range(0, 9)] + [("r", "gone.md", 1, 1)], "repo string, path string, line_start int, line_end int")
+    got = {r.line_start: r.symbol_path for r in anchor.compute_anchor(files(spark, "before\n" + DOC), spans).collect()}
+    want = ["", "", "Decisions", "Decisions", "Decisions > D-010", "Decisions > D-010", "Decisions > D-010 > Reasoning", "Decisions > D-010 > Reasoning", "Decisions > D-011"]
+    assert [got[k] for k in range(9)] == want
+
+
+def test_dense_blocks_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    v = [[float(rng.randint(-3, 3)) for _ in range(4)] for _ in range(90)]
+    vectors_df = spark.createDataFrame([(f"c{k:02}", x) for k, x in enumerate(v)], "claim_id string, embedding array<float>")
+    asked = spark.createDataFrame([(k, v[k]) for k in range(20)], "query_id int, vec array<float>")
+    want = {k: [c for _, c in sorted((-sum(a * b for a, b in zip(v[k], x)), f"c{n:02}") for n, x in enumerate(v))[:7]] for k in range(20)}
+    for found in (retrieval.dense_search(asked, vectors_df, 7), retrieval.dense_search_blocks(asked, vectors_df, 7, block=6)):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.claim_id
+        assert {k: [x[n] for n in sorted(x)] for k, x in got.items()} == want
+    assert retrieval.dense_search_blocks(asked.limit(0), vectors_df).count() == 0
+
+
+def test_known_at_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, T[k % 4], T[4] if k % 2 else None, T[k % 3], None) for k in range(12)], "id int, valid_from timestamp, valid_until timestamp, recorded_at timestamp, superseded_at timestamp")
+    probes = spark.createDataFrame([(k, T[k], T[k]) for k in range(5)], "probe_id int, valid_at timestamp, known_at timestamp")
+    once = sorted((r.probe_id, r.id) for r in dedup.known_at(rows, probes).collect())
+    monkeypatch.setattr(dedup, "PROBES", 2)
+    assert sorted((r.probe_id, r.id) for r in dedup.known_at(rows, probes).collect()) == once != []
+
+
+def test_prune_equals_ranking(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"i{k:03}", None, rng.choice((0.5, 0.5, 0.25, 0.5004)), datetime(2024, 1, 1 + rng.randint(0, 1), rng.randint(0, 2), rng.randint(0, 3))) for k in range(200)]
+    cfg = limits.LimitConfig(scope_claim_ceiling=100, prune_aggressiveness=0.3)
+    got = {r.id for r in scd.prune_scopes(claims(spark, rows), cfg, now()).filter("supersede_reason = 'pruned'").collect()}
+    assert got == {i for _, _, i in sorted((c, r, i) for i, _, c, r in rows)[:130]}
+
+
+def test_admitted_events_of_before_count(spark):
+    cfg = limits.LimitConfig(contribution_quota=2, contribution_window=timedelta(seconds=10), max_inference_calls=0, max_input_tokens=50, cost_window=timedelta(seconds=5))
+    day = datetime(2024, 1, 1)
+    at = lambda s: day + timedelta(seconds=s)
+    schema = "event_id long, principal_id string, ts timestamp, calls int, tokens int"
+    before = spark.createDataFrame([(None, "p", at(1), 1, 60), (None, "", at(1), 1, 60)], schema)
+    events = spark.createDataFrame([(2**60 + 1, "p", at(2), 1, 1), (2**60 + 2, "p", at(7), 1, 1), (2**60 + 3, "p", at(8), 1, 1), (2**60 + 4, "p", at(12), 1, 1), (None, None, at(2), 1, 1)], schema)
+    got = {r.event_id: r.denied_reason for r in quota.replay_admission(events, cfg, before).collect()}
+    assert got == {2**60 + 1: "cost_ceiling", 2**60 + 2: None, 2**60 + 3: "contribution_quota", 2**60 + 4: None, None: None}

@@ -1,5 +1,8 @@
+import os
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 
 from claimlake.functions.limits import LimitConfig
 from claimlake.operators import quota
@@ -44,21 +47,103 @@ def test_usage_stream(spark, tmp_path):
     assert got == want
 
 
-def test_seed_and_capture_streams(spark, tmp_path):
-    schema = "repo string, path string, ordinal int, content_sha256 string, statement string"
-    spark.createDataFrame([("r", "p", 0, "a", "s"), ("r", "p", 1, "b", "s")], schema).write.parquet(str(tmp_path / "chunks"))
-    empty = spark.createDataFrame([], schema + ", id string")
-    out = []
-    jobs.stream_seed(spark.readStream.schema(schema).parquet(str(tmp_path / "chunks")), lambda: empty, lambda df, n: out.extend(df.collect()), str(tmp_path / "cp1")).awaitTermination(120)
-    assert sorted(r.action for r in out) == ["inserted", "inserted"]
-    line = '{"job_id": "j%d", "source": "# title\\nsame words here\\n", "repo": "r", "path": "a%d.md", "principals": ["p"], "ts": "2024-01-01T00:00:0%d"}\n'
-    (tmp_path / "cap").mkdir()
-    (tmp_path / "cap/x.json").write_text("".join(line % (k, k, k) for k in range(3)))
-    tables = {}
-    cfg = LimitConfig(contribution_quota=2)
-    claims = spark.createDataFrame([], SCHEMAS["claims"])
-    captures = capture_source(spark, str(tmp_path / "cap"), streaming=True)
-    keep = lambda ts, n: tables.update({k: v.collect() for k, v in ts.items()})
-    jobs.stream_capture(captures, cfg, lambda: claims, keep, str(tmp_path / "cp2")).awaitTermination(200)
-    assert len(tables["denied"]) == 1 and len(tables["claims"]) == 2
-    assert sorted(r.supersede_reason or "" for r in tables["snapshot"]) == ["", "duplicate"]
+class Kept:
+    """Tables by batch number, as a writer of snapshots keeps them."""
+
+    def __init__(self, spark):
+        self.spark, self.rows, self.schemas = spark, {}, {}
+
+    def write(self, name, df, n):
+        self.rows[name, n], self.schemas[name] = df.collect(), df.schema
+
+    def before(self, name, n, schema, all_batches=False):
+        found = sorted(k for m, k in self.rows if m == name and k < n)
+        rows = [r for k in (found if all_batches else found[-1:]) for r in self.rows[name, k]]
+        return self.spark.createDataFrame(rows, self.schemas.get(name, schema))
+
+
+CHUNKS = "repo string, path string, ordinal int, content_sha256 string, statement string, ts timestamp"
+
+
+def test_seed_stream_closes_rows_of_2024(spark, tmp_path):
+    day = lambda d: datetime(2024, 3, d)
+    batches = [[("r", "p", 0, "a", "s", day(1)), ("r", "p", 1, "b", "s", day(1))], [("r", "p", 0, "c", "t", day(2)), ("r", "p", 0, "old", "u", day(1))]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, CHUNKS).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        for f in (tmp_path / f"in/{k}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    kept, schema = Kept(spark), "repo string, path string, ordinal int, content_sha256 string, statement string, id string"
+
+    def live(n):
+        return kept.before("live", n, schema).filter("superseded_at is null").select(*[c.split()[0] for c in schema.split(", ")]) if n else kept.before("live", n, schema)
+
+    stream = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    jobs.stream_seed(stream, live, lambda df, n: kept.write("live", df, n), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(r.action for r in kept.rows["live", 0]) == ["inserted", "inserted"]
+    last = {(r.ordinal, r.content_sha256): r for r in kept.rows["live", 1]}
+    assert {k: r.action for k, r in last.items()} == {(0, "a"): "superseded", (0, "c"): "inserted", (1, "b"): "vanished"}
+    assert last[0, "a"].superseded_at == day(2) and last[0, "a"].superseded_by == last[0, "c"].id
+
+
+def claim_rows(spark, rows):
+    columns = [c.split()[0] for c in SCHEMAS["claims"].split(", ")]
+    return spark.createDataFrame([tuple({"superseded_at": None, **r}.get(c) for c in columns) for r in rows], SCHEMAS["claims"])
+
+
+def test_dedup_stream(spark, tmp_path):
+    at = datetime(2024, 5, 1)
+    old = claim_rows(spark, [{"id": "a", "statement_sha256": "h", "valid_from": at, "recorded_at": at, "confidence": 0.5}])
+    new = [{"id": x, "statement_sha256": h, "valid_from": at + timedelta(days=1), "recorded_at": at + timedelta(days=1), "confidence": 0.5} for x, h in (("b", "h"), ("c", "k"))]
+    claim_rows(spark, new).coalesce(1).write.parquet(str(tmp_path / "in"))
+    kept = Kept(spark)
+    stream = spark.readStream.schema(SCHEMAS["claims"]).parquet(str(tmp_path / "in"))
+    jobs.stream_dedup(stream, lambda n: old, lambda df, n: kept.write("claims", df, n), str(tmp_path / "cp")).awaitTermination(120)
+    got = {r.id: r for r in kept.rows["claims", 0]}
+    assert got["b"].superseded_by == "a" and got["b"].superseded_at > got["b"].recorded_at
+    assert got["a"].superseded_at is None and got["c"].superseded_at is None
+
+
+def test_capture_stream_shares_one_quota_and_closes_duplicates(spark, tmp_path):
+    line = '{"job_id": "j%d", "source": "# title\\n%s\\n", "repo": "r", "path": "a%d.md", "principals": ["p"], "ts": "2024-01-01T00:00:0%d"}\n'
+    for k, (n, words) in enumerate(((1, "same words here"), (2, "other words"), (3, "same words here"), (4, "never admitted"))):
+        (tmp_path / f"cap/{k}").mkdir(parents=True)
+        (tmp_path / f"cap/{k}/x.json").write_text(line % (n, words, n, n))
+        os.utime(tmp_path / f"cap/{k}/x.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    kept, live = Kept(spark), datetime(2023, 12, 1)
+    base = claim_rows(spark, [{"id": f"old{k}", "statement_sha256": "same", "valid_from": live, "recorded_at": live + timedelta(days=k), "confidence": 0.5, "scope_kind": "path", "scope_value": "s"} for k in range(2)])
+
+    def write(tables, n):
+        for name, df in tables.items():
+            kept.write(name, df, n)
+
+    cfg = LimitConfig(contribution_quota=3)
+    captures = capture_source(spark, str(tmp_path / "cap/*"), streaming=True, files_a_batch=1)
+    admitted = "principal_id string, ts timestamp, calls int, tokens int"
+    claims = lambda n: kept.before("snapshot", n, SCHEMAS["claims"]) if any(m == "snapshot" for m, _ in kept.rows) else base
+    jobs.stream_capture(captures, cfg, claims, lambda n: kept.before("admitted", n, admitted, True), write, str(tmp_path / "cp")).awaitTermination(300)
+    assert [len(kept.rows["denied", n]) for n in range(4)] == [0, 0, 0, 1]
+    end = kept.rows["snapshot", 3]
+    reasons = sorted((r.statement or r.id, r.supersede_reason or "") for r in end)
+    assert reasons == [("old0", ""), ("old1", "duplicate"), ("other words", ""), ("same words here", ""), ("same words here", "duplicate")]
+    assert all(r.superseded_at > r.recorded_at for r in end if r.superseded_at)
+
+
+def test_retries(spark, tmp_path):
+    schema, tries = "id bigint", []
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+
+    def start(fail):
+        def step(batch, n):
+            tries.append(n)
+            if len(tries) <= fail:
+                raise OSError("gone for a moment")
+            batch.count()
+
+        return lambda: jobs._run(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / f"cp{fail}"), step)
+
+    jobs.with_retries(start(2), wait=0.01)
+    assert tries == [0, 0, 0]
+    tries.clear()
+    with pytest.raises(StreamingQueryException):
+        jobs.with_retries(start(9), attempts=2, wait=0.01)
+    assert len(tries) == 2
