@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import limits
 from ..functions.intervals import supersede
 from ..schemas import CLAIM_KINDS
+from ..sources.scratch import written
 
 
 def stable_id(*parts: Column) -> Column:
@@ -109,7 +110,8 @@ def prune_scopes(claims: DataFrame, cfg: limits.LimitConfig, now: Column) -> Dat
     scope = ["scope_kind", "scope_value"]
     live = claims.filter("superseded_at is null").select("id", *scope, "confidence", "recorded_at")
     target = live.groupBy(*scope).agg(limits.prune_target(F.count("*"), cfg).cast("bigint").alias("target")).filter("target > 0")
-    left, gone = live.join(target, scope), []
+    # written at each step, as each is read three times and smaller than the one before
+    left, gone = written(live.join(target, scope)), []
     for key in PRUNE_BINS:
         left = left.withColumn("bin", F.expr(key))
         before = F.coalesce(F.sum("n").over(Window.partitionBy(*scope).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -117,7 +119,7 @@ def prune_scopes(claims: DataFrame, cfg: limits.LimitConfig, now: Column) -> Dat
         edge = sizes.filter("before < target and before + n >= target").select(*scope, F.col("bin").alias("edge"), (F.col("target") - F.col("before")).alias("rest"))
         placed = left.join(edge, scope)
         gone.append(placed.filter("bin < edge").select("id"))
-        left = placed.filter("bin = edge").select("id", *scope, "confidence", "recorded_at", F.col("rest").alias("target"))
+        left = written(placed.filter("bin = edge").select("id", *scope, "confidence", "recorded_at", F.col("rest").alias("target")))
     order = Window.partitionBy(*scope).orderBy("confidence", "recorded_at", "id")
     gone.append(left.withColumn("n", F.row_number().over(order)).filter("n <= target").select("id"))
     return expire_claims(claims, reduce(DataFrame.unionByName, gone), "pruned", now)
