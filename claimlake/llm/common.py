@@ -3,53 +3,35 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-T = TypeVar("T")
-_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
+from ..sources.scratch import forget, scratch_dir, written
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+__all__ = ["forget", "held_out", "join_hot", "kept_tool", "mix64", "per_batch", "per_row", "per_row_many", "scratch_dir", "words", "written"]
 
-    ``spark.checkpoint.dir`` where the session has it. Unset, as in tests on one
-    machine, a temporary folder serves a local master and the warehouse any other.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        at = f"{tempfile.gettempdir()}/claimlake-scratch" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return at.rstrip("/")
+T = TypeVar("T")
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def written(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends here.
+def join_hot(big: DataFrame, small: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """``big`` joined to ``small``, which has each key once and in ``rows`` how many rows of ``big`` have it.
 
-    Later stages then neither recompute Python work nor lose it with an executor.
+    Keys with more than a thousandth of the rows, which are a thousand at most, are
+    sent to every task; the others are shuffled. So no key is one task's.
     """
-    spark = df.sparkSession
-    at = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    out = df.coalesce(partitions) if partitions else df
-    out.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    base = scratch_dir(spark).removeprefix("file://")
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if f"{base}/t-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    hot = small.filter(F.col(rows) > max(1000, total / 1000))
+    popular = hot.select(*on).limit(1001)
+    if popular.isEmpty():
+        return big.join(small, on)
+    cold = big.join(F.broadcast(popular), on, "left_anti").join(small.filter(F.col(rows) <= max(1000, total / 1000)), on)
+    return big.join(F.broadcast(hot), on).unionByName(cold)
 
 
 def held_out(doc_id: Column) -> Column:

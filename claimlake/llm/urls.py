@@ -2,12 +2,15 @@
 
 Per host, paths are walked segment by segment. Under each node, segments that vary
 (digits, long hex, or many children that are hardly ever seen twice) become a
-wildcard, and siblings whose labelled share does not differ from the node's in a
-two-sided test merge into that wildcard too. Each template's labelled purity is
+wildcard, and so do siblings whose labelled share does not differ from the node's in a
+two-sided test. Of the others, those above the node's share that don't differ from one
+another merge into one branch, as do those below. Each template's labelled purity is
 smoothed with its parent's, from the host down, and a page is blocked where its
-template's purity exceeds the threshold. Labels are the verdicts of explicit rules,
-or any column given. Only counts by node are shuffled; a host that holds a third of
-all pages is summed before the shuffle, and joins leave large hosts to be split.
+template's purity exceeds the threshold. The first ``DEPTH`` levels are always walked,
+deeper ones as long as a node has labels of both kinds, however deep that is. Labels
+are the verdicts of explicit rules, or any column given. Only counts by distinct path
+and by node are shuffled; nodes and paths with more than a thousandth of the rows,
+which are a thousand at most, are joined by broadcast, so none is one task's.
 
 Defined results: null urls and urls without ``://`` have an empty host and path and
 are judged like any other host's; repeated rows get the same verdict; empty tables
@@ -16,14 +19,16 @@ give none; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, written
 
-#: Levels of the tree; what follows is one last segment.
+#: Levels of the tree that are walked whatever the labels.
 DEPTH = 3
 #: Children from which a node's children may be taken for variable, and the most pages of each on average.
 MANY, FEW = 12, 3.0
@@ -31,7 +36,7 @@ MANY, FEW = 12, 3.0
 SMOOTH, CRITICAL, REJECT = 4.0, 1.96, 0.6
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-WILD = "*"
+WILD, ABOVE, BELOW = "*", "(+)", "(-)"
 
 
 @dataclass(frozen=True)
@@ -72,45 +77,62 @@ def _variable(segment: Column) -> Column:
     return segment.rlike(r"^[0-9]+(\.[A-Za-z]+)?$|^[0-9A-Fa-f-]{12,}$|[0-9]{5,}")
 
 
+def _alike(lab: str, bad: str, share: Column) -> Column:
+    """Whether a branch's labelled share may be ``share`` by a two-sided test."""
+    n = F.greatest(F.col(lab), F.lit(1))
+    return (F.col(lab) == 0) | (F.abs(F.col(bad) / n - share) <= CRITICAL * F.sqrt(share * (1 - share) / n))
+
+
+def _children(now: DataFrame) -> DataFrame:
+    """host, template, seg of each branch below the nodes of ``now`` (host, template, seg, n, lab, bad) and its ``child`` name."""
+    node = ["host", "template"]
+    kids = now.groupBy(*node, "seg").agg(F.sum("n").alias("cn"), F.sum("lab").alias("clab"), F.sum("bad").alias("cbad"))
+    of_node = kids.groupBy(*node).agg(F.count("*").alias("kinds"), F.sum("cn").alias("pn"), F.sum("clab").alias("plab"), F.sum("cbad").alias("pbad"))
+    share = F.col("pbad") / F.greatest(F.col("plab"), F.lit(1))
+    many = (F.col("kinds") >= MANY) & (F.col("pn") <= FEW * F.col("kinds"))
+    wild = _variable(F.col("seg")) | many | _alike("clab", "cbad", share)
+    side = F.when(F.col("seg").isNull() | wild, F.lit(None)).otherwise(F.col("cbad") / F.greatest(F.col("clab"), F.lit(1)) > share)
+    kids = written(join_hot(kids, of_node, node, "kinds").withColumn("wild", wild).withColumn("side", side))
+    sided = kids.filter("side is not null")
+    pools = sided.groupBy(*node, "side").agg(F.sum("clab").alias("slab"), F.sum("cbad").alias("sbad"), F.count("*").alias("same"))
+    kids = join_hot(sided, pools, [*node, "side"], "same").unionByName(kids.filter("side is null"), allowMissingColumns=True)
+    merged = (F.col("same") > 1) & _alike("clab", "cbad", F.col("sbad") / F.greatest(F.col("slab"), F.lit(1)))
+    child = F.when(F.col("seg").isNull(), "").when(F.col("wild"), WILD).when(merged, F.when(F.col("side"), ABOVE).otherwise(BELOW)).otherwise(F.col("seg"))
+    return kids.select(*node, "seg", child.alias("child"), "cn")
+
+
 def template_purity(pages: DataFrame) -> DataFrame:
     """``pages`` (key, host, path, label) to (key, template, purity); label is 1 to reject, 0 to keep, or null."""
-    inner = F.split(F.regexp_replace("path", r"^/", ""), "/")
-    tail = F.array_join(F.slice(F.col("all"), DEPTH + 1, 1 << 20), "/")
-    rows = pages.withColumn("all", inner)
-    segments = F.concat(F.slice(F.col("all"), 1, DEPTH), F.array_repeat(F.lit(""), DEPTH))
-    rows = rows.select("host", segments.alias("s"), tail.alias("tail"), "label", "key")
+    rows = pages.select("host", F.split(F.regexp_replace("path", r"^/", ""), "/").alias("s"), "label", "key")
     # counts of each distinct path stand for its pages from here on
-    paths = rows.groupBy("host", *[F.get("s", F.lit(k)).alias(f"s{k}") for k in range(DEPTH)], (F.length("tail") > 0).alias("more")).agg(
-        F.count("*").alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")
-    )
-    paths = written(paths)
+    paths = written(rows.groupBy("host", "s").agg(F.count("*").alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")))
     total = paths.agg(F.sum("lab"), F.sum("bad")).first()
     prior = ((total[1] or 0) + 1.0) / ((total[0] or 0) + 2.0)
-    hosts = paths.groupBy("host").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
-    hosts = hosts.select("host", ((F.col("bad") + SMOOTH * prior) / (F.col("lab") + SMOOTH)).alias("purity"))
-    now = paths.join(hosts, "host").withColumn("template", F.lit("")).withColumn("purity0", F.col("purity")).drop("purity")
-    for k in range(DEPTH):
-        seg, node = f"s{k}", ["host", "template"]
-        children = now.groupBy(*node, seg).agg(F.sum("n").alias("cn"), F.sum("lab").alias("clab"), F.sum("bad").alias("cbad"))
-        parents = children.groupBy(*node).agg(
-            F.count("*").alias("kinds"), F.sum("cn").alias("pn"), F.sum("clab").alias("plab"), F.sum("cbad").alias("pbad")
-        )
-        share = F.col("pbad") / F.greatest(F.col("plab"), F.lit(1))
-        own = F.col("cbad") / F.greatest(F.col("clab"), F.lit(1))
-        spread = F.sqrt(share * (1 - share) / F.greatest(F.col("clab"), F.lit(1)))
-        alike = (F.col("clab") == 0) | (F.abs(own - share) <= CRITICAL * spread)
-        many = (F.col("kinds") >= MANY) & (F.col("pn") <= FEW * F.col("kinds"))
-        wild = (F.col(seg) != "") & (_variable(F.col(seg)) | many | alike)
-        named = children.join(parents, node).select(*node, seg, F.when(wild, F.lit(WILD)).otherwise(F.col(seg)).alias("child"))
-        now = now.join(named, [*node, seg])
-        now = now.withColumn("template", F.when(F.col("child") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "child"))).drop("child")
-        below = now.groupBy(*node).agg(F.sum("lab").alias("tlab"), F.sum("bad").alias("tbad"), F.min(f"purity{k}").alias("up"))
-        below = below.select(*node, ((F.col("tbad") + SMOOTH * F.col("up")) / (F.col("tlab") + SMOOTH)).alias(f"purity{k + 1}"))
-        now = written(now.join(below, node).drop(f"purity{k}"))
-    purity = F.col(f"purity{DEPTH}")
-    known = now.select("host", *[f"s{k}" for k in range(DEPTH)], "more", F.when(F.col("more"), F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"), purity.alias("purity"))
-    keyed = rows.select("key", "host", *[F.get("s", F.lit(k)).alias(f"s{k}") for k in range(DEPTH)], (F.length("tail") > 0).alias("more"))
-    return keyed.join(known, ["host", *[f"s{k}" for k in range(DEPTH)], "more"]).select("key", "template", "purity")
+    node = ["host", "template"]
+    sums = [F.count("*").alias("paths"), F.sum("lab").alias("tlab"), F.sum("bad").alias("tbad")]
+    hosts = paths.groupBy("host").agg(*sums)
+    hosts = hosts.select("host", "paths", ((F.col("tbad") + SMOOTH * prior) / (F.col("tlab") + SMOOTH)).alias("purity"), F.lit(True).alias("more"))
+    now = join_hot(paths, hosts, ["host"], "paths").select("host", "s", "n", "lab", "bad", F.lit("").alias("template"), "purity", "more")
+    done: list[DataFrame] = []
+    for level in itertools.count():
+        # the end of a path is a branch of its own; a blank last segment is none
+        seg = F.nullif(F.get("s", F.lit(level)), F.lit("")) if level == 0 else F.get("s", F.lit(level))
+        now = now.withColumn("seg", seg)
+        named = _children(now)
+        now = join_hot(now.withColumn("_seg", F.coalesce("seg", F.lit("\0"))), named.withColumn("_seg", F.coalesce("seg", F.lit("\0"))).drop("seg"), [*node, "_seg"], "cn").drop("_seg", "cn")
+        ended = F.col("seg").isNull()
+        now = written(now.withColumn("template", F.when(ended, F.concat("template", F.lit("/"))).otherwise(F.concat("template", F.lit("/"), "child"))).drop("child", "seg", "more"))
+        below = now.groupBy(*node).agg(*sums, F.min("purity").alias("up"))
+        both = (F.col("tbad") > 0) & (F.col("tbad") < F.col("tlab"))
+        below = below.select(*node, "paths", ((F.col("tbad") + SMOOTH * F.col("up")) / (F.col("tlab") + SMOOTH)).alias("purity"), (both | F.lit(level + 1 < DEPTH)).alias("more"))
+        open_ = (F.size("s") > level + 1) & ~((F.size("s") == level + 2) & (F.get("s", F.lit(level + 1)) == ""))
+        now = written(join_hot(now.drop("purity"), below, node, "paths").drop("paths"))
+        going = open_ & F.col("more")
+        done.append(now.filter(~going).select("host", "s", F.when(open_, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"), "purity", "n"))
+        now = now.filter(going)
+        if now.isEmpty():
+            break
+    return join_hot(rows.select("key", "host", "s"), reduce(DataFrame.unionByName, done), ["host", "s"], "n").select("key", "template", "purity")
 
 
 def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:

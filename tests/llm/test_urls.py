@@ -19,56 +19,78 @@ def ruled(host, path):
 
 def brute(pages):
     """The tree by plain loops."""
-    rows = [(i, *split(u)) for i, u in pages]
     data = []
-    for i, h, p in rows:
+    for i, u in pages:
+        h, p = split(u)
         rule, verdict = ruled(h, p)
         parts = re.sub(r"^/", "", p).split("/")
-        s = (parts[: urls.DEPTH] + [""] * urls.DEPTH)[: urls.DEPTH]
-        data.append({"key": (i, h, p, rule, verdict), "host": h, "s": s, "label": {"block": 1, "allow": 0}.get(verdict), "t": ""})
-    lab = [d for d in data if d["label"] is not None]
-    prior = (sum(d["label"] for d in lab) + 1) / (len(lab) + 2)
-    groups = defaultdict(list)
-    for d in data:
-        groups[d["host"]].append(d)
+        data.append({"key": (i, h, p, rule, verdict), "s": parts[:-1] if parts[-1] == "" else parts, "label": {"block": 1, "allow": 0}.get(verdict), "node": (h, "")})
+    lab = [d["label"] for d in data if d["label"] is not None]
+    prior = (sum(lab) + 1) / (len(lab) + 2)
+
+    def nodes(ds):
+        out = defaultdict(list)
+        for d in ds:
+            out[d["node"]].append(d)
+        return out
+
     count = lambda ds: (len([d for d in ds if d["label"] is not None]), sum(d["label"] or 0 for d in ds))
-    for ds in groups.values():
-        n, bad = count(ds)
+    alike = lambda n, bad, share: n == 0 or abs(bad / max(1, n) - share) <= urls.CRITICAL * (share * (1 - share) / max(1, n)) ** 0.5
+    smooth = lambda n, bad, up: (bad + urls.SMOOTH * up) / (n + urls.SMOOTH)
+    for ds in nodes(data).values():
         for d in ds:
-            d["p"] = (bad + urls.SMOOTH * prior) / (n + urls.SMOOTH)
-    for k in range(urls.DEPTH):
-        nodes = defaultdict(lambda: defaultdict(list))
-        for d in data:
-            nodes[d["host"], d["t"]][d["s"][k]].append(d)
-        for kids in nodes.values():
-            everyone = [d for ds in kids.values() for d in ds]
-            pn, pbad = count(everyone)
+            d["p"] = smooth(*count(ds), prior)
+    now, k = data, 0
+    while now:
+        for (h, t), ds in nodes(now).items():
+            kids = defaultdict(list)
+            for d in ds:
+                kids[d["s"][k] if len(d["s"]) > k else None].append(d)
+            pn, pbad = count(ds)
             share = pbad / max(1, pn)
-            for seg, ds in kids.items():
-                n, bad = count(ds)
-                variable = bool(re.search(r"^[0-9]+(\.[A-Za-z]+)?$|^[0-9A-Fa-f-]{12,}$|[0-9]{5,}", seg))
-                many = len(kids) >= urls.MANY and len(everyone) <= urls.FEW * len(kids)
-                alike = n == 0 or abs(bad / max(1, n) - share) <= urls.CRITICAL * (share * (1 - share) / max(1, n)) ** 0.5
-                for d in ds:
-                    if seg:
-                        d["new"] = d["t"] + "/" + ("*" if variable or many or alike else seg)
-                    else:
-                        d["new"] = d["t"]
-        for d in data:
-            d["t"] = d["new"]
-        groups = defaultdict(list)
-        for d in data:
-            groups[d["host"], d["t"]].append(d)
-        for ds in groups.values():
+            many = len(kids) >= urls.MANY and len(ds) <= urls.FEW * len(kids)
+            names, sides = {}, defaultdict(list)
+            for seg, own in kids.items():
+                n, bad = count(own)
+                if seg is None:
+                    names[seg] = ""
+                elif many or re.search(r"^[0-9]+(\.[A-Za-z]+)?$|^[0-9A-Fa-f-]{12,}$|[0-9]{5,}", seg) or alike(n, bad, share):
+                    names[seg] = "*"
+                else:
+                    sides[bad / max(1, n) > share].append(seg)
+            for above, segs in sides.items():
+                sn, sbad = map(sum, zip(*(count(kids[x]) for x in segs)))
+                for x in segs:
+                    names[x] = ("(+)" if above else "(-)") if len(segs) > 1 and alike(*count(kids[x]), sbad / max(1, sn)) else x
+            for seg, own in kids.items():
+                for d in own:
+                    d["new"] = (h, t + "/" + names[seg])
+        for d in now:
+            d["node"] = d["new"]
+        k += 1
+        going = []
+        for ds in nodes(now).values():
             n, bad = count(ds)
             up = min(d["p"] for d in ds)
             for d in ds:
-                d["q"] = (bad + urls.SMOOTH * up) / (n + urls.SMOOTH)
-        for d in data:
+                d["q"] = smooth(n, bad, up)
+                if len(d["s"]) > k and (k < urls.DEPTH or 0 < bad < n):
+                    going.append(d)
+        for d in now:
             d["p"] = d["q"]
+        now = going
     return Counter((*d["key"][:4], d["key"][4] or ("block" if d["p"] > urls.REJECT else "allow")) for d in data)
 
 
+def test_deep_branches_are_told_apart(spark):
+    """Labels that differ from the sixth segment on."""
+    good, bad = urls.Rule("allow", "h.net/a/b/c/d/e/good/0"), urls.Rule("block", "h.net/a/b/c/d/e/spam/0")
+    pages = [(i, f"x://h.net/a/b/c/d/e/{'spam' if i % 2 else 'good'}/{i // 2 % 2}{i}/z") for i in range(400)]
+    rows = spark.createDataFrame(pages, "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(rows, [good, bad]).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i, _ in pages)
+
+
 def test_judge_equals_loops(spark):
     pages = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
     pages += [(None, None), (1, "no scheme"), (2, "http://"), (3, "HTTP://ORG/"), (3, "HTTP://ORG/"), (4, "x://a.Example.ORG/es/1?q#f"), (5, "a://b://c/d"), (6, "x://org")]
