@@ -23,11 +23,12 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u != v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """``u``, ``v`` (bigint) to ``node``, ``root``: the least node reachable, for each node with an edge.
 
-    Each round ends in a written table, so lost executors cost one round, and stops
-    when a round changes nothing. No step collects links or nodes.
+    Each round ends in a written table, so lost executors cost one round, and they end
+    when a round changes nothing; it is an error if ``rounds`` don't suffice. No step
+    collects links or nodes.
     """
     now = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
@@ -40,4 +41,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if tuple(r) == mark or r[0] == 0:
             break
         mark = tuple(r)
+    else:
+        raise ValueError(f"the components still changed in round {rounds}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, per_batch, written
+from .common import join_hot, mix64, per_batch, written
 from .graph import components
 
 SEED, SHINGLE, LIMIT = 42, 3, 3
@@ -221,24 +221,24 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints (doc_id, fp) and, for each fingerprint, ``component_id``."""
+    """Fingerprints (doc_id, fp) and, for each fingerprint, ``component_id`` and how many rows have it."""
     prints = written(fingerprints(docs))
-    first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     found = components(links(first))
     named = first.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints, named.join(least, "root").select("fp", "component_id")
+    return prints, named.join(least, "root").select("fp", "component_id", "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     prints, named = groups(docs)
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_hot(prints, written(named), ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows whose doc_id is the least of their group (all rows with that doc_id); columns as they were."""
     prints, named = groups(docs)
-    kept = prints.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = join_hot(prints, written(named), ["fp"], "n").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from claimlake.llm import simhash
+from claimlake.llm import graph, simhash
 
 
 def brute_print(text):
@@ -92,3 +92,10 @@ def test_links_of_the_last_level(spark):
     rows = [(int(np.uint64(f).view(np.int64)),) for f in prints]
     root = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame(rows, "fp bigint"))).collect()}
     assert a in root and root[a] == root[int(np.uint64(b).view(np.int64))]
+
+
+def test_components_without_an_end_are_an_error(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(64)], "u bigint, v bigint")
+    with pytest.raises(ValueError, match="round 1"):
+        graph.components(chain, rounds=1)
+    assert {r.root for r in graph.components(chain).collect()} == {0}
