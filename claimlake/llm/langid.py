@@ -24,31 +24,33 @@ from pyspark.sql import functions as F
 
 from .common import held_out, kept_tool, per_batch
 
-#: Sampled slices of each language and their characters: the bound of what is learned from.
-SLICES, SLICE_CHARS = 160, 240
-#: Languages learned, at most: those with most labelled rows.
-LANGUAGES = 64
-#: Letters with a symbol of their own, at most: the most frequent of the sample.
-LETTERS = 120
+#: Slices of all languages together, of each language at most and at least, and their characters: the bound of what is learned from.
+ALL_SLICES, SLICES, FEWEST, SLICE_CHARS = 1024, 160, 8, 240
+#: Letters with a symbol of their own, the most frequent of the sample, and the symbols that all others share by their code point.
+LETTERS, SHARED = 120, 40
 BLOCK = 512
 
-_SEPARATOR, _UNKNOWN, _FIRST = 0, 1, 2
+_SEPARATOR, _FIRST = 0, 1
 
 
 def sample(docs: DataFrame, learn: Column, label: str = "lang", text: str = "text", key: str = "doc_id") -> dict[str, list[str]]:
-    """Slices of text for each label, of at most SLICES rows each, chosen by a hash of the key."""
-    rows = docs.filter(learn & F.col(label).isNotNull() & F.col(text).isNotNull())
-    names = [r[0] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()]
-    picked = rows.select(F.col(label).alias("_l"), F.col(key).alias("_k")).filter(F.col("_l").isin(names))
-    picked = picked.select("_l", "_k", F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k")).alias("_n"))
-    picked = picked.filter(F.col("_n") <= SLICES).select("_l", "_k")
-    start = 1 + F.pmod(F.xxhash64(key, F.lit(7)), F.greatest(F.length(text) - SLICE_CHARS, F.lit(1)))
-    slices = rows.join(F.broadcast(picked), (F.col(key) == F.col("_k")) & (F.col(label) == F.col("_l")))
-    found = slices.select(F.col(label), F.substring(F.col(text), start.cast("int"), F.lit(SLICE_CHARS)), F.col(key)).collect()
+    """Slices of text for each label, from at most SLICES rows each, chosen by a hash of key and text.
+
+    Every label is learned; many labels share ALL_SLICES, but FEWEST are taken of each.
+    Equal rows are one.
+    """
+    rows = docs.filter(learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("_l"), F.col(key).alias("_k"), F.col(text).alias("_t"))
+    names = rows.select("_l").distinct().count()
+    most = max(FEWEST, min(SLICES, ALL_SLICES // max(1, names)))
+    own = F.xxhash64("_k", "_t")
+    ranked = rows.select("_l", own.alias("_h")).distinct()
+    picked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h"))).filter(F.col("_n") <= most).select("_l", "_h")
+    start = 1 + F.pmod(F.xxhash64("_k", F.lit(7)), F.greatest(F.length("_t") - SLICE_CHARS, F.lit(1)))
+    pieces = rows.withColumn("_h", own).join(F.broadcast(picked), ["_l", "_h"]).select("_l", "_h", F.substring(F.col("_t"), start.cast("int"), F.lit(SLICE_CHARS)).alias("_p"))
     out: dict[str, list[str]] = {}
-    for name, piece, _ in sorted(found, key=lambda r: (r[0], str(r[2]), r[1])):
+    for name, _, piece in sorted(map(tuple, pieces.distinct().collect())):
         out.setdefault(name, []).append(piece)
-    return {name: pieces[: 2 * SLICES] for name, pieces in out.items()}
+    return out
 
 
 def automaton(symbols: list[int], size: int) -> np.ndarray:
@@ -88,12 +90,13 @@ class Model:
         self.names = [name for name, _ in training]
         seen = Counter(c for _, pieces in training for x in pieces for c in x.lower() if c.isalpha())
         letters = sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS]
-        self.symbol = np.full(0x110000, _UNKNOWN, np.int32)
+        # letters beyond the most frequent ones still differ from one another, by their place in a script
+        self.symbol = (np.arange(0x110000) % SHARED + _FIRST).astype(np.int32)
         self.letter = np.array([chr(i).isalpha() for i in range(0x110000)])
         self.symbol[~self.letter] = _SEPARATOR
         for k, c in enumerate(letters):
-            self.symbol[ord(c)] = k + _FIRST
-        self.size = len(letters) + _FIRST + 1
+            self.symbol[ord(c)] = k + _FIRST + SHARED
+        self.size = len(letters) + SHARED + _FIRST + 1
         self.pad = self.size - 1
         self.tables, self.weight = [], []
         for _, pieces in training:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from claimlake.llm import langid
 
@@ -47,3 +48,16 @@ def test_held_out_accuracy(spark):
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
     assert len(rows) > 200
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
+
+
+def test_every_label_is_learned_from_a_bounded_sample(spark):
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + k) for k in range(2000)]
+    own = {f"l{k:02}": [rng.choice(letters) for _ in range(30)] for k in range(70)}
+    rows = [(k * 100 + i, name, "".join(rng.choice(a) for _ in range(60))) for k, (name, a) in enumerate(own.items()) for i in range(6)]
+    rows += [(5, "l00", rows[5][2])] * 400
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    learned = langid.sample(docs, F.lit(True))
+    assert len(learned) == 70 and all(len(x) <= 8 for x in learned.values())
+    got = langid.identify(docs, F.lit(True)).join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
