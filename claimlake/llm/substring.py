@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, per_batch, words, written
+from .common import join_hot, mix64, per_batch, words, written
 
 WINDOW, GRAM = 20, 6
 #: An anchor with more occurrences than this has its windows dealt one by one.
 HOT = 2_000
+#: Rows that share a doc_id, at most, before the texts' hashes tell them apart.
+SHARED = 64
 #: Bytes of run text that a shard is meant to hold; the number of shards follows.
 SHARD_BYTES = 12_000_000
 #: Distinct runs that a task keeps to merge equal ones before the shuffle.
@@ -101,9 +103,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def with_identity(docs: DataFrame) -> DataFrame:
+def with_identity(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds ``_id`` (doc_id, null as the largest) and ``_th`` (hash of the text)."""
-    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(_LAST))).withColumn("_th", F.xxhash64("text"))
+    return docs.withColumn("_id", F.coalesce(doc_id, F.lit(_LAST))).withColumn("_th", F.xxhash64(text))
 
 
 def _anchor_rows(docs: DataFrame, places: bool) -> DataFrame:
@@ -128,7 +130,7 @@ def _anchor_rows(docs: DataFrame, places: bool) -> DataFrame:
                 else:
                     found, times = np.unique(found, return_counts=True)
                     cols[0].append(found)
-                    cols[1].append(np.full(len(found), th >> 32, np.int32))
+                    cols[1].append(np.full(len(found), th, np.int64))
                     cols[2].append(times.astype(np.int32))
             if not cols[0]:
                 return (), (), ()
@@ -136,8 +138,8 @@ def _anchor_rows(docs: DataFrame, places: bool) -> DataFrame:
 
         return many
 
-    schema = "anchor bigint, id bigint, place int" if places else "anchor bigint, th int, times int"
-    return per_batch(docs, schema, make, ["_id", "_th", "text"], rows=256)
+    schema = "anchor bigint, id bigint, place int" if places else "anchor bigint, th bigint, times int"
+    return per_batch(docs, schema, make, ["_key", "_th", "text"], rows=256)
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
@@ -362,15 +364,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = with_identity(docs.select("doc_id", "text")).filter("text is not null")
     copies = docs.select("_id", "_th", F.sha2("text", 256).alias("sha"))
-    first = copies.groupBy("sha").agg(F.min("_id").alias("rep"))
-    copies = copies.join(first, "sha").filter("_id > rep").select("_id", "_th").distinct()
-    copies = written(copies)
+    first = written(copies.groupBy("sha").agg(F.min("_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
+    copies = written(join_hot(copies, first, ["sha"], "n").filter("_id > rep").select("_id", "_th").distinct())
+    # places meet their text by its id; texts without one, or with one that many share, by their hash
+    many = docs.filter(F.col("_id") != _LAST).groupBy("_id").count().filter(F.col("count") > SHARED)
+    alone = F.col("_th") if not many.limit(1).isEmpty() else F.when(F.col("_id") == _LAST, F.col("_th")).otherwise(F.col("_id"))
+    docs = docs.withColumn("_key", alone)
     known = written(repeated_anchors(docs))
     total = known.agg(F.sum("n")).first()[0] or 0
     hits = _anchor_rows(docs, True).join(known.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
     hits = hits.groupBy("id").agg(F.collect_list("place").alias("places"), F.collect_list("hot").alias("hots"))
-    texts = docs.join(copies, ["_id", "_th"], "left_anti").select("_id", "_th", "text")
-    cut = texts.join(hits, texts["_id"] == hits["id"]).select("_id", "_th", "text", "places", "hots").mapInArrow(_cut_runs, _RUNS)
+    texts = docs.join(copies, ["_id", "_th"], "left_anti").select("_id", "_th", "_key", "text")
+    cut = texts.join(hits, texts["_key"] == hits["id"]).select("_id", "_th", "text", "places", "hots").mapInArrow(_cut_runs, _RUNS)
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(base, int(total * 220 / SHARD_BYTES))
     found = cut.repartition(shards, "key").mapInArrow(_search_shard, _RUNS).select("id", "th", "start", "n")
@@ -425,8 +430,7 @@ def keep_novel(docs: DataFrame) -> DataFrame:
     columns, kept = docs.columns, docs.schema
     at, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     names = [f"_c{k}" for k in range(len(columns))]  # the added columns can't clash
-    joined = with_identity(docs)
-    plain = joined.select("_id", "_th", *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])
+    plain = with_identity(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)]), names[columns.index("doc_id")], names[at])
     found = repeats(docs)
     both = plain.join(found, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")), "left")
 

@@ -83,3 +83,20 @@ def test_index_equals_scan():
                 continue
             assert (t == depth) == (len(grams[g]) > 1)
             assert f == (grams[g][0] if t == depth else -1)
+
+
+def test_names_of_columns_do_not_clash(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, 5, "a", "x", 3), (2, "new " + text, 6, "b", "y", 4)], "doc_id bigint, text string, _id bigint, _th string, id string, start int")
+    rows = {r.doc_id: r for r in substring.keep_novel(docs).collect()}
+    assert rows[1].text == text and rows[2].text == "new" and [(r._id, r._th, r.id, r.start) for r in (rows[1], rows[2])] == [(5, "a", "x", 3), (6, "b", "y", 4)]
+
+
+def test_texts_without_or_with_one_id(spark):
+    """Many texts share a null id, or one id; the passage that they have in common starts first in document 1."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(1, passage)] + [(None, f"n{k} m{k} {passage} e{k}") for k in range(200)] + [(7, f"a{k} b{k} {passage}") for k in range(substring.SHARED + 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for ids in (docs, docs.filter("doc_id is null or doc_id = 1")):
+        for r in substring.digest(ids).collect():
+            assert r.n_removed == (0 if r.doc_id == 1 else 30)
