@@ -280,9 +280,14 @@ def collisions(entities: DataFrame) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str, text: str = "text", make_replacer: Callable[[bytes], Replacer] = Replacer) -> DataFrame:
-    """``docs`` with mentions in ``text`` replaced, and ``_entities``; columns as they were before that."""
-    columns, secret = docs.columns, key.encode()
-    at = columns.index(text)
+    """``docs`` as ``_c0``, ``_c1``, ... in order, with mentions in ``text`` replaced, and ``_entities``.
+
+    Columns go by number, so that no name of the input can clash.
+    """
+    secret, at = key.encode(), docs.columns.index(text)
+    columns = [f"_c{k}" for k in range(len(docs.columns))]
+    docs = docs.toDF(*columns)
+    text = columns[at]
     schema = StructType([*docs.schema.fields, *_entity_schema(docs).fields])
 
     def run(rows: DataFrame, tweaked: bool) -> DataFrame:
@@ -338,17 +343,18 @@ def _entity_schema(docs: DataFrame) -> StructType:
 
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text``; ``n_chars``, where there, follows."""
-    out = replace(docs, key)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out, names = replace(docs, key), docs.columns
+    kept = {c: F.col(f"_c{k}") for k, c in enumerate(names)}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.size("_entities") > 0, F.length(kept["text"])).otherwise(kept["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[c.alias(n) for n, c in kept.items()])
 
 
 def report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_entities, the number of each type, and the text with surrogates, of each row."""
     out = replace(docs.select("doc_id", "text"), key)
     each = [F.size(F.filter("_entities.kind", _is(k))).cast("bigint").alias(f"n_{k}") for k in TYPES]
-    return out.select("doc_id", F.size("_entities").cast("bigint").alias("n_entities"), *each, "text")
+    return out.select(F.col("_c0").alias("doc_id"), F.size("_entities").cast("bigint").alias("n_entities"), *each, F.col("_c1").alias("text"))
 
 
 def _is(kind: str) -> Callable[[Column], Column]:

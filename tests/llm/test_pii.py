@@ -121,3 +121,10 @@ def test_entities_that_stay_are_an_error(spark):
     docs = spark.createDataFrame([(1, "call +19885551234")], "doc_id bigint, text string")
     with pytest.raises(ValueError, match="1 entities"):
         pii.replace(docs, "k", make_replacer=Idle)
+
+
+def test_names_of_columns_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "call +19885551234", 5, "e", "t", 7, 8, 9)], "doc_id bigint, text string, n_chars int, _entities string, _tweaks string, _th bigint, th bigint, _c0 int")
+    (row,) = pii.pseudonymize(docs, "k").collect()
+    assert row.asDict() | {"text": None} == {"doc_id": 1, "text": None, "n_chars": 17, "_entities": "e", "_tweaks": "t", "_th": 7, "th": 8, "_c0": 9}
+    assert row.text != "call +19885551234"
