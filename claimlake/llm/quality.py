@@ -170,8 +170,8 @@ def _only(own: Column, k: int, name: str) -> Column:
     return F.coalesce(F.sum(F.when(own == F.lit(1 << k), F.col("n"))), F.lit(0)).alias(f"{name}_only")
 
 
-#: The query's columns in DuckDB SQL, by definition and not by the helper above.
-SQL = """
+#: The measurements and failure bits in DuckDB SQL, by definition and not by the helper above.
+_LEDGER_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 m AS (
   SELECT doc_id, t, w, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
@@ -187,11 +187,18 @@ s AS (SELECT doc_id, count(*) FILTER (WHERE a = b) AS n_stutters FROM p GROUP BY
 z AS (
   SELECT m.*, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
     coalesce(n_stutters, 0) AS n_stutters
-  FROM m LEFT JOIN v USING (doc_id) LEFT JOIN s USING (doc_id))
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 25 * n_words OR n_upper > n_lower
-    OR 100 * n_exclaims > 30 * n_words OR 100 * n_stutters > 30 * n_words OR word_chars > 30 * n_words OR 10 * word_chars < 15 * n_words) AS kept
-FROM z
+  FROM m LEFT JOIN v USING (doc_id) LEFT JOIN s USING (doc_id)),
+b AS (
+  SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 25 * n_words THEN 4 ELSE 0 END
+    + CASE WHEN n_upper > n_lower THEN 8 ELSE 0 END + CASE WHEN 100 * n_exclaims > 30 * n_words THEN 16 ELSE 0 END + CASE WHEN 100 * n_stutters > 30 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN word_chars > 30 * n_words THEN 64 ELSE 0 END + CASE WHEN 10 * word_chars < 15 * n_words THEN 128 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 256 ELSE 0 END AS bits
+  FROM z)
+"""
+#: The query's columns.
+SQL = _LEDGER_SQL + """SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, bits & 3 <> 0 AS base_failed, bits & 255 = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits, 'v1' AS policy
+FROM b
+"""
+ABLATION_SQL = _LEDGER_SQL + """SELECT rule, count(*) FILTER (WHERE bits & bit <> 0) AS failing, count(*) FILTER (WHERE bits & 255 = bit) AS "only", count(*) AS rows
+FROM b, (VALUES ('FEW_WORDS', 1), ('REPEATED_RUNS', 2), ('SYMBOLS', 4), ('SHOUTING', 8), ('EXCLAIMING', 16), ('STUTTERING', 32), ('LONG_WORDS', 64), ('SHORT_WORDS', 128)) r(rule, bit) GROUP BY rule
 """

@@ -48,7 +48,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES["v1"])
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, and what it rejects alone."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES["v1"])
 
 
 URL_RULES = [
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_compression": op1_toxicity_compression,
     "op4_rp_forest": op4_rp_forest,
     "op2_quality_ledger": op2_quality_ledger,
+    "quality_ablation": quality_ablation,
     "op5_url_templates": op5_url_templates,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_language_id": op6_language_id,
@@ -95,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_ledger": quality.SQL,
+    "quality_ablation": quality.ABLATION_SQL,
 }
