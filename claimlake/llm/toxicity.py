@@ -29,19 +29,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, per_batch
+from .common import held_out, kept_tool, per_batch
 
 #: Letters of a window: the width that separates the sample best is taken.
 WIDTHS = (4, 5, 6)
 EXPAND, LEVEL = 4, 12
-#: Texts of each label and characters of each that are learned from, at most.
-TOXIC, ORDINARY, CHARS = 800, 2400, 4000
+#: Texts of each label that are learned from, at most, and the characters above which a text is not taken; those taken are whole.
+TOXIC, ORDINARY, LONGEST = 800, 2400, 10_000
 #: Windows of the ordinary dictionary, at most, and of a worker's memory.
 COMMON, MEMORY = 12_000, 500_000
 #: A toxic window is in this share of toxic texts (and in LEAST) and this much rarer in ordinary ones.
 SHARE, LEAST, CONTRAST = 0.01, 3, 10.0
-#: Hits beyond this many are scored alike.
-MOST = 4
+#: Hits beyond this many are scored alike; in a text of more windows than UNIT, hits for each UNIT of them count.
+MOST, UNIT = 4, 500
 
 _OPENING = {n: re.compile(r"(?<![^\W\d_])[^\W\d_]{1,%d}" % n) for n in WIDTHS}
 _CODE = [hashlib.blake2b(bytes([b]), digest_size=EXPAND).digest() for b in range(256)]
@@ -57,6 +57,11 @@ def expand(window: str, width: int) -> bytes:
     return b"".join(map(_CODE.__getitem__, (" " + window + " ")[: width + 1].encode("utf-8", "surrogatepass")))
 
 
+def level(hits: int, n: int) -> int:
+    """What a text's score goes by: its hits, or in long texts how many there are to a stretch of UNIT windows."""
+    return int(min(MOST, hits * min(1.0, UNIT / max(1, n))))
+
+
 def own_contexts(texts: list[str], width: int) -> Counter:
     """For each window, the texts that have it after a window after which no earlier text had it."""
     seen: set[tuple[str, str]] = set()
@@ -121,7 +126,12 @@ class Hits(dict):
         return found
 
     def count(self, text: str | None) -> int:
-        return sum(map(self.__getitem__, windows(text, self.model.width)))
+        return self.counts(text)[0]
+
+    def counts(self, text: str | None) -> tuple[int, int]:
+        """Hits and windows of a text."""
+        found = windows(text, self.model.width)
+        return sum(map(self.__getitem__, found)), len(found)
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
@@ -157,12 +167,12 @@ def _calibrated(toxic: list[str], ordinary: list[str], width: int) -> tuple[floa
     best = None
     for near in range(4, 17):
         for gap in range(-2, 12):
-            hit = [sum(any(t <= near and o - t >= gap for t, o in p) for p in side) / len(side) for side in pairs]
+            hit = [sum(level(sum(n for (t, o), n in p.items() if t <= near and o - t >= gap), p.total()) > 0 for p in side) / len(side) for side in pairs]
             value = (hit[0] - 4 * hit[1], gap, -near)
             if best is None or value > best[0]:
                 best = (value, near, gap)
     value, near, gap = best
-    counts = [Counter(min(MOST, sum(n for (t, o), n in p.items() if t <= near and o - t >= gap)) for p in side) for side in pairs]
+    counts = [Counter(level(sum(n for (t, o), n in p.items() if t <= near and o - t >= gap), p.total()) for p in side) for side in pairs]
     scores, least = [], 0.0
     for h in range(MOST + 1):  # at least so many hits, so that the score never falls with hits
         a, b = (sum(n for k, n in side.items() if (k >= h if h else k == 0)) for side in counts)
@@ -172,7 +182,8 @@ def _calibrated(toxic: list[str], ordinary: list[str], width: int) -> tuple[floa
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list[str], list[str]]:
-    """Toxic and ordinary texts for learning: at most TOXIC and ORDINARY of them, by a hash of doc_id, CHARS from each."""
+    """Toxic and ordinary whole texts for learning: at most TOXIC and ORDINARY of them, by a hash of doc_id."""
+    learn = learn & (F.length("text") <= LONGEST)
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = docs.filter(learn).select("doc_id").distinct().join(marked, "doc_id")
     order = F.xxhash64("doc_id")
@@ -180,29 +191,23 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list[str]
     for toxic, most in ((1, TOXIC), (0, ORDINARY)):
         # a bounded number of ids, so this broadcast is bounded too
         picked = known.filter(F.col("_toxic") == toxic).orderBy(order, "doc_id").limit(most).select("doc_id")
-        start = 1 + F.pmod(order, F.greatest(F.length("text") - CHARS, F.lit(1)))
-        texts = docs.filter(learn).join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", start.cast("int"), F.lit(CHARS)).alias("t"))
+        texts = docs.filter(learn).join(F.broadcast(picked), "doc_id").select("doc_id", F.col("text").alias("t"))
         found = texts.filter("t is not null").orderBy("doc_id", "t").limit(most).collect()
         out.append([r.t for r in found])
     return out[0], out[1]
 
 
-_KEPT: dict[Model, Hits] = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and n_hits of every row."""
 
     def make():
-        if model not in _KEPT:
-            _KEPT[model] = Hits(model)
-        hits = _KEPT[model]
+        hits = kept_tool(("toxicity", model), lambda: Hits(model))
 
         def many(doc_ids, held, texts):
             if not model.toxic:
                 return doc_ids, held, [0.0] * len(texts), [0] * len(texts)
-            counts = [hits.count(t) for t in texts]
-            return doc_ids, held, [model.scores[min(MOST, n)] for n in counts], counts
+            counts = [hits.counts(t) for t in texts]
+            return doc_ids, held, [model.scores[level(*c)] for c in counts], [n for n, _ in counts]
 
         return many
 
