@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,13 @@ def forget(df: DataFrame) -> None:
         if f"{base}/t-" in name:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that nothing in use comes from.
+
+    Its cleaner follows the driver's garbage collection, which a driver with little to
+    do runs rarely, while the executors' disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
