@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.scratch import forget, scratch_dir, written
+from ..sources.scratch import forget, release, scratch_dir, written
 
-__all__ = ["forget", "held_out", "join_hot", "kept_tool", "mix64", "per_batch", "per_row", "per_row_many", "scratch_dir", "words", "written"]
+__all__ = ["forget", "held_out", "join_hot", "kept_tool", "mix64", "per_batch", "per_row", "per_row_many", "release", "scratch_dir", "words", "written"]
 
 T = TypeVar("T")
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, mix64, per_batch, words, written
+from .common import join_hot, mix64, per_batch, release, words, written
 
 WINDOW, GRAM = 20, 6
 #: An anchor with more occurrences than this has its windows dealt one by one.
@@ -363,24 +363,28 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = with_identity(docs.select("doc_id", "text")).filter("text is not null")
+    # places meet their text by its id, or by a hash: of a text without an id, or of id and text where many share one
+    many = docs.filter(F.col("_id") != _LAST).groupBy("_id").count().filter(F.col("count") > SHARED)
+    key = F.xxhash64("_id", "_th") if not many.limit(1).isEmpty() else F.when(F.col("_id") == _LAST, F.col("_th")).otherwise(F.col("_id"))
     copies = docs.select("_id", "_th", F.sha2("text", 256).alias("sha"))
     first = written(copies.groupBy("sha").agg(F.min("_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
-    copies = written(join_hot(copies, first, ["sha"], "n").filter("_id > rep").select("_id", "_th").distinct())
-    # places meet their text by its id; texts without one, or with one that many share, by their hash
-    many = docs.filter(F.col("_id") != _LAST).groupBy("_id").count().filter(F.col("count") > SHARED)
-    alone = F.col("_th") if not many.limit(1).isEmpty() else F.when(F.col("_id") == _LAST, F.col("_th")).otherwise(F.col("_id"))
-    docs = docs.withColumn("_key", alone)
+    copies = written(join_hot(copies, first, ["sha"], "n").filter("_id > rep").select("_id", "_th").distinct().withColumn("_key", key))
+    docs = docs.withColumn("_key", key)
+    release(spark)
     known = written(repeated_anchors(docs))
+    release(spark)
     total = known.agg(F.sum("n")).first()[0] or 0
     hits = _anchor_rows(docs, True).join(known.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor")
     hits = hits.groupBy("id").agg(F.collect_list("place").alias("places"), F.collect_list("hot").alias("hots"))
-    texts = docs.join(copies, ["_id", "_th"], "left_anti").select("_id", "_th", "_key", "text")
+    # (_key, _th) stands for (_id, _th), so that one shuffle of the texts serves both joins
+    texts = docs.join(copies, ["_key", "_th"], "left_anti").select("_id", "_th", "_key", "text")
     cut = texts.join(hits, texts["_key"] == hits["id"]).select("_id", "_th", "text", "places", "hots").mapInArrow(_cut_runs, _RUNS)
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(base, int(total * 220 / SHARD_BYTES))
     found = cut.repartition(shards, "key").mapInArrow(_search_shard, _RUNS).select("id", "th", "start", "n")
     whole = copies.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.lit(0).alias("start"), F.lit(None).cast("int").alias("n"))
     found = written(found.union(whole).groupBy("id", "th").agg(F.collect_list(F.struct("start", F.coalesce("n", F.lit(-1)).alias("n"))).alias("found")))
+    release(spark)
     return found.select("id", "th", F.col("found.start").alias("starts"), F.col("found.n").alias("ns"))
 
 
