@@ -25,12 +25,12 @@ def join_hot(big: DataFrame, small: DataFrame, on: list[str], rows: str) -> Data
     Keys with more than a thousandth of the rows, which are a thousand at most, are
     sent to every task; the others are shuffled. So no key is one task's.
     """
-    total = small.agg(F.sum(rows)).first()[0] or 0
-    hot = small.filter(F.col(rows) > max(1000, total / 1000))
-    popular = hot.select(*on).limit(1001)
-    if popular.isEmpty():
+    total, most = small.agg(F.sum(rows), F.max(rows)).first()
+    limit = max(1000, (total or 0) / 1000)
+    if (most or 0) <= limit:
         return big.join(small, on)
-    cold = big.join(F.broadcast(popular), on, "left_anti").join(small.filter(F.col(rows) <= max(1000, total / 1000)), on)
+    hot = small.filter(F.col(rows) > limit)
+    cold = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.filter(F.col(rows) <= limit), on)
     return big.join(F.broadcast(hot), on).unionByName(cold)
 
 
