@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, packing, pii, quality, simhash, substring, toxicity, urls
+from . import ann, bpe, langid, negatives, packing, pii, quality, simhash, substring, topk, toxicity, urls, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,18 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.labelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_compression": op1_toxicity_compression,
     "op4_rp_forest": op4_rp_forest,
@@ -97,9 +109,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_pivots": op8_simhash_pivots,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op9_byte_bpe": op9_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_threshold_topk": op13_threshold_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_ledger": quality.SQL,
     "quality_ablation": quality.ABLATION_SQL,
+    "op11_hard_negatives": negatives.SQL,
+    "op13_threshold_topk": topk.SQL,
 }
