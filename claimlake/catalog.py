@@ -653,4 +653,4 @@ def cost_attribution(spark, sf):
     return out.groupBy("principal_id").agg(F.sum("inference_calls").alias("calls"), F.sum("input_tokens").alias("input_tokens"))
 
 
-from . import catalog_docs, catalog_tables  # noqa: E402, F401  they register their queries
+from . import catalog_docs, catalog_streams, catalog_tables  # noqa: E402, F401  they register their queries
