@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import intervals, limits, text, vectors
-from .operators import acl, dedup, nominate, quota, recall, reports, retrieval, scd
+from .operators import acl, dedup, index, nominate, quota, recall, reports, retrieval, scd
 from .plans import fixtures as fx
 from .plans.sql import CAPTURES, CLAIM_ACL, CLAIMS, EVIDENCE, EVIDENCE_ACL, LEDGER, NOW, PERMITTED, SPACE, stamp, with_
 from .registry import ORACLE_SQL, QUERIES, query, ts
-from .sources.scratch import written
+from .sources.scratch import fingerprint, scratch_dir, written
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -64,19 +66,27 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.dense_search(fx.queries(spark, sf), fx.vectors(spark, sf).join(_live_ids(spark, sf), "claim_id", "left_semi"))
 
 
-def _postings(spark: SparkSession, sf: str) -> DataFrame:
-    """A table in its own right, read several times by one search."""
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of live claims."""
     rows = fx.evidence(spark, sf).select("claim_id", F.col("id").alias("evidence_id"), F.col("extracted_text").alias("text"))
-    return written(retrieval.build_postings(rows.join(_live_ids(spark, sf), "claim_id", "left_semi")))
+    return rows.join(_live_ids(spark, sf), "claim_id", "left_semi")
+
 
+def _index(spark: SparkSession, sf: str) -> str:
+    """The index of the evidence, kept in the shared folder while the documents are the same files."""
+    root = f"{scratch_dir(spark)}/index-2-{fingerprint(fx.table(spark, sf, 'documents'))}"
+    index.add_evidence(spark, root, 0, _texts(spark, sf))
+    return root
 
-def _lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.lexical_search(fx.queries(spark, sf), _postings(spark, sf), digits=6)
+
+def _lexical(spark: SparkSession, sf: str, queries: DataFrame | None = None) -> DataFrame:
+    return index.search_index(spark, _index(spark, sf), queries or fx.queries(spark, sf), digits=6)
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     """What both arms found, as a table, for requests that are a table too."""
-    return recall.search(written(fx.queries(spark, sf)), fx.vectors(spark, sf), _postings(spark, sf), fx.claims(spark, sf), digits=6)
+    asked = written(fx.queries(spark, sf))
+    return recall.search(asked, fx.vectors(spark, sf), _lexical(spark, sf, asked), fx.claims(spark, sf))
 
 
 @query(with_(CLAIMS, _QUERIES, _DENSE) + "SELECT query_id, claim_id, CAST(rank AS INTEGER) AS rank, round(raw, 9) AS raw FROM dense")
@@ -94,10 +104,27 @@ def dense_blocks(spark, sf):
 
 @query(with_(CLAIMS, EVIDENCE, _QUERIES, _LEXICAL) + "SELECT query_id, claim_id, CAST(rank AS INTEGER) AS rank, raw FROM lexical")
 def lexical_topk(spark, sf):
-    """Best live claims by BM25."""
+    """Best live claims by BM25, from the kept index."""
     return _lexical(spark, sf).select("query_id", "claim_id", "rank", "raw")
 
 
+@query(ORACLE_SQL["lexical_topk"])
+def index_additions(spark, sf):
+    """The same from an index to which evidence was added in three batches, one of them twice."""
+    root, rows = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}", _texts(spark, sf)
+    part = F.pmod(F.xxhash64("claim_id"), F.lit(3))
+    for batch in (0, 1, 1, 2):
+        index.add_evidence(spark, root, batch, rows.filter(part == batch))
+    return index.search_index(spark, root, fx.queries(spark, sf), digits=6).select("query_id", "claim_id", "rank", "raw")
+
+
+@query(ORACLE_SQL["lexical_topk"])
+def postings_topk(spark, sf):
+    """The same from exploded postings, which no index keeps."""
+    postings = written(retrieval.build_postings(_texts(spark, sf)))
+    return retrieval.lexical_search(fx.queries(spark, sf), postings, digits=6).select("query_id", "claim_id", "rank", "raw")
+
+
 @query(with_(*_ARMS) + "SELECT query_id, claim_id, CAST(fused_rank AS INTEGER) AS fused_rank, round(score, 9) AS score FROM ranked")
 def rrf_fuse(spark, sf):
     """Both arms fused by reciprocal rank."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import anchor, chunk
+from .functions import stem
+from .operators import anchor, chunk, retrieval
 from .plans import fixtures as fx
 from .plans.sql import SPACE
 from .registry import query
@@ -150,3 +151,71 @@ def stale_claims(spark, sf):
     anchors, later = _anchors(spark, sf)
     claims = anchor.reanchor(fx.claims(spark, sf), anchors.withColumn("claim_id", F.regexp_extract("path", r"(\d+)", 1)), later, fx.now())[0]
     return claims.filter("supersede_reason = 'stale_anchor'").select("id", F.col("supersede_reason").alias("reason"))
+
+
+# -- stems -----------------------------------------------------------------------------------------------------------------------
+
+#: Endings put to the documents' words, so that every rule has words.
+_ENDINGS = (
+    "", "s", "sses", "ies", "eed", "ed", "ing", "ating", "ly", "y", "ational", "tional", "enci", "izer", "ousli", "ization", "alism", "iveness", "aliti", "biliti",
+    "icate", "ative", "alize", "ical", "ful", "ness", "al", "ance", "er", "able", "ement", "ment", "ent", "sion", "tion", "ion", "ou", "ism", "ate", "ous", "ive", "ize", "e", "ell",
+)
+_V, _C = "[aeiouy]", "[^aeiouy]"
+
+
+def _cut(suffix: str, x: str = "x") -> str:
+    return f"left({x}, length({x}) - {len(suffix)})"
+
+
+def _more(r: str, m: int) -> str:
+    """Whether ``r``, whose consonant y are written Y, measures more than m."""
+    return f"regexp_matches({r}, '{(_V + '+' + _C + '+') * m}{_V}+{_C}')"
+
+
+def _cvc(r: str) -> str:
+    return f"regexp_matches({r}, '{_C}{_V}[^aeiouywxY]$')"
+
+
+def _exchange(table: dict[str, str], m: int) -> str:
+    """The longest suffix of a table exchanged where the rest measures more than m."""
+    longest = sorted(table, key=len, reverse=True)
+    return "CASE " + " ".join(f"WHEN x LIKE '%{s}' THEN CASE WHEN {_more(_cut(s), m) if m >= 0 else 'true'} THEN {_cut(s)} || '{table[s]}' ELSE x END" for s in longest) + " ELSE x END"
+
+
+def _stem_sql(words: str) -> str:
+    """CTEs that end in stems (w, stem), for the words of ``words`` (w)."""
+    gone = {s: _cut("ion" if s in ("sion", "tion") else s) for s in sorted(stem.LAST, key=len, reverse=True)}
+    last = "CASE " + " ".join(f"WHEN x LIKE '%{s}' THEN CASE WHEN {_more(cut, 1)} THEN {cut} ELSE x END" for s, cut in gone.items()) + " ELSE x END"
+    one = f"{_more('r', 0)} AND NOT {_more('r', 1)}"
+    steps = [
+        _exchange(stem.PLURALS, -1),
+        f"""CASE WHEN x LIKE '%eed' THEN CASE WHEN {_more(_cut('eed'), 0)} THEN {_cut('d')} ELSE x END
+          WHEN r IS NULL OR NOT regexp_matches(r, '{_V}') THEN x WHEN regexp_matches(r, '(at|bl|iz)$') THEN r || 'e'
+          WHEN length(r) > 1 AND right(r, 1) = r[-2:-2] AND regexp_matches(r, '[^aeiouylsz]$') THEN left(r, length(r) - 1) WHEN {one} AND {_cvc('r')} THEN r || 'e' ELSE r END""",
+        f"CASE WHEN lower(right(x, 1)) = 'y' AND regexp_matches({_cut('y')}, '{_V}') THEN {_cut('y')} || 'i' ELSE x END",
+        _exchange(stem.DOUBLE, 0), _exchange(stem.SINGLE, 0), last,
+        f"CASE WHEN x LIKE '%e' AND ({_more(_cut('e'), 1)} OR {_more(_cut('e'), 0)} AND NOT {_cvc(_cut('e'))}) THEN {_cut('e')} ELSE x END",
+        f"CASE WHEN x LIKE '%ll' AND {_more('x', 1)} THEN {_cut('l')} ELSE x END",
+    ]
+    marked = r"regexp_replace(regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiou])y', '\1Y', 'g'), 'yy', 'yY', 'g')"
+    ctes = [f"x0 AS (SELECT w, {marked} AS x FROM {words} WHERE regexp_full_match(w, '[a-z]{{3,}}'))"]
+    for n, step in enumerate(steps, 1):
+        rest = f"CASE WHEN x LIKE '%ing' THEN {_cut('ing')} WHEN x LIKE '%ed' AND x NOT LIKE '%eed' THEN {_cut('ed')} END AS r"
+        ctes.append(f"x{n} AS (SELECT w, {step} AS x FROM (SELECT *, {rest} FROM x{n - 1}))")
+    ctes.append(f"stems AS (SELECT w, lower(x) AS stem FROM x{len(steps)} UNION ALL SELECT w, w FROM {words} WHERE NOT regexp_full_match(w, '[a-z]{{3,}}'))")
+    return ",\n".join(ctes)
+
+
+@query(
+    f"""WITH plain AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\pL\\pN]+')) AS p FROM documents),
+  words AS (SELECT DISTINCT p || [{", ".join(f"'{e}'" for e in _ENDINGS)}][1 + (length(p) * 7 + instr('abcdefghijklmnopqrstuvwxyz', p[1])) % {len(_ENDINGS)}] AS w FROM plain WHERE p <> '' UNION SELECT p FROM plain WHERE p <> ''),
+  {_stem_sql("words")} SELECT w AS word, stem FROM stems"""
+)
+def stem_words(spark, sf):
+    """Stems of the documents' words, as they are and with endings."""
+    plain = fx.table(spark, sf, "documents").select(F.explode(retrieval.terms_of(F.col("text"))).alias("p")).distinct()
+    endings = F.array(*[F.lit(e) for e in _ENDINGS])
+    first = F.instr(F.lit("abcdefghijklmnopqrstuvwxyz"), F.substring("p", 1, 1))
+    ending = F.get(endings, ((F.length("p") * 7 + first) % len(_ENDINGS)).cast("int"))
+    words = plain.select(F.explode(F.array("p", F.concat("p", ending))).alias("word")).distinct()
+    return words.select("word", stem.stemmed(F.col("word")).alias("stem"))

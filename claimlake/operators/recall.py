@@ -61,11 +61,10 @@ def budget_pack(hits: DataFrame, limit: str = "limit", budget: str = "budget") -
     return out.select("query_id", "x.*", F.array_contains("s.kept", F.col("x.claim_id").cast("string")).alias("kept"))
 
 
-def search(queries: DataFrame, vectors: DataFrame, postings: DataFrame, claims: DataFrame, depth: int = retrieval.DEPTH, digits: int | None = None) -> DataFrame:
-    """Both arms over live claims, fused, for ``queries`` (query_id, text, vec): a table of at most twice the depth a request."""
+def search(queries: DataFrame, vectors: DataFrame, lexical: DataFrame, claims: DataFrame, depth: int = retrieval.DEPTH) -> DataFrame:
+    """The dense arm over live claims for ``queries`` (query_id, vec), fused with what the ``lexical`` arm found: a table of at most twice the depth a request."""
     live = claims.filter("superseded_at is null").select(F.col("id").alias("claim_id"))
     dense = retrieval.dense_search(queries, vectors.join(live, "claim_id", "left_semi"), depth)
-    lexical = retrieval.lexical_search(queries, postings.join(live, "claim_id", "left_semi"), depth, digits)
     return written(retrieval.fuse_rrf(dense.unionByName(lexical)))
 
 

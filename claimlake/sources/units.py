@@ -79,10 +79,10 @@ def commit(spark: SparkSession, root: str, batch: int, tables: dict[str, Change]
     return True
 
 
-def places(spark: SparkSession, root: str, table: str, before: int | None = None) -> tuple[list[str], dict[int, str], str | None]:
+def places(spark: SparkSession, root: str, table: str, before: int | None = None, known: dict[int, dict] | None = None) -> tuple[list[str], dict[int, str], str | None]:
     """Folders of a table, the folder of each of its buckets, and its schema, as batches below ``before`` left it."""
     folders, buckets, schema = [], {}, None
-    for n, m in manifests(spark, root).items():
+    for n, m in (manifests(spark, root) if known is None else known).items():
         found = m["tables"].get(table)
         if found is None or before is not None and n >= before:
             continue
@@ -96,12 +96,12 @@ def places(spark: SparkSession, root: str, table: str, before: int | None = None
     return folders, buckets, schema
 
 
-def read(spark: SparkSession, root: str, table: str, schema: str | None = None, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+def read(spark: SparkSession, root: str, table: str, schema: str | None = None, before: int | None = None, only: list[int] | None = None, known: dict[int, dict] | None = None) -> DataFrame:
     """A table as committed, or as batches below ``before`` left it; ``schema`` is what it has before the first of them.
 
-    ``only`` names the buckets to read.
+    ``only`` names the buckets to read, and ``known`` are manifests that have been read already.
     """
-    folders, buckets, found = places(spark, root, table, before)
+    folders, buckets, found = places(spark, root, table, before, known)
     if found is None:
         if schema is None:
             raise ValueError(f"nothing has been committed to {table}")
@@ -115,10 +115,10 @@ def read(spark: SparkSession, root: str, table: str, schema: str | None = None,
 
 def sweep(spark: SparkSession, root: str) -> list[str]:
     """Delete what no manifest names: left-overs, replaced tables and buckets. Not while a batch is being written."""
-    names = {t for m in manifests(spark, root).values() for t in m["tables"]}
-    kept = set()
+    known, kept = manifests(spark, root), set()
+    names = {t for m in known.values() for t in m["tables"]}
     for name in names:
-        folders, buckets, _ = places(spark, root, name)
+        folders, buckets, _ = places(spark, root, name, known=known)
         kept |= {*folders, *buckets.values()}
     gone = []
     for name in names:
