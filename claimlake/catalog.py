@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import intervals, limits, text, vectors
-from .operators import acl, dedup, index, nominate, quota, recall, reports, retrieval, scd
+from .operators import acl, dedup, index, nominate, quota, recall, reports, retrieval, scan, scd
 from .plans import fixtures as fx
 from .plans.sql import CAPTURES, CLAIM_ACL, CLAIMS, EVIDENCE, EVIDENCE_ACL, LEDGER, NOW, PERMITTED, SPACE, stamp, with_
 from .registry import ORACLE_SQL, QUERIES, query, ts
@@ -67,15 +67,13 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence of live claims."""
-    rows = fx.evidence(spark, sf).select("claim_id", F.col("id").alias("evidence_id"), F.col("extracted_text").alias("text"))
-    return rows.join(_live_ids(spark, sf), "claim_id", "left_semi")
+    return fx.evidence(spark, sf).select("claim_id", F.col("id").alias("evidence_id"), F.col("extracted_text").alias("text"))
 
 
 def _index(spark: SparkSession, sf: str) -> str:
-    """The index of the evidence, kept in the shared folder while the documents are the same files."""
-    root = f"{scratch_dir(spark)}/index-2-{fingerprint(fx.table(spark, sf, 'documents'))}"
-    index.add_evidence(spark, root, 0, _texts(spark, sf))
+    """The index of live claims' evidence, kept in the shared folder while the documents are the same files."""
+    root = f"{scratch_dir(spark)}/index-3-{fingerprint(fx.table(spark, sf, 'documents'))}"
+    index.add_evidence(spark, root, 0, _texts(spark, sf), live=_live_ids(spark, sf))
     return root
 
 
@@ -114,14 +112,14 @@ def index_additions(spark, sf):
     root, rows = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}", _texts(spark, sf)
     part = F.pmod(F.xxhash64("claim_id"), F.lit(3))
     for batch in (0, 1, 1, 2):
-        index.add_evidence(spark, root, batch, rows.filter(part == batch))
+        index.add_evidence(spark, root, batch, rows.filter(part == batch), live=_live_ids(spark, sf).filter(part == batch))
     return index.search_index(spark, root, fx.queries(spark, sf), digits=6).select("query_id", "claim_id", "rank", "raw")
 
 
 @query(ORACLE_SQL["lexical_topk"])
 def postings_topk(spark, sf):
     """The same from exploded postings, which no index keeps."""
-    postings = written(retrieval.build_postings(_texts(spark, sf)))
+    postings = written(retrieval.build_postings(_texts(spark, sf).join(_live_ids(spark, sf), "claim_id", "left_semi")))
     return retrieval.lexical_search(fx.queries(spark, sf), postings, digits=6).select("query_id", "claim_id", "rank", "raw")
 
 
@@ -343,6 +341,29 @@ def known_at(spark, sf):
     return dedup.known_at(fx.claims(spark, sf), probes).groupBy("probe_id").agg(F.count("*").alias("n"))
 
 
+_STAYS = """stays AS (SELECT l_orderkey * 10 + l_linenumber AS id, a AS valid_from, CASE WHEN l_partkey % 500 = 0 AND l_linenumber = 1 THEN NULL ELSE a + (1 + l_partkey % 3600) * INTERVAL 1 SECOND END AS valid_until,
+  a - (l_suppkey % 5) * INTERVAL 1 HOUR AS recorded_at, CASE WHEN l_linenumber % 2 = 0 THEN a + (l_suppkey % 50) * INTERVAL 1 MINUTE END AS superseded_at
+  FROM (SELECT *, CAST(l_shipdate AS TIMESTAMP) + (l_orderkey * 7919 % 86400) * INTERVAL 1 SECOND AS a FROM lineitem)),
+probes AS (SELECT o_orderkey AS probe_id, p AS valid_at, p + (o_custkey % 40 - 5) * INTERVAL 1 MINUTE AS known_at FROM (SELECT *, CAST(o_orderdate AS TIMESTAMP) + (30 * 86400 + o_orderkey * 104729 % 86400) * INTERVAL 1 SECOND AS p FROM orders))"""
+
+
+@query(
+    with_(_STAYS) + "SELECT probe_id, count(*) AS n, CAST(min(id) AS BIGINT) AS first FROM stays, probes WHERE valid_from <= valid_at AND (valid_until IS NULL OR valid_at < valid_until) "
+    "AND recorded_at <= known_at AND (superseded_at IS NULL OR known_at < superseded_at) GROUP BY probe_id"
+)
+def known_at_many(spark, sf):
+    """A probe for each order over intervals of each line; some are open. They meet in bins of time."""
+    second = lambda c: F.make_dt_interval(secs=c.cast("decimal(18,6)"))
+    a = F.col("l_shipdate").cast("timestamp") + second(F.col("l_orderkey") * 7919 % 86400)
+    rows = fx.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), a.alias("valid_from"), F.when((F.col("l_partkey") % 500 != 0) | (F.col("l_linenumber") != 1), a + second(1 + F.col("l_partkey") % 3600)).alias("valid_until"),
+        (a - second(F.col("l_suppkey") % 5 * 3600)).alias("recorded_at"), F.when(F.col("l_linenumber") % 2 == 0, a + second(F.col("l_suppkey") % 50 * 60)).alias("superseded_at"),
+    )
+    p = F.col("o_orderdate").cast("timestamp") + second(30 * 86400 + F.col("o_orderkey") * 104729 % 86400)
+    probes = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("probe_id"), p.alias("valid_at"), (p + second((F.col("o_custkey") % 40 - 5) * 60)).alias("known_at"))
+    return dedup.known_at(rows, probes).groupBy("probe_id").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
 _SLICES = """slices AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS key, l_shipdate AS valid_from, l_shipdate + INTERVAL 10 DAY AS valid_until FROM lineitem)"""
 
 
@@ -511,9 +532,15 @@ def failed_logins(spark, sf):
 )
 def trailing_count(spark, sf):
     """Events of the hour up to each event."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy(us).rangeBetween(-3_599_999_999, 0)
-    return fx.table(spark, sf, "events").select("event_id", F.count("*").over(w).alias("n"))
+    rows = fx.table(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return scan.trailing_count(rows, "user_id", "us", 3_600_000_000).select("event_id", "n")
+
+
+@query("SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS n FROM events")
+def trailing_count_all(spark, sf):
+    """N6 with all events under one key: a scan over range-split parts, no task holds the key."""
+    rows = fx.table(spark, sf, "events").select("event_id", F.lit(1).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return scan.trailing_count(rows, "key", "us", 3_600_000_000, largest=4096).select("event_id", "n")
 
 
 def _gate_sql(rows: str, window: int, short: int, reason: str) -> str:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from . import ranges, scan
 from .scd import apply_supersession
 
 #: Groups whose survivors are sent to every task at most, and probes.
@@ -51,29 +52,24 @@ def current_at(rows: DataFrame, valid_at: Column, recorded_at: Column) -> DataFr
 def known_at(rows: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe (probe_id, valid_at, known_at): the rows that ``current_at`` gives.
 
-    A range join. Probes of a checked number are sent to every task; more are dealt
-    into blocks and rows into parts, and each block meets each part in one task.
+    Probes of a checked number are sent to every task; more meet the rows in bins of time.
     """
     on = (
         (F.col("valid_from") <= F.col("valid_at")) & (F.col("valid_until").isNull() | (F.col("valid_at") < F.col("valid_until")))
         & (F.col("recorded_at") <= F.col("known_at")) & (F.col("superseded_at").isNull() | (F.col("known_at") < F.col("superseded_at")))
     )
-    n = probes.count()
-    if n <= PROBES:
+    if probes.limit(PROBES + 1).count() <= PROBES:
         return rows.join(F.broadcast(probes), on)
-    blocks, parts = -(-n // PROBES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
-    asked = probes.withColumn("_block", F.pmod(F.xxhash64(*probes.columns), F.lit(blocks)).cast("bigint")).withColumn("_part", every(parts))
-    held = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("bigint")).withColumn("_block", every(blocks))
-    return held.join(asked, ["_block", "_part"]).filter(on).drop("_block", "_part")
+    axes = [ranges.Axis("valid_from", "valid_until", "valid_at"), ranges.Axis("recorded_at", "superseded_at", "known_at")]
+    return ranges.stab(written(rows), written(probes), axes)
 
 
 def valid_time_overlaps(rows: DataFrame, key: str) -> DataFrame:
     """Rows that begin before an earlier row of their key has ended; empty when none overlap.
 
-    A running maximum, not a join of pairs.
+    A running maximum, not a join of pairs, and a scan where a key holds very many rows.
     """
-    w = Window.partitionBy(key).orderBy("valid_from", "id").rowsBetween(Window.unboundedPreceding, -1)
     forever = F.lit("9999-12-31 00:00:00").cast("timestamp")
-    before = F.max(F.coalesce("valid_until", forever)).over(w)
-    return rows.withColumn("_before", before).filter(F.col("_before") > F.col("valid_from")).drop("_before")
+    ends = rows.withColumn("_ends", F.coalesce("valid_until", forever))
+    before = scan.running(ends, [key], ["valid_from", "id"], "_ends", "max", "_before", own=False)
+    return before.filter(F.col("_before") > F.col("valid_from")).drop("_before", "_ends")

@@ -36,7 +36,7 @@ SHARD_CHARS, LEAST, BLOCK, BUCKETS = 8_000_000, 64, 128, 1024
 PARTS, WORDS, REQUESTS = 20_000, 100_000, 1024
 _INTS = ("docs", "owners", "tfs", "sizes", "positions")
 _POSTINGS = "bucket int, shard int, term string, block int, n int, max_tf int, min_ratio double, " + ", ".join(f"{c} array<int>" for c in _INTS)
-#: Bucket of the row that holds a shard's counts: texts with a word, and all their words.
+#: Bucket of the row that holds a shard's counts: texts with a word as n, all their words as max_tf, whether they are stems as block.
 _COUNTS = -1
 
 
@@ -49,31 +49,44 @@ def bound(max_tf: int, min_ratio: float, average: float) -> float:
     return (K1 + 1) / (1 + K1 * (1 - B) / max_tf + K1 * B * min_ratio / average)
 
 
-def add_evidence(spark: SparkSession, root: str, batch: int, evidence: DataFrame, stems: bool = False) -> bool:
+def add_evidence(spark: SparkSession, root: str, batch: int, evidence: DataFrame, stems: bool = False, live: DataFrame | None = None) -> bool:
     """Add ``evidence`` (claim_id, evidence_id, text) to the index at ``root``; False if that batch is in already.
 
-    A claim's evidence must come in one batch. ``stems`` must be the same for all batches.
+    With ``live`` (claim_id), only the evidence of those claims: they are sent to the
+    shards with the texts, which so are moved once. A claim's evidence must come in one
+    batch. ``stems`` must be the same for all batches.
     """
-    if batch in units.manifests(spark, root):
+    known = units.manifests(spark, root)
+    if batch in known:
         return False
-    rows = evidence.select(F.col("claim_id").cast("string").alias("claim_id"), F.col("evidence_id").cast("string").alias("evidence_id"), "text")
+    rows = evidence.select(F.col("claim_id").cast("string").alias("claim_id"), F.lit(1).alias("kind"), F.col("evidence_id").cast("string").alias("evidence_id"), "text")
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     shards = max(1, -(-chars // SHARD_CHARS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST))
-    shard = F.pmod(F.xxhash64("claim_id"), F.lit(shards)).cast("int").alias("shard")
-    order = ["claim_id", "evidence_id"]
-    parts = min(shards, PARTS)
-    deal = lambda df: df.repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard", *order)
-    first = _next_shard(spark, root)
+    parts, first, checked = min(shards, PARTS), _next_shard(spark, root, known), live is not None
+
+    def dealt(texts: DataFrame) -> DataFrame:
+        if live is not None:
+            marks = live.select(F.col("claim_id").cast("string").alias("claim_id"), F.lit(0).alias("kind")).distinct()
+            texts = texts.unionByName(marks, allowMissingColumns=True)
+        numbered = texts.withColumn("shard", F.pmod(F.xxhash64("claim_id"), F.lit(shards)).cast("int"))
+        return numbered.repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard", "claim_id", "kind", "evidence_id")
+
     stop = frozenset(STOP_WORDS)
-    words = deal(rows.select(shard, *order, terms_of(F.col("text")).alias("words"))).select("shard", "claim_id", "words")
-    all_rows = written(words.mapInArrow(lambda b: _turned(b, first, stop, stems), _POSTINGS))
-    named = deal(rows.select(shard, *order)).mapInArrow(lambda b: _numbered(b, first), "shard int, doc int, owner int, first boolean, claim_id string, evidence_id string")
-    counts = all_rows.filter(F.col("bucket") == _COUNTS).select("shard", F.col("n").alias("n_docs"), F.col("sizes")[0].cast("bigint").alias("n_words"), F.lit(stems).alias("stems"))
-    return units.commit(spark, root, batch, {"postings": units.Change(all_rows.filter(F.col("bucket") != _COUNTS)), "docs": units.Change(named), "shards": units.Change(counts.coalesce(1))})
+    words = dealt(rows).select("shard", "claim_id", "kind", terms_of(F.col("text")).alias("words"))
+    postings = words.mapInArrow(lambda b: _turned(b, first, stop, stems, checked), _POSTINGS)
+    ids = dealt(rows.drop("text")).select("shard", "claim_id", "kind", "evidence_id")
+    docs = ids.mapInArrow(lambda b: _numbered(b, first, checked), "shard int, doc int, owner int, first boolean, claim_id string, evidence_id string")
+    return units.commit(spark, root, batch, {"postings": units.Change(postings), "docs": units.Change(docs)})
+
 
+def _counts(spark: SparkSession, root: str, known: dict[int, dict]) -> DataFrame:
+    """shard, n_docs, n_words, stems: the row that each shard has for its counts."""
+    rows = units.read(spark, root, "postings", _POSTINGS, known=known).filter(F.col("bucket") == _COUNTS)
+    return rows.select("shard", F.col("n").alias("n_docs"), F.col("max_tf").cast("bigint").alias("n_words"), (F.col("block") == 1).alias("stems"))
 
-def _next_shard(spark: SparkSession, root: str) -> int:
-    last = units.read(spark, root, "shards", "shard int").agg(F.max("shard")).first()[0]
+
+def _next_shard(spark: SparkSession, root: str, known: dict[int, dict]) -> int:
+    last = _counts(spark, root, known).agg(F.max("shard")).first()[0] if known else None
     return 0 if last is None else last + 1
 
 
@@ -83,8 +96,18 @@ def _numbers(claims: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.cumsum(np.concatenate([[0], (np.diff(code) != 0).astype(np.int64)])) if len(code) else np.zeros(0, np.int64)
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows in order of ``shard``, their first column, as one table a shard."""
+def _by_shard(batches: Iterator[pa.RecordBatch], checked: bool) -> Iterator[pa.Table]:
+    """Rows (shard, claim_id, kind, ...) in order, as one table a shard: the texts, and if that is ``checked`` those of marked claims alone."""
+    for rows in _gathered(batches):
+        text = rows["kind"].to_numpy() == 1
+        if checked:
+            owner = _numbers(rows["claim_id"])
+            text &= np.isin(owner, owner[~text])
+        if text.any():
+            yield rows.filter(pa.array(text))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held, now = [], None
     for b in batches:
         shard = b.column(0).to_numpy()
@@ -100,8 +123,8 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
-    for rows in _by_shard(batches):
+def _numbered(batches: Iterator[pa.RecordBatch], first: int, checked: bool) -> Iterator[pa.RecordBatch]:
+    for rows in _by_shard(batches, checked):
         shard = pa.array(rows["shard"].to_numpy() + first, pa.int32())
         owner = _numbers(rows["claim_id"])
         numbers = [pa.array(x.astype(np.int32)) for x in (np.arange(rows.num_rows), owner)]
@@ -110,8 +133,8 @@ def _numbered(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.Reco
         yield from pa.Table.from_arrays(columns, names=["shard", "doc", "owner", "first", "claim_id", "evidence_id"]).to_batches(max_chunksize=8192)
 
 
-def _turned(batches: Iterator[pa.RecordBatch], first: int, stop: frozenset[str], stems: bool) -> Iterator[pa.RecordBatch]:
-    for rows in _by_shard(batches):
+def _turned(batches: Iterator[pa.RecordBatch], first: int, stop: frozenset[str], stems: bool, checked: bool) -> Iterator[pa.RecordBatch]:
+    for rows in _by_shard(batches, checked):
         yield from _blocks(rows, first, stop, stems)
 
 
@@ -155,7 +178,7 @@ def _blocks(rows: pa.Table, first: int, stop: frozenset[str], stems: bool) -> It
     numbers = [*[pa.array(x.astype(np.int32)) for x in numbers], pa.array(np.minimum.reduceat(sizes[d] / tf, edge))]
     columns = [*numbers[:2], pa.array(terms, pa.string()).take(pa.array(t[edge])), *numbers[2:], *each]
     names_of = ["bucket", "shard", "term", "block", "n", "max_tf", "min_ratio", *_INTS]
-    total = [_COUNTS, shard, "", 0, len(with_words), 0, 0.0, [], [], [], [int(sizes[with_words].sum())], []]
+    total = [_COUNTS, shard, "", int(stems), len(with_words), int(sizes[with_words].sum()), 0.0, [], [], [], [], []]
     table = pa.Table.from_arrays(columns, names=names_of)
     yield from table.to_batches(max_chunksize=4096)
     yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(total, table.schema, strict=True)], names=names_of)
@@ -288,7 +311,7 @@ def search_index(spark: SparkSession, root: str, queries: DataFrame, k: int = DE
     statistics still count them.
     """
     known_units = units.manifests(spark, root)
-    shards = units.read(spark, root, "shards", known=known_units).agg(F.sum("n_docs"), F.sum("n_words"), F.max("stems"), F.max("shard")).first()
+    shards = _counts(spark, root, known_units).agg(F.sum("n_docs"), F.sum("n_words"), F.max("stems"), F.max("shard")).first()
     kind = queries.schema["query_id"].dataType.simpleString()
     if not shards[0]:
         return spark.createDataFrame([], f"query_id {kind}, arm string, claim_id string, rank int, raw double")
