@@ -6,10 +6,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -18,7 +17,7 @@ from ..sources.scratch import written
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _COMBINED = pa.schema([("hash", pa.string()), ("ids", pa.list_(pa.string())), ("us", pa.list_(pa.int64())), ("least_us", pa.int64()), ("least_id", pa.string())])
-_JUDGED = "hash string, ids array<string>, us array<bigint>, survivor string, survivor_us bigint"
+_JUDGED = "hash string, ids array<string>, us array<bigint>, old string, old_us bigint, survivor string, survivor_us bigint"
 
 
 @contextmanager
@@ -50,26 +49,29 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _survivor() -> StatefulProcessor:
     """The state of one statement. The class is made here, so that it travels whole to where state is set up."""
 
+    Judged = Row(*[c.split()[0] for c in _JUDGED.split(", ")])  # noqa: N806
+
     class Survivor(StatefulProcessor):
         """State: when the survivor of a statement was recorded, and its id. Nothing of a batch is held."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.kept = handle.getValueState("survivor", "us bigint, id string")
 
-        def handleInitialState(self, key, initial: pd.DataFrame, timer_values) -> None:
-            self.kept.update(min(zip(map(int, initial["least_us"]), initial["least_id"], strict=True)))
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            self.kept.update((initialState["least_us"], initialState["least_id"]))
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
             old = tuple(self.kept.get()) if self.kept.exists() else None
-            best = old
-            for f in rows:
-                here = min(zip(map(int, f["least_us"]), f["least_id"], strict=True))
-                best = min(here, best or here)
-                yield pd.DataFrame({"hash": key[0], "ids": f["ids"], "us": f["us"], "survivor": None, "survivor_us": None})
+            best, last = old, None
+            for r in rows:
+                if last is not None:
+                    yield Judged(key[0], last["ids"], last["us"], None, None, None, None)
+                here, last = (r["least_us"], r["least_id"]), r
+                best = here if best is None or here < best else best
             if best != old:
                 self.kept.update(best)
-            beaten = old if old and best != old else None  # a claim recorded earlier came later
-            yield pd.DataFrame({"hash": [key[0]], "ids": [beaten and [beaten[1]]], "us": [beaten and [beaten[0]]], "survivor": [best[1]], "survivor_us": [best[0]]})
+            beaten = old if old and best != old else (None, None)  # a claim recorded earlier came later
+            yield Judged(key[0], last["ids"], last["us"], beaten[1], beaten[0], best[1], best[0])
 
         def close(self) -> None:
             pass
@@ -92,9 +94,9 @@ def closures_of(judged: DataFrame) -> DataFrame:
     named = judged.filter("survivor is not null").groupBy("hash").agg(
         F.min(F.struct("survivor_us", "survivor")).alias("s"),
     ).select("hash", "s.survivor_us", "s.survivor")
-    members = judged.filter("ids is not null").select("hash", "survivor", F.inline(F.arrays_zip("ids", "us"))).toDF("hash", "came", "id", "us")
-    latest = members.filter("came is null").agg(F.max("us").alias("latest"))
-    members = members.drop("came")
+    came = judged.select("hash", F.inline(F.arrays_zip("ids", "us"))).toDF("hash", "id", "us")
+    latest = came.agg(F.max("us").alias("latest"))
+    members = came.unionByName(judged.filter("old is not null").select("hash", F.col("old").alias("id"), F.col("old_us").alias("us")))
     named = F.broadcast(named) if named.limit(SMALL + 1).count() <= SMALL else named
     lost = members.join(named, "hash").filter("id != survivor").join(F.broadcast(latest))
     at = F.timestamp_micros(F.greatest("latest", "us", "survivor_us") + 1)  # nothing closes at the instant at which it was recorded
@@ -115,7 +117,7 @@ def stream_closures(claims: DataFrame, write: Callable[[DataFrame, int], None],
     if known is not None:
         least = F.min(F.struct("us", "id"))
         initial = _of(known).groupBy("hash").agg(least.alias("s")).select("hash", F.col("s.us").alias("least_us"), F.col("s.id").alias("least_id")).groupBy("hash")
-    judged = rows.groupBy("hash").transformWithStateInPandas(_survivor(), _JUDGED, outputMode="Append", timeMode="None", initialState=initial)
+    judged = rows.groupBy("hash").transformWithState(_survivor(), _JUDGED, outputMode="Append", timeMode="None", initialState=initial)
 
     def step(batch: DataFrame, n: int) -> None:
         write(closures_of(written(batch)), n)
