@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from . import catalog_tables  # noqa: F401  whose SQL is used here
-from .operators import nominate, scd
+from . import catalog, catalog_tables  # noqa: F401  whose SQL is used here
+from .functions import limits
+from .operators import nominate, quota, scd
 from .plans import fixtures as fx
 from .plans.sql import CAPTURES, CLAIMS, stamp, with_
 from .registry import ORACLE_SQL, query, ts
@@ -100,3 +102,73 @@ def stream_seed(spark, sf):
     cols = ["repo", "path", "ordinal", "content_sha256", ts("recorded_at")]
     live = units.read(spark, root, "live").select(F.lit("live").alias("state"), *cols, F.lit(None).cast("string").alias("closed_at"))
     return live.unionByName(units.read(spark, root, "closed").select(F.lit("closed").alias("state"), *cols, ts("superseded_at", "closed_at")))
+
+
+# -- gates -----------------------------------------------------------------------------------------------------------------------
+
+_HALF_HOUR = 1_800_000_000
+_GATED = "SELECT id AS event_id, CASE WHEN id % 9 = 0 THEN '' ELSE principal_id END AS principal_id, epoch_us(recorded_at) AS us, {calls} AS calls, {tokens} AS tokens FROM ledger WHERE {which}"
+
+
+def _gates(spark: SparkSession, sf: str, rows: DataFrame, run) -> DataFrame:
+    """The stream over rows that come in two parts, the earlier ones first."""
+    root = _fresh(spark)
+    half = rows.agg(F.expr("timestamp_micros(percentile_approx(unix_micros(ts), 0.5))").alias("t")).first().t
+    write = lambda df, n: units.commit(spark, root, n, {"judged": units.Change(df)})
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        with survivors.state_store(spark):
+            return run(stream).writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+
+    arriving(spark, [rows.filter(F.col("ts") <= half), rows.filter(F.col("ts") > half)], root, start)
+    return units.read(spark, root, "judged")
+
+
+def _ledger(spark: SparkSession, sf: str) -> DataFrame:
+    who = F.when(F.col("id") % 9 == 0, "").otherwise(F.col("principal_id"))
+    return fx.ledger(spark, sf).select(F.col("id").alias("event_id"), who.alias("principal_id"), F.col("recorded_at").alias("ts"), F.col("inference_calls").alias("calls"), F.col("input_tokens").alias("tokens"), "kind")
+
+
+@query(
+    catalog._gate_sql(
+        _GATED.format(calls="CAST(inference_calls AS BIGINT)", tokens="input_tokens", which="true"), catalog._HOUR, _HALF_HOUR,
+        "CASE WHEN principal_id = '' THEN NULL WHEN sc >= 2 OR stok >= 3000 THEN 'cost_ceiling' WHEN len(st) >= 3 THEN 'contribution_quota' END",
+    ).replace("CASE WHEN reason IS NULL THEN list_append", "CASE WHEN reason IS NULL AND principal_id <> '' THEN list_append")
+)
+def stream_admission(spark, sf):
+    """Z3, M7: the quota of an hour and the cost of half an hour in one state; events without a principal pass beside it."""
+    cfg = limits.LimitConfig(contribution_quota=3, max_inference_calls=2, max_input_tokens=3000, cost_window=timedelta(minutes=30))
+    return _gates(spark, sf, _ledger(spark, sf).drop("kind"), lambda s: jobs.stream_quota(s, cfg, "1 hour")).select("event_id", "principal_id", "denied_reason")
+
+
+@query(
+    catalog._gate_sql(
+        _GATED.format(calls="CAST(kind = 'denied' AS BIGINT)", tokens="CAST(0 AS BIGINT)", which="id % 9 <> 0"), catalog._HOUR, catalog._HOUR,
+        "CASE WHEN sc >= 2 THEN 'login_attempts' END",
+    )
+)
+def login_gate(spark, sf):
+    """M4: attempts in order; an address with two failures within the hour is denied."""
+    return quota.login_gate(_attempts(spark, sf), _LOGINS).select("event_id", F.col("email").alias("principal_id"), "denied_reason")
+
+
+_LOGINS = limits.LimitConfig(max_login_attempts=2, login_window=timedelta(hours=1))
+
+
+def _attempts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _ledger(spark, sf).filter("principal_id != ''")
+    return rows.select("event_id", F.col("principal_id").alias("email"), "ts", (F.col("kind") != "denied").alias("succeeded"))
+
+
+@query(ORACLE_SQL["login_gate"])
+def stream_logins(spark, sf):
+    """Z3, M4: the same as a stream."""
+    return _gates(spark, sf, _attempts(spark, sf), lambda s: jobs.stream_login_gate(s, _LOGINS, "1 hour")).select("event_id", F.col("email").alias("principal_id"), "denied_reason")
+
+
+@query(ORACLE_SQL["recall_gate"])
+def stream_recalls(spark, sf):
+    """Z3, M8: the recall rate as a stream."""
+    cfg = limits.LimitConfig(recall_rate=5, recall_window=timedelta(hours=1))
+    rows = fx.ledger(spark, sf).filter("kind = 'recall'").select(F.col("id").alias("event_id"), F.concat(F.lit("u"), F.col("id") % 40).alias("principal_id"), F.col("recorded_at").alias("ts"))
+    return _gates(spark, sf, rows, lambda s: jobs.stream_recall_gate(s, cfg, "1 hour")).select("event_id", "principal_id", "denied_reason")

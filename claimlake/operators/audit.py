@@ -1,4 +1,8 @@
-"""Constraints as an audit: one row (table, rule, key) for each violation."""
+"""Constraints as an audit: one row (table, rule, key) for each violation.
+
+The rules on single rows are judged together: one scan of a table gives each row a mask
+of the rules it breaks, and only rows that break one are taken apart.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +19,7 @@ from ..schemas import ENUMS
 def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """All violations in the given tables; tables and columns that are absent are not looked at."""
     out: list[DataFrame] = []
+    rules: dict[str, dict[str, Column]] = {}
 
     def key(df: DataFrame) -> Column:
         names = [c for c in ("id", "claim_id", "evidence_id", "principal_id", "embedding_model_id") if c in df.columns]
@@ -26,7 +31,7 @@ def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     def check(table: str, rule: str, columns: tuple[str, ...], wrong) -> None:
         df = tables.get(table)
         if df is not None and set(columns) <= set(df.columns):
-            report(table, rule, df.filter(F.coalesce(wrong(*[F.col(c) for c in columns]), F.lit(False))))
+            rules.setdefault(table, {})[rule] = F.coalesce(wrong(*[F.col(c) for c in columns]), F.lit(False))
 
     for (table, column), values in ENUMS.items():
         check(table, f"{column} in set", (column,), lambda c, values=values: ~c.isin(*values))
@@ -46,6 +51,13 @@ def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     check("claim_embeddings", "unit length", ("embedding",), lambda v: F.abs(norm(v) - 1) > 1e-2)
     check("usage_events", "denied needs reason", ("kind", "denied_reason"), lambda k, r: (k == "denied") & r.isNull())
 
+    for table, each in rules.items():
+        df, names = tables[table], F.array(*map(F.lit, each))
+        mask = sum((F.when(wrong, F.lit(1 << n)).otherwise(F.lit(0)).cast("bigint") for n, wrong in enumerate(each.values())), F.lit(0).cast("bigint"))
+        broken = df.select(key(df).alias("key"), mask.alias("mask")).filter("mask != 0").withColumn("names", names)
+        rule = F.expr("explode(filter(names, (x, n) -> shiftright(mask, n) & 1 = 1))")
+        out.append(broken.select(F.lit(table).alias("table"), rule.alias("rule"), "key"))
+
     ev, models = tables.get("evidence"), tables.get("embedding_models")
     if ev is not None and "chunk_ordinal" in ev.columns:
         chunk = ["source_repo", "source_path", "chunk_ordinal"]

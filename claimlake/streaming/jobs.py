@@ -12,49 +12,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions.limits import LimitConfig
+from ..functions.limits import RECALL, LimitConfig
 from ..operators import dedup, nominate, quota, scd
 from ..sources.scratch import written
 
 TICK = "interval 1 microsecond"
 
 
-class _Gate(StatefulProcessor):
-    """Admission of one principal with its window in state; pruned by event time."""
+def _gate(cfg: LimitConfig, gate_of: type[quota.Window], timed: bool) -> StatefulProcessor:
+    """Admission of one principal. The class is made here, so that it travels whole to where state is set up."""
 
-    def __init__(self, cfg: LimitConfig):
-        self.cfg = cfg
+    class Gate(StatefulProcessor):
+        """State: what was admitted within each of the two windows; a timer clears it once both have passed."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.spent = handle.getListState("spent", "us bigint, calls bigint, tokens bigint")
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.spent = handle.getListState("spent", "us bigint, calls bigint, tokens bigint")
+            self.kept = handle.getListState("kept", "us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        window = quota.Window(self.cfg, [tuple(map(int, r)) for r in self.spent.get()] if self.spent.exists() else [])
-        one = zip(frame["us"], frame["calls"], frame["tokens"], strict=True)
-        denied = [window.admit(*map(int, e)) for e in one] if key[0] else [None] * len(frame)
-        self.spent.put([tuple(map(int, s)) for s in window.spent]) if window.spent else self.spent.clear()
-        yield pd.DataFrame({"event_id": frame["event_id"], "principal_id": key[0], "us": frame["us"], "denied_reason": denied})
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            frame = pd.concat(list(rows)).sort_values(["us", "event_id"])  # numbers only, of one batch
+            spent = [tuple(map(int, r)) for r in self.spent.get()] if self.spent.exists() else []
+            window = gate_of(cfg, spent, [int(r[0]) for r in self.kept.get()] if self.kept.exists() else [])
+            one = zip(frame["us"], frame["calls"], frame["tokens"], strict=True)
+            denied = [window.admit(*map(int, e)) for e in one]
+            for state, left in ((self.spent, [tuple(map(int, s)) for s in window.spent]), (self.kept, [(int(u),) for u in window.kept])):
+                state.put(left) if left else state.clear()
+            if timed:
+                for at in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(at)
+                self.handle.registerTimer((int(frame["us"].iloc[-1]) + window.longest) // 1000 + 1)
+            yield pd.DataFrame({"event_id": frame["event_id"], "principal_id": key[0], "us": frame["us"], "denied_reason": denied})
 
-    def close(self) -> None:
-        pass
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.spent.clear()
+            self.kept.clear()
+            yield pd.DataFrame({"event_id": [], "principal_id": [], "us": [], "denied_reason": []}).astype({"event_id": "int64", "us": "int64", "principal_id": "object", "denied_reason": "object"})
 
+        def close(self) -> None:
+            pass
 
-def stream_quota(events: DataFrame, cfg: LimitConfig) -> DataFrame:
+    return Gate()
+
+
+def stream_quota(events: DataFrame, cfg: LimitConfig, late: str | None = None, gate_of: type[quota.Window] = quota.Window) -> DataFrame:
     """Continuous ``replay_admission``: event_id, principal_id, us, denied_reason.
 
-    Both windows must be of one length, as one list in state serves both. Events of a
-    principal must not come a batch late; a watermark before this drops those that do.
+    Each principal's windows are in state, the quota's and the cost's apart; events
+    without a principal pass beside it. Events of a principal must not come a batch
+    late. With ``late``, a watermark drops what comes later than that, and the state of
+    a principal goes once both windows have passed.
     """
-    if cfg.contribution_window != cfg.cost_window:
-        raise ValueError("the quota and the cost window differ")
-    rows = events.select(
+    rows = events.withWatermark("ts", late) if late else events
+    rows = rows.select(
         F.col("event_id").cast("bigint").alias("event_id"), F.coalesce("principal_id", F.lit("")).alias("principal_id"), F.unix_micros("ts").alias("us"),
-        F.col("calls").cast("bigint").alias("calls"), F.col("tokens").cast("bigint").alias("tokens"),
+        *[F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in ("calls", "tokens")], *(["ts"] if late else []),
     )
-    return rows.groupBy("principal_id").transformWithStateInPandas(
-        _Gate(cfg), "event_id bigint, principal_id string, us bigint, denied_reason string", outputMode="Append", timeMode="None"
+    schema = "event_id bigint, principal_id string, us bigint, denied_reason string"
+    gated = rows.filter("principal_id != ''").groupBy("principal_id").transformWithStateInPandas(
+        _gate(cfg, gate_of, late is not None), schema, outputMode="Append", timeMode="EventTime" if late else "None"
     )
+    return gated.unionByName(rows.filter("principal_id = ''").select("event_id", "principal_id", "us", F.lit(None).cast("string").alias("denied_reason")))
+
+
+def stream_recall_gate(events: DataFrame, cfg: LimitConfig, late: str | None = None) -> DataFrame:
+    """Continuous ``recall_gate`` of events (event_id, principal_id, ts)."""
+    rows = events.withColumn("calls", F.lit(0)).withColumn("tokens", F.lit(0))
+    out = stream_quota(rows, quota.recall_only(cfg), late)
+    return out.withColumn("denied_reason", F.when(F.col("denied_reason").isNotNull(), F.lit(RECALL)))
+
+
+def stream_login_gate(attempts: DataFrame, cfg: LimitConfig, late: str | None = None) -> DataFrame:
+    """Continuous ``login_gate`` of attempts (event_id, email, ts, succeeded)."""
+    rows = attempts.select("event_id", F.col("email").alias("principal_id"), "ts", (~F.col("succeeded")).cast("int").alias("calls"), F.lit(0).alias("tokens"))
+    return stream_quota(rows, cfg, late, quota.Failures).withColumnRenamed("principal_id", "email")
 
 
 def stream_usage(ledger: DataFrame, window: str = "1 hour", slide: str = "15 minutes", late: str = "1 hour") -> DataFrame:
