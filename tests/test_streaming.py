@@ -8,7 +8,7 @@ from claimlake.functions.limits import LimitConfig
 from claimlake.operators import quota
 from claimlake.schemas import SCHEMAS
 from claimlake.sources.docs import capture_source
-from claimlake.streaming import jobs
+from claimlake.streaming import jobs, survivors
 
 EVENTS = "event_id bigint, principal_id string, ts timestamp, calls bigint, tokens bigint"
 
@@ -147,3 +147,56 @@ def test_retries(spark, tmp_path):
     with pytest.raises(StreamingQueryException):
         jobs.with_retries(start(9), attempts=2, wait=0.01)
     assert len(tries) == 2
+
+
+def run_gate(spark, tmp_path, rows, schema, gate):
+    """Rows in two files, one a batch, through a gate; what was decided by event."""
+    for part in range(2):
+        half = len(rows) // 2
+        spark.createDataFrame(rows[part * half : (part + 1) * half if not part else None], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = gate(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        with survivors.state_store(spark):
+            q = stream.writeStream.option("path", str(tmp_path / "out")).format("parquet").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination(200)
+    return {r.event_id: r.denied_reason for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
+@pytest.mark.parametrize("late", [None, "5 seconds"])
+def test_two_windows_and_events_without_a_principal(spark, tmp_path, late):
+    cfg = LimitConfig(contribution_quota=3, contribution_window=timedelta(seconds=20), max_inference_calls=2, max_input_tokens=0, cost_window=timedelta(seconds=5))
+    rows = [(k, None if k % 5 == 0 else "" if k % 7 == 0 else f"p{k % 2}", datetime(2024, 1, 1) + timedelta(seconds=k), k % 3, 1) for k in range(60)]
+    got = run_gate(spark, tmp_path, rows, EVENTS, lambda s: jobs.stream_quota(s, cfg, late))
+    want = {r.event_id: r.denied_reason for r in quota.replay_admission(spark.createDataFrame(rows, EVENTS), cfg).collect()}
+    assert got == want and {None, "cost_ceiling", "contribution_quota"} == set(got.values())
+
+
+def test_recall_stream_equals_batch(spark, tmp_path):
+    cfg = LimitConfig(recall_rate=2, recall_window=timedelta(seconds=6))
+    rows = [(k, f"p{k % 2}", datetime(2024, 1, 1) + timedelta(seconds=k // 2)) for k in range(40)]
+    schema = "event_id bigint, principal_id string, ts timestamp"
+    got = run_gate(spark, tmp_path, rows, schema, lambda s: jobs.stream_recall_gate(s, cfg))
+    assert got == {r.event_id: r.denied_reason for r in quota.recall_gate(spark.createDataFrame(rows, schema), cfg).collect()}
+    assert set(got.values()) == {None, "recall_rate"}
+
+
+def test_login_stream_equals_batch_and_brute_force(spark, tmp_path):
+    cfg = LimitConfig(max_login_attempts=2, login_window=timedelta(seconds=9))
+    rows = [(k, f"u{k % 2}", datetime(2024, 1, 1) + timedelta(seconds=k), k % 3 == 0) for k in range(50)]
+    schema = "event_id bigint, email string, ts timestamp, succeeded boolean"
+    failed, want = {}, {}
+    for k, who, at, ok in rows:
+        recent = [t for t in failed.get(who, []) if t > at - cfg.login_window]
+        want[k] = "login_attempts" if len(recent) >= 2 else None
+        if not ok and want[k] is None:
+            failed.setdefault(who, []).append(at)
+    assert {r.event_id: r.denied_reason for r in quota.login_gate(spark.createDataFrame(rows, schema), cfg).collect()} == want
+    assert run_gate(spark, tmp_path, rows, schema, lambda s: jobs.stream_login_gate(s, cfg)) == want
+
+
+def test_idle_state_is_cleared_by_its_timer(spark, tmp_path):
+    """After an hour without events, both windows of a principal have gone; a principal that comes back starts anew."""
+    cfg = LimitConfig(contribution_quota=1, contribution_window=timedelta(seconds=10), cost_window=timedelta(seconds=5))
+    first = [(1, "a", datetime(2024, 1, 1), 0, 0), (2, "b", datetime(2024, 1, 1, 2), 0, 0)]
+    second = [(3, "a", datetime(2024, 1, 1, 3), 0, 0), (4, "a", datetime(2024, 1, 1, 3, 0, 1), 0, 0)]
+    got = run_gate(spark, tmp_path, first + second, EVENTS, lambda s: jobs.stream_quota(s, cfg, "1 second"))
+    assert got == {1: None, 2: None, 3: None, 4: "contribution_quota"}
