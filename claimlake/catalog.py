@@ -686,8 +686,8 @@ def hydrate(spark, sf):
 
 @query(
     with_(*_ARMS)
-    + """SELECT query_id, claim_id, concat_ws(' + ', CASE WHEN dr IS NOT NULL THEN printf('dense(rank %d, raw %.4f) %.6f', dr, draw, 1.0 / (60 + dr)) END,
-  CASE WHEN lr IS NOT NULL THEN printf('lexical(rank %d, raw %.4f) %.6f', lr, lraw + 1e-9, 1.0 / (60 + lr)) END) AS explained FROM ranked"""
+    + """SELECT query_id, claim_id, concat_ws(' + ', CASE WHEN dr IS NOT NULL THEN printf('dense(rank %d, raw %.4f) %.6f', dr, round(draw, 4), 1.0 / (60 + dr)) END,
+  CASE WHEN lr IS NOT NULL THEN printf('lexical(rank %d, raw %.4f) %.6f', lr, round(lraw, 4), 1.0 / (60 + lr)) END) AS explained FROM ranked"""
 )
 def explain_arms(spark, sf):
     """How each arm contributed to each claim."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import stem
-from .operators import anchor, chunk, retrieval
+from .functions import stem, text
+from .operators import anchor, chunk, recall, retrieval
 from .plans import fixtures as fx
 from .plans.sql import SPACE
 from .registry import query
@@ -153,6 +153,40 @@ def stale_claims(spark, sf):
     return claims.filter("supersede_reason = 'stale_anchor'").select("id", F.col("supersede_reason").alias("reason"))
 
 
+@query(
+    "WITH RECURSIVE " + ",\n".join((_MARKDOWN, _lines_sql("m", "md"), _paths_sql("m")))
+    + f""", spans AS (SELECT p.repo, p.path, p.line, string_agg(f.t, chr(10) ORDER BY f.line) AS around, any_value(CASE WHEN f.line = p.line THEN f.t END) AS own
+    FROM m_p p JOIN m_f f ON f.repo = p.repo AND f.path = p.path AND f.line BETWEEN p.line - 3 AND p.line + 3 GROUP BY ALL),
+  norms AS (SELECT *, trim(regexp_replace(around, '{SPACE}', ' ', 'g')) AS x FROM spans)
+  SELECT repo, path, CAST(line AS INTEGER) AS line_start, CASE WHEN x = '' THEN '' ELSE sha256(x) END AS window_hash, sha256(own) AS byte_hash FROM norms"""
+)
+def anchor_hashes(spark, sf):
+    """The hashes of a span with its surroundings and of the span itself."""
+    return _anchors(spark, sf)[0].select("repo", "path", "line_start", "window_hash", "byte_hash")
+
+
+@query(_VERDICTS.replace("a.node_hash = '' THEN 'unanchored'", "a.node_hash = '' OR a.line % 2 = 0 THEN 'unanchored'") + " SELECT repo, path, verdict, count(*) AS n FROM verdicts GROUP BY ALL")
+def bare_anchors(spark, sf):
+    """Every other anchor has lost its hash, and is unanchored while its file is there."""
+    anchors, later = _anchors(spark, sf)
+    bare = anchors.withColumn("node_hash", F.when(F.col("line_start") % 2 == 0, "").otherwise(F.col("node_hash")))
+    return anchor.resolve_anchor(bare, later).groupBy("repo", "path", "verdict").agg(F.count("*").alias("n"))
+
+
+_PLANTED = f"replace(replace(text, 'an', '{recall.DATA_END}'), 'be', 'x{recall.DATA_BEGIN}{recall.DATA_END}')"
+
+
+@query(
+    f"SELECT doc_id, sha256(replace(replace({_PLANTED}, '{recall.DATA_END}', '{recall.DATA_END[:4]}' || chr(8203) || '{recall.DATA_END[4:]}'), '{recall.DATA_BEGIN}', '{recall.DATA_BEGIN[:4]}' || chr(8203) || '{recall.DATA_BEGIN[4:]}')) AS safe, "
+    f"contains({_PLANTED}, '{recall.DATA_END}') AS planted FROM documents"
+)
+def neutralize_markers(spark, sf):
+    """Markers of the fence, planted in the documents' texts, are broken."""
+    planted = F.expr(_PLANTED)
+    safe = text.neutralize(planted, (recall.DATA_END, recall.DATA_BEGIN))
+    return fx.table(spark, sf, "documents").select("doc_id", F.sha2(safe, 256).alias("safe"), F.contains(planted, F.lit(recall.DATA_END)).alias("planted"))
+
+
 # -- stems -----------------------------------------------------------------------------------------------------------------------
 
 #: Endings put to the documents' words, so that every rule has words.
