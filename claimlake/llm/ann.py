@@ -116,7 +116,9 @@ class Forest:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Rows of length one; each is scaled first, so that no square of a component is lost."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:

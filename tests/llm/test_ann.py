@@ -96,3 +96,13 @@ def test_every_width_is_searched(spark):
     for r in ann.nearest(docs, F.col("vec_id") % 50 == 0, sample=200).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in best] for q, best in brute(rows).items()}
+
+
+def test_very_small_and_very_large_vectors(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** rng.choice([-200, 200])).tolist()) for i in range(60)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(docs, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in best] for q, best in brute(rows).items()}
