@@ -72,7 +72,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf: str) -> str:
     """The index of live claims' evidence, kept in the shared folder while the documents are the same files."""
-    root = f"{scratch_dir(spark)}/index-3-{fingerprint(fx.table(spark, sf, 'documents'))}"
+    root = f"{scratch_dir(spark)}/index-4-{fingerprint(fx.table(spark, sf, 'documents'))}"
     index.add_evidence(spark, root, 0, _texts(spark, sf), live=_live_ids(spark, sf))
     return root
 

@@ -22,7 +22,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem, stemmed
@@ -31,9 +31,9 @@ from ..sources.scratch import written
 from .retrieval import DEPTH, K1, STOP_WORDS, B, rank_hits, terms_of, websearch_terms
 
 #: Characters of a shard, about; its texts at least while there are tasks to be had; postings of a block; buckets of terms.
-SHARD_CHARS, LEAST, BLOCK, BUCKETS = 8_000_000, 64, 128, 1024
+SHARD_CHARS, LEAST, BLOCK, BUCKETS = 4_000_000, 64, 128, 1024
 #: Partitions at most, each with one shard after another; requests' words that are sent to every task at most; requests of a block.
-PARTS, WORDS, REQUESTS = 20_000, 100_000, 1024
+PARTS, WORDS, REQUESTS = 20_000, 100_000, 256
 _INTS = ("docs", "owners", "tfs", "sizes", "positions")
 _POSTINGS = "bucket int, shard int, term string, block int, n int, max_tf int, min_ratio double, " + ", ".join(f"{c} array<int>" for c in _INTS)
 #: Bucket of the row that holds a shard's counts: texts with a word as n, all their words as max_tf, whether they are stems as block.
@@ -299,6 +299,12 @@ class Shard:
         return [(o, -s) for s, o in ranked[:k]]
 
 
+def best_of(hits: list[tuple[float, int, int]], k: int) -> list[tuple[float, int, int]]:
+    """The k best of (score, shard, number), and those as good as the last: whose names decide comes later."""
+    hits.sort(key=lambda h: -h[0])
+    return [h for h in hits if h[0] >= hits[k - 1][0]] if len(hits) > k else hits
+
+
 def rounded(x: float, digits: int | None) -> float:
     """Half away from zero on the decimal form, as SQL's round does."""
     return x if digits is None else float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
@@ -327,37 +333,54 @@ def search_index(spark: SparkSession, root: str, queries: DataFrame, k: int = DE
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = terms.join(F.broadcast(df) if few else df, "term", "left").withColumn("idf", F.coalesce(idf, F.lit(0.0)))
     part = F.struct("grp", "alt", "term", "phrase_pos", "negated", "idf")
-    parts = min(last + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    requests = known.groupBy("query_id").agg(F.collect_list(part).alias("parts"))
+    # Requests are dealt by their most frequent word, so that its postings go to few blocks. More blocks leave fewer
+    # parts to each, so what is found grows with the requests and not with the shards.
+    lead = F.max(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("lead")
+    requests = known.groupBy("query_id").agg(F.collect_list(part).alias("parts"), lead)
     blocks = max(1, -(-n_requests // REQUESTS))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    parts = max(1, min(last + 1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)))
+    sharing = requests.groupBy(F.col("lead.term").alias("of")).agg(F.ceil(F.count("*") / REQUESTS).cast("bigint").alias("_n"))
+    spread = requests.join(F.broadcast(sharing) if few else sharing, F.col("lead.term") == F.col("of"))
+    dealt = spread.withColumn("_b", F.pmod(F.xxhash64("of", F.pmod(F.xxhash64("query_id"), F.col("_n"))), F.lit(blocks)).cast("int"))
+    asks = written(dealt.select("_b", "query_id", "parts"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     held = ["term", "block", "n", "max_tf", "min_ratio", *_INTS]
-    asks = requests.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_b"), every(parts).alias("_p"), F.lit(-1).alias("shard"), F.lit(0).alias("kind"), "query_id", "parts")
-    rows = postings.select("shard", F.lit(1).alias("kind"), *held)
+    wants = asks.select("_b", F.explode("parts.term").alias("term")).distinct()
+    rows = postings.join(F.broadcast(wants) if n_terms * blocks <= WORDS else wants, "term").select("_b", "shard", F.lit(1).alias("kind"), *held)
+    asks = asks.select("_b", every.alias("_p"), F.lit(-1).alias("shard"), F.lit(0).alias("kind"), "query_id", "parts")
     docs = units.read(spark, root, "docs", known=known_units)
     if gone is not None:
         closed = docs.join(gone.select(F.col("claim_id").cast("string").alias("claim_id")).distinct(), "claim_id", "left_semi")
-        rows = rows.unionByName(closed.select("shard", F.lit(2).alias("kind"), F.array("owner").alias("owners")), allowMissingColumns=True)
-    both = asks.unionByName(rows.select(every(blocks).alias("_b"), F.pmod("shard", F.lit(parts)).alias("_p"), "*"), allowMissingColumns=True)
+        to_all = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        rows = rows.unionByName(closed.select(to_all.alias("_b"), "shard", F.lit(2).alias("kind"), F.array("owner").alias("owners")), allowMissingColumns=True)
+    both = asks.unionByName(rows.withColumn("_p", F.pmod("shard", F.lit(parts))), allowMissingColumns=True)
     met = both.select((F.col("_b") * parts + F.col("_p")).alias("pair"), *[c for c in both.columns if c not in ("_b", "_p")])
     met = met.repartitionById(blocks * parts, "pair").sortWithinPartitions("pair", "shard", "kind")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pair, requests_here, shard = None, None, [], Shard(average)
+        now, pair, requests_here, shard, found = None, None, [], Shard(average), {}
+
+        def look() -> None:
+            if shard.rows or shard.terms:
+                for q, wants in requests_here:
+                    if hits := shard.best(wants, k, digits):
+                        found[q] = best_of([*found.get(q, []), *((x, now, o) for o, x in hits)], k)
 
-        def answers() -> Iterator[pa.RecordBatch]:
-            found = [(q, now, o, x) for q, wants in requests_here if shard.rows or shard.terms for o, x in shard.best(wants, k, digits)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (id_type, pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["query_id", "shard", "owner", "raw"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(q, s, o, x) for q, hits in found.items() for x, s, o in hits]
+            found.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (id_type, pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["query_id", "shard", "owner", "raw"])
 
         for b in batches:
             cols = {c: b.column(c) for c in b.schema.names}
             id_type = cols["query_id"].type
             for n, (of, s, what) in enumerate(zip(*(cols[c].to_pylist() for c in ("pair", "shard", "kind")), strict=True)):
                 if (of, s) != (pair, now):
-                    yield from answers()
+                    look()
                     shard = Shard(average)
                     if of != pair:
+                        yield from flush()
                         requests_here = []
                     pair, now = of, s
                 if what == 0:
@@ -368,10 +391,12 @@ def search_index(spark: SparkSession, root: str, queries: DataFrame, k: int = DE
                     shard.rows.setdefault(cols["term"][n].as_py(), []).append(one)
                 else:
                     shard.gone.update(cols["owners"][n].as_py())
-        yield from answers()
+        look()
+        yield from flush()
 
     found = met.mapInArrow(answer, f"query_id {kind}, shard int, owner int, raw double")
     # a claim is named by the first of its texts
     names = docs.filter("first").select("shard", "owner", "claim_id")
-    top = rank_hits(found.join(names, ["shard", "owner"]), [F.desc("raw"), F.col("claim_id")], k=k)
+    near = found.withColumn("_n", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("raw")))).filter(F.col("_n") <= k).drop("_n")
+    top = rank_hits(near.join(names, ["shard", "owner"]), [F.desc("raw"), F.col("claim_id")], k=k)
     return top.select("query_id", F.lit("lexical").alias("arm"), "claim_id", "rank", "raw")
