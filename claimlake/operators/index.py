@@ -324,7 +324,8 @@ def search_index(spark: SparkSession, root: str, queries: DataFrame, k: int = DE
     n_docs, average, last = shards[0], shards[1] / shards[0], shards[3]
     asked = websearch_terms(queries)
     terms = asked.withColumn("term", stemmed(F.col("term"))) if shards[2] else asked
-    terms = written(terms.withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int")))
+    in_phrase = F.count("*").over(Window.partitionBy("query_id", "alt")) > 1
+    terms = written(terms.withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int")).withColumn("in_phrase", in_phrase))
     n_requests, n_terms, buckets = terms.agg(F.count_distinct("query_id"), F.count_distinct("term"), F.collect_set("bucket")).first()  # BUCKETS at most
     wanted, few = terms.select("bucket", "term").distinct(), n_terms <= WORDS
     postings = units.read(spark, root, "postings", known=known_units).filter(F.col("bucket").isin(buckets))
@@ -332,7 +333,7 @@ def search_index(spark: SparkSession, root: str, queries: DataFrame, k: int = DE
     df = postings.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = terms.join(F.broadcast(df) if few else df, "term", "left").withColumn("idf", F.coalesce(idf, F.lit(0.0)))
-    part = F.struct("grp", "alt", "term", "phrase_pos", "negated", "idf")
+    part = F.struct("grp", "alt", "term", "phrase_pos", "negated", "idf", "in_phrase")
     # Requests are dealt by their most frequent word, so that its postings go to few blocks. More blocks leave fewer
     # parts to each, so what is found grows with the requests and not with the shards.
     lead = F.max(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("lead")
@@ -344,8 +345,10 @@ def search_index(spark: SparkSession, root: str, queries: DataFrame, k: int = DE
     dealt = spread.withColumn("_b", F.pmod(F.xxhash64("of", F.pmod(F.xxhash64("query_id"), F.col("_n"))), F.lit(blocks)).cast("int"))
     asks = written(dealt.select("_b", "query_id", "parts"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    held = ["term", "block", "n", "max_tf", "min_ratio", *_INTS]
-    wants = asks.select("_b", F.explode("parts.term").alias("term")).distinct()
+    # places in the texts serve phrases only, and are most of a posting
+    wants = asks.select("_b", F.inline("parts")).groupBy("_b", "term").agg(F.max("in_phrase").alias("in_phrase"))
+    spots = F.when(F.col("in_phrase"), F.col("positions")).otherwise(F.array().cast("array<int>")).alias("positions")
+    held = ["term", "block", "n", "max_tf", "min_ratio", *_INTS[:-1], spots]
     rows = postings.join(F.broadcast(wants) if n_terms * blocks <= WORDS else wants, "term").select("_b", "shard", F.lit(1).alias("kind"), *held)
     asks = asks.select("_b", every.alias("_p"), F.lit(-1).alias("shard"), F.lit(0).alias("kind"), "query_id", "parts")
     docs = units.read(spark, root, "docs", known=known_units)
