@@ -13,7 +13,8 @@ and by node are shuffled; nodes and paths with more than a thousandth of the row
 which are a thousand at most, are joined by broadcast, so none is one task's.
 
 Defined results: null urls and urls without ``://`` have an empty host and path and
-are judged like any other host's; repeated rows get the same verdict; empty tables
+are judged like any other host's; a literal segment such as ``*`` is never the node
+of a wildcard, nor an empty one that of a path's end; repeated rows get the same verdict; empty tables
 give none; extra columns are ignored.
 """
 
@@ -36,7 +37,8 @@ MANY, FEW = 12, 3.0
 SMOOTH, CRITICAL, REJECT = 4.0, 1.96, 0.6
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-WILD, ABOVE, BELOW = "*", "(+)", "(-)"
+#: Names of branches that stand for several segments, and what leads a literal segment that reads like one of them.
+WILD, ABOVE, BELOW, LITERAL = "*", "(+)", "(-)", "\\"
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,12 @@ def _variable(segment: Column) -> Column:
     return segment.rlike(r"^[0-9]+(\.[A-Za-z]+)?$|^[0-9A-Fa-f-]{12,}$|[0-9]{5,}")
 
 
+def _literal(segment: Column) -> Column:
+    """The name of a segment's own branch: no other segment, wildcard, merged branch, rest or end of a path has it."""
+    marked = segment.isin("", WILD, "**", ABOVE, BELOW) | segment.startswith(LITERAL)
+    return F.when(marked, F.concat(F.lit(LITERAL), segment)).otherwise(segment)
+
+
 def _alike(lab: str, bad: str, share: Column) -> Column:
     """Whether a branch's labelled share may be ``share`` by a two-sided test."""
     n = F.greatest(F.col(lab), F.lit(1))
@@ -97,7 +105,7 @@ def _children(now: DataFrame) -> DataFrame:
     pools = sided.groupBy(*node, "side").agg(F.sum("clab").alias("slab"), F.sum("cbad").alias("sbad"), F.count("*").alias("same"))
     kids = join_hot(sided, pools, [*node, "side"], "same").unionByName(kids.filter("side is null"), allowMissingColumns=True)
     merged = (F.col("same") > 1) & _alike("clab", "cbad", F.col("sbad") / F.greatest(F.col("slab"), F.lit(1)))
-    child = F.when(F.col("seg").isNull(), "").when(F.col("wild"), WILD).when(merged, F.when(F.col("side"), ABOVE).otherwise(BELOW)).otherwise(F.col("seg"))
+    child = F.when(F.col("seg").isNull(), "").when(F.col("wild"), WILD).when(merged, F.when(F.col("side"), ABOVE).otherwise(BELOW)).otherwise(_literal(F.col("seg")))
     return kids.select(*node, "seg", child.alias("child"), "cn")
 
 
@@ -119,7 +127,8 @@ def template_purity(pages: DataFrame) -> DataFrame:
         seg = F.nullif(F.get("s", F.lit(level)), F.lit("")) if level == 0 else F.get("s", F.lit(level))
         now = now.withColumn("seg", seg)
         named = _children(now)
-        now = join_hot(now.withColumn("_seg", F.coalesce("seg", F.lit("\0"))), named.withColumn("_seg", F.coalesce("seg", F.lit("\0"))).drop("seg"), [*node, "_seg"], "cn").drop("_seg", "cn")
+        mark = F.coalesce(F.concat(F.lit("/"), "seg"), F.lit(""))
+        now = join_hot(now.withColumn("_seg", mark), named.withColumn("_seg", mark).drop("seg"), [*node, "_seg"], "cn").drop("_seg", "cn")
         ended = F.col("seg").isNull()
         now = written(now.withColumn("template", F.when(ended, F.concat("template", F.lit("/"))).otherwise(F.concat("template", F.lit("/"), "child"))).drop("child", "seg", "more"))
         below = now.groupBy(*node).agg(*sums, F.min("purity").alias("up"))

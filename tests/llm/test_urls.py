@@ -24,7 +24,7 @@ def brute(pages):
         h, p = split(u)
         rule, verdict = ruled(h, p)
         parts = re.sub(r"^/", "", p).split("/")
-        data.append({"key": (i, h, p, rule, verdict), "s": parts[:-1] if parts[-1] == "" else parts, "label": {"block": 1, "allow": 0}.get(verdict), "node": (h, "")})
+        data.append({"key": (i, h, p, rule, verdict), "s": parts[:-1] if parts[-1] == "" else parts, "label": {"block": 1, "allow": 0}.get(verdict), "node": (h, ())})
     lab = [d["label"] for d in data if d["label"] is not None]
     prior = (sum(lab) + 1) / (len(lab) + 2)
 
@@ -53,18 +53,18 @@ def brute(pages):
             for seg, own in kids.items():
                 n, bad = count(own)
                 if seg is None:
-                    names[seg] = ""
+                    names[seg] = (3,)
                 elif many or re.search(r"^[0-9]+(\.[A-Za-z]+)?$|^[0-9A-Fa-f-]{12,}$|[0-9]{5,}", seg) or alike(n, bad, share):
-                    names[seg] = "*"
+                    names[seg] = (0,)
                 else:
                     sides[bad / max(1, n) > share].append(seg)
             for above, segs in sides.items():
                 sn, sbad = map(sum, zip(*(count(kids[x]) for x in segs)))
                 for x in segs:
-                    names[x] = ("(+)" if above else "(-)") if len(segs) > 1 and alike(*count(kids[x]), sbad / max(1, sn)) else x
+                    names[x] = (1, above) if len(segs) > 1 and alike(*count(kids[x]), sbad / max(1, sn)) else (2, x)
             for seg, own in kids.items():
                 for d in own:
-                    d["new"] = (h, t + "/" + names[seg])
+                    d["new"] = (h, (*t, names[seg]))
         for d in now:
             d["node"] = d["new"]
         k += 1
@@ -91,10 +91,22 @@ def test_deep_branches_are_told_apart(spark):
     assert all(got[i] == ("block" if i % 2 else "allow") for i, _ in pages)
 
 
+def test_literal_marks_are_no_wildcards(spark):
+    """A literal ``*`` or an empty segment is a node of its own."""
+    good, bad = urls.Rule("allow", "h.net/1"), urls.Rule("block", "h.net/*/")
+    pages = [(i, f"x://h.net/1{i}/q") for i in range(60)] + [(100 + i, f"x://h.net/*/p{i}") for i in range(60)] + [(200 + i, f"x://h.net/2{i}/q") for i in range(20)]
+    pages += [(300 + i, f"x://h.net/{s}/{t}") for i, (s, t) in enumerate((s, t) for s in ("(+)", "(-)", "\\*", "\\", "**", "") for t in ("", "/", "*", "a"))]
+    rows = spark.createDataFrame(pages, "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(rows, [good, bad]).collect()}
+    assert all(got[200 + i] == "allow" for i in range(20))
+    assert all(got[100 + i] == "block" for i in range(60))
+
+
 def test_judge_equals_loops(spark):
     pages = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
     pages += [(None, None), (1, "no scheme"), (2, "http://"), (3, "HTTP://ORG/"), (3, "HTTP://ORG/"), (4, "x://a.Example.ORG/es/1?q#f"), (5, "a://b://c/d"), (6, "x://org")]
     pages += [(7, "x://a.com#://"), (8, "x://evilorg/a"), (9, "x://h.net/" + "a/" * 5000), (10, "x://h.net//x"), (11, "x://ünï.net/é?"), (12, "")]
+    pages += [(20 + i, f"x://odd.com/{a}/{b}/{c}") for i, (a, b, c) in enumerate((a, b, c) for a in ("de", "fr", "*") for b in ("", "*", "(+)", "z") for c in ("", "*", "\\*", "y"))]
     pages += [(100 + i, f"x://big.com/{'de' if i % 3 else 'en'}/p{i}/q") for i in range(300)] + [(500 + i, f"x://big.com/de/p{i}") for i in range(60)]
     rows = spark.createDataFrame([(i, u, "x", "y") for i, u in pages], "page_id bigint, url string, host string, verdict string")
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(rows, queries.URL_RULES).collect())
