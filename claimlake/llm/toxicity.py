@@ -15,7 +15,7 @@ texts hardly have; the ordinary one has the most frequent windows of ordinary te
 Both are used as raw content: the library's trainer drops rare windows.
 
 Defined results: null and empty texts, and texts without a letter, have no hit and
-the lowest score; whole texts are judged; without toxic and ordinary samples every
+the lowest score; whole texts are judged, long ones by their densest stretch; without toxic and ordinary samples every
 score is 0; repeated rows get the same score; extra columns are ignored.
 """
 
@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ TOXIC, ORDINARY, LONGEST = 800, 2400, 10_000
 COMMON, MEMORY = 12_000, 500_000
 #: A toxic window is in this share of toxic texts (and in LEAST) and this much rarer in ordinary ones.
 SHARE, LEAST, CONTRAST = 0.01, 3, 10.0
-#: Hits beyond this many are scored alike; in a text of more windows than UNIT, hits for each UNIT of them count.
+#: Hits beyond this many are scored alike; those of the stretch of so many consecutive windows that has most count.
 MOST, UNIT = 4, 500
 
 _OPENING = {n: re.compile(r"(?<![^\W\d_])[^\W\d_]{1,%d}" % n) for n in WIDTHS}
@@ -57,9 +58,15 @@ def expand(window: str, width: int) -> bytes:
     return b"".join(map(_CODE.__getitem__, (" " + window + " ")[: width + 1].encode("utf-8", "surrogatepass")))
 
 
-def level(hits: int, n: int) -> int:
-    """What a text's score goes by: its hits, or in long texts how many there are to a stretch of UNIT windows."""
-    return int(min(MOST, hits * min(1.0, UNIT / max(1, n))))
+def level(hits: np.ndarray) -> int:
+    """What a text's score goes by: of whether each window is a hit, the hits of the densest stretch of UNIT windows.
+
+    Text put before or after never lowers it.
+    """
+    if len(hits) > UNIT:
+        sums = np.concatenate([[0], np.cumsum(hits)])
+        return int(min(MOST, (sums[UNIT:] - sums[:-UNIT]).max()))
+    return int(min(MOST, hits.sum()))
 
 
 def own_contexts(texts: list[str], width: int) -> Counter:
@@ -125,13 +132,12 @@ class Hits(dict):
         found = self[window] = int(toxic <= self.model.near and ordinary - toxic >= self.model.gap)
         return found
 
-    def count(self, text: str | None) -> int:
-        return self.counts(text)[0]
+    def of(self, text: str | None) -> np.ndarray:
+        """For each window of a text whether it is a hit."""
+        return np.fromiter(map(self.__getitem__, windows(text, self.model.width)), np.int64)
 
-    def counts(self, text: str | None) -> tuple[int, int]:
-        """Hits and windows of a text."""
-        found = windows(text, self.model.width)
-        return sum(map(self.__getitem__, found)), len(found)
+    def count(self, text: str | None) -> int:
+        return int(self.of(text).sum())
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
@@ -163,16 +169,20 @@ def _calibrated(toxic: list[str], ordinary: list[str], width: int) -> tuple[floa
     if not marked:
         return 0.0, width, 0, 0, ()
     lengths = Lengths(Model(marked, common, width))
-    pairs = [[Counter(lengths[w] for w in windows(t, width)) for t in texts[1::2] or texts] for texts in (toxic, ordinary)]
+    pairs = [[np.array([lengths[w] for w in windows(t, width)], np.int64).reshape(-1, 2).T for t in texts[1::2] or texts] for texts in (toxic, ordinary)]
+
+    def levels(side, near, gap):
+        return [level((t <= near) & (o - t >= gap)) for t, o in side]
+
     best = None
     for near in range(4, 17):
         for gap in range(-2, 12):
-            hit = [sum(level(sum(n for (t, o), n in p.items() if t <= near and o - t >= gap), p.total()) > 0 for p in side) / len(side) for side in pairs]
+            hit = [sum(n > 0 for n in levels(side, near, gap)) / len(side) for side in pairs]
             value = (hit[0] - 4 * hit[1], gap, -near)
             if best is None or value > best[0]:
                 best = (value, near, gap)
     value, near, gap = best
-    counts = [Counter(level(sum(n for (t, o), n in p.items() if t <= near and o - t >= gap), p.total()) for p in side) for side in pairs]
+    counts = [Counter(levels(side, near, gap)) for side in pairs]
     scores, least = [], 0.0
     for h in range(MOST + 1):  # at least so many hits, so that the score never falls with hits
         a, b = (sum(n for k, n in side.items() if (k >= h if h else k == 0)) for side in counts)
@@ -206,8 +216,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         def many(doc_ids, held, texts):
             if not model.toxic:
                 return doc_ids, held, [0.0] * len(texts), [0] * len(texts)
-            counts = [hits.counts(t) for t in texts]
-            return doc_ids, held, [model.scores[level(*c)] for c in counts], [n for n, _ in counts]
+            found = [hits.of(t) for t in texts]
+            return doc_ids, held, [model.scores[level(h)] for h in found], [int(h.sum()) for h in found]
 
         return many
 

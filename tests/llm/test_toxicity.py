@@ -32,3 +32,27 @@ def test_lengths_tell_dictionaries_apart():
     hits = toxicity.Hits(model)
     assert hits.count("a calm person") == 0 and hits.count("such grubbish") == 1
     assert hits.count("Grubber " * 1000) == 1000
+
+
+def test_clean_text_hides_nothing(spark):
+    """A caught text stays caught, with no lower a score, whatever clean text stands before or after it."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(*toxicity.sample(docs, labels, ~toxicity.held_out(docs.doc_id)))
+    rows = docs.join(labels, "doc_id").filter("text is not null").select("toxic", "text").collect()
+    hits = toxicity.Hits(model)
+    clean = " ".join(r.text for r in rows if r.toxic == 0 and hits.count(r.text) == 0)[:20_000]
+    caught = [r.text for r in rows if r.toxic == 1 and hits.count(r.text)][:60]
+    assert len(caught) == 60
+    for text in caught:
+        assert min(toxicity.level(hits.of(t)) for t in (f"{text} {clean}", f"{clean} {text}", f"{clean} {text} {clean}")) >= toxicity.level(hits.of(text))
+
+
+def test_level_equals_all_stretches():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 499, 500, 501, 2300):
+        hits = (rng.random(n) < 0.004).astype(int)
+        each = [hits[i : i + toxicity.UNIT].sum() for i in range(max(1, n - toxicity.UNIT + 1))]
+        assert toxicity.level(hits) == min(toxicity.MOST, max(each))
