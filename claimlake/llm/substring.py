@@ -364,11 +364,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = with_identity(docs.select("doc_id", "text")).filter("text is not null")
     # places meet their text by its id, or by a hash: of a text without an id, or of id and text where many share one
-    many = docs.filter(F.col("_id") != _LAST).groupBy("_id").count().filter(F.col("count") > SHARED)
+    ids = written(docs.groupBy("_id", "_th").agg(F.min(F.sha2("text", 256)).alias("sha"), F.count("*").alias("rows")))
+    again = ids.filter("rows > 1").select("_id", "_th")
+    if not again.isEmpty():  # rows alike in id and text count once from here on
+        docs = docs.join(again, ["_id", "_th"], "left_anti").unionByName(written(docs.join(again, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"])))
+    many = ids.filter(F.col("_id") != _LAST).groupBy("_id").count().filter(F.col("count") > SHARED)
     key = F.xxhash64("_id", "_th") if not many.limit(1).isEmpty() else F.when(F.col("_id") == _LAST, F.col("_th")).otherwise(F.col("_id"))
-    copies = docs.select("_id", "_th", F.sha2("text", 256).alias("sha"))
-    first = written(copies.groupBy("sha").agg(F.min("_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
-    copies = written(join_hot(copies, first, ["sha"], "n").filter("_id > rep").select("_id", "_th").distinct().withColumn("_key", key))
+    first = written(ids.groupBy("sha").agg(F.min("_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
+    copies = written(join_hot(ids, first, ["sha"], "n").filter("_id > rep").select("_id", "_th").withColumn("_key", key))
     docs = docs.withColumn("_key", key)
     release(spark)
     known = written(repeated_anchors(docs))

@@ -100,3 +100,13 @@ def test_texts_without_or_with_one_id(spark):
     for ids in (docs, docs.filter("doc_id is null or doc_id = 1")):
         for r in substring.digest(ids).collect():
             assert r.n_removed == (0 if r.doc_id == 1 else 30)
+
+
+def test_repeated_rows_cost_one_text(spark):
+    """Thousands of rows alike in id and text are one text to the index."""
+    text = " ".join(f"v{k}" for k in range(1500))
+    docs = spark.createDataFrame([(7, text)] * 3000 + [(8, "head " + text), (6, "alone " * 3)], "doc_id bigint, text string").repartition(4)
+    found = {r.id: sorted(zip(r.starts, r.ns)) for r in substring.repeats(docs).collect()}
+    assert found.keys() == {8} and found[8][0][0] == 1 and sum(n for _, n in found[8]) == 1481
+    rows = substring.digest(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, rows)) == [(6, 3, 0, 1), (7, 1500, 0, 3000), (8, 1501, 1500, 1)]
