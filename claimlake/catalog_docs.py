@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .operators import anchor, chunk, recall, retrieval
 from .plans import fixtures as fx
 from .plans.sql import SPACE
 from .registry import query
+from .sources import docs
+from .sources.scratch import scratch_dir
 
 _MARKDOWN = """md AS (SELECT source AS repo, 'docs/' || doc_id || '.md' AS path, doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE
   WHEN (i - 1) % 5 = 0 THEN '# Part ' || (i - 1) || chr(10) || x WHEN (i - 1) % 5 = 2 THEN '## Sub ' || (i - 1) || chr(10) || x
@@ -253,3 +257,21 @@ def stem_words(spark, sf):
     ending = F.get(endings, ((F.length("p") * 7 + first) % len(_ENDINGS)).cast("int"))
     words = plain.select(F.explode(F.array("p", F.concat("p", ending))).alias("word")).distinct()
     return words.select("word", stem.stemmed(F.col("word")).alias("stem"))
+
+
+@query(
+    """SELECT source AS repo, 'docs/' || doc_id || '.md' AS path, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(coalesce(text, '')) AS text_md5 FROM documents
+  UNION ALL SELECT repo, path, octet_length(encode(path || repo || n)), md5(path || repo || n) FROM (SELECT source AS repo, count(*) AS n FROM documents GROUP BY ALL),
+    unnest(['README.md', '.cursorrules', 'docs/.notes.MD']) u(path)"""
+)
+def repo_docs(spark, sf):
+    """The documents as files of a tree a source, beside others that discovery passes over, and read again."""
+    d = fx.table(spark, sf, "documents")
+    files = d.select(F.col("source").alias("repo"), F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("path"), "text")
+    names = [*("README.md", ".cursorrules", "docs/.notes.MD"), *("notes.md", "docs/notes.txt", "docs/.drafts/a.md", "docs/large.md")]
+    others = d.groupBy(F.col("source").alias("repo")).agg(F.count("*").alias("n")).withColumn("path", F.explode(F.array(*map(F.lit, names))))
+    text = F.when(F.col("path") == "docs/large.md", F.repeat(F.lit("x"), docs.MAX_BYTES + 1)).otherwise(F.concat("path", "repo", "n"))
+    root = f"{scratch_dir(spark)}/tree-{uuid.uuid4().hex}"
+    docs.write_repo_docs(files.unionByName(others.select("repo", "path", text.alias("text"))), root)
+    read = docs.read_repo_docs(spark, root)
+    return read.select("repo", "path", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5("text").alias("text_md5"))

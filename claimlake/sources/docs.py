@@ -3,39 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from ..operators.nominate import capture_defaults
 from ..schemas import SCHEMAS
+from .tree import MAX_BYTES, RepoDocs
+
+def read_repo_docs(spark: SparkSession, root: str, repo: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """repo, path, text of the rule files at a root and the Markdown under ``docs/``, dot-directories apart.
+
+    Without ``repo``, each folder below the root is a repo.
+    """
+    spark.dataSource.register(RepoDocs)
+    reader = spark.read.format("repo_docs").option("maxBytes", max_bytes)
+    return (reader if repo is None else reader.option("repo", repo)).load(root)
+
 
-#: Files looked for at a root, beside ``docs/**/*.md``; and the largest file that is read. Fixed values.
-ROOT_FILES = ("AGENTS.md", "CLAUDE.md", "README.md", ".cursorrules", ".windsurfrules")
-MAX_BYTES = 512 * 1024
-
-
-def read_repo_docs(spark: SparkSession, root: str, repo: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """repo, path, text of the rule files at a root and the Markdown under ``docs/``, dot-directories apart."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    at = fs.makeQualified(base).toString().rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= max_bytes)
-    plain = F.regexp_replace("path", r"^file:/+", "/")
-    path = F.substring(plain, len(_plain(at)) + 2, 1 << 20)
-    named = files.select(path.alias("path"), F.decode("content", "UTF-8").alias("text"))
-    wanted = F.col("path").isin(*ROOT_FILES) | (F.col("path").rlike(r"(?i)^docs/.*\.md$") & ~F.col("path").rlike(r"(^|/)\.[^/]+/"))
-    hidden = []
-    for name in ROOT_FILES:  # Spark's readers skip names that begin with a dot
-        file = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        if name.startswith(".") and fs.exists(file) and fs.getFileStatus(file).getLen() <= max_bytes:
-            stream = fs.open(file)
-            hidden.append((name, spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-            stream.close()
-    out = named.filter(wanted).unionByName(spark.createDataFrame(hidden, "path string, text string"))
-    return out.dropDuplicates(["path"]).select(F.lit(repo).alias("repo"), "path", "text")
-
-
-def _plain(uri: str) -> str:
-    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+def write_repo_docs(docs: DataFrame, root: str) -> None:
+    """Each row's ``text`` as the file ``path`` of its ``repo``'s folder below a root."""
+    docs.sparkSession.dataSource.register(RepoDocs)
+    docs.select("repo", "path", "text").write.format("repo_docs").mode("append").save(root)
 
 
 def capture_source(spark: SparkSession, folder: str, streaming: bool = False, files_a_batch: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimlake import catalog_docs
 from claimlake.functions import intervals, limits, text, vectors
 from claimlake.operators import acl, anchor, audit, chunk, dedup, nominate, quota, recall, retrieval, scd
-from claimlake.sources import docs
+from claimlake.sources import docs, tree
 
 T = [datetime(2024, 1, d) for d in range(1, 6)]
 
@@ -264,7 +264,7 @@ def test_audit_vectors(spark):
 
 
 def test_read_repo_docs(spark, tmp_path):
-    wanted = {"README.md", "AGENTS.md", ".cursorrules", "docs/a.md", "docs/sub/B.MD"}
+    wanted = {"README.md", "AGENTS.md", ".cursorrules", "docs/a.md", "docs/sub/B.MD", "docs/.own.md"}
     for name in [*wanted, "notes.txt", "main.go", "docs/.hidden/x.md", "docs/c.txt"]:
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("text of " + name)
@@ -273,6 +273,26 @@ def test_read_repo_docs(spark, tmp_path):
     assert {r.path: r.text for r in rows} == {n: "text of " + n for n in wanted}
 
 
+def test_repo_docs_trees(spark, tmp_path, monkeypatch):
+    """Trees written and read again, by many tasks where one folder has many files."""
+    texts = ["", None, "a\r\n\u2028b", "é" * 70_000, "\x00\ufeffz"]
+    rows = [(f"r{k % 3}", f"docs/{'big' if k % 4 else f'd{k}'}/f{k}.md", texts[k % 5]) for k in range(200)]
+    root = str(tmp_path / "trees")
+    for _ in range(2):  # a second run changes nothing
+        docs.write_repo_docs(spark.createDataFrame(rows, "repo string, path string, text string"), root)
+    monkeypatch.setattr(tree, "TASK_BYTES", 1 << 20)
+    assert len(tree.TreeReader(root, None, tree.MAX_BYTES).partitions()) > 3
+    got = docs.read_repo_docs(spark, root)
+    assert sorted(map(tuple, got.collect())) == sorted((r, p, t or "") for r, p, t in rows)
+    assert docs.read_repo_docs(spark, root, max_bytes=100).count() == 160
+    (tmp_path / "trees/r0/docs/d0/f0.md").write_bytes(b"a\xffb")
+    assert "a\ufffdb" in {r.text for r in docs.read_repo_docs(spark, f"{root}/r0", "x").collect()}
+    (tmp_path / "none").mkdir()
+    assert docs.read_repo_docs(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="no place below the root"):
+        docs.write_repo_docs(spark.createDataFrame([("r", "../x", "t")], "repo string, path string, text string"), root)
+
+
 def test_topk_plan_limits_before_the_shuffle(spark):
     hits = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").cast("string").alias("claim_id"), F.rand(1).alias("raw"))
     plan = retrieval.rank_hits(hits, [F.col("raw"), F.col("claim_id")], k=5)._jdf.queryExecution().executedPlan().toString()
