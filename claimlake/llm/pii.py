@@ -6,8 +6,9 @@ entities never get one surrogate, one entity gets the same one everywhere (whate
 its case or punctuation), and nothing needs a table. Cards keep their first digit
 and stay valid or invalid, addresses keep their octets in range and public or
 private, mail addresses keep their domains together, names keep the gender and
-script of their title and letters, and their last word is replaced alike where it
-stands alone in that text. After the replacement, a count over all distinct entities
+script of their title and letters, and a full name, its first or its last word is
+replaced alike where it stands without a title in that text. A common given name before
+a capitalised word is a name without any title. After the replacement, a count over all distinct entities
 checks that no two of a type share a surrogate and that none stayed itself; those
 that do are permuted again under another tweak until none is left. It is an error if
 further tweaks leave as many.
@@ -19,9 +20,13 @@ get the same result; empty tables give none; extra columns stay.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import ipaddress
 import itertools
 import re
+import sys
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -44,8 +49,8 @@ TITLES = {
     "n": ("Dr", "Prof"),
 }
 GIVEN = {
-    ("m", "latin"): ("James", "Peter", "Paul", "Thomas", "Martin", "Carlos", "Miguel", "Louis", "Hans", "Karl", "David", "Robert"),
-    ("f", "latin"): ("Anna", "Maria", "Laura", "Julia", "Clara", "Sophie", "Carmen", "Lucia", "Marie", "Emma", "Helen", "Alice"),
+    ("m", "latin"): tuple("James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Andrew Paul Joshua Kenneth Kevin Brian George Edward Peter Martin Carlos Miguel Louis Hans Karl Juan Pedro Pablo Diego Antonio Javier Pierre Jacques Philippe Henri Stefan Wolfgang Klaus Dieter Giovanni Marco Giuseppe Jan Piotr Lars Erik".split()),
+    ("f", "latin"): tuple("Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Emily Michelle Anna Maria Laura Julia Clara Sophie Carmen Lucia Marie Emma Helen Alice Ana Isabel Elena Rosa Pilar Camille Claire Isabelle Juliette Ursula Petra Heike Sabine Monika Ingrid Giulia Francesca Chiara Agnieszka Katarzyna Astrid Sigrid".split()),
     ("n", "latin"): ("Alex", "Robin", "Kim", "Sasha", "Noel", "Dominique", "Andrea", "Jordan", "Taylor", "Morgan"),
     ("m", "cyrillic"): ("Иван", "Пётр", "Павел", "Сергей", "Андрей", "Николай"),
     ("f", "cyrillic"): ("Анна", "Мария", "Ольга", "Елена", "Наталья", "Ирина"),
@@ -54,8 +59,34 @@ GIVEN = {
 #: Letters that replace one another in names: vowels and consonants of each script.
 _NAME_CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "ñçß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ãåæðõøýþÿ", "ъь")
 
+#: Words that stand small inside a name. Fixed values.
+PARTICLES = frozenset("de la las los del da das dos di della van von der den du le el al bin ibn zu ter ten y e".split())
+
+
+def _letters(*categories: str) -> str:
+    """The characters of some categories of Unicode, as ranges of a pattern's class."""
+    out, start = [], None
+    for c in range(0x80, sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c)) in categories
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(f"{chr(start)}-{chr(c - 1)}")
+            start = None
+    return "".join(out)
+
+
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+)*"
+_TITLE_CAPITALS, _TITLE_SMALL = _TITLE.upper(), r"mrs?|(?:ms|dr)(?=\.)"
+_U, _L, _O, _M = "A-Z" + _letters("Lu", "Lt"), "a-z" + _letters("Ll"), _letters("Lo"), _letters("Mn", "Mc")
+#: A capitalised word of any script with cases (O'Brien, McCoy, Jean-Luc), or a word of one without.
+_CASED = rf"[{_U}](?:['’]?[{_U}]?[{_L}{_M}]++)++(?:-[{_U}](?:['’]?[{_U}]?[{_L}{_M}]++)++)*+"
+_WORD = rf"(?:{_CASED}|[\u3400-\u9fff]{{2,3}}|(?![\u3400-\u9fff])[{_O}][{_O}{_M}]++)"
+_INNER = rf"(?:[{_U}]\. ?|(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) )"
+_NAME = rf"{_INNER}*{_WORD}(?: {_INNER}*{_WORD})*"
+_CAPITALS = rf"[{_U}](?:['’-]?[{_U}]++)++(?: [{_U}](?:['’-]?[{_U}]++)++)*"
+_GIVEN = {n: g for (g, _), ns in GIVEN.items() if g != "n" for n in ns}
+_H = "[0-9A-Fa-f]{1,4}"
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,})"
     r"|(?P<key>\bAKIA[0-9A-Z]{16}\b)"
@@ -63,15 +94,20 @@ PATTERN = re.compile(
     r"|(?i:\b(?:password|passwd|pwd)\b\s*[=:]\s*[\"']?)(?P<password>[^\s\"',;]{4,})"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?<![\w.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?![\w]|\.\d)"
+    rf"|(?<![\w:.])(?P<ip6>(?:{_H}:){{7}}{_H}|{_H}(?::{_H}){{0,5}}::(?:{_H}(?::{_H}){{0,5}})?)(?![\w:])"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w)"
+    r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|(?<![.-])0\d{1,4}[ /-]\d{5,8}(?![ -]?\d))(?!\w)"
     r"|(?<![\w.])(?P<card>[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{4}|[3-6]\d{12,18})(?!\w)"
-    rf"|\b(?P<title>{_TITLE})\.? (?P<name>{_NAME}(?: {_NAME})*)"
+    rf"|\b(?P<title>{_TITLE})\.? (?P<name>{_NAME})"
+    rf"|\b(?P<capital_title>{_TITLE_CAPITALS})\.? (?P<capital_name>{_CAPITALS})\b"
+    rf"|\b(?P<small_title>{_TITLE_SMALL})\.? (?P<small_name>[{_L}]{{2,}}+)"
+    rf"|\b(?=[{_U}])(?P<full_name>(?:{'|'.join(sorted(_GIVEN, key=len, reverse=True))}) {_INNER}*{_CASED})"
 )
-_TITLED = tuple(t + x for ts in TITLES.values() for t in ts for x in (" ", ". "))
+_GENDER = {form: g for g, ts in TITLES.items() for t in ts for form in (t, t.upper(), t.lower())}
+_TITLED = (*(t + x for t in _GENDER for x in (" ", ". ")), *(n + " " for n in _GIVEN))
 TYPES = ("email", "key", "token", "password", "iban", "ip", "ssn", "phone", "card", "name")
 
-_HINT = re.compile(r"[0-9@]|AKIA|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd)")
+_HINT = re.compile(r"[0-9@]|::|AKIA|(?i:token|secret|api[_-]?key|access[_-]?key|passw|pwd)")
 
 
 def permute(key: bytes, tweak: str, values: list[int], radices: list[int]) -> list[int]:
@@ -155,9 +191,18 @@ def canonical(kind: str, text: str) -> str:
         return ("+" if text.startswith("+") else "") + "".join(c for c in text if c.isdigit())
     if kind == "iban":
         return text.replace(" ", "")
+    if kind == "ip" and ":" in text:
+        return ipaddress.ip_address(text).exploded
+    if kind == "name":
+        return " ".join(w if w in PARTICLES else "-".join(p.capitalize() for p in w.split("-")) for w in text.split(" "))
     return text
 
 
+def _groups(address: str) -> list[bool]:
+    """Which groups of an IPv6 address are not zero; they are what its surrogate keeps."""
+    return [bool(int(g, 16)) for g in address.split(":")]
+
+
 def surrogate(key: bytes, kind: str, entity: str, tweak: int = 0) -> str:
     """The replacement of a canonical entity, canonical too. Names come as ``gender:name``."""
     t = f"{kind}{tweak or ''}"
@@ -169,10 +214,16 @@ def surrogate(key: bytes, kind: str, entity: str, tweak: int = 0) -> str:
     if kind in ("phone", "ssn"):
         # a country's code stays: digits after the plus, but for the last ten
         fixed = len(entity) - 10 if entity.startswith("+") and len(entity) > 11 else 2 if entity.startswith("+") else 0
-        return permute_text(key, t, entity, [_DIGITS if c.isdigit() and i >= fixed else None for i, c in enumerate(entity)])
+        step = lambda x: permute_text(key, t, x, [_DIGITS if c.isdigit() and i >= fixed else None for i, c in enumerate(x)])
+        # a national number keeps its leading zero, as others stay without one
+        return _walk(step, entity, lambda x: kind == "phone" and x.startswith("0"))
     if kind == "card":
         step = lambda x: permute_text(key, t, x, [None] + [_DIGITS] * (len(x) - 1))
         return _walk(step, entity, luhn)
+    if kind == "ip" and ":" in entity:
+        free = [i for i, full in enumerate(_groups(entity)) if full and i]
+        step = lambda x: permute_text(key, t, x, [_HEX if c != ":" and i // 5 in free else None for i, c in enumerate(x)])
+        return _walk(step, entity, _groups)
     if kind == "ip":
         step = lambda x: ".".join(map(str, permute(key, t, [int(o) for o in x.split(".")], [256] * 4)))
         return _walk(step, entity, _ip_kind)
@@ -200,51 +251,99 @@ def surrogate(key: bytes, kind: str, entity: str, tweak: int = 0) -> str:
 def _name_part(key: bytes, tweak: str, part: str) -> str:
     if "-" in part:
         return "-".join(_name_part(key, tweak, p) for p in part.split("-"))
-    low = part.lower()
-    return permute_text(key, tweak, low, _classes(low, _NAME_CLASSES)).capitalize() if len(low) == len(part) else part
+    if part in PARTICLES:
+        return part
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in part)
+    return permute_text(key, tweak, low, [k or _same_letters(c) for c, k in zip(low, _classes(low, _NAME_CLASSES), strict=True)]).capitalize()
+
 
+@functools.cache
+def _same_letters(c: str) -> str | None:
+    """For a letter of no class of its own, those of its kind among 64 code points."""
+    kind, first = unicodedata.category(c), ord(c) & ~63
+    known = "".join(_NAME_CLASSES)
+    near = [x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == kind and x not in known]
+    near = [x for x in near if kind == "Lo" or kind == "Ll" and len(x.upper()) == 1 and x.upper().lower() == x]
+    return "".join(near) if c in near else None
 
-def laid_out(kind: str, text: str, new: str) -> str:
-    """A canonical surrogate in the format of a mention."""
+
+def laid_out(kind: str, text: str, new: str, entity: str = "") -> str:
+    """A canonical surrogate in the format of a mention, which may be a part of a name."""
     if kind == "name":
-        return " ".join(new.partition(":")[2].split(" ")[-len(text.split(" ")) :])  # a last word alone stays one
+        own, all_, words = canonical(kind, text).split(" "), entity.partition(":")[2].split(" "), new.partition(":")[2].split(" ")
+        at = next((i for i in range(len(all_) - len(own) + 1) if all_[i : i + len(own)] == own), max(0, len(words) - len(own)))
+        return " ".join(map(_cased, text.split(" "), words[at : at + len(own)]))
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(text, new, strict=True))
     if kind in ("phone", "card", "iban"):
         chars = iter(c for c in new if c.isalnum())
         return "".join(next(chars) if c.isalnum() else c for c in text)
+    if kind == "ip" and ":" in new:
+        full = all(len(g) == 4 for g in text.split(":"))
+        out = new if full else ipaddress.ip_address(new).compressed if "::" in text else ":".join(f"{int(g, 16):x}" for g in new.split(":"))
+        return out.upper() if text.isupper() else out
     return new
 
 
+def _cased(own: str, new: str) -> str:
+    if own.isupper() and len(own) > 1 or own.islower():
+        return new.upper() if own.isupper() else new.lower()
+    return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(own, new, strict=True)) if len(own) == len(new) else new
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical entity) of each mention."""
     if not _HINT.search(text) and not any(t in text for t in _TITLED):
         return []
-    out, last_words = [], {}
+    out, parts = [], {}
     for m in PATTERN.finditer(text):
-        kind = "name" if m["name"] else m.lastgroup
-        start, end = m.span(kind)
-        own = m[kind]
+        group = m.lastgroup
+        kind = "name" if group.endswith("name") else "ip" if group == "ip6" else group
+        start, end = m.span(group)
+        own = m[group]
         if kind == "phone" and sum(c.isdigit() for c in own) < 7:
             continue
+        if group == "ip6" and not _address(own):
+            continue
         entity = canonical(kind, own)
         if kind == "name":
-            entity = next(g for g, ts in TITLES.items() if m["title"] in ts) + ":" + own
-            last_words.setdefault(own.split(" ")[-1], entity)
+            gender = _GIVEN[own.split(" ")[0]] if group == "full_name" else _GENDER[m[group.replace("name", "title")]]
+            words, entity = entity.split(" "), f"{gender}:{entity}"
+            for part in (" ".join(words), words[-1], words[0]):
+                if len(part) > 1 and "." not in part.split(" ")[-1] and part not in PARTICLES:
+                    parts.setdefault(part, entity)
         out.append((start, end, kind, entity))
-    if last_words:
-        alone = re.compile(r"(?<![\w-])(?:" + "|".join(sorted(last_words, key=len, reverse=True)) + r")(?![\w-])")
+    if parts:
+        spelt = {part: e for p, e in parts.items() for part in (p, _inner_capitals(text, p))}
+        alone = re.compile(r"(?<![\w-])(?:" + "|".join(map(re.escape, sorted(spelt, key=len, reverse=True))) + r")(?![\w-])")
         taken = [(start, end) for start, end, _, _ in out]
         at = 0
         for m in alone.finditer(text):
             while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
             if at == len(taken) or m.end() <= taken[at][0]:
-                out.append((*m.span(), "name", last_words[m[0]]))
+                out.append((*m.span(), "name", spelt[m[0]]))
         out.sort()
     return out
 
 
+def _inner_capitals(text: str, part: str) -> str:
+    """How a text spells a name that has capitals inside its words, if it does."""
+    if "'" not in part and "’" not in part and not part.startswith(("Mc", "Mac")):
+        return part
+    m = re.search(r"(?<!\w)" + re.escape(part) + r"(?!\w)", text, re.I)
+    return m[0] if m and m[0][0].isupper() and not m[0].isupper() else part
+
+
+def _address(text: str) -> bool:
+    """Whether this is the IPv6 address of a host: three groups or more, a digit, and more than a leading group."""
+    try:
+        groups = _groups(ipaddress.ip_address(text).exploded)
+    except ValueError:
+        return False
+    return any(groups[1:]) and text.count(":") > 2 and any(c.isdigit() for c in text)
+
+
 class Replacer:
     """Replaces mentions in texts; remembers a bounded number of surrogates."""
 
@@ -263,7 +362,7 @@ class Replacer:
         parts, last, entities = [], 0, []
         for start, end, kind, entity in find(text):
             new = self.new(kind, entity, (tweaks or {}).get((kind, entity), 0))
-            parts += [text[last:start], laid_out(kind, text[start:end], new)]
+            parts += [text[last:start], laid_out(kind, text[start:end], new, entity)]
             entities.append((kind, entity, new))
             last = end
         return ("".join([*parts, text[last:]]) if entities else text), entities

@@ -128,3 +128,39 @@ def test_names_of_columns_do_not_clash(spark):
     (row,) = pii.pseudonymize(docs, "k").collect()
     assert row.asDict() | {"text": None} == {"doc_id": 1, "text": None, "n_chars": 17, "_entities": "e", "_tweaks": "t", "_th": 7, "th": 8, "_c0": 9}
     assert row.text != "call +19885551234"
+
+
+@pytest.mark.parametrize(
+    "text, gone",
+    [
+        ("Mr John Smith came. John Smith left. John slept, Smith too.", ["John", "Smith"]),
+        ("Dr Müller wrote to Anna Müller.", ["Anna", "Müller"]),
+        ("I met Mr O'Brien, and O'Brien left.", ["O'Brien"]),
+        ("I met Mr de la Cruz, and Cruz left.", ["Cruz"]),
+        ("I met Mr J. Smith.", ["Smith"]),
+        ("Heute sprach Herr Łukasz Wałęsa mit uns.", ["Łukasz", "Wałęsa"]),
+        ("Here is Mrs 王芳.", ["王芳"]),
+        ("So mr. smith came and MR SMITH left, said Mr Smith.", ["smith", "SMITH", "Smith"]),
+        ("John Smith was here.", ["John", "Smith"]),
+        ("Call 0171-1234567 or 030 1234567.", ["0171-1234567", "030 1234567"]),
+        ("From 2001:db8:85a3::8a2e:370:7334 to 2001:DB8:0:0:1:0:0:1.", ["85a3", "7334", "DB8"]),
+    ],
+)
+def test_planted_forms(text, gone):
+    """Each is found, replaced in its own format, and alike wherever it stands."""
+    new, entities = pii.Replacer(b"k")(text)
+    assert entities and not [g for g in gone if re.search(rf"(?<!\w){re.escape(g)}(?!\w)", new)]
+    assert [c for c in new if not c.isalnum()] == [c for c in text if not c.isalnum()]
+    assert new.split(" ")[0] == text.split(" ")[0] or text.startswith("John")
+
+
+def test_names_stay_one():
+    words = pii.Replacer(b"k")("Mr John McCoy came. John McCoy left. John slept. McCoy, MR MCCOY and mr. mccoy")[0].split(" ")
+    assert words[1] == words[4] == words[7].strip() and words[2] == words[5] and words[0] == "Mr"
+    last = words[2]
+    assert words[9].strip(",") == last and words[11] == last.upper() and words[14] == last.lower()
+
+
+def test_clean_texts_stay():
+    for text in ("The Miss of the year was kind.", "std::vector and a::b", "In 2024 we ran 10 of 12 tests at 12:30:45.", "The doctor said dr and ms are short.", "Order 0 12345", "Paul was here; so was Anna."):
+        assert pii.Replacer(b"k")(text) == (text, [])
