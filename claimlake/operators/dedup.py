@@ -34,11 +34,15 @@ def duplicate_groups(claims: DataFrame) -> DataFrame:
     return live.join(F.broadcast(twice) if twice.limit(SMALL + 1).count() <= SMALL else twice, "statement_sha256")
 
 
-def dedup_claims(claims: DataFrame, now: Column) -> DataFrame:
-    """Supersede all but the survivor of each group, whatever their scope or access; a second run changes nothing."""
+def duplicate_closures(claims: DataFrame, now: Column) -> DataFrame:
+    """What a pass at ``now`` closes: id, successor, at, reason of all but the survivor of each group, whatever their scope or access."""
     pairs = duplicate_groups(claims).filter("id != survivor")
-    closures = pairs.select("id", F.col("survivor").alias("successor"), now.alias("at"), F.lit("duplicate").alias("reason"))
-    return apply_supersession(claims, closures)
+    return pairs.select("id", F.col("survivor").alias("successor"), now.alias("at"), F.lit("duplicate").alias("reason"))
+
+
+def dedup_claims(claims: DataFrame, now: Column) -> DataFrame:
+    """``claims`` with their ``duplicate_closures``; a second run changes nothing, and a claim recorded at ``now`` or later stays open until a later pass."""
+    return apply_supersession(claims, duplicate_closures(claims, now))
 
 
 def current_at(rows: DataFrame, valid_at: Column, recorded_at: Column) -> DataFrame:
