@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Why an interval can't be closed at an instant before it began.
+TOO_EARLY = "not after its start"
+
 
 def is_open(until: Column) -> Column:
     return until.isNull()
@@ -29,7 +32,7 @@ def iv_meets(a_until: Column, b_start: Column) -> Column:
 
 def iv_close(start: Column, until: Column, at: Column) -> Column:
     """struct(until, error): an open interval closed at ``at``; never clamped, an error says why not."""
-    error = F.when(until.isNotNull(), "already closed").when(at <= start, "not after its start")
+    error = F.when(until.isNotNull(), "already closed").when(at <= start, TOO_EARLY)
     return F.struct(F.when(error.isNull(), at).alias("until"), error.alias("error"))
 
 
