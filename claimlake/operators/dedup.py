@@ -11,6 +11,8 @@ from .scd import apply_supersession
 
 #: Groups whose survivors are sent to every task at most, and probes.
 SMALL, PROBES = 100_000, 4096
+#: Both dimensions of time, against the instants of a probe.
+AXES = [ranges.Axis("valid_from", "valid_until", "valid_at"), ranges.Axis("recorded_at", "superseded_at", "known_at")]
 
 
 def canonical(claims: DataFrame) -> DataFrame:
@@ -64,8 +66,12 @@ def known_at(rows: DataFrame, probes: DataFrame) -> DataFrame:
     )
     if probes.limit(PROBES + 1).count() <= PROBES:
         return rows.join(F.broadcast(probes), on)
-    axes = [ranges.Axis("valid_from", "valid_until", "valid_at"), ranges.Axis("recorded_at", "superseded_at", "known_at")]
-    return ranges.stab(written(rows), written(probes), axes)
+    return ranges.stab(written(rows), written(probes), AXES)
+
+
+def known_tally(rows: DataFrame, probes: DataFrame, least: str, key: str) -> DataFrame:
+    """For each probe ``key`` to which ``known_at`` gives rows: how many (``n``), and the least ``least`` of them (``first``). No pair is made."""
+    return ranges.tally(rows, probes, AXES, least, key)
 
 
 def valid_time_overlaps(rows: DataFrame, key: str) -> DataFrame:

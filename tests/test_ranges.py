@@ -104,3 +104,24 @@ def test_overlaps_on_a_hot_key(spark, monkeypatch, largest):
     far = datetime(9999, 12, 31)
     want = {n for n, k, a, _ in rows if any(k2 == k and (a2, m) < (a, n) and (z2 or far) > a for m, k2, a2, z2 in rows)}
     assert {r.id for r in dedup.valid_time_overlaps(df, "key").collect()} == want
+
+
+@pytest.mark.parametrize("stretch", [ranges.STRETCH, 7])
+def test_tally_makes_no_pairs(spark, monkeypatch, stretch):
+    """Against brute force: with instants that many rows, or many probes, share and so fill stretches of their own."""
+    monkeypatch.setattr(ranges, "STRETCH", stretch)
+    rng = random.Random(5)
+    five = T + timedelta(microseconds=5)
+    rows = intervals(rng, 300) + [(1000 + k, T, None, T, None) for k in range(60)]
+    probes = [(k, T + timedelta(microseconds=rng.randint(0, 10**12)), T + timedelta(microseconds=rng.choice([5, rng.randint(0, 10**12)]))) for k in range(80)]
+    probes += [(100 + k, five, T + timedelta(microseconds=6)) for k in range(60)] + [(200, None, T), (201, T, None), (202, T - timedelta(days=1), T)]
+    a, b = spark.createDataFrame(rows, ROWS), spark.createDataFrame(probes, PROBES)
+    found = dedup.known_tally(a, b, "id", "probe_id")
+    want = {}
+    for row, probe in brute(rows, probes):
+        n, first = want.get(probe, (0, row))
+        want[probe] = n + 1, min(first, row)
+    assert {r.probe_id: (r.n, r.first) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
+    assert dedup.known_tally(a.limit(0), b, "id", "probe_id").count() == dedup.known_tally(a, b.limit(0), "id", "probe_id").count() == 0
