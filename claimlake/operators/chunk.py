@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_statement
@@ -13,6 +13,7 @@ from ..functions.text import chunk_statement
 CHUNK_LINES = 40
 FENCE = "```"
 _DOC = ["repo", "path"]
+_PARTS = pa.list_(pa.struct([("line_start", pa.int32()), ("line_end", pa.int32()), ("heading", pa.string()), ("text", pa.string())]))
 _SECTIONS = pa.list_(pa.struct([(c, pa.int32()) for c in ("line_start", "line_end", "level")] + [(c, pa.string()) for c in ("title", "symbol_path")]))
 
 
@@ -22,57 +23,55 @@ def split_lines(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def doc_lines(files: DataFrame) -> DataFrame:
-    """repo, path, line (from 1), text, is_fence, open_after (a fence is open after this line), fenced (that, or a fence itself)."""
-    lines = files.select(*_DOC, F.posexplode(split_lines(F.col("text"))).alias("i", "text"))
-    lines = lines.select(*_DOC, (F.col("i") + 1).alias("line"), "text", F.trim("text").startswith(FENCE).alias("is_fence"))
-    upto = Window.partitionBy(*_DOC).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parity = F.sum(F.col("is_fence").cast("int")).over(upto) % 2
-    return lines.withColumn("open_after", parity == 1).withColumn("fenced", F.col("is_fence") | F.col("open_after"))
-
-
 def chunk_documents(files: DataFrame, lines_per_chunk: int = CHUNK_LINES) -> DataFrame:
     """``files`` (repo, path, text) to repo, path, ordinal, heading, line_start, line_end, text, content_sha256, statement.
 
     A heading outside fences opens a chunk, and so does every ``lines_per_chunk``-th
     buffered line outside fences. Text is trimmed and blank chunks are dropped; a bare
-    ``#`` keeps the heading before it.
+    ``#`` keeps the heading before it. A row is a document, and no line leaves it.
     """
-    lines = doc_lines(files).withColumn("is_heading", F.col("text").startswith("#") & ~F.col("fenced"))
-    upto = Window.partitionBy(*_DOC).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    title = F.trim(F.regexp_replace("text", r"^#+", ""))
-    lines = lines.withColumn("section", F.sum(F.col("is_heading").cast("int")).over(upto))
-    lines = lines.withColumn("heading", F.last(F.when(F.col("is_heading") & (title != ""), title), ignorenulls=True).over(upto))
-    # cuts within a section: a fold over its lines that only looks at fences
-    grouped = lines.groupBy(*_DOC, "section").agg(
-        F.array_sort(F.collect_list(F.struct("line", "text", F.col("open_after").alias("f"), "heading"))).alias("ls")
-    )
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("cut"), F.array().cast("array<int>").alias("cuts"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] + 1 >= lines_per_chunk) & ~x["f"]
-        return F.struct(
-            F.when(full, 0).otherwise(s["n"] + 1).alias("n"), F.when(full, s["cut"] + 1).otherwise(s["cut"]).alias("cut"), F.concat(s["cuts"], F.array(s["cut"])).alias("cuts")
-        )
-
-    plain = F.size(F.filter("ls", lambda x: x["f"])) == 0
-    fold = F.aggregate("ls", start, step)["cuts"]
-    even = F.transform("ls", lambda x, i: F.floor(i / lines_per_chunk).cast("int"))
-    cut = grouped.withColumn("cuts", F.when(plain, even).otherwise(fold)).select(*_DOC, "section", F.explode(F.arrays_zip("ls", "cuts")).alias("z"))
-    parts = cut.groupBy(*_DOC, "section", F.col("z.cuts").alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("z.ls.line").alias("line"), F.col("z.ls.text").alias("t")))).alias("ls"),
-        F.min("z.ls.line").alias("line_start"), F.max("z.ls.line").alias("line_end"), F.max_by("z.ls.heading", "z.ls.line").alias("heading"),
-    )
-    text = F.regexp_replace(F.array_join("ls.t", "\n"), r"^[\s\u0085\p{Z}]+|[\s\u0085\p{Z}]+$", "")
-    out = parts.withColumn("text", text).filter("text != ''")
-    ordinal = (F.row_number().over(Window.partitionBy(*_DOC).orderBy("line_start")) - 1).alias("ordinal")
-    heading = F.coalesce("heading", F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                parts = pa.array([_cut(t, lines_per_chunk) for t in part.column(2).to_pylist()], _PARTS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], parts], names=["repo", "path", "parts"])
+
+    kind = "array<struct<line_start:int,line_end:int,heading:string,text:string>>"
+    cut = files.select(*_DOC, "text").mapInArrow(run, f"repo string, path string, parts {kind}")
+    trimmed = lambda p: p.withField("text", F.regexp_replace(p["text"], r"^[\s\u0085\p{Z}]+|[\s\u0085\p{Z}]+$", ""))
+    out = cut.select(*_DOC, F.posexplode(F.filter(F.transform("parts", trimmed), lambda p: p["text"] != "")).alias("ordinal", "p")).select(*_DOC, "ordinal", "p.*")
     return out.select(
-        *_DOC, ordinal, heading.alias("heading"), "line_start", "line_end", "text", F.sha2("text", 256).alias("content_sha256"),
-        chunk_statement(heading, F.col("path"), F.col("text")).alias("statement"),
+        *_DOC, "ordinal", "heading", "line_start", "line_end", "text", F.sha2("text", 256).alias("content_sha256"),
+        chunk_statement(F.col("heading"), F.col("path"), F.col("text")).alias("statement"),
     )
 
 
+def _cut(text: str | None, lines_per_chunk: int) -> list[dict]:
+    """A document's chunks, in one pass over its lines; blank ones too."""
+    lines = (text or "").split("\n")
+    if not lines[-1]:
+        lines.pop()
+    parts, begin, heading, fence_open = [], 0, "", False
+
+    def close(end: int) -> None:
+        if end > begin:
+            parts.append({"line_start": begin + 1, "line_end": end, "heading": heading, "text": "\n".join(lines[begin:end])})
+
+    for k, line in enumerate(lines):
+        is_fence = FENCE in line and line.strip(" ").startswith(FENCE)
+        fence_open ^= is_fence
+        if line.startswith("#") and not fence_open and not is_fence:
+            close(k)
+            begin, heading = k, line.lstrip("#").strip(" ") or heading
+        if k + 1 - begin >= lines_per_chunk and not fence_open:
+            close(k + 1)
+            begin = k + 1
+    close(len(lines))
+    return parts
+
+
 def heading_marks(lines: Column) -> Column:
     """Marks (line, level, title) of headings and, without a title, of fences."""
     title = lambda x: F.trim(F.regexp_replace(x, r"^#+", ""))

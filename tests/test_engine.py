@@ -362,3 +362,27 @@ def test_admitted_events_of_before_count(spark):
     events = spark.createDataFrame([(2**60 + 1, "p", at(2), 1, 1), (2**60 + 2, "p", at(7), 1, 1), (2**60 + 3, "p", at(8), 1, 1), (2**60 + 4, "p", at(12), 1, 1), (None, None, at(2), 1, 1)], schema)
     got = {r.event_id: r.denied_reason for r in quota.replay_admission(events, cfg, before).collect()}
     assert got == {2**60 + 1: "cost_ceiling", 2**60 + 2: None, 2**60 + 3: "contribution_quota", 2**60 + 4: None, None: None}
+
+
+def test_chunks_of_a_document_stay_in_its_row(spark):
+    """Nothing is shuffled, and a section of many fenced lines takes one pass."""
+    lines = ["#", "intro", "# One ", *[f"a{k}" for k in range(85)], "```", "# no heading", *["x"] * 60, " ```", "tail", "##", "  ", "after"]
+    files = spark.createDataFrame([("r", "p.md", "\n".join(lines)), ("r", "empty.md", ""), ("r", "none.md", None), ("r", "blank.md", "\n \n")], "repo string, path string, text string")
+    out = chunk.chunk_documents(files)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r.path, r.ordinal, r.heading, r.line_start, r.line_end) for r in out.orderBy("path", "ordinal").collect()]
+    assert got == [("p.md", 0, "", 1, 2), ("p.md", 1, "One", 3, 42), ("p.md", 2, "One", 43, 82), ("p.md", 3, "One", 83, 151), ("p.md", 4, "One", 152, 152), ("p.md", 5, "One", 153, 155)]
+
+
+def test_postings_of_requested_words_only(spark):
+    """Other words' postings are neither kept nor moved, and lengths still count them."""
+    rows = [(str(k), f"{k}-a", t) for k, t in enumerate(["red fox", "the red red barn of a fox", "blue sea", "the of", "", None, "red sea fox barn"])]
+    texts = spark.createDataFrame(rows, "claim_id string, evidence_id string, text string")
+    asked = spark.createDataFrame([(1, "red"), (2, '"red fox" or sea'), (3, "fox -barn"), (4, "absent")], "query_id bigint, text string")
+    some = retrieval.build_postings(texts, retrieval.websearch_terms(asked).select("term").distinct())
+    assert {r.term for r in some.collect()} == {"red", "fox", "sea", "barn"}
+    found = retrieval.lexical_search(asked, some, lengths=retrieval.text_lengths(texts))
+    assert sorted(map(str, found.collect())) == sorted(map(str, retrieval.lexical_search(asked, retrieval.build_postings(texts)).collect())) != []
+    assert retrieval.text_lengths(texts).count() == 4
+    only = retrieval.build_postings(texts.filter("claim_id = '1'"), asked.select(F.lit("barn").alias("term")).distinct())
+    assert [(r.term, r.tf) for r in only.collect()] == [("barn", 1)]
