@@ -51,7 +51,7 @@ _TOKEN = rf"{_WORD}(?:(?:\.|::|\\){_WORD})*[?]?|\S"
 
 
 def _among(token: Column, words: tuple[str, ...]) -> Column:
-    return F.array_contains(F.split(F.lit(" ".join(words)), " "), token)
+    return token.isin(*words)  # a set of hashes, where a list would be gone through
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -127,10 +127,18 @@ def _by_binding(flat: Column) -> Column:
     return F.when(bound & F.get(binder, F.lit(0)).isin("const", "let", "var"), F.get(binder, F.lit(1)))
 
 
-def definition(lang: Column, line: Column, indent: Column) -> Column:
-    """Name of the definition that a trimmed line opens, or null; an expression over all languages."""
+def definers_of(lang: Column) -> Column:
+    """The keywords of a language that introduce a name."""
     table = F.str_to_map(F.lit(",".join(f"{k}:{' '.join(v)}" for k, v in DEFINERS.items())))
-    definers = F.split(F.coalesce(F.try_element_at(table, lang), F.lit("")), " ")
+    return F.split(F.coalesce(F.try_element_at(table, lang), F.lit("")), " ")
+
+
+def definition(lang: Column, line: Column, indent: Column, definers: Column | None = None) -> Column:
+    """Name of the definition that a trimmed line opens, or null; an expression over all languages.
+
+    It names ``line`` and ``definers`` many times: columns or values of ``_let`` serve best.
+    """
+    definers = definers_of(lang) if definers is None else definers
     # most lines have neither a keyword nor a brace nor a function's sign
     likely = line.rlike(r"\b(?:" + "|".join(sorted({k for v in DEFINERS.values() for k in v})) + r")\b|\{|=>")
     body = F.rtrim(F.substring(line, F.lit(1), F.length(line) - 1))
@@ -147,19 +155,21 @@ def definition(lang: Column, line: Column, indent: Column) -> Column:
     return F.when(lang == "css", selector).when(likely, _let(_flat(text), found))
 
 
-def code_marks(lang: Column, lines: Column) -> Column:
+def code_marks(lang: Column, lines: Column, definers: Column | None = None) -> Column:
     """Marks (line, level, title) of the definitions among a file's lines; the level is the indentation (a tab is four)."""
     indent = lambda x: F.length(F.replace(F.regexp_extract(x, r"^[ \t]*", 0), F.lit("\t"), F.lit("    ")))
     bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    mark = lambda x, i: F.struct((i + 1).alias("line"), indent(x).alias("level"), F.nullif(F.trim(definition(lang, bare(x), indent(x))), F.lit("")).alias("title"))
+    title = lambda x: _let(bare(x), lambda t: F.nullif(F.trim(definition(lang, t, indent(x), definers)), F.lit("")))
+    mark = lambda x, i: F.struct((i + 1).alias("line"), indent(x).alias("level"), title(x).alias("title"))
     return F.filter(F.transform(lines, mark), lambda m: m["title"].isNotNull())
 
 
 def _marked(files: DataFrame, text: Column) -> DataFrame:
     """(repo, path, text, n_lines, marks) of each file: headings of documents, definitions of code; one scan."""
     lines = files.select(*_DOC, text.alias("text"), lang_of(F.col("path")).alias("_lang"), split_lines(F.col("text")).alias("_lines"))
+    lines = lines.withColumn("_definers", definers_of(F.col("_lang")))
     none = F.array().cast("array<struct<line:int,level:int,title:string>>")
-    marks = F.when(F.col("_lang") == "", heading_marks(F.col("_lines"))).when(F.col("_lang").isin(*DEFINERS), code_marks(F.col("_lang"), F.col("_lines"))).otherwise(none)
+    marks = F.when(F.col("_lang") == "", heading_marks(F.col("_lines"))).when(F.col("_lang").isin(*DEFINERS), code_marks(F.col("_lang"), F.col("_lines"), F.col("_definers"))).otherwise(none)
     return lines.select(*_DOC, "text", F.size("_lines").alias("n_lines"), marks.alias("marks"))
 
 
