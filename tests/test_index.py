@@ -64,6 +64,31 @@ def test_blocks_are_skipped():
     assert [(o, s) for o, s in got] == [(o, -s) for s, o in want]
 
 
+def test_what_other_shards_found_bounds_the_search():
+    """Shards are looked at together, and a word that can't reach the k-th best of others is not even put together."""
+    shard, rng = index.Shard(100.0), np.random.default_rng(2)
+    for s in range(50):
+        tf, size = np.sort(rng.integers(1, 9, 20))[::-1], np.full(20, 100)
+        shard.add("w", {"shard": s, "n": 20, "max_tf": tf.max(), "min_ratio": (size / tf).min(), "docs": np.arange(20), "owners": np.arange(20), "tfs": tf, "sizes": size, "positions": np.zeros(tf.sum(), np.int64)})
+    asked = [{"grp": 1, "alt": 0, "term": "w", "phrase_pos": 0, "negated": False, "idf": 2.0}]
+    assert shard.best(asked, 10, 6, kth=2.0 * 2.2) == [] and "docs" not in vars(shard.term("w"))
+    most = index.rounded(2.0 * float(index.weight(8, 100, 100.0)), 6)
+    got = shard.best(asked, 10, 6)
+    assert {x for _, x in got} == {most} and max(o >> 32 for o, _ in got) > 9
+    assert shard.best(asked, 10, 6, kth=most) == got and shard.best(asked, 10, 6, kth=most + 1e-4) == []
+
+
+def test_shards_together_and_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SHARD_CHARS", 2000)
+    rows = spark.createDataFrame(texts(3), TEXTS)
+    index.add_evidence(spark, str(tmp_path / "ix"), 0, rows)
+    twice = requests(spark).unionByName(requests(spark).withColumn("query_id", F.col("query_id") + 100))
+    want = sorted(map(tuple, retrieval.lexical_search(twice, retrieval.build_postings(rows), 7, 6).collect()))
+    for held in (1, 10**6):
+        monkeypatch.setattr(index, "HELD", held)
+        assert sorted(map(tuple, index.search_index(spark, str(tmp_path / "ix"), twice, 7, 6).collect())) == want
+
+
 def test_closed_claims_are_left_out(spark, tmp_path):
     rows = spark.createDataFrame(texts(), TEXTS)
     root = str(tmp_path / "ix")
