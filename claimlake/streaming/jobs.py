@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.limits import RECALL, LimitConfig
 from ..operators import dedup, nominate, quota, scd
@@ -19,40 +20,47 @@ from ..sources.scratch import written
 TICK = "interval 1 microsecond"
 
 
-def _gate(cfg: LimitConfig, gate_of: type[quota.Window], timed: bool) -> StatefulProcessor:
-    """Admission of one principal. The class is made here, so that it travels whole to where state is set up."""
+#: Groups of principals whose windows are one row of state: a group costs some milliseconds a batch, a principal next to nothing.
+GROUPS = 1024
+_SPENT = "spender array<string>, us array<bigint>, calls array<bigint>, tokens array<bigint>, keeper array<string>, kept array<bigint>"
 
-    class Gate(StatefulProcessor):
-        """State: what was admitted within each of the two windows; a timer clears it once both have passed."""
 
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.spent = handle.getListState("spent", "us bigint, calls bigint, tokens bigint")
-            self.kept = handle.getListState("kept", "us bigint")
+def _gate(cfg: LimitConfig, gate_of: type[quota.Window], timed: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Admission of a group of principals: what each was admitted to within the two windows is the state, which comes and goes with the group's rows."""
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            frame = pd.concat(list(rows)).sort_values(["us", "event_id"])  # numbers only, of one batch
-            spent = [tuple(map(int, r)) for r in self.spent.get()] if self.spent.exists() else []
-            window = gate_of(cfg, spent, [int(r[0]) for r in self.kept.get()] if self.kept.exists() else [])
-            one = zip(frame["us"], frame["calls"], frame["tokens"], strict=True)
-            denied = [window.admit(*map(int, e)) for e in one]
-            for state, left in ((self.spent, [tuple(map(int, s)) for s in window.spent]), (self.kept, [(int(u),) for u in window.kept])):
-                state.put(left) if left else state.clear()
+    def judge(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the windows of all have passed
+            state.remove()
+            return
+        old: dict[str, tuple[list, list]] = {}
+        if state.exists:
+            spender, us, calls, tokens, keeper, kept = state.get
+            for who, *one in zip(spender, us, calls, tokens, strict=True):
+                old.setdefault(who, ([], []))[0].append(tuple(one))
+            for who, at in zip(keeper, kept, strict=True):
+                old.setdefault(who, ([], []))[1].append(at)
+        frame = pd.concat(list(rows)).sort_values(["principal_id", "us", "event_id"])  # of one batch
+        windows: dict[str, quota.Window] = {}
+        denied = []
+        for who, *event in zip(*(frame[c].tolist() for c in ("principal_id", "us", "calls", "tokens")), strict=True):
+            if who not in windows:
+                windows[who] = gate_of(cfg, *old.get(who, ((), ())))
+            denied.append(windows[who].admit(*event))
+        left = old | {who: (w.spent, w.kept) for who, w in windows.items()}
+        longest, clock = gate_of(cfg).longest, state.getCurrentWatermarkMs() if timed else 0
+        last = {who: max([s[0] for s in spent] + list(kept), default=None) for who, (spent, kept) in left.items()}
+        left = {who: x for who, x in left.items() if last[who] is not None and (not timed or last[who] + longest > clock * 1000)}
+        if left:
+            spent = [(who, *s) for who, x in left.items() for s in x[0]]
+            kept = [(who, at) for who, x in left.items() for at in x[1]]
+            state.update((*([s[k] for s in spent] for k in range(4)), *([s[k] for s in kept] for k in range(2))))
             if timed:
-                for at in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(at)
-                self.handle.registerTimer((int(frame["us"].iloc[-1]) + window.longest) // 1000 + 1)
-            yield pd.DataFrame({"event_id": frame["event_id"], "principal_id": key[0], "us": frame["us"], "denied_reason": denied})
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self.spent.clear()
-            self.kept.clear()
-            yield pd.DataFrame({"event_id": [], "principal_id": [], "us": [], "denied_reason": []}).astype({"event_id": "int64", "us": "int64", "principal_id": "object", "denied_reason": "object"})
-
-        def close(self) -> None:
-            pass
+                state.setTimeoutTimestamp(max(max(last[who] for who in left) + longest, clock * 1000) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield frame[["event_id", "principal_id", "us"]].assign(denied_reason=denied)
 
-    return Gate()
+    return judge
 
 
 def stream_quota(events: DataFrame, cfg: LimitConfig, late: str | None = None, gate_of: type[quota.Window] = quota.Window) -> DataFrame:
@@ -61,7 +69,7 @@ def stream_quota(events: DataFrame, cfg: LimitConfig, late: str | None = None, g
     Each principal's windows are in state, the quota's and the cost's apart; events
     without a principal pass beside it. Events of a principal must not come a batch
     late. With ``late``, a watermark drops what comes later than that, and the state of
-    a principal goes once both windows have passed.
+    a principal goes with the next batch of its group, or by a timer, once both windows have passed.
     """
     rows = events.withWatermark("ts", late) if late else events
     rows = rows.select(
@@ -69,8 +77,9 @@ def stream_quota(events: DataFrame, cfg: LimitConfig, late: str | None = None, g
         *[F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in ("calls", "tokens")], *(["ts"] if late else []),
     )
     schema = "event_id bigint, principal_id string, us bigint, denied_reason string"
-    gated = rows.filter("principal_id != ''").groupBy("principal_id").transformWithStateInPandas(
-        _gate(cfg, gate_of, late is not None), schema, outputMode="Append", timeMode="EventTime" if late else "None"
+    grouped = rows.filter("principal_id != ''").withColumn("some", F.pmod(F.xxhash64("principal_id"), F.lit(GROUPS)))
+    gated = grouped.groupBy("some").applyInPandasWithState(
+        _gate(cfg, gate_of, late is not None), schema, _SPENT, "append", GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
     )
     return gated.unionByName(rows.filter("principal_id = ''").select("event_id", "principal_id", "us", F.lit(None).cast("string").alias("denied_reason")))
 

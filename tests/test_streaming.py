@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.errors import StreamingQueryException
 
-from claimlake.functions.limits import LimitConfig
+from claimlake.functions.limits import LOGIN, LimitConfig
 from claimlake.operators import quota
 from claimlake.schemas import SCHEMAS
 from claimlake.sources.docs import capture_source
@@ -200,3 +200,40 @@ def test_idle_state_is_cleared_by_its_timer(spark, tmp_path):
     second = [(3, "a", datetime(2024, 1, 1, 3), 0, 0), (4, "a", datetime(2024, 1, 1, 3, 0, 1), 0, 0)]
     got = run_gate(spark, tmp_path, first + second, EVENTS, lambda s: jobs.stream_quota(s, cfg, "1 second"))
     assert got == {1: None, 2: None, 3: None, 4: "contribution_quota"}
+
+
+def test_a_group_holds_the_windows_of_many_principals():
+    """One call of the gate judges all principals of a group, and those whose windows have passed leave its state."""
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+        clock = timeout = 0
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists = False
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return self.clock
+
+        def setTimeoutTimestamp(self, at):  # noqa: N802
+            self.timeout = at
+
+    hour = 3_600_000_000
+    cfg = LimitConfig(max_login_attempts=2, login_window=timedelta(hours=1))
+    judge, state = jobs._gate(cfg, quota.Failures, True), State()
+
+    def batch(*rows):
+        frame = pd.DataFrame(rows, columns=["event_id", "principal_id", "us"]).assign(calls=1, tokens=0)
+        return {r.event_id: r.denied_reason for out in judge((0,), iter([frame[:2], frame[2:]]), state) for r in out.itertuples()}
+
+    assert batch((3, "b", 30), (1, "a", 10), (2, "a", 20), (4, "a", 40)) == {1: None, 2: None, 3: None, 4: LOGIN}
+    assert batch((5, "a", 50), (6, "b", hour), (7, "c", hour)) == {5: LOGIN, 6: None, 7: None}
+    state.clock = (hour + 10**6) // 1000
+    assert batch((8, "c", 2 * hour - 1)) == {8: None} and sorted(set(state.get[4])) == ["b", "c"]
+    assert state.timeout > (3 * hour - 1) // 1000
+    state.hasTimedOut = True
+    assert list(judge((0,), iter([]), state)) == [] and not state.exists
