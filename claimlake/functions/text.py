@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it. \x0b is in Java's \s.
 _SPACE = r"[\s\u0085\p{Z}]+"
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Code languages by file extension. Fixed values.
 LANGUAGES: dict[str, str] = {
     "go": "go", "py": "py", "js": "jsts", "jsx": "jsts", "ts": "jsts", "tsx": "jsts", "mjs": "jsts", "cjs": "jsts",
@@ -37,6 +42,13 @@ def hash_normalized(text: Column) -> Column:
     return F.when(flat == "", "").otherwise(F.sha2(flat, 256))
 
 
+def normalizer(text: str | None) -> Callable[[str], str]:
+    """:func:`hash_normalized` for parts of ``text`` inside a task."""
+    # what ``split`` takes for white space besides
+    flat = (lambda x: _SPACES.sub(" ", x).strip(" ")) if any(c in (text or "") for c in "\x1c\x1d\x1e\x1f") else (lambda x: " ".join(x.split()))
+    return lambda x: hashlib.sha256(f.encode()).hexdigest() if (f := flat(x)) else ""
+
+
 def truncate(text: Column, n: int = STATEMENT_CHARS) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
 

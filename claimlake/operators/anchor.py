@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_right
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_normalized, lang_of
-from .chunk import _DOC, heading_marks, outline, split_lines
+from ..functions.text import lang_of, normalizer
+from .chunk import _DOC, MARKS, lines_of, outline, per_document, split_lines, with_sections
 from .scd import expire_claims
 
 CONTEXT_LINES = 3
@@ -164,18 +167,22 @@ def code_marks(lang: Column, lines: Column, definers: Column | None = None) -> C
     return F.filter(F.transform(lines, mark), lambda m: m["title"].isNotNull())
 
 
-def _marked(files: DataFrame, text: Column) -> DataFrame:
-    """(repo, path, text, n_lines, marks) of each file: headings of documents, definitions of code; one scan."""
-    lines = files.select(*_DOC, text.alias("text"), lang_of(F.col("path")).alias("_lang"), split_lines(F.col("text")).alias("_lines"))
+def _marked(files: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, text, n_lines and marks of each file: definitions of code; a document's headings are found where it is outlined."""
+    lang = lang_of(F.col("path"))
+    # a document is not split here
+    lines = files.select(*keep, "text", lang.alias("_lang"), F.when(lang != "", split_lines(F.col("text"))).alias("_lines"))
     lines = lines.withColumn("_definers", definers_of(F.col("_lang")))
-    none = F.array().cast("array<struct<line:int,level:int,title:string>>")
-    marks = F.when(F.col("_lang") == "", heading_marks(F.col("_lines"))).when(F.col("_lang").isin(*DEFINERS), code_marks(F.col("_lang"), F.col("_lines"), F.col("_definers"))).otherwise(none)
-    return lines.select(*_DOC, "text", F.size("_lines").alias("n_lines"), marks.alias("marks"))
+    none = F.array().cast(MARKS)
+    marks = F.when(F.col("_lang") == "", F.lit(None)).when(F.col("_lang").isin(*DEFINERS), code_marks(F.col("_lang"), F.col("_lines"), F.col("_definers"))).otherwise(none)
+    n_lines = F.when(F.col("_lang") != "", F.size("_lines"))
+    return lines.select(*keep, "text", n_lines.alias("n_lines"), marks.cast(MARKS).alias("marks"))
 
 
 def sections(files: DataFrame) -> DataFrame:
     """Sections by kind: headings of documents, definitions of code."""
-    return outline(_marked(files, F.lit(None).cast("string"))).select(*_DOC, F.inline("sections"))
+    documents = F.when(F.col("marks").isNull(), F.col("text"))
+    return with_sections(_marked(files, *_DOC).withColumn("text", documents)).select(*_DOC, F.inline("sections"))
 
 
 def code_sections(files: DataFrame) -> DataFrame:
@@ -183,39 +190,58 @@ def code_sections(files: DataFrame) -> DataFrame:
     return sections(files.filter(lang_of(F.col("path")) != ""))
 
 
-def _span(lines: Column, first: Column, last: Column) -> Column:
-    return F.array_join(F.slice(lines, F.greatest(first, F.lit(1)), F.greatest(F.least(last, F.size(lines)) - F.greatest(first, F.lit(1)) + 1, F.lit(0))), "\n")
-
-
 def section_hashes(files: DataFrame) -> DataFrame:
     """Sections of all files with ``node_hash``, each text cut up once."""
-    outlined = outline(_marked(files, F.col("text"))).select(*_DOC, split_lines(F.col("text")).alias("_lines"), "sections")
-    hashed = lambda s: s.withField("node_hash", hash_normalized(_span(F.col("_lines"), s["line_start"], s["line_end"])))
-    return outlined.select(*_DOC, F.inline(F.transform("sections", hashed)))
+    return with_sections(_marked(files, *_DOC), hashed=True).select(*_DOC, F.inline("sections"))
 
 
-def compute_anchor(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """``spans`` (repo, path, line_start, line_end, ...) with symbol_path, node_hash, window_hash, byte_hash.
+def _placed(files: DataFrame, spans: DataFrame, around: bool) -> DataFrame:
+    """``spans`` with the section that holds each, and with the span's own hashes if ``around``."""
+
+    def of(text: str | None, n_lines: int | None, marks: list[dict] | None, firsts: list[int | None], lasts: list[int | None]) -> list[tuple]:
+        lines, norm = lines_of(text), normalizer(text)
+        found = outline(lines, n_lines, marks)
+        begins, hashes = [s[0] for s in found], {}
+
+        def held(first: int | None) -> tuple[str, str]:
+            # sections don't overlap: the last one that begins at or before a line holds it
+            k = bisect_right(begins, first) - 1 if first is not None else -1
+            if k < 0:
+                return "", ""
+            if k not in hashes:
+                hashes[k] = norm("\n".join(lines[found[k][0] - 1 : found[k][1]]))
+            return found[k][4], hashes[k]
+
+        def span(first: int | None, last: int | None, more: int) -> str:
+            upto = len(lines) if last is None else max(last + more, 0)
+            return "\n".join(lines[(1 if first is None else max(first - more, 1)) - 1 : upto])
+
+        if not around:
+            return [held(first) for first in firsts]
+        own = [span(first, last, 0) for first, last in zip(firsts, lasts, strict=True)]
+        window = [span(first, last, CONTEXT_LINES) for first, last in zip(firsts, lasts, strict=True)]
+        return [(*held(first), norm(w), hashlib.sha256(o.encode()).hexdigest()) for first, w, o in zip(firsts, window, own, strict=True)]
 
-    The section that holds the first line, its text, the span with three lines around
-    it, and the span itself. Spans of files that are not there are left out.
+    # a file's text meets its spans once, and is gone through once
+    grouped = spans.groupBy(*_DOC).agg(F.collect_list(F.struct(*spans.columns)).alias("_rows"))
+    lines = {"_firsts": "line_start", "_lasts": "line_end"}
+    met = _marked(grouped.join(files.select(*_DOC, "text"), _DOC), "_rows").withColumns({k: F.col(f"_rows.{c}").cast("array<bigint>") for k, c in lines.items()})
+    names = ["symbol_path", "node_hash", *(["window_hash", "byte_hash"] if around else [])]
+    done = per_document(met, ["_rows"], ["n_lines", "marks", *lines], of, dict.fromkeys(names, pa.string()), "_places")
+    return done.select(F.inline(F.arrays_zip("_rows", "_places"))).select("_rows.*", "_places.*")
+
+
+def place_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` (repo, path, line_start, line_end, ...) with symbol_path and node_hash: the section that holds the first line, and its text.
+
+    Spans of files that are not there are left out.
     """
-    # sections don't overlap: the last one that begins at or before a line holds it
-    row, section = F.struct(*spans.columns), F.struct("symbol_path", "node_hash")
-    begins = section_hashes(files).select(*_DOC, F.col("line_start").alias("_at"), F.lit(0).alias("_kind"), section.alias("_section"))
-    asked = spans.select(*_DOC, F.col("line_start").alias("_at"), F.lit(1).alias("_kind"), row.alias("_row"))
-    upto = Window.partitionBy(*_DOC).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = begins.unionByName(asked, allowMissingColumns=True).withColumn("_section", F.last("_section", ignorenulls=True).over(upto)).filter("_kind = 1")
-    # a file's text meets its spans once
-    grouped = held.groupBy(*_DOC).agg(F.collect_list(F.struct("_row", "_section")).alias("_spans"))
-    texts = files.select(*_DOC, split_lines(F.col("text")).alias("_lines"))
-    first, last = (lambda x: x["_row"]["line_start"]), (lambda x: x["_row"]["line_end"])
-    done = F.transform("_spans", lambda x: F.struct(
-        x["_row"].alias("r"), F.coalesce(x["_section"]["symbol_path"], F.lit("")).alias("symbol_path"), F.coalesce(x["_section"]["node_hash"], F.lit("")).alias("node_hash"),
-        hash_normalized(_span(F.col("_lines"), first(x) - CONTEXT_LINES, last(x) + CONTEXT_LINES)).alias("window_hash"),
-        F.sha2(_span(F.col("_lines"), first(x), last(x)), 256).alias("byte_hash"),
-    ))
-    return grouped.join(texts, _DOC).select(F.inline(done)).select("r.*", "symbol_path", "node_hash", "window_hash", "byte_hash")
+    return _placed(files, spans, around=False)
+
+
+def compute_anchor(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """As ``place_spans``, with window_hash and byte_hash: of the span with three lines around it, and of the span itself."""
+    return _placed(files, spans, around=True)
 
 
 def resolve_anchor(anchors: DataFrame, files: DataFrame) -> DataFrame:

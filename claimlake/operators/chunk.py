@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.text import chunk_statement
+from ..functions.text import chunk_statement, normalizer
 
 CHUNK_LINES = 40
 FENCE = "```"
 _DOC = ["repo", "path"]
 _PARTS = pa.list_(pa.struct([("line_start", pa.int32()), ("line_end", pa.int32()), ("heading", pa.string()), ("text", pa.string())]))
-_SECTIONS = pa.list_(pa.struct([(c, pa.int32()) for c in ("line_start", "line_end", "level")] + [(c, pa.string()) for c in ("title", "symbol_path")]))
+MARKS = "array<struct<line:int,level:int,title:string>>"
 
 
 def split_lines(text: Column) -> Column:
@@ -50,9 +52,7 @@ def chunk_documents(files: DataFrame, lines_per_chunk: int = CHUNK_LINES) -> Dat
 
 def _cut(text: str | None, lines_per_chunk: int) -> list[dict]:
     """A document's chunks, in one pass over its lines; blank ones too."""
-    lines = (text or "").split("\n")
-    if not lines[-1]:
-        lines.pop()
+    lines = lines_of(text)
     parts, begin, heading, fence_open = [], 0, "", False
 
     def close(end: int) -> None:
@@ -72,53 +72,89 @@ def _cut(text: str | None, lines_per_chunk: int) -> list[dict]:
     return parts
 
 
-def heading_marks(lines: Column) -> Column:
-    """Marks (line, level, title) of headings and, without a title, of fences."""
-    title = lambda x: F.trim(F.regexp_replace(x, r"^#+", ""))
-    level = lambda x: F.length(F.regexp_extract(x, r"^#+", 0))
-    fence = lambda x: F.trim(x).startswith(FENCE)
-    mark = lambda x, i: F.struct((i + 1).alias("line"), level(x).alias("level"), F.when(~fence(x), title(x)).alias("title"), (fence(x) | x.startswith("#")).alias("is_mark"))
-    return F.transform(F.filter(F.transform(lines, mark), lambda m: m["is_mark"]), lambda m: F.struct(m["line"].alias("line"), m["level"].alias("level"), m["title"].alias("title")))
-
-
 def heading_sections(files: DataFrame) -> DataFrame:
     """``files`` to repo, path, line_start, line_end, level, title, symbol_path of every heading outside fences.
 
     A section ends before the next heading of any level; its path joins its ancestors.
     """
-    lines = files.select(*_DOC, F.lit(None).cast("string").alias("text"), split_lines(F.col("text")).alias("_lines"))
-    return outline(lines.select(*_DOC, "text", F.size("_lines").alias("n_lines"), heading_marks(F.col("_lines")).alias("marks"))).select(*_DOC, F.inline("sections"))
+    marked = files.select(*_DOC, "text", F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast(MARKS).alias("marks"))
+    return with_sections(marked).select(*_DOC, F.inline("sections"))
 
 
-def outline(rows: DataFrame) -> DataFrame:
-    """(repo, path, text, n_lines, marks), one row a document, to repo, path, text and its ``sections`` in the order of lines.
+def with_sections(marked: DataFrame, hashed: bool = False) -> DataFrame:
+    """(repo, path, text, n_lines, marks), one row a document, to repo, path and its ``sections`` in the order of lines, with ``node_hash`` if ``hashed``.
 
-    ``marks`` are (line, level, title) in the order of lines; without a title it is a
-    fence, and what stands between two of them is no section. A stack of open
-    ancestors gives the paths, in one pass over a document's marks.
+    ``marks`` (line, level, title) in the order of lines are those of a file of
+    ``n_lines``; where they are null, the headings and fences of ``text`` are.
     """
 
-    def fold(n_lines: int, marks: list[dict] | None) -> list[dict]:
-        found, stack, fenced = [], [], False
-        for m in marks or ():
-            if m["title"] is None:
-                fenced = not fenced
-            elif not fenced:
-                while stack and stack[-1][0] >= m["level"]:
-                    stack.pop()
-                path = stack[-1][1] + " > " + m["title"] if stack else m["title"]
-                stack.append((m["level"], path))
-                if found:
-                    found[-1]["line_end"] = m["line"] - 1
-                found.append({"line_start": m["line"], "line_end": n_lines, "level": m["level"], "title": m["title"], "symbol_path": path})
+    def of(text: str | None, n_lines: int | None, marks: list[dict] | None) -> list[tuple]:
+        lines = lines_of(text)
+        found = outline(lines, n_lines, marks)
+        if hashed:
+            norm = normalizer(text)
+            found = [(*s, norm("\n".join(lines[s[0] - 1 : s[1]]))) for s in found]
         return found
 
+    kinds = {"line_start": pa.int32(), "line_end": pa.int32(), "level": pa.int32(), "title": pa.string(), "symbol_path": pa.string()}
+    return per_document(marked, _DOC, ["n_lines", "marks"], of, kinds | ({"node_hash": pa.string()} if hashed else {}), "sections")
+
+
+def per_document(rows: DataFrame, keep: list[str], given: list[str], of: Callable[..., list[tuple]], kinds: dict[str, pa.DataType], name: str) -> DataFrame:
+    """``keep`` and, as ``name``, the list of structs that ``of`` makes of a document's text, decoded, and the columns ``given``; no text comes back from Python."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done = []
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [fold(n, m) for n, m in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, _SECTIONS)], names=["repo", "path", "text", "sections"])
+                taken = [c.slice(at, 64).to_pylist() for c in batch.columns[len(keep) :]]
+                found = [of(None if t is None else t.decode("utf-8", "replace"), *rest) for t, *rest in zip(*taken, strict=True)]
+                ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+                flat = list(zip(*(x for one in found for x in one), strict=True)) or [()] * len(kinds)
+                parts = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(flat, kinds.values(), strict=True)], list(kinds))
+                done.append(pa.ListArray.from_arrays(ends, parts))
+            if done:
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.concat_arrays(done)], names=[*keep, name])
+
+    made = ArrayType(StructType([StructField(n, IntegerType() if k == pa.int32() else StringType()) for n, k in kinds.items()]))
+    kept = rows.select(*keep)
+    return rows.select(*keep, F.col("text").cast("binary"), *given).mapInArrow(run, StructType([*kept.schema, StructField(name, made)]))
+
+
+def lines_of(text: str | None) -> list[str]:
+    """As :func:`split_lines`."""
+    lines = (text or "").split("\n")
+    if not lines[-1]:
+        lines.pop()
+    return lines
+
 
-    kind = "array<struct<line_start:int,line_end:int,level:int,title:string,symbol_path:string>>"
-    return rows.select(*_DOC, "text", "n_lines", "marks").mapInArrow(run, f"repo string, path string, text string, sections {kind}")
+def _headings(lines: list[str]) -> Iterator[tuple[int, int, str | None]]:
+    """(line, level, title) of headings and, without a title, of fences."""
+    for n, line in enumerate(lines, 1):
+        if line.startswith("#"):
+            bare = line.lstrip("#")
+            yield n, len(line) - len(bare), bare.strip(" ")
+        elif FENCE in line and line.lstrip(" ").startswith(FENCE):
+            yield n, 0, None
+
+
+def outline(lines: list[str], n_lines: int | None, marks: list[dict] | None) -> list[tuple[int, int, int, str, str]]:
+    """Sections (line_start, line_end, level, title, symbol_path) of a document.
+
+    A mark without a title is a fence, and what stands between two of them is no
+    section. A stack of open ancestors gives the paths, in one pass over the marks.
+    """
+    n_lines = len(lines) if n_lines is None else n_lines
+    found, stack, fenced = [], [], False
+    for line, level, title in _headings(lines) if marks is None else ((m["line"], m["level"], m["title"]) for m in marks):
+        if title is None:
+            fenced = not fenced
+        elif not fenced:
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            path = stack[-1][1] + " > " + title if stack else title
+            stack.append((level, path))
+            found.append((line, level, title, path))
+    ends = [s[0] - 1 for s in found[1:]] + [n_lines]
+    return [(line, end, level, title, path) for (line, level, title, path), end in zip(found, ends[: len(found)], strict=True)]

@@ -319,6 +319,42 @@ def test_spans_of_one_file(spark):
     assert [got[k] for k in range(9)] == want
 
 
+def test_an_anchor_goes_through_its_text_once(spark, tmp_path):
+    """One scan of the files, whatever is asked of them; and no text leaves a task where only the section is asked for."""
+    files(spark, DOC).write.parquet(f"{tmp_path}/f")
+    spans = spark.createDataFrame([("r", "d0.md", 6, 6)], "repo string, path string, line_start int, line_end int")
+    of = spark.read.parquet(f"{tmp_path}/f")
+    for make in (anchor.compute_anchor, anchor.place_spans):
+        plan = make(of, spans)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(" parquet") == 1 and plan.count("MapInArrow") == 1
+    whole = anchor.compute_anchor(of, spans).select("symbol_path", "node_hash").collect()
+    assert anchor.place_spans(of, spans).select("symbol_path", "node_hash").collect() == whole != []
+
+
+def test_normal_form_in_tasks(spark):
+    """Every character that a column function takes for white space, and no other; also beside those that only Python does."""
+    chars = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + ["\ufeff", "\U0001f600", "\x1c"]
+    texts = [f"{c}a{c} {c}b{c}" for c in chars] + [f"{c}\x1c {c}" for c in chars] + ["", " \n "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.hash_normalized(F.col("t")).alias("h")).orderBy("k")
+    assert [r.h for r in rows.collect()] == [text.normalizer(t)(t) for t in texts]
+
+
+def test_odd_spans_and_lines(spark):
+    doc = "#\u00a0A \n\x1cx\u2003y\r\n ``` \n# no\n```\n##\n"
+    spans = spark.createDataFrame([("r", "d0.md", a, z) for a, z in [(-5, -4), (0, 1), (2, 2), (4, 3), (6, 99), (50, 60), (None, None)]] + [("r", "d1.md", 1, 1)], "repo string, path string, line_start int, line_end int")
+    got = {(r.path, r.line_start): r for r in anchor.compute_anchor(files(spark, doc, None), spans).collect()}
+    lines = doc.split("\n")[:-1]
+    norm = lambda *x: value(spark, text.hash_normalized(F.lit("\n".join(x))))
+    exact = lambda *x: value(spark, F.sha2(F.lit("\n".join(x)), 256))
+    first, second = ("\u00a0A", norm(*lines[:5])), ("\u00a0A > ", norm("##"))
+    want = {
+        ("d0.md", -5): ("", "", "", exact()), ("d0.md", 0): ("", "", norm(*lines[:4]), exact(lines[0])), ("d0.md", 2): (*first, norm(*lines[:5]), exact(lines[1])),
+        ("d0.md", 4): (*first, norm(*lines), exact()), ("d0.md", 6): (*second, norm(*lines[2:]), exact(lines[5])), ("d0.md", 50): (*second, "", exact()),
+        ("d0.md", None): ("", "", norm(*lines), exact(*lines)), ("d1.md", 1): ("", "", "", exact()),
+    }
+    assert {k: tuple(r)[4:] for k, r in got.items()} == want
+
+
 def test_dense_blocks_equal_brute_force(spark):
     import random
 
