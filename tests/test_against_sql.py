@@ -47,3 +47,12 @@ def test_explained_raw_scores_round_as_sql_does(spark):
     want = [con.execute("SELECT printf('%.4f', round(?::DOUBLE, 4))", [x]).fetchone()[0] for x in values]
     rows = spark.createDataFrame(list(enumerate(values)), "k int, x double").select("k", F.format_string("%.4f", retrieval.rounded(F.col("x"), 4)).alias("t"))
     assert [r.t for r in rows.orderBy("k").collect()] == want
+
+
+def test_stale_claims_read_their_texts_once_for_the_anchors(spark, tables, tmp_path):
+    """Scans: claims, headings, the anchors' texts, later texts, and which of these are there. White space of all kinds, as SQL has it."""
+    odd = ["\u2003", "\x1c", "\u00a0", " \u0085 ", "\t\x0b", "é"]
+    check = tables(documents=spark.createDataFrame([(k, "\n".join(f"be{odd[(k + n) % 6]}n{n}{odd[n % 6]}" for n in range(k % 9)), "en", "src1") for k in range(60)], DOCUMENTS))
+    assert len(check("stale_claims")) > 5
+    plan = __spark_entry__.queries()["stale_claims"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 5
