@@ -113,7 +113,7 @@ def code_sections(spark, sf):
 def _anchors(spark: SparkSession, sf: str, of: Callable[[DataFrame, DataFrame], DataFrame] = anchor.place_spans) -> tuple[DataFrame, DataFrame]:
     """Anchors of the Markdown documents' sections, and the files with every third one edited and every fifth gone."""
     files = fx.markdown(spark, sf)
-    spans = chunk.heading_sections(files).select("repo", "path", F.col("line_start"), F.col("line_start").alias("line_end"))
+    spans = chunk.heading_sections(files, ("line_start",)).withColumn("line_end", F.col("line_start"))
     anchors = of(files, spans)
     number = F.regexp_extract("path", r"(\d+)", 1).cast("bigint")
     later = files.filter(number % 5 != 0).withColumn("text", F.when(number % 3 == 0, F.replace("text", F.lit("e"), F.lit("ee"))).otherwise(F.replace("text", F.lit("\n"), F.lit(" \n"))))

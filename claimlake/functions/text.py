@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space as Unicode has it. \x0b is in Java's \s.
 _SPACE = r"[\s\u0085\p{Z}]+"
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: First bytes of white space and controls that are neither a space nor a line break, in UTF-8.
+_RARE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"
 #: Code languages by file extension. Fixed values.
 LANGUAGES: dict[str, str] = {
     "go": "go", "py": "py", "js": "jsts", "jsx": "jsts", "ts": "jsts", "tsx": "jsts", "mjs": "jsts", "cjs": "jsts",
@@ -44,11 +46,24 @@ def hash_normalized(text: Column) -> Column:
 
 def normalizer(text: str | None) -> Callable[[str], str]:
     """:func:`hash_normalized` for parts of ``text`` inside a task."""
-    # what ``split`` takes for white space besides
-    flat = (lambda x: _SPACES.sub(" ", x).strip(" ")) if any(c in (text or "") for c in "\x1c\x1d\x1e\x1f") else (lambda x: " ".join(x.split()))
+    raw = (text or "").encode()
+    if len(raw.translate(None, _RARE)) == len(raw):
+        flat = _squeezed
+    elif any(c in raw for c in b"\x1c\x1d\x1e\x1f"):  # what ``split`` takes for white space besides
+        flat = lambda x: _SPACES.sub(" ", x).strip(" ")
+    else:
+        flat = lambda x: " ".join(x.split())
     return lambda x: hashlib.sha256(f.encode()).hexdigest() if (f := flat(x)) else ""
 
 
+def _squeezed(text: str) -> str:
+    """Every run of spaces and line breaks as one space, none at the ends."""
+    text = text.replace("\n", " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text.strip(" ")
+
+
 def truncate(text: Column, n: int = STATEMENT_CHARS) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
 

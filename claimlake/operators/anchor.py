@@ -6,12 +6,14 @@ import hashlib
 from bisect import bisect_right
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lang_of, normalizer
-from .chunk import _DOC, MARKS, lines_of, outline, per_document, split_lines, with_sections
+from .chunk import _DOC, MARKS, SECTION, lines_of, outline, per_document, split_lines, with_sections
 from .scd import expire_claims
 
 CONTEXT_LINES = 3
@@ -192,11 +194,50 @@ def code_sections(files: DataFrame) -> DataFrame:
 
 def section_hashes(files: DataFrame) -> DataFrame:
     """Sections of all files with ``node_hash``, each text cut up once."""
-    return with_sections(_marked(files, *_DOC), hashed=True).select(*_DOC, F.inline("sections"))
+    return with_sections(_marked(files, *_DOC), (*SECTION, "node_hash")).select(*_DOC, F.inline("sections"))
 
 
-def _placed(files: DataFrame, spans: DataFrame, around: bool) -> DataFrame:
-    """``spans`` with the section that holds each, and with the span's own hashes if ``around``."""
+def _by_file(spans: DataFrame) -> DataFrame:
+    """The spans of a file as ``_rows``, so that the file meets them once."""
+    return spans.groupBy(*_DOC).agg(F.collect_list(F.struct(*spans.columns)).alias("_rows"))
+
+
+def _of_rows(placed: DataFrame) -> DataFrame:
+    """``_rows`` and what was found for each, as rows."""
+    return placed.select(F.inline(F.arrays_zip("_rows", "_places"))).select("_rows.*", "_places.*")
+
+
+def place_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` (repo, path, line_start, line_end, ...) with symbol_path and node_hash: the section that holds the first line, and its text.
+
+    Spans of files that are not there are left out. Texts are cut up where they are
+    read: only sections, without their texts, meet the spans.
+    """
+    names = ["symbol_path", "node_hash"]
+
+    @F.arrow_udf(f"array<struct<{','.join(f'{n}:string' for n in names)}>>")
+    def held(firsts: pa.Array, begins: pa.Array, paths: pa.Array, hashes: pa.Array) -> pa.Array:
+        # sections don't overlap: the last one that begins at or before a line holds it; one search for all files of a batch
+        starts = np.concatenate(([-1], _places(begins)))
+        wanted = _places(firsts)
+        k = np.searchsorted(starts, wanted, side="right") - 1
+        at = pa.array(k - 1, mask=starts[k] >> 32 != wanted >> 32)
+        found = [pc.fill_null(x.flatten().take(at), "") for x in (paths, hashes)]
+        return pa.ListArray.from_arrays(firsts.offsets, pa.StructArray.from_arrays(found, names))
+
+    met = _by_file(spans).join(with_sections(_marked(files, *_DOC), ("line_start", *names)), _DOC)
+    firsts = F.col("_rows.line_start").cast("array<bigint>")
+    return _of_rows(met.select("_rows", held(firsts, *[F.col(f"sections.{n}") for n in ("line_start", *names)]).alias("_places")))
+
+
+def _places(lines: pa.ListArray) -> np.ndarray:
+    """Each line as one number with the number of its list; null is line 0."""
+    flat = pc.fill_null(lines.flatten().cast(pa.int64()), 0).to_numpy()
+    return (pc.list_parent_indices(lines).to_numpy() << 32) + flat.clip(0, 2**31)
+
+
+def compute_anchor(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """As ``place_spans``, with window_hash and byte_hash: of the span with three lines around it, and of the span itself."""
 
     def of(text: str | None, n_lines: int | None, marks: list[dict] | None, firsts: list[int | None], lasts: list[int | None]) -> list[tuple]:
         lines, norm = lines_of(text), normalizer(text)
@@ -204,7 +245,7 @@ def _placed(files: DataFrame, spans: DataFrame, around: bool) -> DataFrame:
         begins, hashes = [s[0] for s in found], {}
 
         def held(first: int | None) -> tuple[str, str]:
-            # sections don't overlap: the last one that begins at or before a line holds it
+            # as in place_spans
             k = bisect_right(begins, first) - 1 if first is not None else -1
             if k < 0:
                 return "", ""
@@ -216,32 +257,15 @@ def _placed(files: DataFrame, spans: DataFrame, around: bool) -> DataFrame:
             upto = len(lines) if last is None else max(last + more, 0)
             return "\n".join(lines[(1 if first is None else max(first - more, 1)) - 1 : upto])
 
-        if not around:
-            return [held(first) for first in firsts]
         own = [span(first, last, 0) for first, last in zip(firsts, lasts, strict=True)]
         window = [span(first, last, CONTEXT_LINES) for first, last in zip(firsts, lasts, strict=True)]
         return [(*held(first), norm(w), hashlib.sha256(o.encode()).hexdigest()) for first, w, o in zip(firsts, window, own, strict=True)]
 
     # a file's text meets its spans once, and is gone through once
-    grouped = spans.groupBy(*_DOC).agg(F.collect_list(F.struct(*spans.columns)).alias("_rows"))
     lines = {"_firsts": "line_start", "_lasts": "line_end"}
-    met = _marked(grouped.join(files.select(*_DOC, "text"), _DOC), "_rows").withColumns({k: F.col(f"_rows.{c}").cast("array<bigint>") for k, c in lines.items()})
-    names = ["symbol_path", "node_hash", *(["window_hash", "byte_hash"] if around else [])]
-    done = per_document(met, ["_rows"], ["n_lines", "marks", *lines], of, dict.fromkeys(names, pa.string()), "_places")
-    return done.select(F.inline(F.arrays_zip("_rows", "_places"))).select("_rows.*", "_places.*")
-
-
-def place_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """``spans`` (repo, path, line_start, line_end, ...) with symbol_path and node_hash: the section that holds the first line, and its text.
-
-    Spans of files that are not there are left out.
-    """
-    return _placed(files, spans, around=False)
-
-
-def compute_anchor(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """As ``place_spans``, with window_hash and byte_hash: of the span with three lines around it, and of the span itself."""
-    return _placed(files, spans, around=True)
+    met = _marked(_by_file(spans).join(files.select(*_DOC, "text"), _DOC), "_rows").withColumns({k: F.col(f"_rows.{c}").cast("array<bigint>") for k, c in lines.items()})
+    names = ["symbol_path", "node_hash", "window_hash", "byte_hash"]
+    return _of_rows(per_document(met, ["_rows"], ["n_lines", "marks", *lines], of, dict.fromkeys(names, pa.string()), "_places"))
 
 
 def resolve_anchor(anchors: DataFrame, files: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ CHUNK_LINES = 40
 FENCE = "```"
 _DOC = ["repo", "path"]
 _PARTS = pa.list_(pa.struct([("line_start", pa.int32()), ("line_end", pa.int32()), ("heading", pa.string()), ("text", pa.string())]))
+#: What is known of a section without its text.
+SECTION = ("line_start", "line_end", "level", "title", "symbol_path")
 MARKS = "array<struct<line:int,level:int,title:string>>"
 
 
@@ -72,21 +74,24 @@ def _cut(text: str | None, lines_per_chunk: int) -> list[dict]:
     return parts
 
 
-def heading_sections(files: DataFrame) -> DataFrame:
-    """``files`` to repo, path, line_start, line_end, level, title, symbol_path of every heading outside fences.
+def heading_sections(files: DataFrame, names: tuple[str, ...] = SECTION) -> DataFrame:
+    """``files`` to repo, path, line_start, line_end, level, title, symbol_path (or those of ``names``) of every heading outside fences.
 
     A section ends before the next heading of any level; its path joins its ancestors.
     """
     marked = files.select(*_DOC, "text", F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast(MARKS).alias("marks"))
-    return with_sections(marked).select(*_DOC, F.inline("sections"))
+    return with_sections(marked, names).select(*_DOC, F.inline("sections"))
 
 
-def with_sections(marked: DataFrame, hashed: bool = False) -> DataFrame:
-    """(repo, path, text, n_lines, marks), one row a document, to repo, path and its ``sections`` in the order of lines, with ``node_hash`` if ``hashed``.
+def with_sections(marked: DataFrame, names: tuple[str, ...] = SECTION) -> DataFrame:
+    """(repo, path, text, n_lines, marks), one row a document, to repo, path and its ``sections`` in the order of lines, with the columns ``names``.
 
     ``marks`` (line, level, title) in the order of lines are those of a file of
     ``n_lines``; where they are null, the headings and fences of ``text`` are.
+    ``node_hash`` can be named besides ``SECTION``.
     """
+    every = (*SECTION, "node_hash")
+    at, hashed = [every.index(n) for n in names], "node_hash" in names
 
     def of(text: str | None, n_lines: int | None, marks: list[dict] | None) -> list[tuple]:
         lines = lines_of(text)
@@ -94,10 +99,9 @@ def with_sections(marked: DataFrame, hashed: bool = False) -> DataFrame:
         if hashed:
             norm = normalizer(text)
             found = [(*s, norm("\n".join(lines[s[0] - 1 : s[1]]))) for s in found]
-        return found
+        return [tuple([s[k] for k in at]) for s in found]
 
-    kinds = {"line_start": pa.int32(), "line_end": pa.int32(), "level": pa.int32(), "title": pa.string(), "symbol_path": pa.string()}
-    return per_document(marked, _DOC, ["n_lines", "marks"], of, kinds | ({"node_hash": pa.string()} if hashed else {}), "sections")
+    return per_document(marked, _DOC, ["n_lines", "marks"], of, {n: pa.int32() if n in ("line_start", "line_end", "level") else pa.string() for n in names}, "sections")
 
 
 def per_document(rows: DataFrame, keep: list[str], given: list[str], of: Callable[..., list[tuple]], kinds: dict[str, pa.DataType], name: str) -> DataFrame:

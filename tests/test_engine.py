@@ -331,6 +331,24 @@ def test_an_anchor_goes_through_its_text_once(spark, tmp_path):
     assert anchor.place_spans(of, spans).select("symbol_path", "node_hash").collect() == whole != []
 
 
+def test_no_text_is_moved_to_place_spans(spark):
+    """Files are cut up below the join with the spans; in batches of any size, the rows are those of ``compute_anchor``, which moves the texts."""
+    d = files(spark, DOC, "before\n" + DOC, "", None, "no heading", "```\n# no\n```\n#  two  spaces\n\n x \n").unionByName(files(spark, "class A:\n    def f(self):\n        pass\n", ext="py"))
+    lines = [None, -3, 0, 1, 2, 4, 5, 9, 2**31 - 1]
+    rows = [("r", p, k, k, n) for n, p in enumerate(["d5.md", "d1.md", "d4.md", "d0.md", "d2.md", "d3.md", "d0.py", "gone.md"]) for k in lines]
+    spans = spark.createDataFrame(rows, "repo string, path string, line_start int, line_end int, n int")
+    plan = anchor.place_spans(d, spans)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(map(str, anchor.compute_anchor(d, spans).drop("window_hash", "byte_hash").collect()))
+    try:
+        for n in (1, 3, before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert sorted(map(str, anchor.place_spans(d, spans).collect())) == want and len(want) == 7 * len(lines)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_normal_form_in_tasks(spark):
     """Every character that a column function takes for white space, and no other; also beside those that only Python does."""
     chars = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + ["\ufeff", "\U0001f600", "\x1c"]
