@@ -56,3 +56,27 @@ def test_stale_claims_read_their_texts_once_for_the_anchors(spark, tables, tmp_p
     assert len(check("stale_claims")) > 5
     plan = __spark_entry__.queries()["stale_claims"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("] parquet") == 5
+
+
+def test_postings_topk_moves_no_hits(spark, tables, tmp_path):
+    """Frequent words, copies with equal scores and odd signs against SQL; each text is one row, whatever asks for it."""
+    words = ["alpha", "beta", "the", "gamma", "Ünder", "delta2", "of"]
+    rows = [(k, None if k % 17 == 5 else " ".join(words[(k // 3 * n + n) % 7] + ("-" if n % 4 else ". ") for n in range(k % 3 * 4, 14)), "en", "src1") for k in range(400)]
+    vectors = spark.range(0, 400, 10).selectExpr("id AS vec_id", "array(cast(1 AS float)) AS embedding", "0 AS label")
+    check = tables(documents=spark.createDataFrame(rows, DOCUMENTS), embeddings=vectors)
+    assert len(check("postings_topk")) > 400
+    plan = __spark_entry__.queries()["postings_topk"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 0
+
+
+def test_requests_in_blocks_and_texts_in_parts(spark, monkeypatch):
+    """The same from few requests and few postings at a time, from pieces of one claim in several parts, and with claims that are numbers."""
+    rows = [(k % 60, f"e{k}", " ".join(f"w{(k * n) % 9}" for n in range(1, 5 + k % 6))) for k in range(300)]
+    texts = spark.createDataFrame(rows, "claim_id bigint, evidence_id string, text string").repartition(5)
+    asked = spark.createDataFrame([(f"q{k}", t) for k, t in enumerate(["w1 or w2", '"w2 w4"', "w3 -w6", "w1 w5", '"w4 w8" or w7 -"w1 w2"', "none", "-w1", ""] * 3)], "query_id string, text string")
+    postings = retrieval.text_postings(texts, retrieval.asked_words(asked))
+    want = sorted(map(tuple, retrieval.search_texts(asked, postings, 7, 6).collect()))
+    monkeypatch.setattr(retrieval, "REQUESTS", 5)
+    monkeypatch.setattr(retrieval, "HELD", 1)
+    assert sorted(map(tuple, retrieval.search_texts(asked, postings, 7, 6).collect())) == want and len(want) > 60
+    assert sorted(map(tuple, retrieval.lexical_search(asked, retrieval.build_postings(texts), 7, 6).collect())) == want
