@@ -104,8 +104,8 @@ def heading_sections(spark, sf):
 def code_sections(spark, sf):
     """Definitions with their paths, in code made from the documents' words."""
     d = fx.table(spark, sf, "documents").filter(F.col("text").isNotNull())
-    w = F.transform(F.filter(F.split("text", r"[^a-zA-Z]+"), lambda x: x != ""), lambda x: F.concat(F.lit("w"), x))
-    lines = F.transform(w, lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("class "), x, F.lit(":"))).when(i % 4 == 1, F.concat(F.lit("    def "), x, F.lit("(self):"))).otherwise(F.concat(F.lit("        return "), x)))
+    w = F.filter(F.split("text", r"[^a-zA-Z]+"), lambda x: x != "")
+    lines = F.transform(w, lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("class w"), x, F.lit(":"))).when(i % 4 == 1, F.concat(F.lit("    def w"), x, F.lit("(self):"))).otherwise(F.concat(F.lit("        return w"), x)))
     files = d.select(F.col("source").alias("repo"), F.concat("doc_id", F.lit(".py")).alias("path"), F.array_join(lines, "\n").alias("text"))
     return anchor.code_sections(files)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Iterable
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lang_of, normalizer
-from .chunk import _DOC, MARKS, SECTION, lines_of, outline, per_document, split_lines, with_sections
+from .chunk import _DOC, SECTION, headings, lines_of, outline, per_document, with_sections
 from .scd import expire_claims
 
 CONTEXT_LINES = 3
@@ -50,141 +52,144 @@ STATEMENTS = (
     "while", "with", "yield",
 )
 
-_GROUP = "\x01"
-_WORD = r"[\p{L}_$~][\p{L}\p{N}_$]*"
-_TOKEN = rf"{_WORD}(?:(?:\.|::|\\){_WORD})*[?]?|\S"
-
-
-def _among(token: Column, words: tuple[str, ...]) -> Column:
-    return token.isin(*words)  # a set of hashes, where a list would be gone through
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: A parenthesis with what is in it; white space as Java's \s has it; lines up to this length are remembered.
+_GROUP, _BLANK, _SHORT = "\x01", " \t\n\x0b\f\r", 200
+_MODIFIERS, _STATEMENTS, _DEFINERS = frozenset(MODIFIERS), frozenset(STATEMENTS), {k: frozenset(v) for k, v in DEFINERS.items()}
+_ANY_DEFINER, _RUN = frozenset().union(*DEFINERS.values()), re.compile(r"\w+")
+#: A word and a name that nothing joins to what follows.
+_PLAIN = re.compile(r"([a-z_]+) +([A-Za-z_][A-Za-z0-9_]*)(?=[ (;{]|:(?![:\"])|\Z)")
+_INNER = ((re.compile(r"\([^()]*\)"), _GROUP, "(", 4), (re.compile(r"<[^<>]*>"), " ", "<", 3))
+_ANNOTATIONS = re.compile(rf"(?:@[A-Za-z0-9_.]+{_GROUP}?[{_BLANK}]+)+")
+_BEFORE_BRACE = re.compile(rf"([^;={{}}()]*?)[{_BLANK}]*{_GROUP}[^;={{}}()]*\{{")
+
+
+@cache
+def _grammar(plain: bool) -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
+    """A token, a word at the end, a function on the right of a sign, and a property's name before its accessors; ``plain`` for ASCII."""
+    # letters are word characters that are no numbers; \d has decimal digits only
+    numbers = "" if plain else "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+    head = "[A-Za-z_$~]" if plain else rf"(?:[$~]|(?![{numbers}])[^\W\d])"
+    word, end = rf"{head}[\w$]*", r"\b" if plain else rf"(?:\b|(?=[{numbers}]))"
+    return (
+        re.compile(rf"{word}(?:(?:\.|::|\\){word})*[?]?|[^{_BLANK}]"), re.compile(rf"({word})[{_BLANK}]*[\x85\u2028\u2029]?\Z"),
+        re.compile(rf"(?:async{end}[{_BLANK}]*)?(?:func(?:tion)?{end}|{_GROUP}[^=]*=>|{word}[{_BLANK}]*=>)"),
+        re.compile(rf"[^;={{}}()]*[{_BLANK}]([A-Za-z0-9_]+)[{_BLANK}]*\{{[{_BLANK}]*(?:get|set|init){end}"),
+    )
 
 
-def _flat(line: Column) -> Column:
+def _flat(line: str) -> str:
     """The line without string literals, type arguments and annotations, and with each parenthesis as one sign."""
-    line = F.regexp_replace(line, r'"[^"]*"', "")
-    for _ in range(4):
-        line = F.regexp_replace(line, r"\([^()]*\)", _GROUP)
-    for _ in range(3):
-        line = F.regexp_replace(line, r"<[^<>]*>", " ")
-    return F.regexp_replace(F.regexp_replace(line, f"^pub{_GROUP}", "pub "), rf"^(?:@[\w.]+{_GROUP}?\s+)+", "")
-
+    if '"' in line:
+        line = re.sub('"[^"]*"', "", line)
+    for inner, sign, opens, depth in _INNER:
+        for _ in range(depth):
+            if opens in line:
+                line = inner.sub(sign, line)
+    if line.startswith(f"pub{_GROUP}"):
+        line = "pub " + line[4:]
+    return _ANNOTATIONS.sub("", line, count=1) if line.startswith("@") else line
 
-def _words(flat: Column) -> Column:
-    return F.regexp_extract_all(flat, F.lit(_TOKEN), F.lit(0))
 
+def _is_word(token: str | None) -> bool:
+    return bool(token) and (token[0] in "_$~" or token[0].isalpha())
 
-def _is_word(token: Column) -> Column:
-    return F.coalesce(token.rlike(r"^[\p{L}_$~]"), F.lit(False))
 
-
-def _by_keyword(lang: Column, definers: Column, line: Column, words: Column) -> Column:
+def _by_keyword(lang: str, line: str, words: list[str]) -> str | None:
     """modifiers* keyword+ name, where a name can be a word of the languages itself."""
-    known = F.transform(words, lambda t: _among(t, MODIFIERS) | F.array_contains(definers, t))
-    stop = F.array_position(known, False)
-    return _let(F.when(stop > 0, stop - 1).otherwise(F.size(words)).cast("int"), lambda n: _named(lang, definers, line, words, n))
-
-
-def _named(lang: Column, definers: Column, line: Column, words: Column, n: Column) -> Column:
-    """The name after the first ``n`` words, which are modifiers and keywords."""
-    after = lambda k: F.get(words, n + k)
-    keyword = lambda upto: F.exists(F.slice(words, F.lit(1), F.greatest(upto, F.lit(0))), lambda t: F.array_contains(definers, t))
-    # func (r *Receiver[T]) name
-    owner = F.regexp_extract(F.regexp_replace(F.regexp_extract(line, r"\(([^()]*)\)", 1), r"\[.*", ""), rf"({_WORD})\s*$", 1)
-    method = F.concat(owner, F.when(owner != "", ".").otherwise(""), after(1))
-    # impl Trait for Type
-    target = F.get(words, F.array_position(words, "for").cast("int"))
-    plain = F.when((F.get(words, n - 1) == "impl") & F.array_contains(words, "for"), target).otherwise(after(0))
-    return (
-        F.when(keyword(n) & _is_word(after(0)), plain)
-        .when(keyword(n) & after(0).isin("*", "&", "!") & _is_word(after(1)), after(1))
-        .when((lang == "go") & keyword(n) & (after(0) == _GROUP) & _is_word(after(1)), method)
-        .when((n > 1) & keyword(n - 1), F.get(words, n - 1))
-    )
+    definers = _DEFINERS[lang]
+    n = next((k for k, t in enumerate(words) if t not in _MODIFIERS and t not in definers), len(words))
+    after, second = [*words[n : n + 2], None, None][:2]
+    if not definers.isdisjoint(words[:n]):
+        if _is_word(after):
+            # impl Trait for Type
+            if n and words[n - 1] == "impl" and "for" in words:
+                return next(iter(words[words.index("for") + 1 :]), None)
+            return after
+        if after in ("*", "&", "!") and _is_word(second):
+            return second
+        if lang == "go" and after == _GROUP and _is_word(second):
+            # func (r *Receiver[T]) name
+            held = re.search(r"\(([^()]*)\)", line)
+            owner = _grammar(line.isascii())[1].search(re.sub("\\[[^\n\r\x85\u2028\u2029]*", "", held[1])) if held else None
+            return f"{owner[1]}.{second}" if owner else second
+        if n > 1 and not definers.isdisjoint(words[: n - 1]):
+            return words[n - 1]
+    return None
+
+
+def _by_brace(lang: str, flat: str, level: int) -> str | None:
+    """type* name(parameters) ... {, or a property with its accessors."""
+    before = _BEFORE_BRACE.match(flat)
+    words = _grammar(flat.isascii())[0].findall(before[1]) if before else []
+    if words and _is_word(words[-1]) and "." not in words[-1] and words[-1] != "synchronized" and _STATEMENTS.isdisjoint(words):
+        *lead, name = words
+        if level > 0 and all(t == "*" or t in _MODIFIERS for t in lead) if lang == "jsts" else _is_word(words[0]) and (lead or "::" in name):
+            return name
+    return found[1] if lang == "csharp" and (found := _grammar(flat.isascii())[3].match(flat)) else None
 
 
-def _by_brace(lang: Column, flat: Column, indent: Column) -> Column:
-    """type* name(parameters) ... {, or a property with its accessors."""
-    before = F.regexp_extract(flat, rf"^([^;={{}}()]*?)\s*{_GROUP}[^;={{}}()]*\{{", 1)
-    return _let(_words(before), lambda w: _braced(lang, flat, indent, w))
+def _by_binding(flat: str) -> str | None:
+    """A variable that is bound to a function."""
+    token, _, bound, _ = _grammar(flat.isascii())
+    left, _, right = flat.partition("=")
+    if bound.match(right.strip(" ")):
+        binder = [t for t in token.findall(left) if t not in _MODIFIERS]
+        if len(binder) > 1 and binder[0] in ("const", "let", "var"):
+            return binder[1]
+    return None
+
+
+def definition(lang: str, line: str, level: int) -> str | None:
+    """Name of the definition that a trimmed line opens, or None, in any of ``DEFINERS``."""
+    if lang == "css":
+        body = line[:-1].rstrip(" ")
+        return body if line.endswith("{") and not re.search("[{};]", body) else None
+    # most lines have neither a keyword nor a brace nor a function's sign
+    if "{" not in line and "=>" not in line and _ANY_DEFINER.isdisjoint(_RUN.findall(line)):
+        return None
+    # the most frequent form by itself
+    plain = _PLAIN.match(line) if lang not in ("c", "cpp") else None
+    if plain and plain[1] != "impl" and plain[1] in _DEFINERS[lang] and plain[2] not in _DEFINERS[lang] and plain[2] not in _MODIFIERS:
+        return plain[2]
+    flat = _flat(line[1:].lstrip(_BLANK) if lang in ("c", "cpp") and line.startswith("#") else line)
+    name = _by_brace(lang, flat, level) if lang in ("c", "cpp") else None
+    # `struct s f(void) {` is a function, `class C extends f(D) {` a class
+    name = _by_keyword(lang, line, _grammar(flat.isascii())[0].findall(flat)) if name is None else name
+    name = _by_binding(flat) if name is None and lang in ("jsts", "go") else name
+    return _by_brace(lang, flat, level) if name is None and lang in ("csharp", "java", "jsts") else name
 
 
-def _braced(lang: Column, flat: Column, indent: Column, words: Column) -> Column:
-    name, script = F.try_element_at(words, F.lit(-1)), lang == "jsts"
-    lead = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    usable = _is_word(name) & ~name.contains(".") & ~_among(name, ("synchronized", *STATEMENTS)) & ~F.exists(lead, lambda t: _among(t, STATEMENTS))
-    typed = _is_word(F.get(words, F.lit(0))) & ((F.size(lead) > 0) | name.contains("::"))
-    method = (indent > 0) & F.forall(lead, lambda t: _among(t, ("*", *MODIFIERS)))
-    accessor = F.regexp_extract(flat, r"^[^;={}()]*\s(\w+)\s*\{\s*(?:get|set|init)\b", 1)
-    return F.when(usable & F.when(script, method).otherwise(typed), name).when(lang == "csharp", F.nullif(accessor, F.lit("")))
+def _mark(lang: str, line: str) -> tuple[int, str] | None:
+    """Level and name of the definition in a line; the level is the indentation (a tab is four)."""
+    lead = line[: len(line) - len(line.lstrip(" \t"))]
+    level = len(lead) + 3 * lead.count("\t")
+    title = (definition(lang, line.strip(_BLANK), level) or "").strip(" ")
+    return (level, title) if title else None
 
 
-def _by_binding(flat: Column) -> Column:
-    """A variable that is bound to a function."""
-    left = F.substring_index(flat, "=", 1)
-    right = F.trim(F.substring(flat, F.length(left) + 2, F.length(flat)))
-    bound = right.rlike(rf"^(async\b\s*)?(func(tion)?\b|{_GROUP}[^=]*=>|{_WORD}\s*=>)")
-    binder = F.filter(_words(left), lambda t: ~_among(t, MODIFIERS))
-    return F.when(bound & F.get(binder, F.lit(0)).isin("const", "let", "var"), F.get(binder, F.lit(1)))
+#: Lines are often alike.
+_known_mark = lru_cache(1 << 17)(_mark)
 
 
-def definers_of(lang: Column) -> Column:
-    """The keywords of a language that introduce a name."""
-    table = F.str_to_map(F.lit(",".join(f"{k}:{' '.join(v)}" for k, v in DEFINERS.items())))
-    return F.split(F.coalesce(F.try_element_at(table, lang), F.lit("")), " ")
+def code_marks(lang: str, lines: list[str]) -> list[tuple[int, int, str]]:
+    """Marks (line, level, title) of the definitions among a file's lines."""
+    if lang not in DEFINERS:
+        return []
+    return [(n, *m) for n, line in enumerate(lines, 1) if (m := (_known_mark if len(line) <= _SHORT else _mark)(lang, line))]
 
 
-def definition(lang: Column, line: Column, indent: Column, definers: Column | None = None) -> Column:
-    """Name of the definition that a trimmed line opens, or null; an expression over all languages.
+def _marks(lines: list[str], lang: str) -> Iterable[tuple[int, int, str | None]]:
+    """Definitions of code, headings of a document."""
+    return code_marks(lang, lines) if lang else headings(lines)
 
-    It names ``line`` and ``definers`` many times: columns or values of ``_let`` serve best.
-    """
-    definers = definers_of(lang) if definers is None else definers
-    # most lines have neither a keyword nor a brace nor a function's sign
-    likely = line.rlike(r"\b(?:" + "|".join(sorted({k for v in DEFINERS.values() for k in v})) + r")\b|\{|=>")
-    body = F.rtrim(F.substring(line, F.lit(1), F.length(line) - 1))
-    selector = F.when(line.endswith("{") & ~body.rlike(r"[{};]"), body)
-
-    def found(flat: Column) -> Column:
-        by_keyword = _let(_words(flat), lambda w: _by_keyword(lang, definers, line, w))
-        by_brace = F.when(lang.isin(*BRACED), _by_brace(lang, flat, indent))
-        by_binding = F.when(lang.isin("jsts", "go"), _by_binding(flat))
-        # `struct s f(void) {` is a function, `class C extends f(D) {` a class
-        return F.when(lang.isin("c", "cpp"), F.coalesce(by_brace, by_keyword)).otherwise(F.coalesce(by_keyword, by_binding, by_brace))
-
-    text = F.when(lang.isin("c", "cpp"), F.regexp_replace(line, r"^#\s*", "")).otherwise(line)
-    return F.when(lang == "css", selector).when(likely, _let(_flat(text), found))
-
-
-def code_marks(lang: Column, lines: Column, definers: Column | None = None) -> Column:
-    """Marks (line, level, title) of the definitions among a file's lines; the level is the indentation (a tab is four)."""
-    indent = lambda x: F.length(F.replace(F.regexp_extract(x, r"^[ \t]*", 0), F.lit("\t"), F.lit("    ")))
-    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    title = lambda x: _let(bare(x), lambda t: F.nullif(F.trim(definition(lang, t, indent(x), definers)), F.lit("")))
-    mark = lambda x, i: F.struct((i + 1).alias("line"), indent(x).alias("level"), title(x).alias("title"))
-    return F.filter(F.transform(lines, mark), lambda m: m["title"].isNotNull())
-
-
-def _marked(files: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, text, n_lines and marks of each file: definitions of code; a document's headings are found where it is outlined."""
-    lang = lang_of(F.col("path"))
-    # a document is not split here
-    lines = files.select(*keep, "text", lang.alias("_lang"), F.when(lang != "", split_lines(F.col("text"))).alias("_lines"))
-    lines = lines.withColumn("_definers", definers_of(F.col("_lang")))
-    none = F.array().cast(MARKS)
-    marks = F.when(F.col("_lang") == "", F.lit(None)).when(F.col("_lang").isin(*DEFINERS), code_marks(F.col("_lang"), F.col("_lines"), F.col("_definers"))).otherwise(none)
-    n_lines = F.when(F.col("_lang") != "", F.size("_lines"))
-    return lines.select(*keep, "text", n_lines.alias("n_lines"), marks.cast(MARKS).alias("marks"))
+
+def _with_lang(files: DataFrame) -> DataFrame:
+    return files.withColumn("_lang", lang_of(F.col("path")))
 
 
 def sections(files: DataFrame) -> DataFrame:
     """Sections by kind: headings of documents, definitions of code."""
-    documents = F.when(F.col("marks").isNull(), F.col("text"))
-    return with_sections(_marked(files, *_DOC).withColumn("text", documents)).select(*_DOC, F.inline("sections"))
+    return with_sections(_with_lang(files), SECTION, _marks, ("_lang",)).select(*_DOC, F.inline("sections"))
 
 
 def code_sections(files: DataFrame) -> DataFrame:
@@ -194,7 +199,7 @@ def code_sections(files: DataFrame) -> DataFrame:
 
 def section_hashes(files: DataFrame) -> DataFrame:
     """Sections of all files with ``node_hash``, each text cut up once."""
-    return with_sections(_marked(files, *_DOC), (*SECTION, "node_hash")).select(*_DOC, F.inline("sections"))
+    return with_sections(_with_lang(files), (*SECTION, "node_hash"), _marks, ("_lang",)).select(*_DOC, F.inline("sections"))
 
 
 def _by_file(spans: DataFrame) -> DataFrame:
@@ -225,7 +230,7 @@ def place_spans(files: DataFrame, spans: DataFrame) -> DataFrame:
         found = [pc.fill_null(x.flatten().take(at), "") for x in (paths, hashes)]
         return pa.ListArray.from_arrays(firsts.offsets, pa.StructArray.from_arrays(found, names))
 
-    met = _by_file(spans).join(with_sections(_marked(files, *_DOC), ("line_start", *names)), _DOC)
+    met = _by_file(spans).join(with_sections(_with_lang(files), ("line_start", *names), _marks, ("_lang",)), _DOC)
     firsts = F.col("_rows.line_start").cast("array<bigint>")
     return _of_rows(met.select("_rows", held(firsts, *[F.col(f"sections.{n}") for n in ("line_start", *names)]).alias("_places")))
 
@@ -239,9 +244,9 @@ def _places(lines: pa.ListArray) -> np.ndarray:
 def compute_anchor(files: DataFrame, spans: DataFrame) -> DataFrame:
     """As ``place_spans``, with window_hash and byte_hash: of the span with three lines around it, and of the span itself."""
 
-    def of(text: str | None, n_lines: int | None, marks: list[dict] | None, firsts: list[int | None], lasts: list[int | None]) -> list[tuple]:
+    def of(text: str | None, lang: str, firsts: list[int | None], lasts: list[int | None]) -> list[tuple]:
         lines, norm = lines_of(text), normalizer(text)
-        found = outline(lines, n_lines, marks)
+        found = outline(len(lines), _marks(lines, lang))
         begins, hashes = [s[0] for s in found], {}
 
         def held(first: int | None) -> tuple[str, str]:
@@ -263,9 +268,9 @@ def compute_anchor(files: DataFrame, spans: DataFrame) -> DataFrame:
 
     # a file's text meets its spans once, and is gone through once
     lines = {"_firsts": "line_start", "_lasts": "line_end"}
-    met = _marked(_by_file(spans).join(files.select(*_DOC, "text"), _DOC), "_rows").withColumns({k: F.col(f"_rows.{c}").cast("array<bigint>") for k, c in lines.items()})
+    met = _with_lang(_by_file(spans).join(files.select(*_DOC, "text"), _DOC)).withColumns({k: F.col(f"_rows.{c}").cast("array<bigint>") for k, c in lines.items()})
     names = ["symbol_path", "node_hash", "window_hash", "byte_hash"]
-    return _of_rows(per_document(met, ["_rows"], ["n_lines", "marks", *lines], of, dict.fromkeys(names, pa.string()), "_places"))
+    return _of_rows(per_document(met, ["_rows"], ["_lang", *lines], of, dict.fromkeys(names, pa.string()), "_places"))
 
 
 def resolve_anchor(anchors: DataFrame, files: DataFrame) -> DataFrame:

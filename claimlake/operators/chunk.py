@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,6 @@ _DOC = ["repo", "path"]
 _PARTS = pa.list_(pa.struct([("line_start", pa.int32()), ("line_end", pa.int32()), ("heading", pa.string()), ("text", pa.string())]))
 #: What is known of a section without its text.
 SECTION = ("line_start", "line_end", "level", "title", "symbol_path")
-MARKS = "array<struct<line:int,level:int,title:string>>"
 
 
 def split_lines(text: Column) -> Column:
@@ -79,29 +79,30 @@ def heading_sections(files: DataFrame, names: tuple[str, ...] = SECTION) -> Data
 
     A section ends before the next heading of any level; its path joins its ancestors.
     """
-    marked = files.select(*_DOC, "text", F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast(MARKS).alias("marks"))
-    return with_sections(marked, names).select(*_DOC, F.inline("sections"))
+    return with_sections(files, names).select(*_DOC, F.inline("sections"))
 
 
-def with_sections(marked: DataFrame, names: tuple[str, ...] = SECTION) -> DataFrame:
-    """(repo, path, text, n_lines, marks), one row a document, to repo, path and its ``sections`` in the order of lines, with the columns ``names``.
+def with_sections(files: DataFrame, names: tuple[str, ...] = SECTION, marks: Callable[..., Iterable[tuple]] | None = None, given: tuple[str, ...] = ()) -> DataFrame:
+    """``files``, one row a document, to repo, path and its ``sections`` in the order of lines, with the columns ``names``.
 
-    ``marks`` (line, level, title) in the order of lines are those of a file of
-    ``n_lines``; where they are null, the headings and fences of ``text`` are.
-    ``node_hash`` can be named besides ``SECTION``.
+    ``marks`` makes marks (line, level, title) in the order of lines of a document's lines
+    and the columns ``given``; without it, they are the headings and fences. ``node_hash``
+    can be named besides ``SECTION``.
     """
     every = (*SECTION, "node_hash")
-    at, hashed = [every.index(n) for n in names], "node_hash" in names
+    chosen, hashed = itemgetter(*[every.index(n) for n in names]), "node_hash" in names
+    picked = chosen if len(names) > 1 else lambda s: (chosen(s),)
+    whole = names == SECTION
 
-    def of(text: str | None, n_lines: int | None, marks: list[dict] | None) -> list[tuple]:
+    def of(text: str | None, *rest) -> list[tuple]:
         lines = lines_of(text)
-        found = outline(lines, n_lines, marks)
+        found = outline(len(lines), headings(lines) if marks is None else marks(lines, *rest))
         if hashed:
             norm = normalizer(text)
             found = [(*s, norm("\n".join(lines[s[0] - 1 : s[1]]))) for s in found]
-        return [tuple([s[k] for k in at]) for s in found]
+        return found if whole else list(map(picked, found))
 
-    return per_document(marked, _DOC, ["n_lines", "marks"], of, {n: pa.int32() if n in ("line_start", "line_end", "level") else pa.string() for n in names}, "sections")
+    return per_document(files, _DOC, list(given), of, {n: pa.int32() if n in ("line_start", "line_end", "level") else pa.string() for n in names}, "sections")
 
 
 def per_document(rows: DataFrame, keep: list[str], given: list[str], of: Callable[..., list[tuple]], kinds: dict[str, pa.DataType], name: str) -> DataFrame:
@@ -114,7 +115,7 @@ def per_document(rows: DataFrame, keep: list[str], given: list[str], of: Callabl
                 taken = [c.slice(at, 64).to_pylist() for c in batch.columns[len(keep) :]]
                 found = [of(None if t is None else t.decode("utf-8", "replace"), *rest) for t, *rest in zip(*taken, strict=True)]
                 ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
-                flat = list(zip(*(x for one in found for x in one), strict=True)) or [()] * len(kinds)
+                flat = list(zip(*chain.from_iterable(found), strict=True)) or [()] * len(kinds)
                 parts = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(flat, kinds.values(), strict=True)], list(kinds))
                 done.append(pa.ListArray.from_arrays(ends, parts))
             if done:
@@ -133,7 +134,7 @@ def lines_of(text: str | None) -> list[str]:
     return lines
 
 
-def _headings(lines: list[str]) -> Iterator[tuple[int, int, str | None]]:
+def headings(lines: list[str]) -> Iterator[tuple[int, int, str | None]]:
     """(line, level, title) of headings and, without a title, of fences."""
     for n, line in enumerate(lines, 1):
         if line.startswith("#"):
@@ -143,22 +144,25 @@ def _headings(lines: list[str]) -> Iterator[tuple[int, int, str | None]]:
             yield n, 0, None
 
 
-def outline(lines: list[str], n_lines: int | None, marks: list[dict] | None) -> list[tuple[int, int, int, str, str]]:
-    """Sections (line_start, line_end, level, title, symbol_path) of a document.
+def outline(n_lines: int, marks: Iterable[tuple[int, int, str | None]]) -> list[tuple[int, int, int, str, str]]:
+    """Sections (line_start, line_end, level, title, symbol_path) of a document of ``n_lines``.
 
     A mark without a title is a fence, and what stands between two of them is no
     section. A stack of open ancestors gives the paths, in one pass over the marks.
     """
-    n_lines = len(lines) if n_lines is None else n_lines
-    found, stack, fenced = [], [], False
-    for line, level, title in _headings(lines) if marks is None else ((m["line"], m["level"], m["title"]) for m in marks):
+    found, stack, fenced, last = [], [], False, None
+    for mark in marks:
+        line, level, title = mark
         if title is None:
             fenced = not fenced
         elif not fenced:
+            if last is not None:
+                found.append((last[0], line - 1, last[1], last[2], path))
             while stack and stack[-1][0] >= level:
                 stack.pop()
-            path = stack[-1][1] + " > " + title if stack else title
+            path = f"{stack[-1][1]} > {title}" if stack else title
             stack.append((level, path))
-            found.append((line, level, title, path))
-    ends = [s[0] - 1 for s in found[1:]] + [n_lines]
-    return [(line, end, level, title, path) for (line, level, title, path), end in zip(found, ends[: len(found)], strict=True)]
+            last = mark
+    if last is not None:
+        found.append((last[0], n_lines, last[1], last[2], path))
+    return found

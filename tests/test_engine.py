@@ -312,6 +312,29 @@ def test_long_lines_are_looked_at(spark):
     assert row.title == "n" * 9000 and row.level == 9
 
 
+def test_equal_lines_are_looked_at_once(spark):
+    """No expression of Spark goes over the lines, and a line that is there again costs a look."""
+    code = "\n".join(["class Same:", "    def one(self):", "        return 1"] * 2000)
+    found = anchor.code_sections(files(spark, code, ext="py"))
+    assert "transform" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.symbol_path for r in found.collect()} == {"Same", "Same > one"} and found.count() == 4000
+    anchor._known_mark.cache_clear()
+    assert len(anchor.code_marks("py", code.split("\n"))) == 4000 and anchor._known_mark.cache_info().misses == 3
+
+
+@pytest.mark.parametrize(
+    "lang,line,want",
+    [
+        ("py", "def f(x): # class g", "f"), ("py", "class A:\"\":B", "A::B"), ("py", "class class", "class"), ("ruby", "def get?", "get?"), ("rust", "impl A for B {", "B"), ("rust", "impl for", None),
+        ("csharp", "union const {init\u00b2 x", "const"), ("csharp", "union const {initx", None), ("go", "var f = func\u00b2", "f"), ("py", "def \u00b2f():", None), ("py", "def \u00e9t\u00e9\u00b2(self)", "\u00e9t\u00e9\u00b2"),
+        ("go", "func (r *T[\u2028]) f() {", "f"), ("css", ".a {", ".a"), ("css", "a:b; {", None), ("html", "class A", None), ("c", "#  define N", "N"), ("jsts", "\tf() {", "f"),
+    ],
+)
+def test_definitions_in_odd_lines(lang, line, want):
+    """As the expression over Spark's columns had them."""
+    assert [m[2] for m in anchor.code_marks(lang, [line])] == ([want] if want else [])
+
+
 def test_spans_of_one_file(spark):
     spans = spark.createDataFrame([("r", "d0.md", k, k) for k in range(0, 9)] + [("r", "gone.md", 1, 1)], "repo string, path string, line_start int, line_end int")
     got = {r.line_start: r.symbol_path for r in anchor.compute_anchor(files(spark, "before\n" + DOC), spans).collect()}
